@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("q03_chat", "q04_fingerprints", "q05_packing", "q06_shards", "q09_lines")
+MODULES = ("q01_training_order", "q03_chat", "q04_fingerprints", "q05_packing", "q06_shards", "q09_lines")
 
 
 def _modules() -> list:
