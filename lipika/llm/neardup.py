@@ -6,10 +6,11 @@
 2. A band bucket's members are first compared with its smallest member only. That joins most
    groups of copies without making their pairs.
 3. Members of one bucket that are still in different components are then compared with each other.
-   Nothing else can be left: a link inside a component would change nothing.
+   Nothing else can be left: a link inside a component would change nothing. These documents get
+   a second signature of ``FINE`` minima, so that few pairs below the threshold go on.
 4. A pair goes on if the similarity that its packed bits suggest, corrected for chance agreement
-   of low bits, reaches ``ESTIMATE``, five standard deviations under the threshold; then the full
-   sets decide. At the threshold a link misses all bands with probability 5e-6, above it less.
+   of low bits, is at most five standard deviations under the threshold; then the full sets
+   decide. At the threshold a link misses all bands with probability 5e-6, above it less.
 """
 
 from __future__ import annotations
@@ -28,13 +29,16 @@ SHINGLE = 5
 THRESHOLD = 75
 HASHES, ROWS, BANDS = 128, 4, 32
 LOW_BITS = 4
-ESTIMATE = 0.55
+#: Minima of the second signature, which keeps one low bit of each.
+FINE = 2048
+#: Members of a bucket that are compared with as many others at once.
+BLOCK = 1_000
 #: Members that one task compares with one document; larger stars are dealt to several.
 STAR = 2_000
 
 _rng = np.random.default_rng(12345)
-_A = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
+_A = _rng.integers(0, 2**63, FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _rng.integers(0, 2**63, FINE, dtype=np.uint64)
 _BASE = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2 ** 64
 _powers = np.ones(1, np.uint64)
 _inverse = np.ones(1, np.uint64)
@@ -87,12 +91,13 @@ def shingle_set(text: str) -> set[bytes]:
     return {b" ".join(own[i : i + SHINGLE]) for i in range(len(own) - SHINGLE + 1)}
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
-    out = np.full(HASHES, 2**32 - 1, np.uint64)
+def minima(hashes: np.ndarray, count: int = HASHES) -> np.ndarray:
+    out = np.full(count, 2**32 - 1, np.uint64)
+    wide = max(1, (1 << 17) // count)
     with np.errstate(over="ignore"):
-        for a in range(0, len(hashes), 1024):
-            own = hashes[None, a : a + 1024] * _A[:, None]
-            own += _B[:, None]
+        for a in range(0, len(hashes), wide):
+            own = hashes[None, a : a + wide] * _A[:count, None]
+            own += _B[:count, None]
             np.minimum(out, own.min(1) >> np.uint64(32), out=out)
     return out
 
@@ -106,9 +111,9 @@ def band_keys(low: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def bit_planes(low: np.ndarray) -> np.ndarray:
+def bit_planes(low: np.ndarray, planes: int = LOW_BITS) -> np.ndarray:
     """The minima's low bits, plane by plane: bit j of plane p is bit p of minimum j."""
-    bits = (low[None, :] >> np.arange(LOW_BITS, dtype=np.uint64)[:, None]) & np.uint64(1)
+    bits = (low[None, :] >> np.arange(planes, dtype=np.uint64)[:, None]) & np.uint64(1)
     return np.packbits(bits.astype(np.uint8), axis=1, bitorder="little").view("<i8").ravel()
 
 
@@ -135,19 +140,88 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, planes array<long>, bands array<long>")
 
 
-def estimate(a: Column, b: Column) -> Column:
-    """Similarity from packed low bits: the share of agreeing minima, less what chance makes agree."""
-    words_a_plane = HASHES // 64
+def likely(a: Column, b: Column, count: int = HASHES) -> Column:
+    """Whether packed low bits allow a link: the share of agreeing minima, less what chance makes agree, to five deviations."""
+    words_a_plane = count // 64
     apart = F.lit(0)
     for w in range(words_a_plane):
         differ = None
         for p in range(LOW_BITS):
-            k = p * words_a_plane + w
-            x = a[k].bitwiseXOR(b[k])
+            x = a[p * words_a_plane + w].bitwiseXOR(b[p * words_a_plane + w])
             differ = x if differ is None else differ.bitwiseOR(x)
         apart = apart + F.bit_count(differ)
-    chance = 0.5**LOW_BITS
-    return (1 - apart / F.lit(float(HASHES)) - chance) / (1 - chance)
+    chance, least = 0.5**LOW_BITS, THRESHOLD / 100
+    agree = chance + (1 - chance) * least
+    deviation = (agree * (1 - agree) / count) ** 0.5 / (1 - chance)
+    return (1 - apart / F.lit(float(count)) - chance) / (1 - chance) >= least - 5 * deviation
+
+
+def fine_signatures(texts: DataFrame) -> DataFrame:
+    """``rep, fine``: the packed lowest bits of ``FINE`` minima of (doc_id, text) rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fine = [bit_planes(minima(np.unique(shingle_hashes(words(t or ""))), FINE), 1).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fine, pa.binary())], ["rep", "fine"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "rep long, fine binary")
+
+
+def likely_across(members: DataFrame) -> DataFrame:
+    """(a, b) pairs of (band, rep, c, fine) rows that share a band, differ in c, and may be linked by their fine bits.
+
+    A bucket is cut into blocks of about ``BLOCK`` members, and each pair of its blocks is one
+    bounded piece of work, so that a large bucket is dealt to many tasks.
+    """
+    sizes = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = dealt.select("band", "block", "rep", "c", "fine", other.alias("other"))
+    dealt = dealt.select("band", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "rep", "c", "fine")
+    dealt = dealt.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q")
+    least = THRESHOLD / 100
+    agree = (1 + least) / 2
+    # chance agreement is a half, so the corrected share of agreeing bits is 2 * share - 1
+    cut = FINE * (agree - 5 * (agree * (1 - agree) / FINE) ** 0.5)
+
+    def compare(group: list[tuple]) -> Iterator[tuple[int, int]]:
+        if len({g[5] for g in group}) < 2:
+            return
+        bits = np.unpackbits(np.frombuffer(b"".join(g[6] for g in group), np.uint8).reshape(len(group), -1), axis=1).astype(np.float32)
+        ones, block, rep, comp = bits.sum(1), *(np.array([g[k] for g in group]) for k in (3, 4, 5))
+        p, q = group[0][1], group[0][2]
+        left = np.flatnonzero(block == p)
+        for i in range(0, len(left), 512):
+            own = left[i : i + 512]
+            both = bits[own] @ bits.T
+            agreeing = FINE - ones[own, None] - ones[None, :] + 2 * both
+            ok = (agreeing >= cut) & (comp[own, None] != comp[None, :]) & (block == q)[None, :]
+            ok &= (rep[own, None] < rep[None, :]) | (p != q)
+            for x, y in zip(*np.nonzero(ok), strict=True):
+                u, v = int(rep[own[x]]), int(rep[y])
+                yield min(u, v), max(u, v)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        group: list[tuple] = []
+
+        def out(pairs) -> pa.RecordBatch:
+            if len(seen) > 500_000:
+                seen.clear()
+            fresh = [x for x in pairs if x not in seen and not seen.add(x)]
+            columns = zip(*fresh, strict=True) if fresh else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group and row[:3] != group[0][:3]:
+                    yield out(compare(group))
+                    group = []
+                group.append(row)
+        if group:
+            yield out(compare(group))
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -239,22 +313,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     planes = classes.select("rep", "planes")
     texts, texts_path = materialize_at(docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id"), "candidate-texts")
 
-    def likely(pairs: DataFrame) -> DataFrame:
-        x = planes.select(F.col("rep").alias("a"), F.col("planes").alias("x"))
-        y = planes.select(F.col("rep").alias("b"), F.col("planes").alias("y"))
-        return pairs.join(y, "b").join(x, "a").where(estimate(F.col("x"), F.col("y")) >= ESTIMATE).select("a", "b").distinct()
-
-    stars = materialize(likely(members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()), "star-pairs")
+    x = planes.select(F.col("rep").alias("a"), F.col("planes").alias("x"))
+    y = planes.select(F.col("rep").alias("b"), F.col("planes").alias("y"))
+    led = members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = materialize(led.join(y, "b").join(x, "a").where(likely(F.col("x"), F.col("y"))).select("a", "b").distinct(), "star-pairs")
     links = materialize(confirm(stars, texts).unionByName(tied), "star-links")
     found = materialize(components(links), "star-components")
 
     placed = members.join(found, members["rep"] == found["node"], "left").select("band", "rep", F.coalesce("component", "rep").alias("c"))
     open_buckets = placed.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("band")
-    loose = placed.join(open_buckets, "band").join(planes, "rep")
-    left = loose.select("band", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("planes").alias("x"))
-    right = loose.select("band", F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("planes").alias("y"))
-    near = (left["a"] < right["b"]) & (left["ca"] != right["cb"]) & (estimate(left["x"], right["y"]) >= ESTIMATE)
-    across = left.join(right, (left["band"] == right["band"]) & near).select("a", "b").distinct()
+    loose = materialize(placed.join(open_buckets, "band"), "open-buckets")
+    fine = fine_signatures(texts.join(loose.select(F.col("rep").alias("doc_id")).distinct(), "doc_id"))
+    loose = loose.join(materialize(fine, "fine-signatures"), "rep")
+    across = likely_across(loose.select("band", "rep", "c", "fine"))
     across = materialize(across.join(stars, ["a", "b"], "left_anti"), "cross-pairs")
     more = materialize(confirm(across, texts), "cross-links")
     if not more.isEmpty():
