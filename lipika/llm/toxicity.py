@@ -124,8 +124,8 @@ class KneserNeyPair:
 
     def __init__(self, rows):
         """``rows``: a pandas frame of ``summarise``."""
-        self.seen: dict[int, np.ndarray] = {}
-        self.back: dict[int, np.ndarray] = {}
+        self._seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self._back: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         grams, contexts = {}, {}
         for order in range(1, ORDER + 1):
             own = rows[rows["order"] == order]
@@ -165,11 +165,26 @@ class KneserNeyPair:
 
         for order in range(SHARED + 1, ORDER + 1):
             at, keys, _ = grams[order]
-            self.seen[order] = np.full(1 << BITS[order], np.nan, np.float32)
-            self.seen[order][at] = np.log(chance(order, keys, 0) + 1e-12) - np.log(chance(order, keys, 1) + 1e-12)
-            self.back[order] = np.zeros(1 << BITS[order - 1], np.float32)
+            self._seen[order] = at.astype(np.int32), (np.log(chance(order, keys, 0) + 1e-12) - np.log(chance(order, keys, 1) + 1e-12)).astype(np.float32)
             held = np.unique(keys >> np.uint64(8)) << np.uint64(8)
-            self.back[order][slot(held >> np.uint64(8), order - 1)] = np.log(keeps(order, held, 0) + 1e-6) - np.log(keeps(order, held, 1) + 1e-6)
+            backed = np.log(keeps(order, held, 0) + 1e-6) - np.log(keeps(order, held, 1) + 1e-6)
+            self._back[order] = slot(held >> np.uint64(8), order - 1).astype(np.int32), backed.astype(np.float32)
+        self._spread()
+
+    def _spread(self) -> None:
+        """Tables by slot, from the filled slots alone, which are what travels to the tasks."""
+        self.seen, self.back = {}, {}
+        for order in self._seen:
+            for table, (at, values), bits, empty in ((self.seen, self._seen[order], BITS[order], np.nan), (self.back, self._back[order], BITS[order - 1], 0.0)):
+                table[order] = np.full(1 << bits, empty, np.float32)
+                table[order][at] = values
+
+    def __getstate__(self):
+        return {"_seen": self._seen, "_back": self._back}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._spread()
 
     def differences(self, text: bytes) -> np.ndarray:
         """Of each byte: its toxic less its ordinary log-likelihood."""
@@ -234,9 +249,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     label. Without labels of both kinds every text scores 0.
     """
     known = labels.where(F.col("toxic").isNotNull() & learning_fold(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    texts = docs.where(F.col("text").isNotNull() & learning_fold(F.col("doc_id"))).select("doc_id", "text").join(known, "doc_id")
+    # labels grow with the corpus: a shuffle join at every size
+    texts = docs.where(F.col("text").isNotNull() & learning_fold(F.col("doc_id"))).select("doc_id", "text").join(known.hint("merge"), "doc_id")
     counts, path = materialize_at(count_ngrams(texts.where(~calibration_fold(F.col("doc_id")))), "ngram-counts")
-    pair = KneserNeyPair(summarise(counts).toPandas())
+    pair = KneserNeyPair(summarise(counts).toArrow().to_pandas())
     drop_path(docs.sparkSession, path)
     drawn = known.where(calibration_fold(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS)
     kept = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
