@@ -12,9 +12,14 @@ START = "^"
 
 
 def word_counts(texts: DataFrame, column: str = "text") -> DataFrame:
-    """``word, n``: lower-case runs of Latin letters; counted in each task before the shuffle."""
+    """``word, n``: lower-case runs of Latin letters; counted in each task before the shuffle.
+
+    Words are few bytes but dear to convert, so they are dealt to as many tasks as a shuffle has:
+    by size alone adaptive execution would merge a small vocabulary into one task.
+    """
     words = F.regexp_extract_all(F.lower(F.col(column)), F.lit("[a-z]+"), F.lit(0))
-    return texts.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    counted = texts.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return counted.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
 
 
 def native_lexicon(words: DataFrame, lang: str) -> DataFrame:
