@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scheme, text
-from ..operators import counters, lexicon, lookup, ranking, trees
+from ..operators import counters, lexicon, lookup, ranking, romanize, trees
 from . import jobs
 from . import oracles as O
 
@@ -329,6 +329,26 @@ def w4(spark, d):
     return trees.best_split(trees.split_scores(ex, trees.features(spark, GROUPS)), trees.node_purity(ex)).select("delta", "feature", F.round("score", 9).alias("score"))
 
 
+# --- romanisation and models --------------------------------------------------------------------
+
+
+@query("p22_romanizations")
+def p22(spark, d):
+    return romanize.romanizations(_native(spark, d), HINDI).select("word", "rank", F.array_join("letters", "").alias("latin"), F.array_join("classes", "|").alias("classes"), "truncated")
+
+
+@query("m1_training_examples")
+def m1(spark, d):
+    return romanize.training_examples(_native(spark, d), HINDI)
+
+
+@query("p24_phoneme_options")
+def p24(spark, d):
+    phones = F.transform(F.regexp_extract_all("word", F.lit("."), F.lit(0)), lambda c: F.when(c == "a", "ah").when(c == "e", "eh").when(c == "i", "ih").when(c == "o", "ow").when(c == "u", "uh").when(c == "h", "hh").otherwise(c))
+    done = romanize.sound_candidates(_words(spark, d).select("word", phones.alias("phones")), HINDI)
+    return done.select("word", F.array_join("options", "|").alias("options"))
+
+
 # --- counters -----------------------------------------------------------------------------------
 
 _SECONDS = "sec AS (SELECT date_trunc('second', ts) AS sec, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1), run AS (SELECT sec, n, CAST(sum(n) OVER (ORDER BY sec) AS BIGINT) AS total FROM sec)"

@@ -5,8 +5,9 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from lipika.functions import scheme, text
-from lipika.operators import counters, lexicon, lookup, ranking, trees
+from lipika.operators import counters, lexicon, lookup, ranking, romanize, trees
 from lipika.plans import jobs
+from lipika.sources import tables
 from lipika.streaming import words as streams
 
 
@@ -118,3 +119,33 @@ def test_streams_match_batch(spark, tmp_path):
     q = streams.stream_word_counts(stream).writeStream.format("memory").queryName("word_counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.table("word_counts").collect())) == sorted(map(tuple, counters.per_second(rows).collect()))
+
+
+def test_romanisation_and_models(spark):
+    spell = lambda w: ["".join(a) for a, _ in romanize.aligned(w, "hindi")]
+    assert spell("राम") == ["rAm", "ram"]
+    assert spell("abc") == [] and spell("") == []
+    assert romanize.aligned("राम", "hindi", cap=1) is None
+    letters, classes = romanize.aligned("खत", "hindi")[0]
+    assert letters == list("khat") and classes == ["ख", romanize.EPSILON, romanize.EPSILON, "त"]
+    for a, b in romanize.aligned("राष्ट्रपति", "hindi"):
+        assert len(a) == len(b) and "".join(b).replace(romanize.EPSILON, "") == "राष्ट्रपति"
+    words = spark.createDataFrame([(w,) for w in ("राम", "रात", "कमल", "नाम", "मटर")], "word string")
+    tree = romanize.train_language(words, "hindi").cache()
+    shown = {r["word"]: r["options"] for r in romanize.suggest(spark.createDataFrame([("ram",), ("kamal",)], "word string"), tree, words, "hindi").collect()}
+    assert shown["ram"][0] == "राम" and shown["kamal"][0] == "कमल"
+    pairs = romanize.align_pair(spark.createDataFrame([("ram", "राम"), ("xy", "राम")], "literal string, word string"), "hindi").collect()
+    assert {r["literal"]: r["classes"] for r in pairs} == {"ram": ["र", "ा", "म"], "xy": ["र", "ा", "म"]}
+    sounds = romanize.sound_candidates(spark.createDataFrame([("knife", ["", "n", "ay", "f", ""])], "word string, phones array<string>"), "hindi")
+    assert sounds.first()["options"] == ["नैफ"]
+
+
+def test_sources(spark, tmp_path):
+    for name, body in (("lex", "राम\t5\n"), ("freq", "raat  10\n\nrAt 4\n"), ("set", "pan train\npan\n"), ("over", "header\nNamaste a b\nnamaste c d\n"), ("pron", "knife # n ay f #\n")):
+        (tmp_path / name).write_text(body)
+    at = lambda name: str(tmp_path / name)
+    assert tables.read_lexicon(spark, at("lex"), "hindi").collect() == [("hindi", "राम", 5)]
+    assert sorted(tables.read_word_freq(spark, at("freq")).collect()) == [("rAt", 4), ("raat", 10)]
+    assert sorted(r["word"] for r in tables.read_wordset(spark, at("set"), "english", "dict").collect()) == ["pan", "train"]
+    assert [tuple(r) for r in tables.read_overrides(spark, [("hindi", at("over"))]).collect()] == [("hindi", "namaste", ["c", "d"])]
+    assert [tuple(r) for r in tables.read_pron_dict(spark, at("pron")).collect()] == [("knife", ["", "n", "ay", "f", ""])]
