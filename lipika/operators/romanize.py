@@ -241,3 +241,35 @@ def sound_candidates(words: DataFrame, lang: str) -> DataFrame:
 def best_first(options: Column) -> Column:
     return F.try_element_at(options, F.lit(1))
 
+
+
+def follow_focus(word: str, focus: int, rewrites: list[tuple[str, str]]) -> tuple[str, int]:
+    """The rewritten word and where its letter ``focus`` has gone; a letter inside a rewrite stays inside what replaces it."""
+    word = word.lower()
+    for pattern, instead in rewrites:
+        done, at, moved = [], 0, focus
+        for m in re.finditer(pattern, word):
+            new = m.expand(instead)
+            if m.end() <= focus:
+                moved += len(new) - len(m.group())
+            elif m.start() <= focus:
+                start = sum(map(len, done)) + m.start() - at
+                moved = start + min(focus - m.start(), max(len(new) - 1, 0))
+            done += [word[at : m.start()], new]
+            at = m.end()
+        word, focus = "".join([*done, word[at:]]), moved
+    return word, focus
+
+
+def preprocess_with_focus(rows: DataFrame, rewrites: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Distinct (word, focus) with ``typed, at``: the rewritten word and the letter's place in it, step by step."""
+    rules = rewrites if rewrites is not None else text.HINDI_REWRITES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, places = batch.column("word").to_pylist(), batch.column("focus").to_pylist()
+            found = [follow_focus(w, p, rules) for w, p in zip(words, places, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(places, pa.int64()), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int64())], ["word", "focus", "typed", "at"])
+
+    distinct = rows.select("word", F.col("focus").cast("long").alias("focus")).where("word IS NOT NULL AND focus IS NOT NULL").distinct()
+    return distinct.mapInArrow(run, "word string, focus long, typed string, at long")

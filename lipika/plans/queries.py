@@ -337,6 +337,11 @@ def p22(spark, d):
     return romanize.romanizations(_native(spark, d), HINDI).select("word", "rank", F.array_join("letters", "").alias("latin"), F.array_join("classes", "|").alias("classes"), "truncated")
 
 
+@query("p4_preprocess_with_focus")
+def p4(spark, d):
+    return romanize.preprocess_with_focus(_words(spark, d).select("word", (F.char_length("word") - 1).alias("focus")))
+
+
 @query("m1_training_examples")
 def m1(spark, d):
     return romanize.training_examples(_native(spark, d), HINDI)

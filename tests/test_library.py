@@ -149,3 +149,9 @@ def test_sources(spark, tmp_path):
     assert sorted(r["word"] for r in tables.read_wordset(spark, at("set"), "english", "dict").collect()) == ["pan", "train"]
     assert [tuple(r) for r in tables.read_overrides(spark, [("hindi", at("over"))]).collect()] == [("hindi", "namaste", ["c", "d"])]
     assert [tuple(r) for r in tables.read_pron_dict(spark, at("pron")).collect()] == [("knife", ["", "n", "ay", "f", ""])]
+
+
+def test_focus_follows_rewrites(spark):
+    rows = spark.createDataFrame([("Boot", 3), ("boot", 1), ("cycle", 3), ("xx", 1)], "word string, focus long")
+    got = {(r["word"], r["focus"]): (r["typed"], r["at"]) for r in romanize.preprocess_with_focus(rows).collect()}
+    assert got == {("Boot", 3): ("bUt", 2), ("boot", 1): ("bUt", 1), ("cycle", 3): ("sykle", 3), ("xx", 1): ("kshksh", 3)}
