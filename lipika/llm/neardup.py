@@ -33,6 +33,8 @@ LOW_BITS = 4
 FINE = 2048
 #: Members of a bucket that are compared with as many others at once.
 BLOCK = 1_000
+#: Links in one file of a round of components.
+LINKS_A_FILE = 500_000
 #: Members that one task compares with one document; larger stars are dealt to several.
 STAR = 2_000
 
@@ -167,17 +169,18 @@ def fine_signatures(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", "text").mapInArrow(run, "rep long, fine binary")
 
 
-def likely_across(members: DataFrame) -> DataFrame:
-    """(a, b) pairs of (band, rep, c, fine) rows that share a band, differ in c, and may be linked by their fine bits.
+def likely_across(members: DataFrame, signed: DataFrame) -> DataFrame:
+    """(a, b) pairs of (band, rep, c) rows, with (rep, fine, bands) of ``signed``, that share a band, differ in c, and may be linked by their fine bits.
 
     A bucket is cut into blocks of about ``BLOCK`` members, and each pair of its blocks is one
-    bounded piece of work, so that a large bucket is dealt to many tasks.
+    bounded piece of work, so that a large bucket is dealt to many tasks. A pair that shares
+    several bands is found in the first of them only.
     """
     sizes = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = members.join(sizes, "band").join(signed, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.select("band", "block", "rep", "c", "fine", other.alias("other"))
-    dealt = dealt.select("band", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "rep", "c", "fine")
+    dealt = dealt.select("band", "block", "rep", "c", "fine", "bands", other.alias("other"))
+    dealt = dealt.select("band", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "rep", "c", "fine", "bands")
     dealt = dealt.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q")
     least = THRESHOLD / 100
     agree = (1 + least) / 2
@@ -189,7 +192,8 @@ def likely_across(members: DataFrame) -> DataFrame:
             return
         bits = np.unpackbits(np.frombuffer(b"".join(g[6] for g in group), np.uint8).reshape(len(group), -1), axis=1).astype(np.float32)
         ones, block, rep, comp = bits.sum(1), *(np.array([g[k] for g in group]) for k in (3, 4, 5))
-        p, q = group[0][1], group[0][2]
+        bands = np.array([g[7] for g in group], np.int64)
+        band, p, q = group[0][:3]
         left = np.flatnonzero(block == p)
         for i in range(0, len(left), 512):
             own = left[i : i + 512]
@@ -197,19 +201,18 @@ def likely_across(members: DataFrame) -> DataFrame:
             agreeing = FINE - ones[own, None] - ones[None, :] + 2 * both
             ok = (agreeing >= cut) & (comp[own, None] != comp[None, :]) & (block == q)[None, :]
             ok &= (rep[own, None] < rep[None, :]) | (p != q)
-            for x, y in zip(*np.nonzero(ok), strict=True):
-                u, v = int(rep[own[x]]), int(rep[y])
+            x, y = np.nonzero(ok)
+            x = own[x]
+            first = (bands[x] == bands[y]).argmax(1)
+            here = bands[x, first] == band
+            for u, v in zip(rep[x[here]].tolist(), rep[y[here]].tolist(), strict=True):
                 yield min(u, v), max(u, v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
         group: list[tuple] = []
 
         def out(pairs) -> pa.RecordBatch:
-            if len(seen) > 500_000:
-                seen.clear()
-            fresh = [x for x in pairs if x not in seen and not seen.add(x)]
-            columns = zip(*fresh, strict=True) if fresh else ((), ())
+            columns = zip(*found, strict=True) if (found := list(pairs)) else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
 
         for batch in batches:
@@ -261,12 +264,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star rounds: neighbours are only ever joined with a minimum, so no task
     gathers a node's links; each round is a table in the shared folder. It ends when every node
-    points at its component, after a number of rounds that grows with the logarithm of the size.
+    points at one other that points at none, after a number of rounds that grows with the
+    logarithm of the size.
     """
     spark = edges.sparkSession
     low, high = F.least("a", "b"), F.greatest("a", "b")
-    now, path = materialize_at(edges.where("a <> b").select(high.alias("v"), low.alias("m")).distinct(), "links")
-    while True:
+    files = 1 + edges.count() // LINKS_A_FILE  # few links are not worth a file for each shuffle partition
+    now, path = materialize_at(edges.where("a <> b").select(high.alias("v"), low.alias("m")).distinct().coalesce(files), "links")
+    while not _starred(now):
         both = now.select(F.col("v").alias("u"), F.col("m").alias("w")).unionByName(now.select(F.col("m").alias("u"), F.col("v").alias("w")))
         least = both.groupBy("u").agg(F.min("w").alias("w")).select(F.col("u").alias("of"), F.least("u", "w").alias("to"))
         large = both.join(least, both["u"] == least["of"]).where("w > u").select(F.col("w").alias("v"), F.col("to").alias("m")).distinct()
@@ -274,15 +279,16 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(first, large["v"] == first["of"])
         # each v to its least neighbour, and its other neighbours to that
         moved = small.select(F.when(F.col("m") == F.col("to"), F.col("v")).otherwise(F.col("m")).alias("v"), F.col("to").alias("m")).distinct()
-        after, fresh = materialize_at(moved, "links")
-        shape = lambda d: d.agg(F.count("*"), F.sum(F.hash("v", "m").cast("decimal(38,0)"))).first()
-        done = shape(now) == shape(after)
+        after, fresh = materialize_at(moved.coalesce(files), "links")
         drop_path(spark, path)
         now, path = after, fresh
-        if done:
-            break
-    nodes = now.groupBy(F.col("v").alias("node")).agg(F.min("m").alias("component"))
-    return nodes.unionByName(now.select(F.col("m").alias("node"), F.col("m").alias("component")).distinct())
+    return now.select(F.col("v").alias("node"), F.col("m").alias("component")).unionByName(now.select(F.col("m").alias("node"), F.col("m").alias("component")).distinct())
+
+
+def _starred(links: DataFrame) -> bool:
+    """Whether each v has one m, and no m is a v."""
+    seen = links.select(F.col("v").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(links.select(F.col("m").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+    return seen.groupBy("x").agg(F.sum("out").alias("out"), F.max("in").alias("in")).where("out > 1 OR (out = 1 AND in = 1)").isEmpty()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -318,18 +324,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     led = members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     stars = materialize(led.join(y, "b").join(x, "a").where(likely(F.col("x"), F.col("y"))).select("a", "b").distinct(), "star-pairs")
     links = materialize(confirm(stars, texts).unionByName(tied), "star-links")
-    found = materialize(components(links), "star-components")
+    found = components(links)
 
     placed = members.join(found, members["rep"] == found["node"], "left").select("band", "rep", F.coalesce("component", "rep").alias("c"))
     open_buckets = placed.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("band")
     loose = materialize(placed.join(open_buckets, "band"), "open-buckets")
     fine = fine_signatures(texts.join(loose.select(F.col("rep").alias("doc_id")).distinct(), "doc_id"))
-    loose = loose.join(materialize(fine, "fine-signatures"), "rep")
-    across = likely_across(loose.select("band", "rep", "c", "fine"))
+    across = likely_across(loose, fine.join(classes.select("rep", "bands"), "rep"))
     across = materialize(across.join(stars, ["a", "b"], "left_anti"), "cross-pairs")
     more = materialize(confirm(across, texts), "cross-links")
     if not more.isEmpty():
-        found = materialize(components(links.unionByName(more)), "components")
+        found = components(links.unionByName(more))
     drop_path(spark, texts_path)
 
     of_class = classes.select("set_key", "rep")
