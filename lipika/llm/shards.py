@@ -95,20 +95,50 @@ def best_fit_decreasing(items: Iterable[tuple[int, str]], capacity: int) -> tupl
 
 
 def pack_into(items: list[tuple[int, str]], shards: int) -> dict[str, int]:
-    """Best-fit-decreasing with the least capacity, to a hundredth of a percent, that needs at most ``shards`` bins."""
-    total, largest = sum(s for s, _ in items), max((s for s, _ in items), default=0)
-    low = max(-(-total // shards), largest)
-    high = max(low, 2 * low)
+    """Shards by item name: near equal ones, however large single items are.
+
+    An item that is larger than an even share of what is left has a shard of its own. The others go
+    into the remaining shards by best-fit-decreasing, with the least capacity (to a hundredth of a
+    percent) that needs no more of them, and are levelled.
+    """
+    rest, where = sorted(items, key=lambda x: (-x[0], x[1])), {}
+    total = sum(s for s, _ in items)
+    while rest and rest[0][0] * (shards - len(where)) > total:
+        size, name = rest.pop(0)
+        where[name] = len(where)
+        total -= size
+    own, shards = len(where), shards - len(where)
+    low = -(-total // shards)
+    high = 2 * low
     step = max(1, low // 10_000)
-    best = best_fit_decreasing(items, high)[0]
+    best = best_fit_decreasing(rest, high)[0]
     while low < high:
         middle = (low + high) // 2
-        where, bins = best_fit_decreasing(items, middle)
+        found, bins = best_fit_decreasing(rest, middle)
         if bins <= shards:
-            best, high = where, middle
+            best, high = found, middle
         else:
             low = middle + step
-    return best
+    return where | {name: own + home for name, home in _level(rest, best, shards).items()}
+
+
+def _level(items: list[tuple[int, str]], where: dict[str, int], shards: int) -> dict[str, int]:
+    """Move items (largest first in ``items``) from the fullest bin to the emptiest, while that brings the two nearer."""
+    bins, sizes = [[] for _ in range(shards)], [0] * shards
+    for size, name in items:
+        bins[where[name]].append((size, name))
+        sizes[where[name]] += size
+    while True:
+        full, empty = sizes.index(max(sizes)), sizes.index(min(sizes))
+        gap = sizes[full] - sizes[empty]
+        fits = [x for x in bins[full] if 0 < x[0] < gap]
+        if not fits:
+            return {name: home for home, own in enumerate(bins) for _, name in own}
+        moved = min(fits, key=lambda x: (abs(gap - 2 * x[0]), x[1]))
+        bins[full].remove(moved)
+        bins[empty].append(moved)
+        sizes[full] -= moved[0]
+        sizes[empty] += moved[0]
 
 
 def _lot(key: Column) -> Column:
@@ -118,8 +148,8 @@ def _lot(key: Column) -> Column:
 def assign_shards(rows: DataFrame, shards: int) -> DataFrame:
     """Add ``shard`` to rows of (key, size, ...): rows of one key share a shard, shards' sizes are near equal.
 
-    Sizes are summed by key before anything moves. A key that is larger than an even share makes
-    its shard that large (it is indivisible); the other shards then share the rest evenly.
+    Sizes are summed by key before anything moves. A key that is larger than an even share of what
+    is left has a shard of its own (it is indivisible); the other shards share the rest evenly.
     """
     spark = rows.sparkSession
     groups = rows.groupBy("key").agg(F.sum("size").alias("bytes"))

@@ -217,6 +217,26 @@ def test_sharding(spark, odd):
     assert len(cells) == 200 and cells.groupby(["cell", "bin"])["size"].sum().max() <= 100
 
 
+@pytest.mark.parametrize("share", [0.33, 0.2])
+def test_shards_beside_a_large_group_are_even(spark, share):
+    rng = random.Random(12)
+    small = [(f"k{k}", rng.randint(50, 150)) for k in range(20_000)]
+    large = int(sum(s for _, s in small) * share / (1 - share))
+    sizes = collections.Counter()
+    for r in shards.assign_shards(spark.createDataFrame([*small, ("large", large)], "key string, size long"), 8).collect():
+        sizes[r["shard"]] += r["size"]
+    assert sorted(sizes) == list(range(8))
+    *others, most = sorted(sizes.values())
+    assert most == large and others[-1] < 1.02 * others[0]
+
+
+def test_every_shard_is_used_for_few_items():
+    for sizes, n in (([4] * 5, 4), ([9, 5, 5, 5, 1], 4), ([7], 3), ([0, 0], 2), ([], 2), ([50, 30, 5, 5, 5, 5], 6)):
+        where = shards.pack_into([(s, f"i{k}") for k, s in enumerate(sizes)], n)
+        assert len(where) == len(sizes)
+        assert len({where[f"i{k}"] for k, s in enumerate(sizes) if s}) == min(n, sum(map(bool, sizes)))
+
+
 # 7, 8 ---------------------------------------------------------------------------------------------
 
 
