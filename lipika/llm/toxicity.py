@@ -6,8 +6,8 @@ seen is judged alike by both. A text's evidence is the difference of its two log
 divided by its length, for the whole text and for its ``TOP`` most toxic windows; a logistic
 function fitted on learning rows outside the counts turns it into a probability.
 
-Counts cover every labelled learning row and are summed by Spark. The model itself has a fixed
-size, whatever the corpus: n-grams share ``2 ** BITS[k]`` slots by hash.
+The model is exact n-grams in tables that grow with the corpus. Texts are scored in blocks: each
+block's distinct n-grams are joined to the tables and return to the block with their differences.
 """
 
 from __future__ import annotations
@@ -17,34 +17,27 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import drop_path, materialize_at
+from .common import drop_path, materialize, materialize_at
 from .quality import learning_fold
 
 ORDER = 5
 SHARED = 2
-#: Slots of an order, as a power of two; orders 1 and 2 have one for each n-gram.
-BITS = {1: 8, 2: 16, 3: 20, 4: 20, 5: 21}
+#: Bytes of text that are looked up together, about.
+BLOCK = 16_000_000
 WINDOW = 24
 TOP = 4
 #: Rows the logistic function is fitted on, at most.
 CALIBRATION_ROWS = 6_000
-MIXER = 0x9E3779B97F4A7C15
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def slot(keys: np.ndarray, order: int) -> np.ndarray:
-    bits = BITS[order]
-    if bits == 8 * order:
-        return keys.astype(np.int64)
-    with np.errstate(over="ignore"):
-        return ((keys.astype(np.uint64) * np.uint64(MIXER)) >> np.uint64(64 - bits)).astype(np.int64)
-
-
 def ngrams(text: bytes, order: int = ORDER) -> np.ndarray:
     """The n-gram that ends at each byte of a text (A-Z lowered, line feeds before its start), as integers."""
     data = _LOWER[np.frombuffer(b"\n" * (order - 1) + text, np.uint8)].astype(np.uint64)
@@ -55,10 +48,6 @@ def ngrams(text: bytes, order: int = ORDER) -> np.ndarray:
     return out
 
 
-def _low(keys: np.ndarray, order: int) -> np.ndarray:
-    return keys & np.uint64((1 << (8 * order)) - 1)
-
-
 def calibration_fold(doc_id: Column) -> Column:
     """A quarter of the learning rows, kept out of the counts."""
     return F.floor(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) / 3) % 4 == 0
@@ -87,139 +76,158 @@ def count_ngrams(learning: DataFrame) -> DataFrame:
     return parts.groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
-def _slot_column(key: Column, order: int) -> Column:
-    @F.pandas_udf("long")
-    def slots(keys):
-        import pandas as pd
+def _suffix(order: int) -> Column:
+    return F.col("key").bitwiseAND(F.lit((1 << (8 * order)) - 1))
 
-        return pd.Series(slot(keys.to_numpy().astype(np.uint64), order))
 
-    return slots(key)
+def _shorter(grams: DataFrame, order: int) -> DataFrame:
+    """Kneser-Ney continuation counts of n-grams of ``order``: in how many different n-grams of the next order they stand."""
+    return grams.groupBy(_suffix(order).alias("key")).agg(F.sum((F.col("toxic") > 0).cast("long")).alias("toxic"), F.sum((F.col("ordinary") > 0).cast("long")).alias("ordinary"))
 
 
 def summarise(counts: DataFrame) -> DataFrame:
-    """By order, kind and slot: what the model keeps of exact n-gram counts.
-
-    Kind 0 rows are n-grams (``key`` stands for the slot; lower orders have Kneser-Ney continuation
-    counts: how many different bytes precede), kind 1 rows are contexts (totals, and numbers of
-    different continuations). At most two rows for each slot of the model.
-    """
-    tables, out = counts, []
+    """By order: each n-gram's exact counts (continuation counts below the highest order)."""
+    grams, out = counts, []
     for order in range(ORDER, 0, -1):
-        one = tables.select("key", _slot_column(F.col("key"), order).alias("slot"), "toxic", "ordinary")
-        no = F.lit(0).cast("long")
-        out.append(one.groupBy("slot").agg(F.min("key").alias("key"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).select(F.lit(order).alias("order"), F.lit(0).alias("kind"), "slot", "key", "toxic", "ordinary", no.alias("types_t"), no.alias("types_o"), no.alias("types_b")))
-        context = _slot_column(F.shiftright("key", 8), order - 1) if order > 1 else no
-        have = [(F.col("toxic") > 0).cast("long"), (F.col("ordinary") > 0).cast("long"), F.lit(1).cast("long")]
-        agg = one.select(context.alias("slot"), "toxic", "ordinary", *[h.alias(n) for h, n in zip(have, ("t", "o", "b"), strict=True)]).groupBy("slot")
-        out.append(agg.agg(*[F.sum(c).alias(c) for c in ("toxic", "ordinary", "t", "o", "b")]).select(F.lit(order).alias("order"), F.lit(1).alias("kind"), "slot", no.alias("key"), "toxic", "ordinary", F.col("t").alias("types_t"), F.col("o").alias("types_o"), F.col("b").alias("types_b")))
+        out.append(grams.select(F.lit(order).alias("order"), "key", "toxic", "ordinary"))
         if order > 1:
-            suffix = F.col("key").bitwiseAND(F.lit((1 << (8 * (order - 1))) - 1))
-            tables = tables.groupBy(suffix.alias("key")).agg(F.sum((F.col("toxic") > 0).cast("long")).alias("toxic"), F.sum((F.col("ordinary") > 0).cast("long")).alias("ordinary"))
+            grams = _shorter(grams, order - 1)
     return reduce(DataFrame.unionByName, out)
 
 
+def _discount(once: int, twice: int) -> float:
+    return min(0.95, max(0.1, once / max(1, once + 2 * twice)))
+
+
+def _shared_chances(keys: np.ndarray, n: np.ndarray, once: dict[int, float]) -> np.ndarray:
+    """The shared model's probability of each seen n-gram of order 2; ``n``: counts of both classes, ``once``: discounts."""
+
+    def step(n, context, discount, lower):
+        total, types = np.bincount(context, n, 256), np.bincount(context, minlength=256)
+        return np.maximum(n - discount, 0) / np.maximum(total[context], 1) + discount * types[context] / np.maximum(total[context], 1) * lower
+
+    return step(n[2], keys[2] >> 8, once[2], step(n[1], np.zeros(len(keys[1]), np.int64), once[1], 1 / 256)[np.searchsorted(keys[1], keys[2] & 255)])
+
+
 class KneserNeyPair:
-    """The two models as tables of log-likelihood differences: of seen n-grams, and of backing off from seen contexts."""
+    """The two models in memory, for few n-grams; ``DifferenceTables`` has the same in Spark tables."""
 
     def __init__(self, rows):
         """``rows``: a pandas frame of ``summarise``."""
-        self._seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self._back: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        grams, contexts = {}, {}
+        grams = {}
         for order in range(1, ORDER + 1):
-            own = rows[rows["order"] == order]
-            a, b = own[own["kind"] == 0], own[own["kind"] == 1]
-            grams[order] = (a["slot"].to_numpy(), a["key"].to_numpy().astype(np.uint64), a[["toxic", "ordinary"]].to_numpy(np.float64))
-            size = 1 << BITS[order - 1] if order > 1 else 1
-            table = np.zeros((5, size), np.float32)
-            table[:, b["slot"].to_numpy()] = b[["toxic", "ordinary", "types_t", "types_o", "types_b"]].to_numpy(np.float32).T
-            contexts[order] = table
-        counts = {}
-        for order, (at, _, c) in grams.items():
-            counts[order] = np.zeros((2, 1 << BITS[order]), np.float32)
-            counts[order][:, at] = c.T
-        discount = {}
-        for order, (_, _, c) in grams.items():
-            for k in range(3):
-                own = c.sum(1) if k == 2 else c[:, k]
-                once, twice = (own == 1).sum(), (own == 2).sum()
-                discount[order, k] = min(0.95, max(0.1, once / max(1, once + 2 * twice)))
-
-        def keeps(order: int, keys: np.ndarray, k: int) -> np.ndarray:
-            """The weight of the next lower order after the contexts of keys; k: class, or 2 for both."""
-            at = slot(keys >> np.uint64(8), order - 1) if order > 1 else np.zeros(len(keys), np.int64)
-            total = contexts[order][0, at] + contexts[order][1, at] if k == 2 else contexts[order][k, at]
-            return np.where(total > 0, discount[order, k] * contexts[order][2 + k, at] / np.maximum(total, 1), 1.0)
-
-        def chance(order: int, keys: np.ndarray, k: int) -> np.ndarray:
-            if order == 0:
-                return np.full(len(keys), 1 / 256)
-            k = 2 if order <= SHARED else k
-            at = slot(keys >> np.uint64(8), order - 1) if order > 1 else np.zeros(len(keys), np.int64)
-            own = counts[order][:, slot(keys, order)]
-            n = own[0] + own[1] if k == 2 else own[k]
-            total = contexts[order][0, at] + contexts[order][1, at] if k == 2 else contexts[order][k, at]
-            direct = np.maximum(n - discount[order, k], 0) / np.maximum(total, 1)
-            return direct + keeps(order, keys, k) * chance(order - 1, _low(keys, order - 1), k)
-
+            own = rows[rows["order"] == order].sort_values("key")
+            grams[order] = own["key"].to_numpy(np.int64), own[["toxic", "ordinary"]].to_numpy(np.float64)
+        both = {order: grams[order][1].sum(1) for order in (1, 2)}
+        shared = {order: _discount((n == 1).sum(), (n == 2).sum()) for order, n in both.items()}
+        low = dict(zip(grams[2][0].tolist(), _shared_chances({o: grams[o][0] for o in (1, 2)}, both, shared).tolist(), strict=True))
+        lower = {key: (p, p) for key, p in low.items()}
+        self.seen: dict[int, dict[int, float]] = {}
+        self.back: dict[int, dict[int, float]] = {}
         for order in range(SHARED + 1, ORDER + 1):
-            at, keys, _ = grams[order]
-            self._seen[order] = at.astype(np.int32), (np.log(chance(order, keys, 0) + 1e-12) - np.log(chance(order, keys, 1) + 1e-12)).astype(np.float32)
-            held = np.unique(keys >> np.uint64(8)) << np.uint64(8)
-            backed = np.log(keeps(order, held, 0) + 1e-6) - np.log(keeps(order, held, 1) + 1e-6)
-            self._back[order] = slot(held >> np.uint64(8), order - 1).astype(np.int32), backed.astype(np.float32)
-        self._spread()
-
-    def _spread(self) -> None:
-        """Tables by slot, from the filled slots alone, which are what travels to the tasks."""
-        self.seen, self.back = {}, {}
-        for order in self._seen:
-            for table, (at, values), bits, empty in ((self.seen, self._seen[order], BITS[order], np.nan), (self.back, self._back[order], BITS[order - 1], 0.0)):
-                table[order] = np.full(1 << bits, empty, np.float32)
-                table[order][at] = values
-
-    def __getstate__(self):
-        return {"_seen": self._seen, "_back": self._back}
-
-    def __setstate__(self, state):
-        self.__dict__.update(state)
-        self._spread()
+            keys, n = grams[order]
+            discount = [_discount((n[:, k] == 1).sum(), (n[:, k] == 2).sum()) for k in (0, 1)]
+            totals: dict[int, np.ndarray] = {}
+            for key, own in zip(keys.tolist(), n, strict=True):
+                totals.setdefault(key >> 8, np.zeros((2, 2)))
+                totals[key >> 8] += [own, own > 0]
+            keeps = {c: [discount[k] * t[1, k] / t[0, k] if t[0, k] > 0 else 1.0 for k in (0, 1)] for c, t in totals.items()}
+            chance = {}
+            for key, own in zip(keys.tolist(), n, strict=True):
+                total, keep, below = totals[key >> 8][0], keeps[key >> 8], lower[key & ((1 << (8 * (order - 1))) - 1)]
+                chance[key] = tuple(max(own[k] - discount[k], 0) / max(total[k], 1) + keep[k] * below[k] for k in (0, 1))
+            self.seen[order] = {key: float(np.log(p + 1e-12) - np.log(q + 1e-12)) for key, (p, q) in chance.items()}
+            self.back[order] = {c: float(np.log(p + 1e-6) - np.log(q + 1e-6)) for c, (p, q) in keeps.items()}
+            lower = chance
 
     def differences(self, text: bytes) -> np.ndarray:
         """Of each byte: its toxic less its ordinary log-likelihood."""
-        keys = ngrams(text)
-        out = self.seen[ORDER][slot(keys, ORDER)]
-        left, extra = np.flatnonzero(np.isnan(out)), 0.0
+
+        def look(key: int, order: int) -> float:
+            if order == SHARED:
+                return 0.0
+            if key in self.seen[order]:
+                return self.seen[order][key]
+            return self.back[order].get(key >> 8, 0.0) + look(key & ((1 << (8 * (order - 1))) - 1), order - 1)
+
+        return np.array([look(key, ORDER) for key in ngrams(text).tolist()], np.float64)
+
+
+class DifferenceTables:
+    """The two models as tables of log-likelihood differences: of seen n-grams, and of backing off from seen contexts.
+
+    No n-gram and no context is merged with another, and none leaves its table: the driver sees the
+    counts of orders 1 and 2 only (at most 65,792). A join key has at most 256 rows on the tables' side.
+    """
+
+    def __init__(self, counts: DataFrame):
+        spark, self.paths, self.seen, self.back = counts.sparkSession, [], {}, {}
+        grams = {ORDER: counts}
         for order in range(ORDER - 1, SHARED, -1):
-            if not len(left):
-                return out
-            own = keys[left]
-            extra = extra + self.back[order + 1][slot(_low(own, order + 1) >> np.uint64(8), order)]
-            found = self.seen[order][slot(_low(own, order), order)]
-            done = ~np.isnan(found)
-            out[left[done]] = found[done] + extra[done]
-            left, extra = left[~done], extra[~done]
-        if len(left):
-            out[left] = extra + self.back[SHARED + 1][slot(_low(keys[left], SHARED + 1) >> np.uint64(8), SHARED)]
+            grams[order] = self._kept(_shorter(grams[order + 1], order), f"ngrams-{order}")
+        few = _shorter(grams[SHARED + 1], SHARED).toPandas().sort_values("key")
+        ones = few.assign(key=few["key"] & 255, toxic=few["toxic"] > 0, ordinary=few["ordinary"] > 0).groupby("key")[["toxic", "ordinary"]].sum()
+        keys = {1: ones.index.to_numpy(np.int64), 2: few["key"].to_numpy(np.int64)}
+        both = {1: ones.to_numpy(np.float64).sum(1), 2: few[["toxic", "ordinary"]].to_numpy(np.float64).sum(1)}
+        shared = {order: _discount((n == 1).sum(), (n == 2).sum()) for order, n in both.items()}
+        low = list(zip(keys[2].tolist(), _shared_chances(keys, both, shared).tolist(), strict=True))
+        lower = F.broadcast(spark.createDataFrame([(k, p, p) for k, p in low], "key long, p0 double, p1 double"))
+        for order in range(SHARED + 1, ORDER + 1):
+            whole = Window.partitionBy("context")
+            rows, chances = grams[order].withColumn("context", F.shiftright("key", 8)).withColumn("low", _suffix(order - 1)), []
+            of = grams[order].agg(*[F.count_if(F.col(c) == n) for c in ("toxic", "ordinary") for n in (1, 2)]).first()
+            for k, c in enumerate(("toxic", "ordinary")):
+                discount, total = _discount(of[2 * k], of[2 * k + 1]), F.sum(c).over(whole)
+                types = F.sum((F.col(c) > 0).cast("long")).over(whole)
+                chances += [(F.greatest(F.col(c) - discount, F.lit(0.0)) / F.greatest(total, F.lit(1))).alias(f"direct{k}"), F.when(total > 0, discount * types / total).otherwise(1.0).alias(f"keeps{k}")]
+            rows = rows.select("key", "context", "low", *chances).join(lower.withColumnRenamed("key", "low"), "low")
+            gap = lambda p, q, least: F.log(p + least) - F.log(q + least)
+            p0, p1 = (F.col(f"direct{k}") + F.col(f"keeps{k}") * F.col(f"p{k}") for k in (0, 1))
+            table = self._kept(rows.select("key", "context", p0.alias("p0"), p1.alias("p1"), gap(F.col("keeps0"), F.col("keeps1"), 1e-6).alias("back")), f"chances-{order}")
+            self.seen[order] = table.select("key", gap(F.col("p0"), F.col("p1"), 1e-12).alias(f"seen{order}"))
+            self.back[order] = table.groupBy("context").agg(F.min("back").alias(f"back{order}"))
+            lower = table.select("key", "p0", "p1")
+
+    def _kept(self, rows: DataFrame, name: str) -> DataFrame:
+        out, path = materialize_at(rows, name)
+        self.paths.append(path)
         return out
 
-    def evidence(self, text: bytes) -> list[float]:
-        """Length-normalised differences: of the whole text, then of its most toxic windows, each apart from the last."""
-        if not text:
-            return [0.0] * (TOP + 2)
-        each = self.differences(text)
-        total = np.concatenate([[0.0], np.cumsum(each, dtype=np.float64)])
-        width = min(WINDOW, len(each))
-        windows = (total[width:] - total[:-width]) / WINDOW
-        tops = []
-        for _ in range(TOP):
-            k = int(windows.argmax())
-            best = float(windows[k])
-            tops.append(max(best, -1.0))
-            if best > -1.0:
-                windows[max(0, k - width + 1) : k + width] = -9.0
-        return [float(total[-1]) / len(each), *tops, float(np.log1p(len(each))) / 10]
+    def of(self, keys: DataFrame) -> DataFrame:
+        """``key, difference`` of different n-grams of the highest order."""
+        out = keys.select("key")
+        for order in range(ORDER, SHARED, -1):
+            own = _suffix(order)
+            back = self.back[order].withColumnRenamed("context", f"at{order}")
+            out = out.withColumn(f"key{order}", own).withColumn(f"at{order}", F.shiftright(own, 8))
+            out = out.join(self.seen[order].withColumnRenamed("key", f"key{order}"), f"key{order}", "left")
+            # the contexts of the lowest order are 65,536 at most
+            out = out.join(F.broadcast(back) if order == SHARED + 1 else back, f"at{order}", "left")
+        value = F.lit(0.0)
+        for order in range(SHARED + 1, ORDER + 1):
+            value = F.coalesce(f"seen{order}", F.coalesce(f"back{order}", F.lit(0.0)) + value)
+        return out.select("key", value.alias("difference"))
+
+    def drop(self, spark) -> None:
+        for path in self.paths:
+            drop_path(spark, path)
+
+
+def evidence(each: np.ndarray) -> list[float]:
+    """Length-normalised sums of a text's differences: of the whole text, then of its most toxic windows, each apart from the last."""
+    if not len(each):
+        return [0.0] * (TOP + 2)
+    total = np.concatenate([[0.0], np.cumsum(each, dtype=np.float64)])
+    width = min(WINDOW, len(each))
+    windows = (total[width:] - total[:-width]) / WINDOW
+    tops = []
+    for _ in range(TOP):
+        k = int(windows.argmax())
+        best = float(windows[k])
+        tops.append(max(best, -1.0))
+        if best > -1.0:
+            windows[max(0, k - width + 1) : k + width] = -9.0
+    return [float(total[-1]) / len(each), *tops, float(np.log1p(len(each))) / 10]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -234,16 +242,12 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarra
 
 
 class ToxicityModel:
-    def __init__(self, pair: KneserNeyPair, weights: np.ndarray):
-        self.pair, self.weights = pair, weights
-
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        x = np.array([self.pair.evidence(t) for t in texts]).reshape(len(texts), TOP + 2)
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
+    def __init__(self, tables: DifferenceTables, weights: np.ndarray):
+        self.tables, self.weights = tables, weights
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
-    """Count all labelled learning rows, then fit the logistic function on a bounded sample of those kept out.
+    """Count the labelled learning rows, then fit the logistic function on a bounded sample of those kept out.
 
     Labels that are null or of held-out rows are not read; documents of one id share its largest
     label. Without labels of both kinds every text scores 0.
@@ -252,25 +256,101 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     # labels grow with the corpus: a shuffle join at every size
     texts = docs.where(F.col("text").isNotNull() & learning_fold(F.col("doc_id"))).select("doc_id", "text").join(known.hint("merge"), "doc_id")
     counts, path = materialize_at(count_ngrams(texts.where(~calibration_fold(F.col("doc_id")))), "ngram-counts")
-    pair = KneserNeyPair(summarise(counts).toArrow().to_pandas())
+    tables = DifferenceTables(counts)
     drop_path(docs.sparkSession, path)
     drawn = known.where(calibration_fold(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS)
     kept = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
-    x, y = _evidence(kept, pair)
+    return ToxicityModel(tables, _calibrate(kept, tables))
+
+
+def _calibrate(rows: DataFrame, tables: DifferenceTables) -> np.ndarray:
+    rows = rows.select("text", F.col("label").cast("long").alias("label"), F.col("doc_id").cast("long").alias("doc_id"))
+    found = _with_evidence(rows, tables, "x", T.ArrayType(T.DoubleType()), lambda x: x.tolist()).select("x", "label", "doc_id").limit(2 * CALIBRATION_ROWS).collect()
+    found.sort(key=lambda r: (r["doc_id"], r["x"]))
+    x, y = np.array([r["x"] for r in found]), np.array([r["label"] for r in found])
     if not len(y) or y.min() == y.max():
-        return ToxicityModel(pair, np.array([0.0] * (TOP + 2) + [-30.0]))
-    return ToxicityModel(pair, fit_logistic(x, y))
+        return np.array([0.0] * (TOP + 2) + [-30.0])
+    return fit_logistic(x, y)
+
 
+def _blocks(docs: DataFrame) -> DataFrame:
+    """``block, key, rows``: for each block of rows its distinct n-grams, a row each, and a row with the block itself, packed."""
 
-def _evidence(rows: DataFrame, pair: KneserNeyPair) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, size, keys = TaskContext.get().partitionId() << 32, [], 0, []
+
+        def done():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for part in held:
+                    out.write_batch(part)
+            own = np.unique(np.concatenate(keys)).astype(np.int64)
+            yield table([number] * len(own), own, [None] * len(own))
+            yield table([number], [None], [sink.getvalue().to_pybytes()])
+
+        def table(block, key, rows):
+            return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(key, pa.int64()), pa.array(rows, pa.binary())], ["block", "key", "rows"])
+
         for batch in batches:
-            found = [pair.evidence(t.encode()) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), batch.column("label"), batch.column("doc_id")], ["x", "label", "doc_id"])
+            at = 0
+            texts = [(t or "").encode() for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            pending, waiting = [], 0
+            for k, text in enumerate(texts):
+                pending.append(ngrams(text))
+                size, waiting = size + len(text), waiting + len(text)
+                full = size >= BLOCK
+                if waiting > 2_000_000 or full or k == len(texts) - 1:
+                    keys.append(np.unique(np.concatenate(pending)))
+                    pending, waiting = [], 0
+                if full or k == len(texts) - 1:
+                    held.append(batch.slice(at, k + 1 - at))
+                    at = k + 1
+                if full:
+                    yield from done()
+                    number, held, size, keys = number + 1, [], 0, []
+        if held:
+            yield from done()
+
+    return docs.mapInArrow(run, "block long, key long, rows binary")
+
+
+def _with_evidence(docs: DataFrame, tables: DifferenceTables, name: str, kind: T.DataType, finish) -> DataFrame:
+    """Add the column ``name``: what ``finish`` makes of a batch's evidence (a row for each text).
+
+    Blocks are written once, for they are read for their n-grams and for themselves. An n-gram
+    stands at most once in a block, so that common ones are no heavy keys, and a block is one row.
+    """
+    blocks = materialize(_blocks(docs), "text-blocks")
+    numbers = [(r["block"], k) for k, r in enumerate(blocks.where(F.col("key").isNull()).select("block").orderBy("block").collect())]
+    pairs = blocks.where(F.col("key").isNotNull()).select("block", "key")
+    found = pairs.join(tables.of(pairs.select("key").distinct()).hint("merge"), "key").select("block", "key", "difference", F.lit(None).cast("binary").alias("rows"))
+    packed = blocks.where(F.col("key").isNull()).select("block", "key", F.lit(None).cast("double").alias("difference"), "rows")
+    # a number for each block
+    dense = F.broadcast(docs.sparkSession.createDataFrame(numbers, "block long, number int"))
+    both = found.unionByName(packed).join(dense, "block").select("number", "key", "difference", "rows")
+    both = both.repartitionById(max(1, len(numbers)), "number").sortWithinPartitions("number", F.asc_nulls_last("key"))
 
-    found = rows.select("text", F.col("label").cast("long").alias("label"), F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, "x array<double>, label long, doc_id long").limit(2 * CALIBRATION_ROWS).collect()
-    found.sort(key=lambda r: (r["doc_id"], r["x"]))
-    return np.array([r["x"] for r in found]), np.array([r["label"] for r in found])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, values = [], []
+        for batch in batches:
+            whole = np.flatnonzero(batch.column("key").is_null().to_numpy(zero_copy_only=False)).tolist()
+            at = 0
+            for end in [*whole, batch.num_rows]:
+                own = batch.slice(at, end - at)
+                keys.append(own.column("key").to_numpy(zero_copy_only=False).astype(np.int64))
+                values.append(own.column("difference").to_numpy(zero_copy_only=False).astype(np.float64))
+                at = end + 1
+                if end == batch.num_rows:
+                    break
+                known, worth = np.concatenate(keys), np.concatenate(values)
+                keys, values = [], []
+                for part in pa.ipc.open_stream(batch.column("rows")[end].as_py()):
+                    texts = part.column(part.schema.get_field_index("text")).to_pylist()
+                    x = [evidence(worth[np.searchsorted(known, ngrams((t or "").encode()).astype(np.int64))]) for t in texts]
+                    made = pa.array(finish(np.array(x).reshape(len(texts), TOP + 2)), to_arrow_type(kind))
+                    yield pa.RecordBatch.from_arrays([*part.columns, made], [*part.schema.names, name])
+
+    return both.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, kind)]))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -278,14 +358,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     A null text scores as the empty one, whose score is the logistic function's at no evidence.
     Repeated rows score alike; an empty table stays empty; a former ``score`` column is replaced,
-    others pass through. No shuffle.
+    others pass through.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            scores = model.scores([(t or "").encode() for t in texts])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
-
-    docs = docs.drop("score")
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    weights = model.weights
+    return _with_evidence(docs.drop("score"), model.tables, "score", T.DoubleType(), lambda x: 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30))))

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lipika.llm import chat, decontaminate, fingerprints, lines, neardup, packing, quality, shards, toxicity, training_order
 from lipika.llm.tokens import byte_bpe, tokenizer_path
@@ -305,6 +306,26 @@ def test_kneser_ney_sums_to_one(spark):
     assert pair.differences(b"abracadabra").mean() > 0 > pair.differences(b"brand new").mean()
 
 
+def test_ngrams_are_exact_at_any_number(spark, monkeypatch):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9)))
+    texts = [(k, " ".join(word() for _ in range(200)), k % 2) for k in range(40)]
+    counts = toxicity.count_ngrams(spark.createDataFrame(texts, "doc_id long, text string, label int"))
+    summary = toxicity.summarise(counts).toPandas()
+    for order in range(1, toxicity.ORDER + 1):
+        different = {int(k) & ((1 << (8 * order)) - 1) for _, t, _ in texts for k in toxicity.ngrams(t.encode())}
+        assert (summary["order"] == order).sum() == len(different)  # no two share a place
+    pair = toxicity.KneserNeyPair(summary)
+    more = [*texts[:3], *[(100 + k, " ".join(word() for _ in range(50)), 0) for k in range(5)], (200, "", 0), (201, None, 0), (202, "Žluťoučký", 1)]
+    docs = spark.createDataFrame(more, "doc_id long, text string, label int").repartition(2)
+    for block in (toxicity.BLOCK, 500):
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        got = toxicity._with_evidence(docs, toxicity.DifferenceTables(counts), "x", T.ArrayType(T.DoubleType()), lambda x: x.tolist()).collect()
+        assert len(got) == len(more)
+        for r in got:
+            assert np.allclose(r["x"], toxicity.evidence(pair.differences((r["text"] or "").encode())))
+
+
 # 9 ------------------------------------------------------------------------------------------------
 
 
