@@ -4,7 +4,8 @@ Each class (toxic, ordinary) has interpolated Kneser-Ney counts for the byte n-g
 ``ORDER`` down to 3; below that both back off to one shared model, so what either class has hardly
 seen is judged alike by both. A text's evidence is the difference of its two log-likelihoods
 divided by its length, for the whole text and for its ``TOP`` most toxic windows; a logistic
-function fitted on learning rows outside the counts turns it into a probability.
+function turns it into a probability. It is fitted on learning rows that are outside the counts at
+that time; the final model counts every labelled learning row.
 
 The model is exact n-grams in tables that grow with the corpus. Texts are scored in blocks: each
 block's distinct n-grams are joined to the tables and return to the block with their differences.
@@ -49,7 +50,7 @@ def ngrams(text: bytes, order: int = ORDER) -> np.ndarray:
 
 
 def calibration_fold(doc_id: Column) -> Column:
-    """A quarter of the learning rows, kept out of the counts."""
+    """A quarter of the learning rows, of which those are drawn that the logistic function is fitted on."""
     return F.floor(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) / 3) % 4 == 0
 
 
@@ -195,22 +196,20 @@ class DifferenceTables:
 
     def of(self, keys: DataFrame) -> DataFrame:
         """``key, difference`` of different n-grams of the highest order."""
-        out = keys.select("key")
+        # what the highest order has not seen is looked up further
+        seen = self._kept(keys.join(self.seen[ORDER].hint("merge"), "key", "left").select("key", F.col(f"seen{ORDER}").alias("difference")), "seen-ngrams")
+        out, value = seen.where(F.col("difference").isNull()).select("key"), F.lit(0.0)
         for order in range(ORDER, SHARED, -1):
             own = _suffix(order)
-            back = self.back[order].withColumnRenamed("context", f"at{order}")
-            out = out.withColumn(f"key{order}", own).withColumn(f"at{order}", F.shiftright(own, 8))
-            out = out.join(self.seen[order].withColumnRenamed("key", f"key{order}"), f"key{order}", "left")
+            if order < ORDER:
+                out = out.withColumn("own", own).join(self.seen[order].withColumnRenamed("key", "own"), "own", "left").drop("own")
+            back = self.back[order].withColumnRenamed("context", "at")
             # the contexts of the lowest order are 65,536 at most
-            out = out.join(F.broadcast(back) if order == SHARED + 1 else back, f"at{order}", "left")
-        value = F.lit(0.0)
+            out = out.withColumn("at", F.shiftright(own, 8)).join(F.broadcast(back) if order == SHARED + 1 else back, "at", "left").drop("at")
         for order in range(SHARED + 1, ORDER + 1):
-            value = F.coalesce(f"seen{order}", F.coalesce(f"back{order}", F.lit(0.0)) + value)
-        return out.select("key", value.alias("difference"))
-
-    def drop(self, spark) -> None:
-        for path in self.paths:
-            drop_path(spark, path)
+            value = F.coalesce(f"back{order}", F.lit(0.0)) + value
+            value = F.coalesce(f"seen{order}", value) if order < ORDER else value
+        return seen.where(F.col("difference").isNotNull()).unionByName(out.select("key", value.alias("difference")))
 
 
 def evidence(each: np.ndarray) -> list[float]:
@@ -247,7 +246,7 @@ class ToxicityModel:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
-    """Count the labelled learning rows, then fit the logistic function on a bounded sample of those kept out.
+    """Fit the logistic function on a bounded sample kept out of the counts, then count that sample too.
 
     Labels that are null or of held-out rows are not read; documents of one id share its largest
     label. Without labels of both kinds every text scores 0.
@@ -255,12 +254,20 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     known = labels.where(F.col("toxic").isNotNull() & learning_fold(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("label"))
     # labels grow with the corpus: a shuffle join at every size
     texts = docs.where(F.col("text").isNotNull() & learning_fold(F.col("doc_id"))).select("doc_id", "text").join(known.hint("merge"), "doc_id")
-    counts, path = materialize_at(count_ngrams(texts.where(~calibration_fold(F.col("doc_id")))), "ngram-counts")
-    tables = DifferenceTables(counts)
-    drop_path(docs.sparkSession, path)
+    spark = docs.sparkSession
     drawn = known.where(calibration_fold(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS)
+    drawn, drawn_path = materialize_at(drawn, "calibration-rows")
+    of = F.broadcast(drawn.select("doc_id"))  # CALIBRATION_ROWS at most
+    most, most_path = materialize_at(count_ngrams(texts.join(of, "doc_id", "left_anti")), "ngram-counts")
+    tables = DifferenceTables(most)
     kept = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
-    return ToxicityModel(tables, _calibrate(kept, tables))
+    weights = _calibrate(kept, tables)
+    counts = most.unionByName(count_ngrams(kept)).groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    whole, whole_path = materialize_at(counts, "ngram-counts")
+    final = DifferenceTables(whole)
+    for path in (*tables.paths, drawn_path, most_path, whole_path):
+        drop_path(spark, path)
+    return ToxicityModel(final, weights)
 
 
 def _calibrate(rows: DataFrame, tables: DifferenceTables) -> np.ndarray:
@@ -273,6 +280,41 @@ def _calibrate(rows: DataFrame, tables: DifferenceTables) -> np.ndarray:
     return fit_logistic(x, y)
 
 
+def _pack(batches: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        for part in batches:
+            out.write_batch(part)
+    return sink.getvalue().to_pybytes()
+
+
+def _packed(values: DataFrame) -> DataFrame:
+    """``block, last, rows`` of (block, key, difference) rows: what a task has for a block in a few packed rows, which shuffle at a fraction of the size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def done():
+            block, key, value = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(3))
+            order = np.lexsort((key, block))
+            block, key, value = block[order], key[order], value[order].astype(np.float32)
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+            made = [_pack([pa.RecordBatch.from_arrays([pa.array(np.diff(key[a:b], prepend=0)), pa.array(value[a:b])], ["step", "difference"])]) for a, b in zip(cuts, cuts[1:], strict=False)]
+            return pa.RecordBatch.from_arrays([pa.array(block[cuts[:-1]]), pa.array([False] * len(made), pa.bool_()), pa.array(made, pa.binary())], ["block", "last", "rows"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size > 2_000_000:
+                yield done()
+                held, size = [], 0
+        if held:
+            yield done()
+
+    return values.mapInArrow(run, "block long, last boolean, rows binary")
+
+
 def _blocks(docs: DataFrame) -> DataFrame:
     """``block, key, rows``: for each block of rows its distinct n-grams, a row each, and a row with the block itself, packed."""
 
@@ -280,13 +322,9 @@ def _blocks(docs: DataFrame) -> DataFrame:
         number, held, size, keys = TaskContext.get().partitionId() << 32, [], 0, []
 
         def done():
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                for part in held:
-                    out.write_batch(part)
             own = np.unique(np.concatenate(keys)).astype(np.int64)
             yield table([number] * len(own), own, [None] * len(own))
-            yield table([number], [None], [sink.getvalue().to_pybytes()])
+            yield table([number], [None], [_pack(held)])
 
         def table(block, key, rows):
             return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(key, pa.int64()), pa.array(rows, pa.binary())], ["block", "key", "rows"])
@@ -323,28 +361,26 @@ def _with_evidence(docs: DataFrame, tables: DifferenceTables, name: str, kind: T
     blocks = materialize(_blocks(docs), "text-blocks")
     numbers = [(r["block"], k) for k, r in enumerate(blocks.where(F.col("key").isNull()).select("block").orderBy("block").collect())]
     pairs = blocks.where(F.col("key").isNotNull()).select("block", "key")
-    found = pairs.join(tables.of(pairs.select("key").distinct()).hint("merge"), "key").select("block", "key", "difference", F.lit(None).cast("binary").alias("rows"))
-    packed = blocks.where(F.col("key").isNull()).select("block", "key", F.lit(None).cast("double").alias("difference"), "rows")
+    found = _packed(pairs.join(tables.of(pairs.select("key").distinct()).hint("merge"), "key").select("block", "key", "difference"))
+    whole = blocks.where(F.col("key").isNull()).select("block", F.lit(True).alias("last"), "rows")
     # a number for each block
     dense = F.broadcast(docs.sparkSession.createDataFrame(numbers, "block long, number int"))
-    both = found.unionByName(packed).join(dense, "block").select("number", "key", "difference", "rows")
-    both = both.repartitionById(max(1, len(numbers)), "number").sortWithinPartitions("number", F.asc_nulls_last("key"))
+    both = found.unionByName(whole).join(dense, "block").select("number", "last", "rows")
+    both = both.repartitionById(max(1, len(numbers)), "number").sortWithinPartitions("number", "last")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, values = [], []
+        parts: list[bytes] = []
         for batch in batches:
-            whole = np.flatnonzero(batch.column("key").is_null().to_numpy(zero_copy_only=False)).tolist()
-            at = 0
-            for end in [*whole, batch.num_rows]:
-                own = batch.slice(at, end - at)
-                keys.append(own.column("key").to_numpy(zero_copy_only=False).astype(np.int64))
-                values.append(own.column("difference").to_numpy(zero_copy_only=False).astype(np.float64))
-                at = end + 1
-                if end == batch.num_rows:
-                    break
-                known, worth = np.concatenate(keys), np.concatenate(values)
-                keys, values = [], []
-                for part in pa.ipc.open_stream(batch.column("rows")[end].as_py()):
+            for last, packed in zip(batch.column("last").to_pylist(), batch.column("rows").to_pylist(), strict=True):
+                if not last:
+                    parts.append(packed)
+                    continue
+                found = [pa.ipc.open_stream(p).read_all() for p in parts]
+                known = np.concatenate([np.cumsum(f["step"].to_numpy()) for f in found] or [np.zeros(0, np.int64)])
+                order = known.argsort()
+                known, worth = known[order], np.concatenate([f["difference"].to_numpy() for f in found] or [np.zeros(0, np.float32)])[order]
+                parts = []
+                for part in pa.ipc.open_stream(packed):
                     texts = part.column(part.schema.get_field_index("text")).to_pylist()
                     x = [evidence(worth[np.searchsorted(known, ngrams((t or "").encode()).astype(np.int64))]) for t in texts]
                     made = pa.array(finish(np.array(x).reshape(len(texts), TOP + 2)), to_arrow_type(kind))

@@ -326,6 +326,17 @@ def test_ngrams_are_exact_at_any_number(spark, monkeypatch):
             assert np.allclose(r["x"], toxicity.evidence(pair.differences((r["text"] or "").encode())))
 
 
+@pytest.mark.parametrize("most", [10, toxicity.CALIBRATION_ROWS])
+def test_all_learning_rows_are_counted(spark, monkeypatch, most):
+    monkeypatch.setattr(toxicity, "CALIBRATION_ROWS", most)
+    rows = [(k, f"row {k:04d} says {'zzbad' if k % 3 == 0 else 'fine'}", int(k % 3 == 0)) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit_toxicity(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    seen = {r["key"] for r in model.tables.seen[toxicity.ORDER].collect()}
+    learning = docs.where(quality.learning_fold(F.col("doc_id"))).collect()
+    assert seen == {k for r in learning for k in toxicity.ngrams(r["text"].encode()).tolist()}
+
+
 # 9 ------------------------------------------------------------------------------------------------
 
 
