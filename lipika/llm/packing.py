@@ -84,7 +84,7 @@ def tokenize(docs: DataFrame, path: str | None = None, end: int | None = END) ->
     tail = b"" if end is None else int(end).to_bytes(2, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, totals = byte_bpe(path), TaskContext.get().partitionId(), defaultdict(int)
+        encode, part, totals = byte_bpe(path, special=True), TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
             sources, ids, before = batch.column("source").to_pylist(), [], []
             for text, source in zip(batch.column("text").to_pylist(), sources, strict=True):

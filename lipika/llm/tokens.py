@@ -15,16 +15,19 @@ def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
     return public_tokenizers.path(name)
 
 
-_loaded: dict[str, Callable[[str | None], bytes]] = {}
+#: The added token of ``byte_bpe_50k.json``.
+SPECIAL = {"<|endoftext|>": 50256}
+_loaded: dict[tuple[str, bool], Callable[[str | None], bytes]] = {}
 
 
-def byte_bpe(path: str) -> Callable[[str | None], bytes]:
+def byte_bpe(path: str, special: bool = False) -> Callable[[str | None], bytes]:
     """The worker's encoder for a rank file of at most 65,536 ids, loaded once.
 
-    It gives ids as little-endian unsigned 16-bit numbers: none for a null or empty text; the
-    strings of special tokens are ordinary text.
+    It gives ids as little-endian unsigned 16-bit numbers: none for a null or empty text. The
+    string of the added token is ordinary text, or that token's id if ``special``, as ``tokenizers``
+    has it unless told otherwise.
     """
-    if path not in _loaded:
+    if (path, special) not in _loaded:
         import public_tokenizers
         import tiktoken
 
@@ -32,15 +35,15 @@ def byte_bpe(path: str) -> Callable[[str | None], bytes]:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         if max(ranks.values()) >= 65_536:
             raise ValueError("ids do not fit in 16 bits")
-        encoding = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        encoding = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL if special else {})
 
         def encode(text: str | None) -> bytes:
             if not text:
                 return b""
-            ids = array("H", encoding.encode_ordinary(text))
+            ids = array("H", encoding.encode(text, allowed_special="all") if special else encoding.encode_ordinary(text))
             if sys.byteorder == "big":
                 ids.byteswap()
             return ids.tobytes()
 
-        _loaded[path] = encode
-    return _loaded[path]
+        _loaded[path, special] = encode
+    return _loaded[path, special]

@@ -183,6 +183,17 @@ def test_packing_covers_every_id_once(spark, odd):
     assert few.groupby("doc_id")["length"].sum()[110] == len(want[110])
 
 
+def test_packed_ids_are_those_of_the_json_file_as_it_is(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", " <|endoftext |>", "plain text"]
+    docs = spark.createDataFrame([(k, t, "a") for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    for r in packing.pack(docs, with_ids=True).collect():
+        assert np.frombuffer(r["ids"], "<u4").tolist() == [*exact.encode(texts[r["doc_id"]], add_special_tokens=False).ids, packing.END]
+
+
 # 6 ------------------------------------------------------------------------------------------------
 
 
