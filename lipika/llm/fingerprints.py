@@ -1,6 +1,7 @@
 """Document fingerprints: a quartile bucket digest of hashed byte triplets, and a bounded difference score.
 
-All triplets of a text's bytes inside a sliding window are hashed into ``BUCKETS`` counts. The
+Byte triplets of several ``SHAPES``, from adjacent bytes to a window of eight, are taken at every
+place of a text and hashed into ``BUCKETS`` counts. The
 digest has the text's length on a logarithmic scale (one byte) and for every bucket two bits: how
 many of the three quartiles of the counts it exceeds. Similar texts have similar counts, so their
 digests differ in few buckets and by small steps.
@@ -17,8 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1024
-#: Where a triplet's bytes stand in the window; wide triplets tell a text from others in its language better than close ones.
-SHAPES = ((0, 3, 7),)
+#: Where a triplet's bytes stand in the window; wide triplets tell a text from others in its language better than close ones,
+#: which even a text of 3 bytes has.
+SHAPES = ((0, 3, 7), (0, 1, 2), (0, 1, 3), (0, 2, 4))
 #: What bucket codes 0 to 3 that differ by 0, 1, 2, 3 add to the difference.
 STEP = np.array([0, 1, 2, 6])
 LENGTH_BASE = 1.1

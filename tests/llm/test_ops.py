@@ -159,6 +159,14 @@ def test_fingerprints_match_a_plain_loop(spark, odd, monkeypatch):
     assert fingerprints.fingerprint_pairs(odd.limit(0)).count() == 0
 
 
+def test_short_texts_have_fingerprints_of_their_own():
+    texts = {n: [bytes(random.Random(n * 10 + k).choices(range(97, 123), k=n)) for k in range(5)] for n in range(3, 9)}
+    texts[3] += [b"cat", b"dog"]
+    for own in texts.values():
+        prints = [fingerprints.digest(t) for t in own]
+        assert len(set(prints)) == len(own) and all(any(p[1:]) for p in prints)
+
+
 # 5 ------------------------------------------------------------------------------------------------
 
 
