@@ -5,12 +5,15 @@
    are one class from here on.
 2. A band bucket's members are first compared with its smallest member only. That joins most
    groups of copies without making their pairs.
-3. Members of one bucket that are still in different components are then compared with each other.
-   Nothing else can be left: a link inside a component would change nothing. These documents get
-   a second signature of ``FINE`` minima, so that few pairs below the threshold go on.
-4. A pair goes on if the similarity that its packed bits suggest, corrected for chance agreement
-   of low bits, is at most five standard deviations under the threshold; then the full sets
-   decide. At the threshold a link misses all bands with probability 5e-6, above it less.
+3. Members of one bucket that are still in different components may be linked as well; nothing else
+   can be left, for a link inside a component would change nothing. Each block of such a bucket
+   estimates the similarity of its pairs by the packed bits, corrected for chance agreement of low
+   bits, and passes a pair on if it is at most five standard deviations under the threshold. It
+   emits a spanning forest of these pairs, so a block has fewer rows out than members.
+4. The trees of all forests make clusters. Each cluster's full shingle sets meet in blocks of
+   bounded size, where all its likely pairs are decided exactly; again only a forest of the links
+   that join components leaves a block. At the threshold a link misses all bands with probability
+   5e-6, above it less.
 """
 
 from __future__ import annotations
@@ -29,18 +32,18 @@ SHINGLE = 5
 THRESHOLD = 75
 HASHES, ROWS, BANDS = 128, 4, 32
 LOW_BITS = 4
-#: Minima of the second signature, which keeps one low bit of each.
-FINE = 2048
-#: Members of a bucket that are compared with as many others at once.
-BLOCK = 1_000
+#: Members of a bucket whose signatures are compared with as many others' at once.
+BLOCK = 4_000
+#: Members of a cluster, and shingles of all of them, that are compared with as many others at once.
+CLUSTER_BLOCK, CLUSTER_SHINGLES = 2_000, 2_000_000
 #: Links in one file of a round of components.
 LINKS_A_FILE = 500_000
 #: Members that one task compares with one document; larger stars are dealt to several.
 STAR = 2_000
 
 _rng = np.random.default_rng(12345)
-_A = _rng.integers(0, 2**63, FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 2**63, FINE, dtype=np.uint64)
+_A = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
 _BASE = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2 ** 64
 _powers = np.ones(1, np.uint64)
 _inverse = np.ones(1, np.uint64)
@@ -93,13 +96,13 @@ def shingle_set(text: str) -> set[bytes]:
     return {b" ".join(own[i : i + SHINGLE]) for i in range(len(own) - SHINGLE + 1)}
 
 
-def minima(hashes: np.ndarray, count: int = HASHES) -> np.ndarray:
-    out = np.full(count, 2**32 - 1, np.uint64)
-    wide = max(1, (1 << 17) // count)
+def minima(hashes: np.ndarray) -> np.ndarray:
+    out = np.full(HASHES, 2**32 - 1, np.uint64)
+    wide = (1 << 17) // HASHES
     with np.errstate(over="ignore"):
         for a in range(0, len(hashes), wide):
-            own = hashes[None, a : a + wide] * _A[:count, None]
-            own += _B[:count, None]
+            own = hashes[None, a : a + wide] * _A[:, None]
+            own += _B[:, None]
             np.minimum(out, own.min(1) >> np.uint64(32), out=out)
     return out
 
@@ -113,9 +116,9 @@ def band_keys(low: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def bit_planes(low: np.ndarray, planes: int = LOW_BITS) -> np.ndarray:
+def bit_planes(low: np.ndarray) -> np.ndarray:
     """The minima's low bits, plane by plane: bit j of plane p is bit p of minimum j."""
-    bits = (low[None, :] >> np.arange(planes, dtype=np.uint64)[:, None]) & np.uint64(1)
+    bits = (low[None, :] >> np.arange(LOW_BITS, dtype=np.uint64)[:, None]) & np.uint64(1)
     return np.packbits(bits.astype(np.uint8), axis=1, bitorder="little").view("<i8").ravel()
 
 
@@ -142,9 +145,14 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, planes array<long>, bands array<long>")
 
 
-def likely(a: Column, b: Column, count: int = HASHES) -> Column:
-    """Whether packed low bits allow a link: the share of agreeing minima, less what chance makes agree, to five deviations."""
-    words_a_plane = count // 64
+#: Of ``HASHES`` minima, how many may differ in their low bits at a similarity of five standard deviations under the
+#: threshold, less what chance makes agree.
+MOST_APART = HASHES * (1 - 0.5**LOW_BITS) * (1 - THRESHOLD / 100) + 5 * (HASHES * (1 - 0.5**LOW_BITS) * (1 - THRESHOLD / 100) * (1 - (1 - 0.5**LOW_BITS) * (1 - THRESHOLD / 100))) ** 0.5
+
+
+def likely(a: Column, b: Column) -> Column:
+    """Whether packed low bits allow a link."""
+    words_a_plane = HASHES // 64
     apart = F.lit(0)
     for w in range(words_a_plane):
         differ = None
@@ -152,81 +160,125 @@ def likely(a: Column, b: Column, count: int = HASHES) -> Column:
             x = a[p * words_a_plane + w].bitwiseXOR(b[p * words_a_plane + w])
             differ = x if differ is None else differ.bitwiseOR(x)
         apart = apart + F.bit_count(differ)
-    chance, least = 0.5**LOW_BITS, THRESHOLD / 100
-    agree = chance + (1 - chance) * least
-    deviation = (agree * (1 - agree) / count) ** 0.5 / (1 - chance)
-    return (1 - apart / F.lit(float(count)) - chance) / (1 - chance) >= least - 5 * deviation
-
+    return apart <= F.lit(MOST_APART)
 
-def fine_signatures(texts: DataFrame) -> DataFrame:
-    """``rep, fine``: the packed lowest bits of ``FINE`` minima of (doc_id, text) rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fine = [bit_planes(minima(np.unique(shingle_hashes(words(t or ""))), FINE), 1).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fine, pa.binary())], ["rep", "fine"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "rep long, fine binary")
+def likely_to(planes: np.ndarray, i: int) -> np.ndarray:
+    """As ``likely``, of member i and each member of a block; ``planes`` is (members, low bits, words)."""
+    differ = np.bitwise_or.reduce(planes ^ planes[i], axis=1)
+    return np.bitwise_count(differ).sum(1) <= MOST_APART
 
 
-def likely_across(members: DataFrame, signed: DataFrame) -> DataFrame:
-    """(a, b) pairs of (band, rep, c) rows, with (rep, fine, bands) of ``signed``, that share a band, differ in c, and may be linked by their fine bits.
+def in_blocks(members: DataFrame, key: str, blocks: Column, carry: list[str], compare) -> DataFrame:
+    """(a, b) pairs that ``compare`` finds among the members (rep, ``key``, ...) of one key.
 
-    A bucket is cut into blocks of about ``BLOCK`` members, and each pair of its blocks is one
-    bounded piece of work, so that a large bucket is dealt to many tasks. A pair that shares
-    several bands is found in the first of them only.
+    A key is cut into ``blocks`` (an aggregate over its members), and each pair of its blocks is
+    one bounded piece of work, so a large one is dealt to many tasks. ``compare`` gets a piece's
+    columns ``carry`` as arrays or lists, and which of its members are its first and its second block's.
     """
-    sizes = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "band").join(signed, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.select("band", "block", "rep", "c", "fine", "bands", other.alias("other"))
-    dealt = dealt.select("band", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "rep", "c", "fine", "bands")
-    dealt = dealt.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q")
-    least = THRESHOLD / 100
-    agree = (1 + least) / 2
-    # chance agreement is a half, so the corrected share of agreeing bits is 2 * share - 1
-    cut = FINE * (agree - 5 * (agree * (1 - agree) / FINE) ** 0.5)
-
-    def compare(group: list[tuple]) -> Iterator[tuple[int, int]]:
-        if len({g[5] for g in group}) < 2:
-            return
-        bits = np.unpackbits(np.frombuffer(b"".join(g[6] for g in group), np.uint8).reshape(len(group), -1), axis=1).astype(np.float32)
-        ones, block, rep, comp = bits.sum(1), *(np.array([g[k] for g in group]) for k in (3, 4, 5))
-        bands = np.array([g[7] for g in group], np.int64)
-        band, p, q = group[0][:3]
-        left = np.flatnonzero(block == p)
-        for i in range(0, len(left), 512):
-            own = left[i : i + 512]
-            both = bits[own] @ bits.T
-            agreeing = FINE - ones[own, None] - ones[None, :] + 2 * both
-            ok = (agreeing >= cut) & (comp[own, None] != comp[None, :]) & (block == q)[None, :]
-            ok &= (rep[own, None] < rep[None, :]) | (p != q)
-            x, y = np.nonzero(ok)
-            x = own[x]
-            first = (bands[x] == bands[y]).argmax(1)
-            here = bands[x, first] == band
-            for u, v in zip(rep[x[here]].tolist(), rep[y[here]].tolist(), strict=True):
-                yield min(u, v), max(u, v)
+    sizes = members.groupBy(key).agg(blocks.cast("int").alias("blocks"))
+    # a hot key's members are split by adaptive execution, which a broadcast of the sizes would keep together
+    dealt = members.join(sizes.hint("merge"), key).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.select(key, "block", *carry, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select(key, F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", *carry)
+    dealt = dealt.repartition(key, "p", "q").sortWithinPartitions(key, "p", "q")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
+        held: list[pa.RecordBatch] = []
+        at = None
 
-        def out(pairs) -> pa.RecordBatch:
-            columns = zip(*found, strict=True) if (found := list(pairs)) else ((), ())
+        def done() -> pa.RecordBatch:
+            piece = pa.Table.from_batches(held)
+            block = piece.column("block").to_numpy()
+            found = list(compare({c: piece.column(c).combine_chunks() for c in carry}, block == at[1], block == at[2]))
+            columns = zip(*found, strict=True) if found else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if group and row[:3] != group[0][:3]:
-                    yield out(compare(group))
-                    group = []
-                group.append(row)
-        if group:
-            yield out(compare(group))
+            keys = list(zip(*(batch.column(c).to_pylist() for c in (key, "p", "q")), strict=True))
+            cuts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if held and keys[a] != at:
+                    yield done()
+                    held = []
+                at = keys[a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield done()
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _planes(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().view(np.uint64).reshape(len(column), LOW_BITS, HASHES // 64)
+
+
+def likely_forest(members: DataFrame) -> DataFrame:
+    """A spanning forest, block by block, of likely pairs of different components c among (band, rep, c, planes) rows."""
+
+    def compare(piece, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
+        rep, comp = (piece[c].to_numpy() for c in ("rep", "c"))
+        if (comp == comp[0]).all():
+            return
+        planes, tree = _planes(piece["planes"]), np.arange(len(rep))
+        for i in np.flatnonzero(left):
+            near = np.flatnonzero(likely_to(planes, i) & (comp != comp[i]) & right & (tree != tree[i]))
+            if len(near):
+                joined, first = np.unique(tree[near], return_index=True)
+                for j in near[first]:
+                    yield int(rep[i]), int(rep[j])
+                tree[np.isin(tree, joined)] = tree[i]
+
+    return in_blocks(members, "band", F.ceil(F.count("*") / BLOCK), ["rep", "c", "planes"], compare)
+
+
+def link_forest(members: DataFrame) -> DataFrame:
+    """Links that join different components c among (cluster, rep, c, planes, hashes, size) rows, decided on the full sets of hashed shingles."""
+
+    def compare(piece, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
+        rep = piece["rep"].to_numpy()
+        tree = np.unique(piece["c"].to_numpy(), return_inverse=True)[1]
+        planes = _planes(piece["planes"])
+        sets = [np.frombuffer(x, np.uint64) for x in piece["hashes"].to_pylist()]
+        size = np.array([len(x) for x in sets])
+        starts = np.cumsum(size) - size
+        known, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        mark = np.zeros(len(known), bool)
+        for i in np.flatnonzero(left):
+            fits = (100 * np.minimum(size, size[i]) >= THRESHOLD * np.maximum(size, size[i])) & (tree != tree[i]) & right
+            near = np.flatnonzero(likely_to(planes, i) & fits)
+            if not len(near):
+                continue
+            own = flat[starts[i] : starts[i] + size[i]]
+            mark[own] = True
+            if 4 * len(near) > len(rep):
+                both = np.add.reduceat(mark[flat], starts, dtype=np.int64)[near]
+            else:
+                both = np.array([np.count_nonzero(mark[flat[starts[j] : starts[j] + size[j]]]) for j in near])
+            mark[own] = False
+            near = near[100 * both >= THRESHOLD * (size[near] + size[i] - both)]
+            joined, first = np.unique(tree[near], return_index=True)
+            for j in near[first]:
+                yield int(rep[i]), int(rep[j])
+            tree[np.isin(tree, joined)] = tree[i]
+
+    blocks = F.ceil(F.greatest(F.count("*") / CLUSTER_BLOCK, F.sum("size") / CLUSTER_SHINGLES))
+    return in_blocks(members, "cluster", blocks, ["rep", "c", "planes", "hashes"], compare)
+
+
+def hashed_sets(texts: DataFrame) -> DataFrame:
+    """``rep, hashes, size``: the sets of hashed shingles of (doc_id, text) rows that have words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(words(t or ""))) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(list(map(len, sets)), pa.int64())], ["rep", "hashes", "size"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "rep long, hashes binary, size long").where("size > 0")
+
+
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The (a, b) pairs whose full shingle sets reach the threshold.
 
@@ -270,7 +322,7 @@ def components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     low, high = F.least("a", "b"), F.greatest("a", "b")
     files = 1 + edges.count() // LINKS_A_FILE  # few links are not worth a file for each shuffle partition
-    now, path = materialize_at(edges.where("a <> b").select(high.alias("v"), low.alias("m")).distinct().coalesce(files), "links")
+    now, path = materialize_at(edges.where("a <> b").select(high.alias("v"), low.alias("m")).distinct().repartition(files), "links")
     while not _starred(now):
         both = now.select(F.col("v").alias("u"), F.col("m").alias("w")).unionByName(now.select(F.col("m").alias("u"), F.col("v").alias("w")))
         least = both.groupBy("u").agg(F.min("w").alias("w")).select(F.col("u").alias("of"), F.least("u", "w").alias("to"))
@@ -279,7 +331,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(first, large["v"] == first["of"])
         # each v to its least neighbour, and its other neighbours to that
         moved = small.select(F.when(F.col("m") == F.col("to"), F.col("v")).otherwise(F.col("m")).alias("v"), F.col("to").alias("m")).distinct()
-        after, fresh = materialize_at(moved.coalesce(files), "links")
+        after, fresh = materialize_at(moved.repartition(files), "links")
         drop_path(spark, path)
         now, path = after, fresh
     return now.select(F.col("v").alias("node"), F.col("m").alias("component")).unionByName(now.select(F.col("m").alias("node"), F.col("m").alias("component")).distinct())
@@ -302,12 +354,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    scratch: list[str] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        out, path = materialize_at(df, name)
+        scratch.append(path)
+        return out
+
     signed = materialize(signatures(docs), "signatures")
     usable = signed.where(F.col("doc_id").isNotNull() & F.col("set_key").isNotNull())
-    classes = usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("planes").alias("planes"), F.first("bands").alias("bands"))
-    classes, classes_path = materialize_at(classes, "classes")
+    classes = kept(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("planes").alias("planes"), F.first("bands").alias("bands")), "classes")
     # rows of one doc_id with different texts tie their classes
-    same = usable.select("set_key", "doc_id").join(classes.select("set_key", "rep"), "set_key").where("doc_id <> rep").select("doc_id", "rep").distinct()
+    same = usable.select("set_key", "doc_id").join(classes.select("set_key", "rep").hint("merge"), "set_key").where("doc_id <> rep").select("doc_id", "rep").distinct()
     twice = same.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
     also_rep = same.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     many = same.join(twice.select("doc_id"), "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -315,30 +373,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     banded = classes.select("rep", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead <> last").select("band", "lead")
-    members = materialize(banded.join(buckets, "band"), "band-members")
+    members = kept(banded.join(buckets.hint("merge"), "band"), "band-members")
     planes = classes.select("rep", "planes")
-    texts, texts_path = materialize_at(docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id"), "candidate-texts")
+    texts = kept(docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id"), "candidate-texts")
 
     x = planes.select(F.col("rep").alias("a"), F.col("planes").alias("x"))
     y = planes.select(F.col("rep").alias("b"), F.col("planes").alias("y"))
     led = members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = materialize(led.join(y, "b").join(x, "a").where(likely(F.col("x"), F.col("y"))).select("a", "b").distinct(), "star-pairs")
-    links = materialize(confirm(stars, texts).unionByName(tied), "star-links")
+    stars = kept(led.join(y, "b").join(x, "a").where(likely(F.col("x"), F.col("y"))).select("a", "b").distinct(), "star-pairs")
+    links = kept(confirm(stars, texts).unionByName(tied), "star-links")
     found = components(links)
 
     placed = members.join(found, members["rep"] == found["node"], "left").select("band", "rep", F.coalesce("component", "rep").alias("c"))
     open_buckets = placed.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("band")
-    loose = materialize(placed.join(open_buckets, "band"), "open-buckets")
-    fine = fine_signatures(texts.join(loose.select(F.col("rep").alias("doc_id")).distinct(), "doc_id"))
-    across = likely_across(loose, fine.join(classes.select("rep", "bands"), "rep"))
-    across = materialize(across.join(stars, ["a", "b"], "left_anti"), "cross-pairs")
-    more = materialize(confirm(across, texts), "cross-links")
-    if not more.isEmpty():
-        found = components(links.unionByName(more))
-    drop_path(spark, texts_path)
-
-    of_class = classes.select("set_key", "rep")
-    rows = signed.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
-    rows = rows.withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
-    rows = rows.join(found, rows["rep"] == found["node"], "left").withColumn("component_id", F.coalesce("component", "rep"))
+    loose = placed.join(open_buckets.hint("merge"), "band")
+    trees = kept(likely_forest(loose.join(planes, "rep")), "likely-pairs")
+    if not trees.isEmpty():
+        clusters = components(trees).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+        sets = hashed_sets(texts.join(clusters.select(F.col("rep").alias("doc_id")), "doc_id"))
+        near = clusters.join(found, clusters["rep"] == found["node"], "left").select("cluster", "rep", F.coalesce("component", "rep").alias("c"))
+        more = kept(link_forest(near.join(planes, "rep").join(sets, "rep")), "cluster-links")
+        if not more.isEmpty():
+            found = components(links.unionByName(more))
+
+    of_class = classes.join(found, classes["rep"] == found["node"], "left").select("set_key", F.coalesce("component", "rep").alias("class_id"))
+    of_class = materialize(of_class, "class-components")
+    for path in scratch:
+        drop_path(spark, path)
+    rows = signed.select("doc_id", "n_shingles", "set_key")
+    # rows without words have no class, and would all meet in one task
+    worded = rows.where("set_key IS NOT NULL").join(of_class.hint("merge"), "set_key", "left").select("doc_id", "n_shingles", "class_id")
+    rows = worded.unionByName(rows.where("set_key IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("class_id")))
+    rows = rows.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")))
     return rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
