@@ -1,9 +1,9 @@
 """Best-fit-decreasing bin packing of indivisible groups into shards.
 
-Groups that are large beside a shard are packed one by one. The many small ones first meet, by a
-hash of their key, in a bounded number of lots that are packed as if they were groups: a group
-never leaves its lot, so it stays whole, and the packing itself has at most ``LOTS`` +
-``shards * LOTS`` items however many groups there are.
+Groups of one size are alike to the packing, so it works on how many groups there are of each
+size: a table whose length does not grow with the number of groups, and the result is that of
+packing every group by itself, the largest first. Which group goes where follows from its number
+among those of its size.
 """
 
 from __future__ import annotations
@@ -11,16 +11,14 @@ from __future__ import annotations
 import random
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import materialize
 
-#: Lots of small groups; a group of more than 1 / LOTS of a shard is packed by itself.
-LOTS = 2048
-#: Rows of a shard that are numbered by one task.
+#: Rows of a shard (or groups of a size) that are numbered by one task, about.
 ROWS_A_STRIP = 50_000
 
 
@@ -76,73 +74,115 @@ class CapacityTree:
         return node
 
 
-def best_fit_decreasing(items: Iterable[tuple[int, str]], capacity: int) -> tuple[dict[str, int], int]:
-    """Bins by item name for (size, name) items, and the number of bins; ties go by name.
+def best_fit_decreasing(classes: Iterable[tuple[int, int]], capacity: int, most: int | None = None) -> tuple[dict[int, list[tuple[int, int]]], int] | None:
+    """Pack (size, number of groups of that size) classes: by size, (bin, groups) in order, and the number of bins.
 
-    An item larger than the capacity gets a bin of its own.
+    The next largest group enters the bin with the least remaining capacity that holds it. Groups of
+    one size are alike, and a bin that has taken one is then the tightest for the next as long as
+    it has room, so it takes as many at once as fit. A group larger than the capacity gets a bin of
+    its own. None if more than ``most`` bins are needed.
     """
     tree, where, bins = CapacityTree(), {}, 0
-    for size, name in sorted(items, key=lambda x: (-x[0], x[1])):
-        found = tree.take(size)
-        if found is None:
-            left, home = max(capacity - size, 0), bins
-            bins += 1
-        else:
-            left, home = found[0] - size, found[1]
-        where[name] = home
-        tree.add((left, home))
+    for size, left in sorted(classes, reverse=True):
+        where[size] = []
+        while left:
+            found = tree.take(size)
+            if found is None:
+                found, bins = (max(capacity, size), bins), bins + 1
+                if most is not None and bins > most:
+                    return None
+            room, home = found
+            n = min(left, room // size) if size else left
+            where[size].append((home, n))
+            left -= n
+            tree.add((room - n * size, home))
     return where, bins
 
 
-def pack_into(items: list[tuple[int, str]], shards: int) -> dict[str, int]:
-    """Shards by item name: near equal ones, however large single items are.
+def pack_into(classes: Iterable[tuple[int, int]], shards: int) -> dict[int, list[tuple[int, int]]]:
+    """(shard, groups) lists by size of (size, number of groups) classes: near equal shards, however large single groups are.
 
-    An item that is larger than an even share of what is left has a shard of its own. The others go
+    A group that is larger than an even share of what is left has a shard of its own. The others go
     into the remaining shards by best-fit-decreasing, with the least capacity (to a hundredth of a
     percent) that needs no more of them, and are levelled.
     """
-    rest, where = sorted(items, key=lambda x: (-x[0], x[1])), {}
-    total = sum(s for s, _ in items)
-    while rest and rest[0][0] * (shards - len(where)) > total:
-        size, name = rest.pop(0)
-        where[name] = len(where)
-        total -= size
-    own, shards = len(where), shards - len(where)
+    rest, where, own = dict(sorted(((s, n) for s, n in classes if n), reverse=True)), {}, 0
+    total = sum(s * n for s, n in rest.items())
+    for size in list(rest):
+        while rest[size] and size * (shards - own) > total:
+            where.setdefault(size, []).append((own, 1))
+            rest[size], total, own = rest[size] - 1, total - size, own + 1
+        if rest[size]:
+            break
+    rest, shards = {s: n for s, n in rest.items() if n}, shards - own
+    if not rest:
+        return where
     low = -(-total // shards)
-    high = 2 * low
     step = max(1, low // 10_000)
-    best = best_fit_decreasing(rest, high)[0]
-    while low < high:
+    # the least is seldom far above an even share: steps that double, then halves
+    reach, best = step, best_fit_decreasing(rest.items(), low, shards)
+    high = low
+    while best is None:
+        low, high = high + 1, high + reach
+        reach *= 2
+        best = best_fit_decreasing(rest.items(), high, shards)
+    while low + step <= high:
         middle = (low + high) // 2
-        found, bins = best_fit_decreasing(rest, middle)
-        if bins <= shards:
-            best, high = found, middle
+        found = best_fit_decreasing(rest.items(), middle, shards)
+        if found is None:
+            low = middle + 1
         else:
-            low = middle + step
-    return where | {name: own + home for name, home in _level(rest, best, shards).items()}
-
-
-def _level(items: list[tuple[int, str]], where: dict[str, int], shards: int) -> dict[str, int]:
-    """Move items (largest first in ``items``) from the fullest bin to the emptiest, while that brings the two nearer."""
-    bins, sizes = [[] for _ in range(shards)], [0] * shards
-    for size, name in items:
-        bins[where[name]].append((size, name))
-        sizes[where[name]] += size
+            best, high = found, middle
+    for size, homes in _level(best[0], shards).items():
+        where.setdefault(size, []).extend((own + home, n) for home, n in homes)
+    return where
+
+
+def _level(where: dict[int, list[tuple[int, int]]], shards: int) -> dict[int, list[tuple[int, int]]]:
+    """Move groups from the fullest bin to the emptiest, while that brings the two nearer."""
+    bins = [dict[int, int]() for _ in range(shards)]
+    for size, homes in where.items():
+        for home, n in homes:
+            bins[home][size] = bins[home].get(size, 0) + n
+    sizes = [sum(s * n for s, n in own.items()) for own in bins]
     while True:
         full, empty = sizes.index(max(sizes)), sizes.index(min(sizes))
         gap = sizes[full] - sizes[empty]
-        fits = [x for x in bins[full] if 0 < x[0] < gap]
+        fits = [s for s, n in bins[full].items() if n and 0 < s < gap]
         if not fits:
-            return {name: home for home, own in enumerate(bins) for _, name in own}
-        moved = min(fits, key=lambda x: (abs(gap - 2 * x[0]), x[1]))
-        bins[full].remove(moved)
-        bins[empty].append(moved)
-        sizes[full] -= moved[0]
-        sizes[empty] += moved[0]
-
-
-def _lot(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit("lot")), F.lit(LOTS)).cast("int")
+            break
+        moved = min(fits, key=lambda s: (abs(gap - 2 * s), s))
+        n = max(1, min(bins[full][moved], gap // (2 * moved)))
+        bins[full][moved] -= n
+        bins[empty][moved] = bins[empty].get(moved, 0) + n
+        sizes[full] -= n * moved
+        sizes[empty] += n * moved
+    return {size: [(home, own[size]) for home, own in enumerate(bins) if own.get(size)] for size in where}
+
+
+def size_class(size: Column) -> Column:
+    """A size to 16 significant bits, rounded up: exact to 65,536 and to one in 32,768 above, so that there are at most
+    65,536 + 32,768 * 47 different ones."""
+    unit = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.length(F.bin(size)) - 16, F.lit(0)))
+    return (F.ceil(size / unit) * unit).cast("long")
+
+
+def _placed(groups: DataFrame, place) -> DataFrame:
+    """Add ``shard`` to (key, bytes) groups: ``place`` packs the counts of all sizes, and the groups of a size are dealt out in order of their keys."""
+    sized = materialize(groups.withColumn("class", size_class(F.col("bytes"))), "shard-groups")
+    counts = sized.groupBy("class").agg(F.count("*").alias("n")).collect()
+    homes = place([(r["class"], r["n"]) for r in counts])
+    rows = []
+    for size, own in homes.items():
+        upto = np.cumsum([n for _, n in own]).tolist()
+        rows.append((size, upto, [home for home, _ in own]))
+    spark = groups.sparkSession
+    table = spark.createDataFrame(rows, "of long, upto array<long>, homes array<int>")
+    ranked = number_slots(sized, ["key"], sum(r["n"] for r in counts), "class")
+    # one row for each size: bounded by the number of size classes
+    found = ranked.join(F.broadcast(table), F.col("class") == F.col("of"))
+    home = F.element_at("homes", F.size(F.filter("upto", lambda u: u <= F.col("slot"))) + 1)
+    return found.select("key", home.alias("shard"))
 
 
 def assign_shards(rows: DataFrame, shards: int) -> DataFrame:
@@ -151,35 +191,21 @@ def assign_shards(rows: DataFrame, shards: int) -> DataFrame:
     Sizes are summed by key before anything moves. A key that is larger than an even share of what
     is left has a shard of its own (it is indivisible); the other shards share the rest evenly.
     """
-    spark = rows.sparkSession
     groups = rows.groupBy("key").agg(F.sum("size").alias("bytes"))
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    large = max(1, -(-total // (shards * LOTS)))
-    name = F.when(F.col("bytes") > large, F.col("key")).otherwise(F.format_string("lot %05d", _lot(F.col("key"))))
-    # at most shards * LOTS keys are above the limit, and there are LOTS lots
-    items = groups.groupBy(name.alias("item")).agg(F.sum("bytes").alias("bytes")).collect()
-    where = pack_into([(r["bytes"], r["item"]) for r in items], shards)
-    alone = {k: v for k, v in where.items() if not k.startswith("lot ")}
-    lots = [where.get(f"lot {k:05d}", 0) for k in range(LOTS)]
-    by_lot = F.expr(f"array({','.join(map(str, lots))})")
-    out = rows.withColumn("__lot", F.element_at(by_lot, _lot(F.col("key")) + 1))
-    if not alone:
-        return out.withColumnRenamed("__lot", "shard")
-    schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("__own", T.IntegerType())])
-    own = spark.createDataFrame(sorted(alone.items()), schema)
-    # bounded by the limit above; at most shards * LOTS short keys
-    return out.join(F.broadcast(own), "key", "left").withColumn("shard", F.coalesce("__own", "__lot")).drop("__lot", "__own")
-
-
-def number_slots(rows: DataFrame, order: list[str], n_rows: int, shards: int) -> DataFrame:
-    """Add ``slot``, gapless from 0 within each shard, numbered strip by strip so that no task holds a shard."""
-    strips = max(1, -(-n_rows // (shards * ROWS_A_STRIP)))
+    placed = _placed(groups, lambda classes: pack_into(classes, shards))
+    # the rows of a hot key are split by adaptive execution
+    return rows.join(placed.hint("merge"), "key")
+
+
+def number_slots(rows: DataFrame, order: list[str], n_rows: int, by: str) -> DataFrame:
+    """Add ``slot``, gapless from 0 within each value of ``by``, numbered strip by strip so that no task holds all of one."""
+    strips = max(1, -(-n_rows // ROWS_A_STRIP))
     rows = rows.withColumn("__strip", F.pmod(F.xxhash64(*order), F.lit(strips)).cast("int"))
-    counts = rows.groupBy("shard", "__strip").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy("shard").orderBy("__strip").rowsBetween(Window.unboundedPreceding, -1))
-    base = counts.select("shard", "__strip", F.coalesce(before, F.lit(0)).alias("__base"))
-    place = F.row_number().over(Window.partitionBy("shard", "__strip").orderBy(*order))
-    return rows.withColumn("__k", place).join(base, ["shard", "__strip"]).withColumn("slot", (F.col("__base") + F.col("__k") - 1).cast("long")).drop("__strip", "__k", "__base")
+    counts = rows.groupBy(by, "__strip").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(by).orderBy("__strip").rowsBetween(Window.unboundedPreceding, -1))
+    base = counts.select(by, "__strip", F.coalesce(before, F.lit(0)).alias("__base"))
+    place = F.row_number().over(Window.partitionBy(by, "__strip").orderBy(*order))
+    return rows.withColumn("__k", place).join(base, [by, "__strip"]).withColumn("slot", (F.col("__base") + F.col("__k") - 1).cast("long")).drop("__strip", "__k", "__base")
 
 
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
@@ -195,24 +221,16 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     raw = F.encode(text, "UTF-8")
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.unhex(F.sha2(raw, 256)).alias("digest"))
     rows = materialize(rows, "shard-sizes")
-    keyed = rows.withColumn("key", F.base64("digest")).drop("digest")
-    placed = assign_shards(keyed, shards)
-    done = number_slots(placed, ["doc_id", "text_crc32", "size"], rows.count(), shards)
+    placed = assign_shards(rows.withColumnRenamed("digest", "key"), shards)
+    done = number_slots(placed, ["doc_id", "text_crc32", "size"], rows.count(), "shard")
     return done.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def fixed_capacity_shards(spark: SparkSession, items: DataFrame, capacity: int, items_a_cell: int = 100_000) -> DataFrame:
-    """(key, size) groups into as few shards of ``capacity`` as best-fit-decreasing finds: ``key, size, cell, bin``.
+def fixed_capacity_shards(rows: DataFrame, capacity: int) -> DataFrame:
+    """Add ``shard`` to rows of (key, size, ...): groups of equal keys in as few shards of ``capacity`` as best-fit-decreasing finds.
 
-    Groups are dealt by hash into cells of about ``items_a_cell``, and each cell is packed by one
-    task; a shard is (cell, bin), so no task ever holds more than a cell.
+    A group larger than the capacity has a shard of its own. Sizes count to 16 significant bits, rounded up.
     """
-    cells = max(1, -(-items.count() // items_a_cell))
-
-    def pack(pdf):
-        where, _ = best_fit_decreasing(list(zip(pdf["size"].tolist(), pdf["key"].tolist(), strict=True)), capacity)
-        pdf["bin"] = pdf["key"].map(where).astype("int32")
-        return pdf[["key", "size", "cell", "bin"]]
-
-    dealt = items.select("key", F.col("size").cast("long").alias("size"), F.pmod(F.xxhash64("key"), F.lit(cells)).cast("int").alias("cell"))
-    return dealt.groupBy("cell").applyInPandas(pack, "key string, size long, cell int, bin int")
+    groups = rows.groupBy("key").agg(F.sum("size").alias("bytes"))
+    placed = _placed(groups, lambda classes: best_fit_decreasing(classes, capacity)[0])
+    return rows.join(placed.hint("merge"), "key")
