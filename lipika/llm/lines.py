@@ -1,7 +1,9 @@
 """Line dedup by site-relative frequency, in built-in expressions only.
 
-A line is boilerplate on a host when it stands in more than ``ratio`` of the host's pages (and in
-at least ``min_pages`` of them); boilerplate lines are cut out of every page of that host.
+A line is boilerplate on a host when it stands on more than ``ratio`` of the host's pages, and on
+more than one, for what stands on a single page is not repeated; boilerplate lines are cut out of
+every page of that host. That holds for hosts of any size: of a host with two pages, the lines
+that both have go.
 """
 
 from __future__ import annotations
@@ -12,7 +14,6 @@ from pyspark.sql import functions as F
 from .common import drop_path, materialize_at
 
 RATIO = 0.1
-MIN_PAGES = 5
 
 
 def split_lines(text: Column) -> Column:
@@ -24,7 +25,7 @@ def line_key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.hash(line, F.lit(7)).alias("b"))
 
 
-def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, ratio: float = RATIO) -> DataFrame:
     """``host, drop``: the keys of the lines to cut on each host that has any.
 
     A host's array has at most (mean distinct lines of its pages) / ratio keys, whatever the
@@ -37,7 +38,7 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAG
         keyed.select("host", F.explode(F.concat(F.array(F.lit(None).cast("struct<a:bigint,b:int>")), F.transform("lines", line_key))).alias("key"))
         .groupBy("host", "key")
         .agg(F.count("*").alias("n"))
-        .where((F.col("n") >= min_pages) | F.col("key").isNull())
+        .where((F.col("n") > 1) | F.col("key").isNull())
     )
     counted, path = materialize_at(counted, "line-counts")
     totals = counted.where(F.col("key").isNull()).select(F.col("host").alias("of"), F.col("n").alias("pages"))
@@ -48,23 +49,25 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAG
     return kept
 
 
-def dedup_lines(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def dedup_lines(pages: DataFrame, ratio: float = RATIO) -> DataFrame:
     """Add ``clean`` (the text without boilerplate lines), ``n_lines`` and ``n_dropped`` to (host, text, ...) rows.
 
     Null texts count as empty (one empty line); blank lines are never boilerplate; a null host is
     a host of its own; repeated rows are pages of their own; an empty table stays empty. The other
-    columns pass through, but for three of the new names, which are replaced.
+    columns pass through, whatever their names, but for the three new ones, which are replaced.
     """
     pages = pages.drop("clean", "n_lines", "n_dropped")
-    drops = boilerplate(pages, ratio, min_pages).select(F.col("host").alias("__host"), F.col("drop").alias("__drop"))
+    drops = boilerplate(pages.select("host", "text"), ratio)
+    # a page is one value here, so that no column of its can meet another's name
+    whole = pages.select(F.struct(*[pages[c] for c in pages.columns]).alias("page"))
     # the written table tells the planner its size: small ones are broadcast, others joined by shuffle
-    joined = pages.join(drops, pages["host"].eqNullSafe(drops["__host"]), "left")
-    lines = split_lines(F.col("text"))
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("__drop"), line_key(x)) | (F.trim(x) == ""))
-    joined = joined.withColumn("__kept", F.when(F.col("__drop").isNull(), lines).otherwise(kept))
+    joined = whole.join(drops, F.col("page.host").eqNullSafe(drops["host"]), "left").select("page", "drop")
+    lines = split_lines(F.col("page.text"))
+    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("drop"), line_key(x)) | (F.trim(x) == ""))
+    joined = joined.withColumn("kept", F.when(F.col("drop").isNull(), lines).otherwise(kept))
     return joined.select(
-        *[pages[c] for c in pages.columns],
-        F.when(F.col("__drop").isNull(), F.coalesce(pages["text"], F.lit(""))).otherwise(F.array_join("__kept", "\n")).alias("clean"),
+        *[F.col("page").getField(c).alias(c) for c in pages.columns],
+        F.when(F.col("drop").isNull(), F.coalesce(F.col("page.text"), F.lit(""))).otherwise(F.array_join("kept", "\n")).alias("clean"),
         F.size(lines).cast("long").alias("n_lines"),
-        (F.size(lines) - F.size("__kept")).cast("long").alias("n_dropped"),
+        (F.size(lines) - F.size("kept")).cast("long").alias("n_dropped"),
     )

@@ -25,7 +25,7 @@ often AS (
   SELECT source, line, count(DISTINCT doc_id) AS n FROM lines WHERE trim(line, ' ') <> '' GROUP BY source, line),
 bad AS (
   SELECT o.source, o.line FROM often o JOIN pages p ON o.source IS NOT DISTINCT FROM p.source
-  WHERE o.n >= 5 AND o.n > 0.1 * p.pages),
+  WHERE o.n > 1 AND o.n > 0.1 * p.pages),
 kept AS (
   SELECT l.*, b.line IS NOT NULL AS cut FROM lines l LEFT JOIN bad b ON l.source IS NOT DISTINCT FROM b.source AND l.line = b.line)
 SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT cut), '') AS clean,
