@@ -22,8 +22,8 @@ WIDTH = 5
 EMBED = 8
 FILTERS = 16
 HIDDEN = 16
-#: Labelled rows the network is fitted on, at most.
-TRAIN_ROWS = 2_500
+#: Labelled rows the network is fitted on, at most, and the bytes of the longest text among them.
+TRAIN_ROWS, TRAIN_BYTES = 2_500, 100_000
 EPOCHS = 6
 #: Bytes that go through the filters at once.
 BLOCK = 1 << 16
@@ -46,6 +46,13 @@ class ByteConvNet:
             "out_bias": np.zeros(1, np.float32),
         }
 
+    @classmethod
+    def blank(cls) -> ByteConvNet:
+        """A network that knows nothing: every text's score is one half."""
+        net = cls()
+        net.p["out"][:] = 0
+        return net
+
     def _tables(self) -> np.ndarray:
         return np.einsum("be,kef->kbf", self.p["embed"], self.p["filters"])
 
@@ -141,18 +148,25 @@ def learning_fold(doc_id: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> tuple[list[bytes], list[int]]:
-    """At most ``rows`` labelled learning rows, drawn by a hash of the id: a bounded sample for the driver."""
+    """At most ``rows`` labelled learning rows of at most ``TRAIN_BYTES``, drawn by a hash of the id: a bounded sample for the driver.
+
+    Documents of one id share their largest label, and the least of their texts is learned.
+    """
     known = labels.where(F.col(label).isNotNull() & learning_fold(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias("label"))
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(drawn), "doc_id").limit(2 * rows).collect()
-    found.sort(key=lambda r: (r["doc_id"], r["text"]))
+    texts = docs.where(F.octet_length("text") <= TRAIN_BYTES).select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    found = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
+    found.sort(key=lambda r: r["doc_id"])
     return [r["text"].encode() for r in found], [int(r["label"]) for r in found]
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> ByteConvNet:
-    """The network fitted on a bounded sample of labelled documents; without any, it keeps its random weights."""
+    """The network fitted on a bounded sample of labelled documents; without any it gives every text one half.
+
+    Labels that are null or of held-out rows are not read.
+    """
     texts, marks = labelled_sample(docs, labels, "quality", rows)
-    return ByteConvNet().fit(texts, marks) if texts else ByteConvNet()
+    return ByteConvNet().fit(texts, marks) if texts else ByteConvNet.blank()
 
 
 def score_quality(docs: DataFrame, net: ByteConvNet) -> DataFrame:
