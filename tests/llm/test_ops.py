@@ -3,7 +3,9 @@
 import collections
 import glob
 import hashlib
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -73,15 +75,24 @@ def test_ids_are_those_of_the_json_file():
 # 2 ------------------------------------------------------------------------------------------------
 
 
+def plain_words(text):
+    """As the contracts have it, without the library's own function."""
+    return re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+
+
 def brute_contaminated(text, items):
-    own, found = neardup.words(text or ""), {}
+    own, found = plain_words(text or ""), {}
     for item, passage in items:
-        wanted = neardup.words(passage or "")
+        wanted = plain_words(passage or "")
         n, k = len(wanted), min(5, len(wanted))
         if not n or len(own) < n:
             continue
-        runs = lambda w: collections.Counter(b" ".join(w[i : i + k]) for i in range(len(w) - k + 1))  # noqa: E731, B023
-        best = max(decontaminate.weighted_similarity(runs(own[s : s + n]), runs(wanted)) for s in range(len(own) - n + 1))
+        runs = lambda w: collections.Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))  # noqa: E731, B023
+        best, b = 0.0, runs(wanted)
+        for s in range(len(own) - n + 1):
+            a = runs(own[s : s + n])
+            both = sum((a & b).values())
+            best = max(best, both / (sum(a.values()) + sum(b.values()) - both))
         if best >= 0.75:
             found[item] = round(best, 9)
     return found
@@ -109,15 +120,39 @@ def test_contaminated_matches_brute_force(spark):
     assert decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_contaminated_takes_odd_columns(spark):
+    rng = random.Random(31)
+    items = spark.createDataFrame([("x1", "one two three four five six seven eight", "clash"), ("x1", text_of(rng, 12), None), (None, "nine ten eleven twelve", "y"), ("x3", None, "y")], "item_id string, text string, doc_id string")
+    long = text_of(rng, 400_000) + " one two three four five six seven eight"
+    docs = spark.createDataFrame([("a", "ONE two three four five six seven eight", 1), ("a", "ONE two three four five six seven eight", 1), (None, "nine ten eleven twelve", 2), ("b", long, 3), ("c", None, 4)], "doc_id string, text string, item_id int")
+    got = collections.Counter((r["doc_id"], r["item_id"], r["similarity"]) for r in decontaminate.contaminated(docs, items).collect())
+    assert got == {("a", "x1", 1.0): 2, (None, None, 1.0): 1, ("b", "x1", 1.0): 1}
+    for kind in ("date", "double"):
+        other = spark.sql(f"SELECT CAST(NULL AS {kind}) AS item_id, 'nine ten eleven twelve' AS text")
+        assert decontaminate.contaminated(docs, other).count() == 1
+
+
+def test_batches_of_items_are_all_searched(spark, monkeypatch):
+    rng = random.Random(32)
+    passages = [(k, text_of(rng, 15)) for k in range(30)]
+    docs, items = spark.createDataFrame(passages, "doc_id long, text string"), spark.createDataFrame(passages, "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "BATCH_CHARS", 1000)
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, items).collect()) == [(k, k) for k in range(30)]
+
+
 def test_blocks_find_all_within_radius():
     rng = np.random.default_rng(1)
-    index = decontaminate.ItemIndex([(k, text_of(random.Random(k), 20)) for k in range(50)])
-    for _ in range(300):
-        near = int(index.prints[rng.integers(50)])
-        for bit in rng.choice(64, rng.integers(0, 40), replace=False):
-            near ^= 1 << int(bit)
-        want = [k for k in range(50) if bin(int(index.prints[k]) ^ near).count("1") <= decontaminate.RADIUS]
-        assert sorted(index.within(near, 20)) == want
+    index = decontaminate.ItemIndex([(k, text_of(random.Random(k), 20)) for k in range(500)])
+    bits = np.unpackbits(index.prints.view(np.uint8), axis=1)
+    touched = []
+    for _ in range(200):
+        near = bits[rng.integers(500)].copy()
+        near[rng.choice(256, rng.integers(0, 90), replace=False)] ^= 1
+        print_ = np.packbits(near).view("<u2")
+        want = np.flatnonzero((bits != near).sum(1) <= decontaminate.RADIUS)
+        assert index.within(print_, 20).tolist() == want.tolist()
+        touched.append(len(index.touched(print_, 20)))
+    assert np.mean(touched) < 0.25 * 500  # the lists of near values, not all items
 
 
 # 3 ------------------------------------------------------------------------------------------------
@@ -141,6 +176,26 @@ def test_chat_round_trip(spark):
 # 4 ------------------------------------------------------------------------------------------------
 
 
+def plain_digest(text):
+    """The digest by its docstring: hashed byte triplets of each shape, quartiles, two bits a bucket."""
+    counts = [0] * 1024
+    for k, (a, b, c) in enumerate(((0, 3, 7), (0, 1, 2), (0, 1, 3), (0, 2, 4))):
+        for i in range(len(text) - c):
+            x = (text[i + a] * 0x9E3779B1 & 0xFFFFFFFF) ^ (text[i + b] * 0x85EBCA77 & 0xFFFFFFFF) ^ (text[i + c] * 0xC2B2AE3D & 0xFFFFFFFF) ^ (0x27D4EB2F * (k + 1) & 0xFFFFFFFF)
+            x = (x ^ x >> 15) * 0x2C1B3C6D & 0xFFFFFFFF
+            counts[x >> 22] += 1
+    order = sorted(counts)
+    codes = [sum(n > order[q] for q in (256, 512, 768)) for n in counts]
+    size = min(255, int(math.log1p(len(text)) / math.log(1.1)))
+    return bytes([size, *(sum(codes[4 * j + m] << 2 * m for m in range(4)) for j in range(256))])
+
+
+def plain_likeness(a, b):
+    steps = sum((0, 1, 2, 6)[abs((x >> m & 3) - (y >> m & 3))] for x, y in zip(a[1:], b[1:], strict=True) for m in (0, 2, 4, 6))
+    mean = sum((0, 1, 2, 6)[abs(i - j)] for i in range(4) for j in range(4)) / 16
+    return 1 - min(1, (steps + 4 * abs(a[0] - b[0])) / (1024 * mean))
+
+
 def test_fingerprints_match_a_plain_loop(spark, odd, monkeypatch):
     rng = random.Random(4)
     rows = [(k * 7 % 101, text_of(rng, rng.randint(0, 300))) for k in range(101)]
@@ -153,8 +208,10 @@ def test_fingerprints_match_a_plain_loop(spark, odd, monkeypatch):
             edited = fingerprints.edit(text, following)
             r = got[doc]
             assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and r["n_chars"] == len(text)
-            assert r["fingerprint"] == fingerprints.digest(text.encode()).hex() and 0 <= r["near_next"] <= 1
-            assert r["near_edited"] == fingerprints.likeness(fingerprints.digest(text.encode()), fingerprints.digest(edited.encode()))
+            own_print, after = plain_digest(text.encode()), plain_digest(edited.encode())
+            assert (r["fingerprint"], r["edited_fingerprint"]) == (own_print.hex(), after.hex())
+            assert abs(r["near_edited"] - plain_likeness(own_print, after)) < 1e-9
+            assert abs(r["near_next"] - plain_likeness(own_print, plain_digest(following.encode()))) < 1e-9
     assert fingerprints.fingerprint_pairs(odd).count() == len(ODD)
     assert fingerprints.fingerprint_pairs(odd.limit(0)).count() == 0
 
@@ -174,7 +231,7 @@ def test_packing_covers_every_id_once(spark, odd):
     rng = random.Random(5)
     rows = [(100 + k, text_of(rng, rng.randint(0, 400)), rng.choice("aaaab"), "x") for k in range(300)]
     docs = spark.createDataFrame(ODD + rows, DOCS).repartition(5)
-    got = packing.pack(docs, sequence=128, window=1024, with_ids=True).toPandas().sort_values(["sequence_id", "offset"])
+    got = packing.pack(docs, sequence=128, window=1024, unit=1, with_ids=True).toPandas().sort_values(["sequence_id", "offset"])
     totals = got.groupby("sequence_id")["length"].sum()
     assert (totals.iloc[:-1] == 128).all() and totals.iloc[-1] <= 128 and list(totals.index) == list(range(len(totals)))
     assert (got["offset"] == got.groupby("sequence_id")["length"].cumsum() - got["length"]).all()
@@ -187,8 +244,39 @@ def test_packing_covers_every_id_once(spark, odd):
     assert shares.max() - shares.min() <= 12  # the mixture holds in every window
     assert got["length"].sum() == sum(map(len, want.values())) + sum(len(encode(t)) // 2 + 1 for _, t, *_ in ODD)
     assert packing.pack(docs.limit(0)).count() == 0
-    few = packing.pack(docs.withColumn("source", F.col("doc_id").cast("string")), queues=4).toPandas()
-    assert few.groupby("doc_id")["length"].sum()[110] == len(want[110])
+    many = packing.pack(docs.withColumn("source", F.col("doc_id").cast("string"))).toPandas()
+    assert many.groupby("doc_id")["length"].sum()[110] == len(want[110])
+
+
+def test_mixture_holds_for_any_number_of_sources(spark):
+    rng = random.Random(51)
+    rows = [(k, text_of(rng, rng.randint(50, 200)), f"s{k % 600}" if k % 3 else "large") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = packing.pack(docs, window=16_384, unit=16).toPandas().sort_values(["sequence_id", "offset"])
+    assert (got.groupby("sequence_id")["length"].sum().iloc[:-1] == 1024).all()
+    at = got["sequence_id"] * 1024 + got["offset"]
+    assert (at.diff().iloc[1:] == got["length"].shift().iloc[1:]).all() and at.iloc[0] == 0
+    lengths, windows = got.groupby("source")["length"].sum(), got["window"].max() + 1
+    assert windows == -(-got["length"].sum() // 16_384) and got["window"].is_monotonic_increasing
+    for n in range(1, windows):
+        sent = got[got["window"] < n].groupby("source")["length"].sum().reindex(lengths.index, fill_value=0)
+        assert (sent - lengths * n / windows).abs().max() <= 32  # a deficit is at most a unit, and the last unit may be a short one
+
+
+def test_targets_hold_until_a_source_runs_dry(spark):
+    rng = random.Random(52)
+    rows = [(k, text_of(rng, 100), "abcd"[k % 4]) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = packing.pack(docs, window=2048, unit=1, targets={"a": 0.5, "b": 0.2, "zero": 0.0}).toPandas()
+    assert got.groupby("doc_id")["length"].sum().to_dict() == got.groupby("doc_id")["doc_tokens"].first().to_dict()
+    shares = got.groupby(["window", "source"])["length"].sum().unstack(fill_value=0)
+    assert (abs(shares.iloc[:10].div(shares.iloc[:10].sum(axis=1), axis=0) - [0.5, 0.2, 0.15, 0.15]).max() < 0.002).all()
+    after = shares[(shares["a"] == 0) & (shares["b"] > 0)].iloc[:-1]  # a has run dry; the others keep their proportions
+    assert len(after) and (abs(after["b"] / after["c"] - 0.2 / 0.15) < 0.05).all()
+    last = packing.pack(docs, window=2048, unit=1, targets={"a": 0.0, "b": 1.0}).toPandas()
+    span = lambda x: x["sequence_id"] * 1024 + x["offset"]
+    assert span(last[last["source"] == "b"]).max() < span(last[last["source"] != "b"]).min()
+    assert packing.pack(docs.limit(0), targets={"a": 1.0}).count() == 0
 
 
 def test_packed_ids_are_those_of_the_json_file_as_it_is(spark):
@@ -207,18 +295,22 @@ def test_packed_ids_are_those_of_the_json_file_as_it_is(spark):
 
 def test_best_fit_decreasing_matches_a_plain_search():
     rng = random.Random(6)
-    for _ in range(30):
-        items = [(rng.randint(1, 50), f"i{k}") for k in range(rng.randint(0, 80))]
-        where, bins = shards.best_fit_decreasing(items, 60)
-        left, plain = [], {}
-        for size, name in sorted(items, key=lambda x: (-x[0], x[1])):
+    for _ in range(60):
+        items = [rng.randint(0, rng.choice([12, 50, 70])) for _ in range(rng.randint(0, 80))]
+        where, bins = shards.best_fit_decreasing(collections.Counter(items).items(), 60)
+        left, plain = [], collections.Counter()
+        for size in sorted(items, reverse=True):
             fits = [(room, k) for k, room in enumerate(left) if room >= size]
             k = min(fits)[1] if fits else len(left)
             if not fits:
-                left.append(60)
+                left.append(max(60, size))
             left[k] -= size
-            plain[name] = k
-        assert (where, bins) == (plain, len(left))
+            plain[size, k] += 1
+        packed = collections.Counter()
+        for size, homes in where.items():
+            for k, n in homes:
+                packed[size, k] += n
+        assert (packed, bins) == (plain, len(left))
 
 
 def test_sharding(spark, odd):
@@ -232,9 +324,31 @@ def test_sharding(spark, odd):
     rest = got[got["shard"] != got[got["doc_id"] >= 1000]["shard"].iloc[0]].groupby("shard")["size"].sum()
     assert rest.max() < 1.1 * rest.min()  # the others share evenly beside the indivisible copies
     assert shards.shard_documents(docs.limit(0)).count() == 0
-    groups = spark.createDataFrame([(f"g{k}", rng.randint(1, 40)) for k in range(200)], "key string, size long")
-    cells = shards.fixed_capacity_shards(spark, groups, 100, items_a_cell=60).toPandas()
-    assert len(cells) == 200 and cells.groupby(["cell", "bin"])["size"].sum().max() <= 100
+
+
+def test_groups_are_packed_by_size_at_any_number(spark):
+    rng = random.Random(14)
+    sizes = [int(rng.paretovariate(1.1) * 20) for _ in range(30_000)] + [70_001, 131_075]
+    rows = spark.createDataFrame([(f"k{k}", s) for k, s in enumerate(sizes)], "key string, size long").repartition(3)
+    got = shards.assign_shards(rows, 5).toPandas()
+    assert sorted(got["key"]) == sorted(f"k{k}" for k in range(len(sizes)))
+    want = collections.Counter((s, home) for s, homes in shards.pack_into(collections.Counter(sizes).items(), 5).items() for home, n in homes for _ in range(n))
+    if max(sizes) < 65_536:
+        assert collections.Counter(zip(got["size"], got["shard"], strict=True)) == want
+    loads = got.groupby("shard")["size"].sum()
+    even = loads[loads.index >= sum(s > sum(sizes) / 5 for s in sizes)]
+    assert even.max() < 1.001 * even.min()
+
+
+def test_fixed_capacity(spark):
+    rng = random.Random(15)
+    rows = spark.createDataFrame([(f"g{k // 2}", rng.randint(1, 40)) for k in range(400)] + [("huge", 500)], "key string, size long")
+    got = shards.fixed_capacity_shards(rows, 100).toPandas()
+    assert len(got) == 401 and got.groupby("key")["shard"].nunique().max() == 1
+    loads = got.groupby("shard")["size"].sum().sort_values()
+    assert loads.iloc[-1] == 500 and loads.iloc[-2] <= 100
+    sizes = collections.Counter(got.groupby("key")["size"].sum())
+    assert len(loads) == shards.best_fit_decreasing(sizes.items(), 100)[1] <= 1.25 * -(-sum(got["size"]) // 100)
 
 
 @pytest.mark.parametrize("share", [0.33, 0.2])
@@ -252,9 +366,9 @@ def test_shards_beside_a_large_group_are_even(spark, share):
 
 def test_every_shard_is_used_for_few_items():
     for sizes, n in (([4] * 5, 4), ([9, 5, 5, 5, 1], 4), ([7], 3), ([0, 0], 2), ([], 2), ([50, 30, 5, 5, 5, 5], 6)):
-        where = shards.pack_into([(s, f"i{k}") for k, s in enumerate(sizes)], n)
-        assert len(where) == len(sizes)
-        assert len({where[f"i{k}"] for k, s in enumerate(sizes) if s}) == min(n, sum(map(bool, sizes)))
+        where = shards.pack_into(collections.Counter(sizes).items(), n)
+        assert sum(k for homes in where.values() for _, k in homes) == len(sizes)
+        assert len({home for s, homes in where.items() if s for home, _ in homes}) == min(n, sum(map(bool, sizes)))
 
 
 # 7, 8 ---------------------------------------------------------------------------------------------
@@ -278,6 +392,33 @@ def test_network_gradient():
         assert abs((up - down) / (2 * step) - g[name][at]) < 0.05 * abs(g[name][at]) + 1e-3
 
 
+def test_network_matches_plain_loops():
+    net, rng = quality.ByteConvNet().fit([b"good words here " * 9, b"%%% bad %%% " * 30] * 4, [1, 0] * 4, epochs=2), random.Random(71)
+    p = net.p
+    for n in (0, 1, 127, 128, 129, 256, 300, 1000):
+        text = bytes(rng.randrange(256) for _ in range(n))
+        halves = max(2, -(-n // 128))
+        padded = list(text) + [256] * (halves * 128 + 4 - n)
+        value = [[sum(float(p["embed"][padded[i + k]] @ p["filters"][k, :, f]) for k in range(5)) for f in range(16)] for i in range(halves * 128)]
+        units = [0.0] * 16
+        for c in range(halves - 1):
+            pooled = [max(0.0, max(v[f] for v in value[c * 128 : c * 128 + 256]) + float(p["bias"][f])) for f in range(16)] + [min(1.0, max(0.0, (n - 128 * c) / 256))]
+            for u in range(16):
+                units[u] = max(units[u], sum(x * float(w) for x, w in zip(pooled, p["hidden"][:, u], strict=True)) + float(p["hidden_bias"][u]))
+        logit = sum(a * float(b) for a, b in zip(units, p["out"], strict=True)) + float(p["out_bias"][0])
+        assert abs(net.scores([text])[0] - 1 / (1 + math.exp(-logit))) < 1e-4
+
+
+@pytest.mark.parametrize("marks", [[], [(k, None) for k in range(40)], [(k, 1) for k in range(40)]])
+def test_few_or_one_sided_labels(spark, marks):
+    docs = spark.createDataFrame([(k, text_of(random.Random(k), 30)) for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, m, m) for d, m in marks], "doc_id long, quality int, toxic int")
+    scores = quality.score_quality(docs, quality.fit_quality(docs, labels)).toPandas()["score"]
+    assert (scores >= 0.5).all() and (any(m for _, m in marks) or (scores == 0.5).all())
+    toxic = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels)).toPandas()["score"]
+    assert len(toxic) == 40 and (toxic < 0.01).all()
+
+
 def auc(score, label):
     rank = score.argsort().argsort() + 1
     ones = label.sum()
@@ -321,8 +462,38 @@ def test_kneser_ney_sums_to_one(spark):
         for key in toxicity.ngrams(t.encode()).tolist():
             plain[key][1 - m] += 1
     assert counts == {k: tuple(v) for k, v in plain.items()}
-    pair = toxicity.KneserNeyPair(toxicity.summarise(toxicity.count_ngrams(rows)).toArrow().to_pandas())
+    summary = toxicity.summarise(toxicity.count_ngrams(rows)).toPandas()
+    pair = toxicity.KneserNeyPair(summary)
     assert pair.differences(b"abracadabra").mean() > 0 > pair.differences(b"brand new").mean()
+    for of in (0, 1):
+        chance = plain_kneser_ney(summary, ("toxic", "ordinary")[of])
+        for context in (b"abra", b"rand", b"zzzz", b"\n\n\n\n", b"xbra"):
+            every = [chance(int.from_bytes(context, "big") << 8 | byte) for byte in range(256)]
+            assert abs(sum(every) - 1) < 1e-9 and min(every) > 0
+    for text in (b"abracadabra brand", b"never seen"):
+        both = [np.array([math.log(chance(int(k)) + 0) for k in toxicity.ngrams(text)]) for chance in (plain_kneser_ney(summary, "toxic"), plain_kneser_ney(summary, "ordinary"))]
+        # equal up to the small constants that keep the logarithms finite
+        assert np.abs(pair.differences(text) - (both[0] - both[1])).max() < 0.01
+
+
+def plain_kneser_ney(summary, of):
+    """The interpolated probability of an n-gram's last byte, straight from counts: the class's own above order 2, both classes' below."""
+    grams = {o: {int(r.key): int(getattr(r, of)) if o > 2 else int(r.toxic + r.ordinary) for r in summary[summary["order"] == o].itertuples()} for o in range(1, 6)}
+    def discount(o):
+        once, twice = (sum(n == k for n in grams[o].values()) for k in (1, 2))
+        return min(0.95, max(0.1, once / max(1, once + 2 * twice)))
+    cut = {o: discount(o) for o in grams}
+
+    def chance(key, order=5):
+        if order == 0:
+            return 1 / 256
+        own = {k: n for k, n in grams[order].items() if k >> 8 == key >> 8}
+        total, below = sum(own.values()), chance(key & ((1 << 8 * (order - 1)) - 1), order - 1)
+        if not total:
+            return below
+        return max(own.get(key, 0) - cut[order], 0) / total + cut[order] * sum(n > 0 for n in own.values()) / total * below
+
+    return chance
 
 
 def test_ngrams_are_exact_at_any_number(spark, monkeypatch):
@@ -365,11 +536,15 @@ def test_lines_match_brute_force(spark, odd):
     pages = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, host string, clean string")
     got = {r["doc_id"]: r for r in lines.dedup_lines(pages).collect()}
     totals, seen = collections.Counter(h for *_, h in rows), collections.Counter((h, x) for _, t, h in rows for x in set(t.split("\n")) if x.strip(" "))
-    bad = {k for k, n in seen.items() if n >= lines.MIN_PAGES and n > lines.RATIO * totals[k[0]]}
+    bad = {k for k, n in seen.items() if n > 1 and n > lines.RATIO * totals[k[0]]}
     assert bad
     for doc, t, h in rows:
         kept = [x for x in t.split("\n") if (h, x) not in bad]
         assert (got[doc]["clean"], got[doc]["n_dropped"]) == ("\n".join(kept), len(t.split("\n")) - len(kept))
+    small = spark.createDataFrame([(1, "menu\none", "tiny", 1, 2, 3), (2, "menu\ntwo", "tiny", 1, 2, 3), (3, "menu\nthree", "lone", 1, 2, 3)], "doc_id long, text string, host string, drop int, page int, kept int")
+    assert {r["doc_id"]: (r["clean"], r["drop"], r["page"], r["kept"]) for r in lines.dedup_lines(small).collect()} == {1: ("one", 1, 2, 3), 2: ("two", 1, 2, 3), 3: ("menu\nthree", 1, 2, 3)}
+    long = spark.createDataFrame([(k, "menu\n" + "\n".join(f"{k} {i}" for i in range(50_000)), "h") for k in range(3)], "doc_id long, text string, host string")
+    assert {r["n_dropped"] for r in lines.dedup_lines(long).select("n_dropped").collect()} == {1}
     plain = odd.withColumnRenamed("source", "host")
     assert lines.dedup_lines(plain).count() == len(ODD) and lines.dedup_lines(plain.limit(0)).count() == 0
 
@@ -381,8 +556,8 @@ def brute_components(rows):
     sets, parent = collections.defaultdict(list), {}
     for doc, text in rows:
         if doc is not None:
-            parent[doc] = doc
-            sets[doc].append(neardup.shingle_set(text or ""))
+            parent[doc], own = doc, plain_words(text or "")
+            sets[doc].append({tuple(own[i : i + 5]) for i in range(max(1, len(own) - 4))} if own else set())
 
     def find(x):
         while parent[x] != x:
@@ -413,6 +588,7 @@ def test_near_duplicates_match_brute_force(spark, odd, monkeypatch):
     want = brute_components(rows)
     for block, star in ((1000, 2000), (7, 3)):
         monkeypatch.setattr(neardup, "BLOCK", block)
+        monkeypatch.setattr(neardup, "CLUSTER_BLOCK", block)
         monkeypatch.setattr(neardup, "STAR", star)
         got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
         assert len(got) == len(rows)
@@ -422,6 +598,35 @@ def test_near_duplicates_match_brute_force(spark, odd, monkeypatch):
     assert neardup.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_a_large_group_around_the_threshold_makes_linear_rows(spark, monkeypatch):
+    rng = random.Random(16)
+    base = text_of(rng, 200).split()
+    rows = []
+    for k in range(1500):  # pairs of copies are now above the threshold, now below
+        words = list(base)
+        for at in rng.sample(range(200), rng.choice([2, 4, 5, 6, 7, 9])):
+            words[at] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    written = []
+    kept = neardup.materialize_at
+
+    def counted(df, name):
+        out = kept(df, name)
+        written.append((name, out[0].count()))
+        return out
+
+    monkeypatch.setattr(neardup, "materialize_at", counted)
+    monkeypatch.setattr(neardup, "BLOCK", 400)
+    monkeypatch.setattr(neardup, "CLUSTER_BLOCK", 400)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+    blocks = -(-1500 // 400)
+    for name, n in written:
+        # a forest of each pair of blocks, in at most all bands
+        assert n <= 1500 * neardup.BANDS * (blocks + 1), name
+    assert dict(written)["star-pairs"] <= 1500 * neardup.BANDS and dict(written)["cluster-links"] <= 1500 * blocks
+
+
 def test_shingle_hashes_tell_sets():
     rng = random.Random(11)
     for _ in range(50):
