@@ -11,6 +11,8 @@ import unicodedata
 from dataclasses import dataclass, field
 from functools import cache
 
+#: The zero-width joiner and non-joiner, as a regular expression.
+JOINERS = "[\u200c\u200d]"
 CONS, VOWEL, SIGN, DOT, HALANTH, NUKTA, JOINER, DELIM, DIGIT, SPECIAL, OTHER = "cons", "vowel", "sign", "dot", "halanth", "nukta", "joiner", "delim", "digit", "special", "other"
 
 # Spellings (the first is the usual one), class, and Devanagari code.
@@ -59,9 +61,9 @@ SYMBOLS: list[tuple[list[str], str, str]] = [
     ([".N"], DOT, "ँ"),
     ([".a"], DOT, "ऽ"),
     (["OM"], SPECIAL, "ॐ"),
-    (["^"], JOINER, "‍"),
-    (["^^"], JOINER, "‌"),
-    (["/"], DELIM, "्‌"),
+    (["^"], JOINER, "\u200d"),
+    (["^^"], JOINER, "\u200c"),
+    (["/"], DELIM, "्\u200c"),
     ([".h"], HALANTH, "्"),
     ([".x"], NUKTA, "़"),
 ]
@@ -101,6 +103,7 @@ class Language:
     base: int
     final_halanth: bool = False
     dot_needs_sign: bool = True
+    zwj_significant: bool = False
     zwnj_significant: bool = True
     short_and_long: bool = False
     oum: bool = True
@@ -202,4 +205,5 @@ def any_of(values) -> str:
 def code_class(lang: str, kind: str) -> str:
     """A regular expression for native codes of a class; nothing matches where there are none."""
     found = [c for c, (k, _) in native_codes(lang).items() if k == kind]
-    return f"(?:{any_of(found)})" if found else "(?:[^\\s\\S])"
+    long, single = [c for c in found if len(c) > 1], "".join(sorted(c for c in found if len(c) == 1 and c != "^"))
+    return "(?:" + "|".join([*([any_of(long)] if long else []), *([f"[{single}]"] if single else [])]) + ")" if found else "(?:[^\\s\\S])"

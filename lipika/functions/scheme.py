@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import letters
 from . import rules as R
 
 
@@ -26,64 +28,96 @@ def tokenize(literal: Column, lang: str) -> Column:
     return F.regexp_extract_all(literal, F.lit(f"(?:{R.any_of(aliases)})|(?s:.)"), F.lit(0))
 
 
-def _tables(lang: str) -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
-    kinds, codes, letters = {}, {}, {}
-    for s in R.symbols(lang):
-        for a in s.aliases:
-            kinds[a], codes[a], letters[a] = s.kind, s.code, s.letter
-    return kinds, codes, letters
+#: First of the code points that stand for tokens while a spelling is converted; such characters in a spelling itself are dropped.
+_CODES = 0xF0000
 
 
-def classed(tokens: Column, lang: str) -> Column:
-    """Tokens with their class: array of (t, k)."""
-    kinds = _tables(lang)[0]
-    return F.transform(tokens, lambda t: F.struct(t.alias("t"), F.coalesce(_lookup(kinds, t), F.lit(R.OTHER)).alias("k")))
+@cache
+def _coded(lang: str, running: bool) -> tuple[list[tuple[str, R.Symbol, str]], str, str]:
+    """Each spelling with its symbol and the character that stands for it (a symbol's spellings share one), and two marks.
 
-
-def render(tokens: Column, lang: str) -> Column:
-    """Native text of classed tokens.
+    In running text, lower-cased, only spellings of small letters count: a symbol is then its own
+    small letter or one of the capitals, which the text has none of.
+    """
+    use = [(s, [a for a in s.aliases if not running or re.fullmatch("[a-z]+|OM", a)]) for s in sorted(R.symbols(lang), key=lambda s: (s.kind, s.order))]
+    free = iter("ABCDEFGHIJKLMNOPQRSTUVWXYZ" if running else [chr(_CODES + k) for k in range(256)])
+    end, sign = next(free), next(free)
+    out = []
+    for s, aliases in use:
+        if aliases:
+            own = [a for a in aliases if running and len(a) == 1]
+            code = own[0] if own else next(free)
+            out += [(a, s, code) for a in aliases]
+    return out, end, sign
+
+
+def _replaced(text: Column, pairs: list[tuple[str, str]]) -> Column:
+    """Single characters by one look-up table, longer strings one after another, the longest first."""
+    for old, new in sorted((p for p in pairs if len(p[0]) > 1 or len(p[1]) > 1), key=lambda p: -len(p[0])):
+        text = F.replace(text, F.lit(old), F.lit(new))
+    single = [p for p in pairs if len(p[0]) == 1 and len(p[1]) <= 1]
+    single.sort(key=lambda p: p[1] == "")  # those that vanish stand last, beyond the end of what replaces
+    return F.translate(text, "".join(p[0] for p in single), "".join(p[1] for p in single)) if single else text
+
+
+def _encoded(text: Column, lang: str, running: bool) -> Column:
+    """Tokens as single characters, the longest spelling first."""
+    coded, end, _ = _coded(lang, running)
+    long = [alias for alias, _, _ in coded if len(alias) > 1]
+    # marked, a token of several characters can't be taken for the end of another
+    text = F.regexp_replace(text, f"(?:{R.any_of(long)})", f"$0{end}")
+    return _replaced(text, [(alias + end if len(alias) > 1 else alias, code) for alias, _, code in coded if alias != code])
+
+
+def _rendered(text: Column, lang: str, running: bool) -> Column:
+    """Native text of coded tokens.
 
     A vowel right after a consonant is a sign, elsewhere a letter; neighbouring consonants get a
     halanth between them; a joiner brings a halanth if there is none; a delimiter after a vowel
     falls away; in some languages a consonant that ends a word gets a halanth.
     """
-    return let(tokens, lambda own: _rendered(own, lang))
-
-
-def _rendered(tokens: Column, lang: str) -> Column:
-    _, codes, letters = _tables(lang)
-    of, virama = R.LANGUAGES[lang], F.lit(R.halanth(lang))
-    none = F.lit("")
-
-    def kind(i: Column) -> Column:
-        return F.when(i >= 0, F.try_element_at(tokens, i + 1)["k"])
-
-    def one(x: Column, i: Column) -> Column:
-        prior, before = F.coalesce(kind(i - 1), none), F.coalesce(kind(i - 2), none)
-        after_cons = (prior == R.CONS) | ((prior == R.NUKTA) & (before == R.CONS))
-        code = F.coalesce(_lookup(codes, x["t"]), x["t"])
-        out = (
-            F.when(x["k"] == R.CONS, F.concat(F.when(after_cons, virama).otherwise(none), code))
-            .when(x["k"] == R.VOWEL, F.when(after_cons, code).otherwise(_lookup(letters, x["t"])))
-            .when(x["k"] == R.NUKTA, F.when(prior == R.CONS, code).otherwise(none))
-            .when(x["k"] == R.JOINER, F.when(prior == R.HALANTH, code).otherwise(F.concat(virama, code)))
-            .when(x["k"] == R.DELIM, F.when(prior == R.VOWEL, none).otherwise(code))
-            .otherwise(code)
-        )
-        if not of.final_halanth:
-            return out
-        ends = F.coalesce(kind(i + 1), F.lit(R.OTHER)) == R.OTHER
-        final = ends & ((x["k"] == R.CONS) | ((x["k"] == R.NUKTA) & (prior == R.CONS)))
-        return F.concat(out, F.when(final, virama).otherwise(none))
-
-    return F.array_join(F.transform(tokens, one), "")
+    coded, _, sign = _coded(lang, running)
+    table = {code: s for _, s, code in coded}
+    of = {k: "".join(c for c, s in table.items() if s.kind == k) for k in (R.CONS, R.VOWEL, R.NUKTA, R.JOINER, R.HALANTH, R.DELIM)}
+    # where codes are not letters, a class is a range
+    some = lambda k: (f"[{of[k]}]" if running else f"[{min(of[k])}-{max(of[k])}]") if of[k] else None
+    cons, vowel, nukta, virama = some(R.CONS), some(R.VOWEL), some(R.NUKTA), R.halanth(lang)
+    closed = f"({cons}{nukta}?)" if nukta else f"({cons})"
+    if R.LANGUAGES[lang].final_halanth:
+        every = f"[{''.join(table)}]" if running else f"[{min(table)}-{max(table)}]"
+        text = F.regexp_replace(text, f"{closed}(?!{every})", f"$1{virama}")
+    text = F.regexp_replace(text, f"{closed}(?={cons})", f"$1{virama}")
+    text = F.regexp_replace(text, f"{closed}(?={vowel})", f"$1{sign}")
+    if of[R.DELIM]:
+        text = F.regexp_replace(text, f"(?<={vowel}){some(R.DELIM)}", "")
+    if nukta:
+        text = F.regexp_replace(text, f"(?<!{cons}){nukta}", "")
+    if of[R.JOINER]:
+        text = F.regexp_replace(text, f"(?<!{some(R.HALANTH)})(?={some(R.JOINER)})", virama)
+    signs = [(sign + c, s.code) for c, s in table.items() if s.kind == R.VOWEL]
+    return _replaced(text, signs + [(c, s.letter if s.kind == R.VOWEL else s.code) for c, s in table.items()])
 
 
 def scheme_to_script(literal: Column, lang: str) -> Column:
-    """A scheme spelling in native script; null stays null."""
+    """A scheme spelling in native script; null stays null.
+
+    Tokens become single characters, longest spelling first; contexts are regular expressions over
+    classes of these; then they become native text. All of it is generated code, with no look-up
+    by token.
+    """
     if R.LANGUAGES[lang].oum:
         literal = F.regexp_replace(literal, "^(oum)$", "OM")
-    return render(classed(tokenize(literal, lang), lang), lang)
+    literal = F.regexp_replace(literal, f"[{chr(_CODES)}-{chr(_CODES + 255)}]", "")
+    return _rendered(_encoded(literal, lang, False), lang, False)
+
+
+def words_to_script(text: Column, lang: str) -> Column:
+    """A text whose Latin words, lower-cased, are scheme spellings: these in native script, all else as it is, in one pass."""
+    text = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    if R.LANGUAGES[lang].oum:
+        om = next(code for alias, _, code in _coded(lang, True)[0] if alias == "OM")
+        text = F.regexp_replace(text, "(?<![a-z])oum(?![a-z])", om)
+    return _rendered(_encoded(text, lang, True), lang, True)
 
 
 def script_to_symbols(word: Column, lang: str) -> Column:
@@ -132,7 +166,7 @@ def round_trip(spelling: Column, word: Column, lang: str) -> Column:
 def syllable_pattern(lang: str) -> str:
     of = R.LANGUAGES[lang]
     cons, nukta, virama, sign, dot, vowel, digit = (R.code_class(lang, k) for k in (R.CONS, R.NUKTA, R.HALANTH, R.SIGN, R.DOT, R.VOWEL, R.DIGIT))
-    joiner = "[‌‍]?"
+    joiner = R.JOINERS + "?"
     cluster = f"{cons}{nukta}?(?:{virama}{joiner}{cons}{nukta}?){{0,3}}"
     close = f"{virama}{joiner}$"
     tail = f"(?:{sign}{dot}?|{close})?" if of.dot_needs_sign else f"(?:{close}|{sign}?{dot}?)?"
@@ -141,7 +175,7 @@ def syllable_pattern(lang: str) -> str:
 
 def simple_pattern(lang: str) -> str:
     cons, nukta, virama, sign, dot, vowel = (R.code_class(lang, k) for k in (R.CONS, R.NUKTA, R.HALANTH, R.SIGN, R.DOT, R.VOWEL))
-    return f"^(?:{vowel}{dot}?|{cons}{nukta}?(?:{dot}|{sign}|{virama}[‌‍]?)?)$"
+    return f"^(?:{vowel}{dot}?|{cons}{nukta}?(?:{dot}|{sign}|{virama}{R.JOINERS}?)?)$"
 
 
 def aksharas(word: Column, lang: str) -> Column:
@@ -155,16 +189,10 @@ def is_simple(akshara: Column, lang: str) -> Column:
     return akshara.rlike(simple_pattern(lang))
 
 
-def word_pattern(lang: str) -> str:
-    cons, nukta, virama, sign, dot, vowel, digit = (R.code_class(lang, k) for k in (R.CONS, R.NUKTA, R.HALANTH, R.SIGN, R.DOT, R.VOWEL, R.DIGIT))
-    joined = f"{cons}{nukta}?(?:{virama}[‌‍]?{cons}{nukta}?)*"
-    return f"(?:{joined}(?:{virama}|{sign}?{dot}?)?|{vowel}{dot}?|{digit})+"
-
-
 def is_valid_word(word: Column, lang: str) -> Column:
     """Whether the word pattern, read from the start, takes the whole word."""
-    return (word != "") & (F.regexp_extract(word, f"^(?:{word_pattern(lang)})", 0) == word)
+    return (word != "") & (F.regexp_extract(word, f"^(?:{letters.word_pattern(lang)})", 0) == word)
 
 
 def valid_words(text: Column, lang: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(word_pattern(lang)), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(letters.word_pattern(lang)), F.lit(0))

@@ -7,24 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Ordered rewrites of typed Hindi words before prediction.
-HINDI_REWRITES = [
-    (r"(c)(?=[eiy])", "s"),
-    (r"(c)(?!h)", "k"),
-    (r"(ia)", "iya"),
-    (r"(au)", "ou"),
-    (r"^(hum)$", "ham"),
-    (r"^(hoon)$", "hoom"),
-    (r"(cch)", "chch"),
-    (r"(aa)", "A"),
-    (r"(ee)", "I"),
-    (r"(oo)", "U"),
-    (r"(w)", "v"),
-    (r"(ph)", "f"),
-    (r"(x)", "ksh"),
-    (r"(gyan)", "gnyan"),
-]
-
+from . import letters
 
 def split_runs(text: Column) -> Column:
     """Maximal runs of Latin letters and of anything else, in order; joined again they are the text."""
@@ -40,9 +23,9 @@ def is_plain_latin(word: Column) -> Column:
     return ~word.rlike("[.~^/0-9]")
 
 
-def preprocess(word: Column, rewrites: list[tuple[str, str]] | None = None) -> Column:
-    """Lower case, then the rewrites in order."""
-    return reduce(lambda c, r: F.regexp_replace(c, r[0], r[1]), rewrites if rewrites is not None else HINDI_REWRITES, F.lower(word))
+def preprocess(word: Column, lang: str = "hindi") -> Column:
+    """Lower case, then the language's rewrites in order."""
+    return reduce(lambda c, r: F.regexp_replace(c, r[0], r[1]), letters.REWRITES[lang], F.lower(word))
 
 
 def letter_window(word: Column, focus: Column, scope: int = 4) -> Column:
@@ -72,7 +55,7 @@ def strip_stress(pron: Column) -> Column:
     return F.replace(F.regexp_replace(kept, r"(?<=[a-z])[0-2]", ""), F.lit("\u0001"), F.lit("1"))
 
 
-def strip_epsilon(chars: Column, epsilon: str = "") -> Column:
+def strip_epsilon(chars: Column, epsilon: str = letters.EPSILON) -> Column:
     return F.transform(chars, lambda c: F.when(c == epsilon, "").otherwise(c))
 
 

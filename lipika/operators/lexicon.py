@@ -9,30 +9,33 @@ from ..functions import rules as R
 from ..functions import scheme
 
 START = "^"
+# Consonants that have a grid of their own beside their first letter's.
+EXTENDED = ("q", "J", "x", "GY", "R")
 
 
 def word_counts(texts: DataFrame, column: str = "text") -> DataFrame:
-    """``word, n``: lower-case runs of Latin letters; counted in each task before the shuffle.
-
-    Words are few bytes but dear to convert, so they are dealt to as many tasks as a shuffle has:
-    by size alone adaptive execution would merge a small vocabulary into one task.
-    """
+    """``word, n``: lower-case runs of Latin letters; counted in each task before the shuffle."""
     words = F.regexp_extract_all(F.lower(F.col(column)), F.lit("[a-z]+"), F.lit(0))
-    counted = texts.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    return counted.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
+    return texts.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+def counted_where(condition: Column, n: str = "n") -> Column:
+    """``condition``, for rows of a positive count: it cannot be moved below the aggregate that counts, where it would be evaluated for each occurrence."""
+    return F.when(F.col(n) > 0, condition).otherwise(False)
 
 
 def native_lexicon(words: DataFrame, lang: str) -> DataFrame:
     """(word, n) in native script, summed by form; a word without a form is left out."""
     form = scheme.scheme_to_script(F.col("word"), lang)
-    return words.select(form.alias("word"), "n").where("word <> ''").groupBy("word").agg(F.sum("n").alias("n"))
+    return words.groupBy(form.alias("word")).agg(F.sum("n").alias("n")).where(counted_where(F.col("word") != ""))
 
 
 def akshara_bigrams(lexicon: DataFrame, lang: str) -> DataFrame:
     """``key, prev, akshara, simple, n``: how often a syllable follows another (``^``: begins a word); key is its first letter."""
-    parts = scheme.aksharas(F.col("word"), lang)
-    priors = F.concat(F.array(F.lit(START)), F.slice("a", 1, F.greatest(F.size("a") - 1, F.lit(0))))
-    pairs = lexicon.select(parts.alias("a"), "n").where(F.size("a") > 0).select(F.explode(F.arrays_zip(priors.alias("prev"), F.col("a").alias("akshara"))).alias("p"), "n")
+    follows = lambda a: F.transform(a, lambda x, i: F.struct(F.when(i == 0, START).otherwise(F.try_element_at(a, F.greatest(i, F.lit(1)))).alias("prev"), x.alias("akshara")))
+    # the count keeps the planner from testing this below the aggregate that made the words
+    own = F.when(F.col("n") > 0, scheme.aksharas(F.col("word"), lang))
+    pairs = lexicon.select(F.explode(scheme.let(own, follows)).alias("p"), "n")
     counted = pairs.groupBy(F.col("p.prev").alias("prev"), F.col("p.akshara").alias("akshara")).agg(F.sum("n").alias("n"))
     return counted.select(F.substring("akshara", 1, 1).alias("key"), "prev", "akshara", scheme.is_simple(F.col("akshara"), lang).alias("simple"), "n")
 
@@ -49,33 +52,51 @@ def log_normalize(top: DataFrame) -> DataFrame:
     return top.withColumn("score", F.round(10 * F.log10("n") / F.greatest(F.lit(0.1), most)))
 
 
-def next_table(lexicon: DataFrame, lang: str, k: int = 15) -> DataFrame:
-    """``prev, key, entries``: the next-syllable table, entries in the order of syllables."""
-    scored = log_normalize(top_next(akshara_bigrams(lexicon, lang), k))
-    entry = F.struct("akshara", "score", "simple")
-    return scored.groupBy("prev", "key").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+def grid_cells(lang: str) -> list[tuple[str, int, str, bool]]:
+    """(key, place, akshara, extended) of the fixed grid of simple syllables.
+
+    A consonant stands with every sign (the inherent vowel's is empty), every dot and the halanth; any
+    other letter alone and with every dot. Extended consonants, of several code points, have a grid too.
+    """
+    native, symbols = R.native_codes(lang), R.symbols(lang)
+    signs = [s.code for s in symbols if s.kind == R.VOWEL]
+    dots = [s.code for s in symbols if s.kind == R.DOT]
+    out = []
+    for code, (kind, symbol) in native.items():
+        extended = symbol.aliases[0] in EXTENDED
+        if kind == R.CONS and (len(code) == 1 or extended):
+            out += [(code, k, code + t, extended) for k, t in enumerate([*signs, *dots, R.halanth(lang)])]
+        elif kind in (R.VOWEL, R.DIGIT) and len(code) == 1:
+            out += [(code, k, code + t, False) for k, t in enumerate(["", *dots])]
+    return out
 
 
 def simple_grid(scored: DataFrame, lang: str) -> DataFrame:
-    """``key, prev, akshara, score``: every simple syllable of a key's letter, 0 where it isn't among the top.
+    """``key, place, akshara, score``: the grid of every key letter that occurs, 0 where a syllable isn't among the top; extended letters' grids are all 0.
 
-    A consonant stands bare and with every sign, dot and halanth, a vowel bare and with every dot.
-    The grid is a fixed table of a few hundred rows.
+    Scores are those after one previous syllable: of those that the key follows, the greatest by code point.
     """
-    native = R.native_codes(lang)
-    signs = [c for c, (kind, _) in native.items() if kind in (R.SIGN, R.DOT)] + [R.halanth(lang)]
-    dots = [c for c, (kind, _) in native.items() if kind == R.DOT]
-    cells = [(c[0], c + t) for c, (kind, _) in native.items() if kind in (R.CONS, R.VOWEL) and len(c) == 1 for t in ["", *(signs if kind == R.CONS else dots)]]
-    grid = scored.sparkSession.createDataFrame(cells, "key string, akshara string")
-    pairs = scored.select("key", "prev").distinct().join(F.broadcast(grid), "key")
-    found = scored.where("simple").select("key", "prev", "akshara", "score")
-    return pairs.join(found, ["key", "prev", "akshara"], "left").select("key", "prev", "akshara", F.coalesce("score", F.lit(0.0)).alias("score"))
+    cells = F.broadcast(scored.sparkSession.createDataFrame(grid_cells(lang), "key string, place int, akshara string, extended boolean"))  # a rule table
+    last = scored.groupBy("key").agg(F.max("prev").alias("prev"))
+    of = scored.where("simple").join(last, ["key", "prev"]).select("key", "akshara", "score")
+    grid = cells.where("NOT extended").join(last.select("key"), "key").join(of, ["key", "akshara"], "left")
+    return grid.select("key", "place", "akshara", F.coalesce("score", F.lit(0.0)).alias("score")).unionByName(cells.where("extended").select("key", "place", "akshara", F.lit(0.0).alias("score")))
+
+
+def next_table(lexicon: DataFrame, lang: str, k: int = 15) -> DataFrame:
+    """``prev, key, entries``: compound syllables by (previous syllable, key letter), in their order, and at prev ``#`` each key's grid of simple ones, in the grid's order."""
+    scored = log_normalize(top_next(akshara_bigrams(lexicon, lang), k))
+    entry = F.struct("akshara", "score")
+    compound = scored.where("NOT simple").groupBy("prev", "key").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+    placed = F.sort_array(F.collect_list(F.struct("place", "akshara", "score")))
+    grid = simple_grid(scored, lang).groupBy("key").agg(F.transform(placed, lambda x: F.struct(x["akshara"].alias("akshara"), x["score"].alias("score"))).alias("entries"))
+    return compound.unionByName(grid.select(F.lit("#").alias("prev"), "key", "entries"))
 
 
 def rollup_by_form(words: DataFrame, form: Column) -> DataFrame:
     """``form, freq, sources``: frequencies and sorted source words by transliterated form; no form, no row."""
-    formed = words.withColumn("form", form).where("form IS NOT NULL AND form <> ''")
-    return formed.groupBy("form").agg(F.sum("n").alias("freq"), F.sort_array(F.collect_list("word")).alias("sources"))
+    formed = words.groupBy(form.alias("form")).agg(F.sum("n").alias("freq"), F.sort_array(F.collect_list("word")).alias("sources"))
+    return formed.where(counted_where(F.col("form") != "", "freq"))
 
 
 def merge_lexicons(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -21,18 +21,21 @@ def flag_dictionary(options: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def apply_per_distinct_word(docs: DataFrame, runs: Column, is_word: Callable[[Column], Column], convert: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Convert each distinct word of (doc_id, text) once, and put the results back in place: ``doc_id, text``.
+    """Convert each distinct word of (doc_id, text) rows once, and put the results back in place: ``doc_id, text``, a row for each row.
 
     ``convert`` takes a table with ``word`` and adds ``out``. For conversions that are dear; a
-    plain column expression is cheaper applied in place, for it needs no shuffle.
+    plain column expression is cheaper applied in place, for it needs no shuffle. Rows that repeat
+    a doc_id, or have none, stay apart; a null text becomes empty.
     """
-    each = docs.select("doc_id", F.posexplode(runs).alias("pos", "run"))
-    words = each.where(is_word(F.col("run"))).select(F.lower("run").alias("word")).distinct()
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", runs.alias("runs"))
+    each = numbered.select("row", "doc_id", F.posexplode_outer("runs").alias("pos", "run"))
+    words = docs.select(F.explode(runs).alias("run")).where(is_word(F.col("run"))).select(F.lower("run").alias("word")).distinct()
     done = convert(words).select("word", "out")
     key = F.when(is_word(F.col("run")), F.lower("run"))
-    put = each.withColumn("word", key).join(done, "word", "left").select("doc_id", "pos", F.coalesce("out", "run").alias("out"))
-    whole = put.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "out"))), lambda x: x["out"]), "").alias("text"))
-    return docs.select("doc_id").join(whole, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # common words are many rows: Spark broadcasts the table of words if its size allows, else splits their partitions
+    put = each.withColumn("word", key).join(done, "word", "left").select("row", "doc_id", "pos", F.coalesce("out", "run", F.lit("")).alias("out"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "out"))), lambda x: x["out"]), "")
+    return put.groupBy("row", "doc_id").agg(whole.alias("text")).drop("row")
 
 
 def apply_overrides(suggestions: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -60,22 +63,23 @@ def authorize(requests: DataFrame, api_keys: DataFrame) -> tuple[DataFrame, Data
 
 
 def next_options(states: DataFrame, table: DataFrame, lang: str) -> DataFrame:
-    """(id, typed, key): the last syllable typed, and the table's entries after it and at the start of words."""
+    """(id, typed, key) with the last syllable typed (``prev``), the key's grid (``simple``), the compounds after prev
+    (``compound``; null where the table has none), and whether a joiner may follow."""
     last = F.coalesce(F.try_element_at(scheme.aksharas(F.col("typed"), lang), F.lit(-1)), F.lit("^"))
     placed = states.withColumn("prev", last)
-    after = table.select("prev", "key", F.col("entries").alias("after"))
-    begin = table.where("prev = '^'").select("key", F.col("entries").alias("begin"))
-    joiner = placed["typed"].endswith(R.halanth(lang))
-    return placed.join(after, ["prev", "key"], "left").join(begin, "key", "left").select("id", "typed", "key", "prev", "after", "begin", joiner.alias("joiner"))
+    compound = table.where("prev <> '#'").select("prev", "key", F.col("entries").alias("compound"))
+    grid = table.where("prev = '#'").select("key", F.col("entries").alias("simple"))
+    joiner = placed["prev"].endswith(R.halanth(lang)) & F.lit(R.LANGUAGES[lang].zwnj_significant)
+    return placed.join(compound, ["prev", "key"], "left").join(grid, "key", "left").select("id", "typed", "key", "prev", "simple", "compound", joiner.alias("joiner"))
 
 
 def joiner_variants(prefix: Column, suffix: Column, lang: str) -> Column:
-    """The plain join, and with a joiner between where the language tells it apart and a consonant follows."""
+    """The plain join, and with each joiner between that the language tells apart, if a consonant follows."""
+    of = R.LANGUAGES[lang]
+    marks = [mark for mark, significant in (("\u200d", of.zwj_significant), ("\u200c", of.zwnj_significant)) if significant]
     plain = F.concat(prefix, suffix)
-    if not R.LANGUAGES[lang].zwnj_significant:
-        return F.array(plain)
     opens = suffix.rlike("^" + R.code_class(lang, R.CONS))
-    return F.when(opens, F.array(plain, F.concat(prefix, F.lit("‌"), suffix))).otherwise(F.array(plain))
+    return F.when(opens, F.array(plain, *[F.concat(prefix, F.lit(m), suffix) for m in marks])).otherwise(F.array(plain))
 
 
 def encode_symbols(symbols: Column, codes: dict[str, str]) -> Column:

@@ -1,8 +1,9 @@
-"""Predictive spellings: native words to aligned Latin letters, training examples, prediction and suggestions.
+"""Native words to aligned Latin spellings and training examples, and sounds to native words.
 
-The rules of a letter are (pattern, options) in order. Of all rules whose group 1 begins at the
-letter the strictly longest match wins, the first of equals; matches are those of a
-non-overlapping scan, so a rule whose left context an earlier match has used does not fire.
+The rules of a letter are (pattern, typed forms) in order. Of all rules whose group 1 begins at the
+letter the strictly longest match wins, the first of equals; matches are those of a non-overlapping
+scan, so a rule whose left context an earlier match has used does not fire. That is beyond column
+expressions, so a small helper does it, once for each distinct word.
 """
 
 from __future__ import annotations
@@ -16,63 +17,36 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import rules as R
-from ..functions import scheme, text
-from . import ranking, trees
+from ..functions import letters, phonemes, scheme, text
+from . import trees
 
-#: Stands for a letter that adds nothing, while a word is trained on or predicted.
-EPSILON = ""
-#: Spellings of one word at most; a word with more is left out, and counted by ``truncated``.
+EPSILON = letters.EPSILON
+#: Spellings of one word that ``romanizations`` lists at most; ``training_examples`` needs no such limit.
 CAP = 10_000
-#: Typed spellings of vowels, usual first: alone or as a sign, and where another vowel stands before.
-VOWEL_OPTIONS = {"a": (["a"], ["a"]), "A": (["A", "a"], ["A", "a"]), "i": (["i"], ["i", "yi"]), "I": (["I", "i"], ["I", "i", "yi", "yI"]), "u": (["u"], ["u", "vu"]), "U": (["U", "u"], ["U", "u", "vu"])}
-DOT_OPTIONS = {".n": ["n", "m"], ".N": ["n", "m"], "H": ["h"], ".a": [""]}
 
 
 @cache
-def producers(lang: str) -> dict[str, list[tuple[re.Pattern, list[str]]]]:
-    """Rules by native letter."""
-    sign, vowel, cons, dot, nukta, virama = (R.code_class(lang, k) for k in (R.SIGN, R.VOWEL, R.CONS, R.DOT, R.NUKTA, R.HALANTH))
-    out: dict[str, list[tuple[re.Pattern, list[str]]]] = {}
-
-    def rule(letter: str, pattern: str, options: list[str]) -> None:
-        out.setdefault(letter, []).append((re.compile(pattern), options))
-
-    for code, (kind, symbol) in R.native_codes(lang).items():
-        own, lit = f"({re.escape(code)})", symbol.aliases[0].lower() if symbol.kind == R.CONS else symbol.aliases[0]
-        if len(code) != 1:
-            continue
-        if kind == R.CONS:
-            lit = {"ph": "f", "~n": "n"}.get(lit, lit.strip("~"))
-            rule(code, f"{own}{nukta}?(?:{virama}|{sign}|$)", [lit])
-            rule(code, f"(?<!^){own}{nukta}?(?!{dot}|{cons}$)", [lit + "a", lit])
-            rule(code, f"{own}{nukta}?", [lit + "a"])
-        elif kind in (R.VOWEL, R.SIGN):
-            plain, after = VOWEL_OPTIONS.get(lit, ([lit.lower()], [lit.lower()]))
-            if kind == R.VOWEL:
-                rule(code, f"(?:{sign}|{vowel}){own}", after)
-                rule(code, f"^{own}", after)
-            rule(code, own, plain)
-        elif kind == R.DOT:
-            rule(code, own, DOT_OPTIONS.get(lit, [""]))
-        elif kind in (R.HALANTH, R.NUKTA, R.JOINER):
-            rule(code, own, [""])
-    return out
+def _rules(lang: str) -> dict[str, list[tuple[re.Pattern, tuple[str, ...]]]]:
+    return {letter: [(re.compile(p), o) for p, o in rules] for letter, rules in letters.producers(lang).items()}
 
 
-def options_of(word: str, lang: str) -> list[list[str]] | None:
-    """Each letter's options; None for a word with a letter that no rule knows."""
-    rules, chain = producers(lang), []
+def options_of(word: str, lang: str) -> list[tuple[str, ...]] | None:
+    """Each letter's typed forms; None for a word with a letter that no rule knows or fits, or that begins with a letter that may be blank."""
+    rules, chain = _rules(lang), []
+    found: dict[str, dict[int, tuple[int, tuple[str, ...]]]] = {}
     for place, letter in enumerate(word):
         if letter not in rules:
             return None
-        best, length = [], 0
-        for pattern, options in rules[letter]:
-            for m in pattern.finditer(word):
-                if m.start(1) == place and len(m.group()) > length:
-                    best, length = options, len(m.group())
-        chain.append(best)
-    return chain
+        if letter not in found:  # all places of the letter at once
+            best = found[letter] = {}
+            for pattern, options in rules[letter]:
+                for m in pattern.finditer(word):
+                    if len(m.group()) > best.get(m.start(1), (0, ()))[0]:
+                        best[m.start(1)] = len(m.group()), options
+        if place not in found[letter]:
+            return None
+        chain.append(found[letter][place][1])
+    return None if chain and not all(o.strip() for o in chain[0]) else chain
 
 
 def aligned(word: str, lang: str, cap: int = CAP) -> list[tuple[list[str], list[str]]] | None:
@@ -83,7 +57,7 @@ def aligned(word: str, lang: str, cap: int = CAP) -> list[tuple[list[str], list[
     fits and a blank at the start give no spelling; more than ``cap`` give None.
     """
     chain = options_of(word, lang)
-    if not word or not chain:
+    if not chain:
         return []
     size = 1
     for options in chain:
@@ -92,25 +66,25 @@ def aligned(word: str, lang: str, cap: int = CAP) -> list[tuple[list[str], list[
         return None
     out = []
     for picked in product(*reversed(chain)):
-        letters: list[str] = []
+        typed: list[str] = []
         classes: list[str] = []
+        at = 0
         for option, native in zip(reversed(picked), word, strict=True):
             if not option.strip():
-                if not classes:
-                    return []
-                at = max(k for k, c in enumerate(classes) if c != EPSILON)
                 classes[at] += native
             else:
-                letters += option
+                at = len(classes)
+                typed += option
                 classes += [native] + [EPSILON] * (len(option) - 1)
-        out.append((letters, classes))
+        out.append((typed, classes))
     return out
 
 
-def romanizations(words: DataFrame, lang: str, cap: int = CAP) -> DataFrame:
-    """``word, rank, letters, classes, truncated`` of distinct native words, a row for each spelling.
+def romanizations(words: DataFrame, lang: str, cap: int = CAP, only: str | None = None) -> DataFrame:
+    """``word, rank, letters, classes, flags, truncated`` of distinct native words, a row for each spelling.
 
     Words without a spelling give no row; a word with more than ``cap`` gives one row that says so.
+    ``flags`` tells which letters are among ``only`` (all, where it is not given).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,130 +92,176 @@ def romanizations(words: DataFrame, lang: str, cap: int = CAP) -> DataFrame:
             rows = []
             for word in batch.column("word").to_pylist():
                 found = aligned(word, lang, cap)
-                rows += [(word, 0, None, None, True)] if found is None else [(word, k, a, b, False) for k, (a, b) in enumerate(found)]
-            columns = zip(*rows, strict=True) if rows else [()] * 5
-            types = [pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["word", "rank", "letters", "classes", "truncated"])
+                rows += [(word, 0, None, None, None, True)] if found is None else [(word, k, a, b, [only is None or c in only for c in a], False) for k, (a, b) in enumerate(found)]
+            columns = zip(*rows, strict=True) if rows else [()] * 6
+            types = [pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["word", "rank", "letters", "classes", "flags", "truncated"])
 
     distinct = words.select("word").where("word IS NOT NULL").distinct()
-    return distinct.mapInArrow(run, "word string, rank int, letters array<string>, classes array<string>, truncated boolean")
+    return distinct.mapInArrow(run, "word string, rank int, letters array<string>, classes array<string>, flags array<boolean>, truncated boolean")
 
 
-def align_pair(pairs: DataFrame, lang: str) -> DataFrame:
-    """(literal, word) pairs with ``letters, classes``: the word's spelling that is the literal, else letter by letter, padded."""
-    spelled = romanizations(pairs, lang).where("NOT truncated").select("word", F.array_join("letters", "").alias("literal"), "letters", "classes")
-    exact = spelled.groupBy("word", "literal").agg(F.min(F.struct("letters", "classes")).alias("s"))
-    a, b = F.regexp_extract_all("literal", F.lit("(?s:.)"), F.lit(0)), F.regexp_extract_all("word", F.lit("(?s:.)"), F.lit(0))
-    n = F.greatest(F.size(a), F.size(b))
-    pad = lambda x: F.concat(x, F.array_repeat(F.lit(EPSILON), n - F.size(x)))
-    joined = pairs.select("literal", "word").join(exact, ["literal", "word"], "left")
-    return joined.select("literal", "word", F.coalesce("s.letters", pad(a)).alias("letters"), F.coalesce("s.classes", pad(b)).alias("classes"))
-
+def spelled_as(native: str, literal: str, lang: str) -> tuple[list[str], list[str]] | None:
+    """The first spelling of a native word that is the literal, as (letters, classes), however many spellings it has; None if there is none."""
+    chain = options_of(native, lang)
+    if not chain:
+        return None
+    # which rests of the literal the letters from k on can spell
+    ends = [set() for _ in chain] + [{len(literal)}]
+    for k in range(len(chain) - 1, -1, -1):
+        for option in chain[k]:
+            ends[k] |= {e - len(option) for e in ends[k + 1] if e >= len(option) and literal[e - len(option) : e] == option}
+    if 0 not in ends[0]:
+        return None
+    # the last letter varies slowest: of the spellings that fit, the first has the least option of the last letter, then of the one before
+    starts = [{0}] + [set() for _ in chain]
+    for k, options in enumerate(chain):
+        for s in starts[k]:
+            starts[k + 1] |= {s + len(o) for o in options if literal.startswith(o, s)}
+    at, picked = len(literal), []
+    for k in range(len(chain) - 1, -1, -1):
+        option = next(o for o in chain[k] if at - len(o) in starts[k] and literal[at - len(o) : at] == o)
+        picked.append(option)
+        at -= len(option)
+    typed, classes, last = [], [], 0
+    for option, own in zip(reversed(picked), native, strict=True):
+        if not option:
+            classes[last] += own
+        else:
+            last = len(classes)
+            typed += option
+            classes += [own] + [EPSILON] * (len(option) - 1)
+    return typed, classes
 
-def training_examples(words: DataFrame, lang: str, scope: int = trees.SCOPE) -> DataFrame:
-    """``key, window, offset, cls, n``: what the trees learn from; equal examples of one word count once."""
-    spelled = romanizations(words, lang).where("NOT truncated").select("word", "rank", F.array_join("letters", "").alias("latin"), F.posexplode(F.arrays_zip("letters", "classes")).alias("pos", "x"))
-    windows = spelled.select("word", F.col("x.letters").alias("key"), text.letter_window(F.col("latin"), F.col("pos"), scope).alias("w"), "rank", "pos", F.col("x.classes").alias("cls"))
-    first = windows.groupBy("word", "key", "w").agg(F.min(F.struct("rank", "pos", "cls")).alias("e"))
-    return first.groupBy("key", "w.window", "w.offset", F.col("e.cls").alias("cls")).agg(F.count("*").alias("n"))
 
+def align_pair(pairs: DataFrame, lang: str) -> DataFrame:
+    """Distinct (literal, word) pairs with ``letters, classes, exact``: the word's spelling that is the literal, else letter by letter, padded. Nulls give no row."""
 
-def letter_groups(latin: str = "abcdefghijklmnopqrstuvwxyzAIU") -> list[tuple[str, list[str]]]:
-    return [("vowels", list("aeiouAIU")), ("labials", list("pbmfv")), ("dentals", list("tdnsl")), ("velars", list("kgh")), *[(c, [c]) for c in sorted(latin)]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            literals, words = batch.column("literal").to_pylist(), batch.column("word").to_pylist()
+            found = []
+            for literal, word in zip(literals, words, strict=True):
+                n = max(len(literal), len(word))
+                pad = lambda x: [*x, *[EPSILON] * (n - len(x))]  # noqa: B023, E731
+                fit = spelled_as(word, literal.strip(), lang)
+                found.append((*fit, True) if fit else (pad(literal), pad(word), False))
+            arrays = [pa.array(c, pa.list_(pa.string())) for c in ([f[0] for f in found], [f[1] for f in found])]
+            yield pa.RecordBatch.from_arrays([pa.array(literals, pa.string()), pa.array(words, pa.string()), *arrays, pa.array([f[2] for f in found], pa.bool_())], ["literal", "word", "letters", "classes", "exact"])
+
+    distinct = pairs.select("literal", "word").where("literal IS NOT NULL AND word IS NOT NULL").distinct()
+    return distinct.mapInArrow(run, "literal string, word string, letters array<string>, classes array<string>, exact boolean")
+
+
+def examples_of(word: str, lang: str, scope: int, ahead: int) -> list[tuple[str, str, int, str]]:
+    """(key, window, offset, class) of all spellings of a word, equal ones once, without listing the spellings.
+
+    What can stand before and after a letter within reach is built letter by letter, with the
+    number of the first spelling that has it: spellings are numbered with the last letter varying
+    slowest, so an option adds its index times the number of spellings of the letters before it.
+    Of examples with the same letter within ``scope`` the first spelling's is kept.
+    """
+    chain = options_of(word, lang)
+    if not chain:
+        return []
+    stride = [1]
+    for options in chain:
+        stride.append(stride[-1] * len(options))
+    before: list[dict[str, int]] = [{"#": 0}]
+    for k, options in enumerate(chain):
+        now: dict[str, int] = {}
+        for left, n in before[-1].items():
+            for j, o in enumerate(options):
+                key, number = (left + o)[-(scope + 1) :], n + j * stride[k]
+                if number < now.get(key, number + 1):
+                    now[key] = number
+        before.append(now)
+    # (what follows, the native letters that are typed blank right here)
+    after: list[dict[tuple[str, str], int]] = [{} for _ in chain] + [{("_", ""): 0}]
+    for k in range(len(chain) - 1, -1, -1):
+        for (right, blank), n in after[k + 1].items():
+            for j, o in enumerate(chain[k]):
+                key = ((o + right)[: ahead + 1], "" if o else word[k] + blank)
+                number = n + j * stride[k]
+                if number < after[k].get(key, number + 1):
+                    after[k][key] = number
+    best: dict[tuple[str, str, int], tuple[int, int, int, str, str, int]] = {}
+    for k, options in enumerate(chain):
+        for i, o in enumerate(options):
+            for j in range(len(o)):
+                for left, n in before[k].items():
+                    lead = left + o[:j]
+                    for (right, blank), m in after[k + 1].items():
+                        whole, focus = lead + o[j:] + right, len(lead)
+                        start = max(0, focus - scope)
+                        window = whole[start : focus + ahead + 1]
+                        inner = whole[max(focus - scope, whole.startswith("#")) : focus + scope + 1].rstrip("_")
+                        identity = (o[j], inner, min(focus - whole.startswith("#"), scope))
+                        cls = word[k] + blank if j == 0 else EPSILON
+                        found = (n + m + i * stride[k], k, j, cls, window, focus - start)
+                        if identity not in best or found[:3] < best[identity][:3]:
+                            best[identity] = found
+    return [(key, window, offset, cls) for (key, _, _), (_, _, _, cls, window, offset) in best.items()]
 
 
-def train_language(words: DataFrame, lang: str) -> DataFrame:
-    """The trees of all letters of a language from its native words."""
-    return trees.grow(training_examples(words, lang), letter_groups())
+def training_examples(words: DataFrame, lang: str, scope: int = trees.SCOPE) -> DataFrame:
+    """``key, window, offset, cls, n``: what the trees learn from, from every distinct word that has a spelling.
 
+    Equal examples of one word count once, the first of them; across words all count. Windows are
+    marked (``#`` before a word, ``_`` after it) and reach ahead as far as a feature can.
+    """
+    ahead = trees.reach(scope, letters.feature_groups(lang))
 
-def predict_words(words: DataFrame, tree: DataFrame, lang: str, most: int = 3) -> DataFrame:
-    """Distinct Latin ``word`` with ``options``: native words, likeliest first.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [x for word in batch.column("word").to_pylist() for x in examples_of(word, lang, scope, ahead)]
+            columns = zip(*rows, strict=True) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.string()), strict=True)], ["key", "window", "offset", "cls"])
 
-    Each letter's window is predicted once. At most ``most`` classes of a letter are expanded;
-    only valid words stay, and if none is valid the first expansion does.
-    """
-    typed = words.select("word").where("word IS NOT NULL AND word <> ''").distinct().withColumn("typed", text.preprocess(F.col("word")))
-    letters = typed.select("word", "typed", F.posexplode(F.regexp_extract_all("typed", F.lit("(?s:.)"), F.lit(0))).alias("pos", "key"))
-    rows = letters.select("word", "pos", "key", text.letter_window(F.col("typed"), F.col("pos")).alias("w")).select("word", "pos", "key", "w.window", "w.offset")
-    found = trees.predict(rows, tree)
-    classes = F.slice(F.transform("classes", lambda c: F.replace(c["cls"], F.lit(EPSILON), F.lit(""))), 1, most)
-    chains = found.withColumn("o", F.coalesce(classes, F.array("key"))).groupBy("word").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "o"))), lambda x: x["o"]).alias("chain"))
-    expanded = chains.select("word", text.expand_options(F.col("chain")).alias("all"))
-    valid = F.filter("all", lambda x: scheme.is_valid_word(x, lang))
-    return expanded.select("word", F.when(F.size(valid) > 0, F.array_distinct(valid)).otherwise(F.slice("all", 1, 1)).alias("options"))
-
-
-def suggest(words: DataFrame, tree: DataFrame, lexicon: DataFrame, lang: str, keep: int = 4) -> DataFrame:
-    """``word, options, itrans``: predicted words, those of the lexicon first, and the plain scheme reading."""
-    options = predict_words(words, tree, lang)
-    each = options.select("word", F.posexplode("options").alias("pos", "option"))
-    known = lexicon.select(F.col("word").alias("option")).distinct().withColumn("hit", F.lit(True))
-    flagged = each.join(known, "option", "left").groupBy("word").agg(F.sort_array(F.collect_list(F.struct("pos", "option", F.coalesce("hit", F.lit(False)).alias("hit")))).alias("o"))
-    ranked = ranking.cap_options(ranking.dictionary_first(F.col("o.option"), F.col("o.hit")), keep)
-    return flagged.select("word", ranked.alias("options"), scheme.scheme_to_script(F.col("word"), lang).alias("itrans"))
-
-
-def alternatives_at(words: DataFrame, tree: DataFrame, lang: str) -> DataFrame:
-    """(native, classes array, latin, pos) rows with ``options``: the words that other classes of one letter make.
-
-    Valid words that are spelled like the input stay; if the present word isn't among them, only it does.
-    """
-    others = trees.alternate_classes(tree).groupBy("key").agg(F.array_sort(F.collect_list("cls")).alias("others"))
-    at = words.withColumn("key", F.substr("latin", F.col("pos") + 1, F.lit(1))).join(others, "key", "left")
-    swap = lambda c: F.replace(F.array_join(F.transform("classes", lambda x, i: F.when(i == F.col("pos"), c).otherwise(x)), ""), F.lit(EPSILON), F.lit(""))
-    made = at.select("native", "latin", "pos", F.explode(F.array_distinct(F.transform(F.coalesce("others", F.array().cast("array<string>")), swap))).alias("made")).where(scheme.is_valid_word(F.col("made"), lang))
-    spelled = romanizations(made.select(F.col("made").alias("word")), lang).where("NOT truncated").select(F.col("word").alias("made"), F.array_join("letters", "").alias("latin")).distinct()
-    kept = made.join(spelled, ["made", "latin"], "left_semi").groupBy("native", "latin", "pos").agg(F.array_sort(F.collect_set("made")).alias("found"))
-    joined = words.join(kept, ["native", "latin", "pos"], "left")
-    return joined.select("native", "latin", "pos", F.when(F.array_contains("found", F.col("native")), F.col("found")).otherwise(F.array("native")).alias("options"))
+    distinct = words.select("word").where("word IS NOT NULL").distinct()
+    return distinct.mapInArrow(run, "key string, window string, offset int, cls string").groupBy("key", "window", "offset", "cls").agg(F.count("*").alias("n"))
 
 
 # --- sounds -------------------------------------------------------------------------------------
 
-_FRONT, _BACK = "ih iy eh ey ay ao ae aa ah", "uh uw ow ow1 aw"
-#: Scheme spellings of phonemes: vowels alone, and consonants.
-PHONE_VOWELS = {"ah": ["a"], "aa": ["A"], "ae": [".c", "ai"], "ao": [".C", "A"], "ih": ["i"], "iy": ["I"], "uh": ["u"], "uw": ["U"], "eh": ["e"], "ey": ["e"], "ay": ["ai"], "aw": ["au"], "ow": ["o"], "ow1": ["o"], "oy": ["Ay"]}
-PHONE_CONSONANTS = {"k": ["k"], "g": ["g"], "ch": ["ch"], "jh": ["j"], "t": ["T"], "d": ["D"], "th": ["th"], "dh": ["d"], "n": ["n"], "ng": [".ng"], "p": ["p"], "b": ["b"], "f": ["ph"], "v": ["v"], "m": ["m"], "y": ["y"], "r": ["r"], "l": ["l"], "w": ["v"], "s": ["s"], "sh": ["sh"], "z": ["J", "s"], "zh": ["J"], "hh": ["h"]}
-
 
-def phoneme_options(phones: Column) -> Column:
-    """Scheme options of each phoneme; a vowel after a front vowel begins with y, after a back one with v, and a final
-    ah is long; a dash is an optional a between consonants; an unknown phoneme has none."""
-    table = F.create_map(*[x for k, v in (PHONE_VOWELS | PHONE_CONSONANTS).items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    vowels, consonants = F.array(*map(F.lit, PHONE_VOWELS)), F.array(*map(F.lit, PHONE_CONSONANTS))
+def phoneme_options(words: DataFrame) -> DataFrame:
+    """Distinct (phones) rows with ``chain``: each phoneme's scheme spellings in its context; an unknown phoneme leaves none."""
 
-    def one(p: Column, i: Column) -> Column:
-        prior = F.coalesce(F.when(i > 0, F.try_element_at(phones, F.greatest(i, F.lit(1)))), F.lit(""))
-        following = F.coalesce(F.try_element_at(phones, i + 2), F.lit(""))
-        plain = F.when((p == "ah") & (i == F.size(phones) - 1), F.array(F.lit("A"))).otherwise(F.try_element_at(table, p))
-        glide = F.when(prior.isin(*_FRONT.split()), "y").when(prior.isin(*_BACK.split()), "v").otherwise("")
-        vowel = F.transform(plain, lambda o: F.concat(glide, o))
-        dash = F.when(F.array_contains(consonants, prior) & (following != ""), F.array(F.lit("a"), F.lit(""))).otherwise(F.array(F.lit("")))
-        return F.when(p == "-", dash).when(F.array_contains(vowels, p), vowel).otherwise(F.coalesce(plain, F.array().cast("array<string>")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            phones = batch.column("phones").to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column("phones"), pa.array([phonemes.options(p) for p in phones], pa.list_(pa.list_(pa.string())))], ["phones", "chain"])
 
-    return F.transform(phones, one)
+    return words.select("phones").where("phones IS NOT NULL").distinct().mapInArrow(run, "phones array<string>, chain array<array<string>>")
 
 
 def join_phones(phones: Column) -> Column:
-    """Phones of letters in one string: blanks fall away, dashes at an end of a phone stand alone, once."""
-    parts = F.filter(F.split(F.regexp_replace(F.array_join(F.filter(phones, lambda p: F.trim(p) != ""), " "), "-", " - "), " +"), lambda p: p != "")
-    once = F.filter(F.transform(parts, lambda p, i: F.when((p == "-") & (i > 0) & (F.try_element_at(parts, F.greatest(i, F.lit(1))) == "-"), F.lit("")).otherwise(p)), lambda p: p != "")
-    return F.array_join(once, " ")
+    """Phones of a word's letters in one string: blank and silent (``#``) ones fall away; a dash at the beginning or else the end of one stands alone, once."""
+    start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(False).alias("dash"))
 
+    def with_part(acc, part, present):
+        return F.struct(F.when(present, F.concat(acc["parts"], F.array(part))).otherwise(acc["parts"]).alias("parts"), F.when(present, False).otherwise(acc["dash"]).alias("dash"))
 
-def sound_candidates(words: DataFrame, lang: str) -> DataFrame:
-    """(word, phones) with ``options``: native words as the pronunciation sounds."""
-    clean = F.split(text.strip_stress(text.clean_pronunciation(join_phones(F.col("phones")))), " ")
-    staged = words.select("word", F.filter(clean, lambda p: p != "").alias("p"))
-    chained = staged.select("word", text.expand_options(phoneme_options(F.col("p"))).alias("s"))
-    return chained.select("word", F.array_distinct(F.transform("s", lambda s: scheme.scheme_to_script(s, lang))).alias("options"))
+    def with_dash(acc):
+        return F.struct(F.when(acc["dash"], acc["parts"]).otherwise(F.concat(acc["parts"], F.array(F.lit("-")))).alias("parts"), F.lit(True).alias("dash"))
 
+    def step(acc, raw):
+        p = F.replace(raw, F.lit("_"), F.lit(" "))
+        rest, head = F.substr(p, F.lit(2)), F.substr(p, F.lit(1), F.char_length(p) - 1)
+        begins, ends = p.startswith("-"), p.endswith("-")
+        return F.when(F.trim(p) == "", acc).when(begins, with_part(with_dash(acc), rest, rest != "#")).when(ends, with_dash(with_part(acc, head, head != "#"))).otherwise(with_part(acc, p, p != "#"))
 
-def best_first(options: Column) -> Column:
-    return F.try_element_at(options, F.lit(1))
+    return F.array_join(F.aggregate(phones, start, step, lambda acc: acc["parts"]), " ")
 
 
+def sound_candidates(words: DataFrame, lang: str) -> DataFrame:
+    """(word, phones: array of a word's phones by letter) with ``options``: native words as the pronunciation sounds."""
+    clean = text.strip_stress(text.clean_pronunciation(join_phones(F.col("phones"))))
+    staged = words.select("word", F.filter(F.split(clean, " "), lambda p: p != "").alias("phones"))
+    chained = staged.join(phoneme_options(staged), "phones").select("word", text.expand_options(F.col("chain")).alias("s"))
+    return chained.select("word", F.array_distinct(F.transform("s", lambda s: scheme.scheme_to_script(s, lang))).alias("options"))
+
 
 def follow_focus(word: str, focus: int, rewrites: list[tuple[str, str]]) -> tuple[str, int]:
     """The rewritten word and where its letter ``focus`` has gone; a letter inside a rewrite stays inside what replaces it."""
@@ -261,9 +281,9 @@ def follow_focus(word: str, focus: int, rewrites: list[tuple[str, str]]) -> tupl
     return word, focus
 
 
-def preprocess_with_focus(rows: DataFrame, rewrites: list[tuple[str, str]] | None = None) -> DataFrame:
+def preprocess_with_focus(rows: DataFrame, lang: str = "hindi") -> DataFrame:
     """Distinct (word, focus) with ``typed, at``: the rewritten word and the letter's place in it, step by step."""
-    rules = rewrites if rewrites is not None else text.HINDI_REWRITES
+    rules = letters.REWRITES[lang]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,21 +1,49 @@
-"""Decision trees over letters in context, grown level by level for all letters and nodes at once.
+"""Decision trees over letters in context, grown for all letters at once.
 
-An example is (key, window, offset, cls, n): a letter's surroundings, the letter's place in them,
-its class, and how often it was seen. A split asks whether the text at some distance from the
-letter begins with one of a feature's literals; matches go left.
+An example is (key, window, offset, cls, n): a letter's surroundings, marked ``#`` where the word
+begins and ``_`` where it ends, the letter's place in them, its class, and how often it was seen.
+A split asks whether the text at some distance from the letter begins with one of a feature's
+literals; matches go left. A node is named by the way to it: ``0`` for each left, ``1`` for each
+right turn from the root, whose name is empty; so no depth is too great for it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut
+
 SCOPE = 4
 #: The order in which distances are tried; the first of equal splits wins.
 DISTANCES = [0, *[d for k in range(1, SCOPE + 1) for d in (-k, k)]]
+#: Different examples of a node that one task finishes; larger nodes are split by all tasks together.
+SMALL = 400_000
+#: Nodes of a model that is sent to all tasks; a larger one is joined level by level.
+MODEL_NODES = 500_000
+
+Groups = list[tuple[str, list[str]]]
+LEAF = "array<struct<cls:string,n:bigint>>"
+TREE = f"key string, node string, delta int, feature string, literals array<string>, classes {LEAF}"
+
 
+def reach(scope: int, groups: Groups) -> int:
+    """Letters after a letter that its features can read."""
+    return scope + max((len(x) for _, literals in groups for x in literals), default=1) - 1
 
-def features(spark: SparkSession, groups: list[tuple[str, list[str]]]) -> DataFrame:
+
+def with_letters(examples: DataFrame, groups: Groups) -> Groups:
+    """The groups, and then every character that stands in the windows (an alphabet's length of rows) by itself, by code point."""
+    seen = examples.select(F.explode(F.array_distinct(F.regexp_extract_all("window", F.lit("(?s:.)"), F.lit(0)))).alias("c")).distinct().collect()
+    return [*groups, *((r["c"], [r["c"]]) for r in sorted(seen))]
+
+
+def features(spark: SparkSession, groups: Groups) -> DataFrame:
     """``feature, literal, rank`` of (label, literals) groups, in order; groups are a small rule table."""
     rows = [(label, literal, k) for k, (label, literals) in enumerate(groups) for literal in literals if literal]
     return spark.createDataFrame(rows, "feature string, literal string, rank int")
@@ -31,25 +59,27 @@ def leaf_distribution(examples: DataFrame) -> DataFrame:
 def node_purity(examples: DataFrame) -> DataFrame:
     """``key, node, purity, total``: the sum of squared class shares."""
     counts = examples.groupBy("key", "node", "cls").agg(F.sum("n").alias("n"))
-    return counts.groupBy("key", "node").agg((F.sum(F.col("n") * F.col("n")) / (F.sum("n") * F.sum("n"))).alias("purity"), F.sum("n").alias("total"))
+    return counts.groupBy("key", "node").agg((F.sum(F.col("n").cast("double") * F.col("n")) / (F.sum("n").cast("double") * F.sum("n"))).alias("purity"), F.sum("n").alias("total"))
 
 
 def split_scores(examples: DataFrame, of: DataFrame) -> DataFrame:
     """``key, node, delta, delta_rank, feature, rank, score``: the purity after each split that parts a node.
 
-    Per split only the left side is counted; the right side is what the node has besides.
+    Per split only the left side is counted; the right side is what the node has besides. A place's
+    text is joined to features by each of its beginnings, as many as the longest literal has letters.
     """
+    longest = of.agg(F.max(F.char_length("literal"))).first()[0] or 1
     deltas = F.explode(F.array(*[F.struct(F.lit(d).alias("delta"), F.lit(k).alias("delta_rank")) for k, d in enumerate(DISTANCES)]))
-    text = F.concat(F.lit("#"), F.col("window"), F.lit("_"))
-    start = F.col("offset") + 1 + F.col("d.delta")  # from 0 in the marked text
-    at = examples.select("key", "node", "window", "offset", "cls", "n", deltas.alias("d")).withColumn("start", start).where((F.col("start") >= 0) & (F.col("start") < F.char_length(text)))
-    heads = at.select("key", "node", "cls", "n", "d.delta", "d.delta_rank", F.substr(text, F.col("start") + 1, F.lit(SCOPE + 2)).alias("head"))
+    start = F.col("offset") + F.col("d.delta")  # from 0
+    at = examples.select("key", "node", "window", "offset", "cls", "n", deltas.alias("d")).withColumn("start", start).where((F.col("start") >= 0) & (F.col("start") < F.char_length("window")))
+    heads = at.select("key", "node", "cls", "n", "d.delta", "d.delta_rank", F.substr("window", F.col("start") + 1, F.lit(longest)).alias("head"))
     grouped = heads.groupBy("key", "node", "cls", "delta", "delta_rank", "head").agg(F.sum("n").alias("n"))
+    begins = F.transform(F.sequence(F.lit(1), F.char_length("head")), lambda k: F.substr("head", F.lit(1), k))
     literals = F.broadcast(of)  # a rule table
     # several literals of a feature may match: an example counts once
-    hit = grouped.join(literals, F.substr("head", F.lit(1), F.char_length("literal")) == F.col("literal")).select("key", "node", "cls", "delta", "delta_rank", "head", "n", "feature", "rank").distinct()
-    left = hit.groupBy("key", "node", "delta", "delta_rank", "feature", "rank", "cls").agg(F.sum("n").alias("l"))
-    whole = examples.groupBy("key", "node", "cls").agg(F.sum("n").alias("t"))
+    hit = grouped.withColumn("literal", F.explode(begins)).join(literals, "literal").select("key", "node", "cls", "delta", "delta_rank", "head", "n", "feature", "rank").distinct()
+    left = hit.groupBy("key", "node", "delta", "delta_rank", "feature", "rank", "cls").agg(F.sum("n").cast("double").alias("l"))
+    whole = examples.groupBy("key", "node", "cls").agg(F.sum("n").cast("double").alias("t"))
     sums = whole.groupBy("key", "node").agg(F.sum("t").alias("total"), F.sum(F.col("t") * F.col("t")).alias("squares"))
     scored = left.join(whole, ["key", "node", "cls"]).groupBy("key", "node", "delta", "delta_rank", "feature", "rank").agg(
         F.sum("l").alias("nl"), F.sum(F.col("l") * F.col("l")).alias("sl"), F.sum((F.col("t") - F.col("l")) * (F.col("t") - F.col("l")) - F.col("t") * F.col("t")).alias("dr")
@@ -64,62 +94,177 @@ def best_split(scores: DataFrame, purity: DataFrame) -> DataFrame:
     """The best split of each node that betters its purity; ties go to the first distance, then the first feature."""
     order = Window.partitionBy("key", "node").orderBy(F.desc("score"), "delta_rank", "rank")
     better = scores.join(purity, ["key", "node"]).where(F.col("score") > F.round("purity", 12))
-    return better.withColumn("__k", F.row_number().over(order)).where("__k = 1").select("key", "node", "delta", "feature", "rank", "score")
+    return better.withColumn("place", F.row_number().over(order)).where("place = 1").select("key", "node", "delta", "feature", "rank", "score")
 
 
 def matches(window: Column, offset: Column, delta: Column, literals: Column) -> Column:
-    text = F.concat(F.lit("#"), window, F.lit("_"))
-    start = offset + 1 + delta
-    inside = (start >= 0) & (start < F.char_length(text))
-    return inside & F.exists(literals, lambda lit: F.substr(text, F.greatest(start, F.lit(0)) + 1, F.char_length(lit)) == lit)
+    start = offset + delta
+    inside = (start >= 0) & (start < F.char_length(window))
+    return inside & F.exists(literals, lambda lit: F.substr(window, F.greatest(start, F.lit(0)) + 1, F.char_length(lit)) == lit)
+
+
+def _child(node: Column, left: Column) -> Column:
+    return F.concat(node, F.when(left, "0").otherwise("1"))
+
+
+class _Subtree:
+    """The tree below a node whose examples one task holds.
+
+    What a place's text begins with decides every feature there, so examples are counted by
+    (distance, beginning, class) and the counts are added up by feature.
+    """
+
+    def __init__(self, windows: list[str], offsets: list[int], groups: Groups):
+        self.groups = groups
+        of: dict[str, list[int]] = {}
+        for k, (_, literals) in enumerate(groups):
+            for x in literals:
+                of.setdefault(x, []).append(k)
+        longest = max(map(len, of), default=1)
+        known: dict[str, int] = {}
+        self.codes = np.full((len(windows), len(DISTANCES)), -1, np.int64)
+        for i, (window, offset) in enumerate(zip(windows, offsets, strict=True)):
+            for j, d in enumerate(DISTANCES):
+                at = offset + d
+                if 0 <= at < len(window):
+                    self.codes[i, j] = known.setdefault(window[at : at + longest], len(known))
+        self.holds = np.zeros((len(known), len(groups)))
+        for head, code in known.items():
+            for n in range(1, len(head) + 1):
+                self.holds[code, of.get(head[:n], [])] = 1
+        self.codes = np.where(self.codes < 0, -1, self.codes + len(known) * np.arange(len(DISTANCES)))
+
+    def _left(self, rows: np.ndarray, classes: np.ndarray, n: np.ndarray, kinds: int) -> np.ndarray:
+        """Counts by (distance, feature) and class of the examples that match."""
+        codes = self.codes[rows].ravel()
+        inside = np.flatnonzero(codes >= 0)
+        seen, inverse = np.unique(codes[inside], return_inverse=True)
+        of = inside // len(DISTANCES)
+        counts = np.bincount(inverse * kinds + classes[of], n[of], len(seen) * kinds).reshape(-1, kinds)
+        heads = len(self.holds)
+        cuts = np.searchsorted(seen, heads * np.arange(len(DISTANCES) + 1))
+        return np.concatenate([self.holds[seen[x:y] - heads * j].T @ counts[x:y] for j, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False))])
+
+    def grow(self, classes: np.ndarray, n: np.ndarray, names: list[str], root: str) -> Iterator[tuple]:
+        """(node, delta, feature, literals, classes) of the tree below ``root``, by the same rules as the levels."""
+        waiting = [(root, np.arange(len(n)))]
+        while waiting:
+            node, rows = waiting.pop()
+            of, own = np.unique(classes[rows], return_inverse=True)
+            whole = np.bincount(own, n[rows])
+            total = whole.sum()
+            if len(of) > 1:
+                left = self._left(rows, own, n[rows], len(of))
+                nl = left.sum(1)
+                parts = np.flatnonzero((nl > 0) & (nl < total))
+                if len(parts):
+                    left, nl = left[parts], nl[parts]
+                    right = whole - left
+                    score = np.round(((left * left).sum(1) / nl + (right * right).sum(1) / (total - nl)) / total, 12)
+                    if score.max() > round(float((whole * whole).sum() / (total * total)), 12):
+                        # the splits stand in the order of distances and features, so the first of the best wins
+                        j, k = divmod(int(parts[score.argmax()]), len(self.groups))
+                        yield node, DISTANCES[j], self.groups[k][0], self.groups[k][1], None
+                        codes = self.codes[rows, j]
+                        side = (codes >= 0) & (self.holds[np.maximum(codes - len(self.holds) * j, 0), k] == 1)
+                        waiting += [(node + "1", rows[~side]), (node + "0", rows[side])]
+                        continue
+            order = sorted(range(len(of)), key=lambda i: (-whole[i], names[of[i]]))
+            yield node, None, None, None, [{"cls": names[of[i]], "n": int(whole[i])} for i in order]
 
 
-def _routed(examples: DataFrame, chosen: DataFrame, of: DataFrame) -> DataFrame:
-    literals = of.groupBy("feature").agg(F.collect_list("literal").alias("literals"))
-    rule = chosen.join(literals, "feature").select("key", "node", "delta", "literals")
-    left = matches(F.col("window"), F.col("offset"), F.col("delta"), F.col("literals"))
-    # at most a row for each node of the level
-    return examples.join(rule, ["key", "node"]).withColumn("node", 2 * F.col("node") + F.when(left, 0).otherwise(1)).select("key", "node", *[c for c in examples.columns if c not in ("key", "node")])
+def _finished(rows: DataFrame, groups: Groups) -> DataFrame:
+    """The subtrees of (key, node) groups of at most ``SMALL`` different examples, each made by one task."""
+    groups = [(label, [x for x in literals if x]) for label, literals in groups]
 
+    def finish(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["window", "offset", "cls"], kind="stable")
+        names = sorted(pdf["cls"].unique())
+        classes = np.searchsorted(np.array(names, object), pdf["cls"].to_numpy(object))
+        made = list(_Subtree(pdf["window"].tolist(), pdf["offset"].tolist(), groups).grow(classes, pdf["n"].to_numpy(np.float64), names, key[1]))
+        out = pd.DataFrame(made, columns=["node", "delta", "feature", "literals", "classes"])
+        out["delta"] = out["delta"].astype("Int32")
+        out.insert(0, "key", key[0])
+        return out
 
-def grow(examples: DataFrame, groups: list[tuple[str, list[str]]], levels: int = 40) -> DataFrame:
-    """Grow the trees of all keys: ``key, node, delta, feature, literals, classes``; leaves have no feature.
+    return rows.groupBy("key", "node").applyInPandas(finish, TREE)
 
-    The root is node 1, the children of k are 2k and 2k + 1. Each level is one pass over the examples
-    of open nodes, cut from the plan by a checkpoint in the session's checkpoint folder.
+
+def grow(examples: DataFrame, groups: Groups) -> DataFrame:
+    """Grow the trees of all keys: ``key, node, delta, feature, literals, classes``; leaves have no feature, other nodes no classes.
+
+    Each level is one pass over the examples of nodes that are still large, cut from the plan by a
+    checkpoint in the session's checkpoint folder; nodes of at most ``SMALL`` different examples
+    are finished whole, by a task each, whatever their depth. Every example reaches a leaf.
     """
     spark = examples.sparkSession
+    groups = with_letters(examples, groups)
     of = features(spark, groups)
-    rows = examples.select("key", "window", "offset", "cls", "n").withColumn("node", F.lit(1).cast("long")).checkpoint()
+    literals = spark.createDataFrame([(label, [x for x in own if x]) for label, own in groups], "feature string, literals array<string>")
+    rows = cut(examples.groupBy("key", "window", "offset", "cls").agg(F.sum("n").alias("n")).withColumn("node", F.lit("")))
     out = []
-    for _ in range(levels):
-        chosen = best_split(split_scores(rows, of), node_purity(rows)).checkpoint()
-        done = leaf_distribution(rows).join(chosen.select("key", "node", "delta", "feature"), ["key", "node"], "left")
-        out.append(done.checkpoint())
-        if chosen.isEmpty():
+    while True:
+        large = cut(rows.groupBy("key", "node").agg(F.count("*").alias("different")).where(F.col("different") > SMALL).select("key", "node"))
+        out.append(cut(_finished(rows.join(large, ["key", "node"], "left_anti"), groups)))
+        if large.isEmpty():
             break
-        rows = _routed(rows, chosen, of).checkpoint()
+        rows = cut(rows.join(large, ["key", "node"]))
+        chosen = cut(best_split(split_scores(rows, of), node_purity(rows)).join(F.broadcast(literals), "feature"))
+        level = leaf_distribution(rows).join(chosen.select("key", "node", "delta", "feature", "literals"), ["key", "node"], "left")
+        out.append(cut(level.select("key", "node", "delta", "feature", "literals", F.when(F.col("feature").isNull(), F.col("classes")).alias("classes"))))
+        left = matches(F.col("window"), F.col("offset"), F.col("delta"), F.col("literals"))
+        # at most a row for each node of the level
+        rows = cut(rows.join(chosen.select("key", "node", "delta", "literals"), ["key", "node"]).select("key", "window", "offset", "cls", "n", _child(F.col("node"), left).alias("node")))
     tree = out[0]
     for level in out[1:]:
         tree = tree.unionByName(level)
-    literals = of.groupBy("feature").agg(F.collect_list("literal").alias("literals"))
-    return tree.join(literals, "feature", "left").select("key", "node", "delta", "feature", "literals", "classes")
-
-
-def predict(rows: DataFrame, tree: DataFrame, levels: int = 40) -> DataFrame:
-    """Add ``classes`` (by frequency, from the leaf) to distinct (key, window, offset) rows; unknown keys get null."""
-    inner = tree.where("feature IS NOT NULL").select("key", "node", "delta", "literals")
-    leaves = tree.where("feature IS NULL").select("key", "node", "classes")
-    at = rows.select("key", "window", "offset").distinct().withColumn("node", F.lit(1).cast("long"))
-    done = None
-    for _ in range(levels):
-        ended = at.join(leaves, ["key", "node"]).select("key", "window", "offset", "classes")
-        done = ended if done is None else done.unionByName(ended)
+    return tree
+
+
+def predict(rows: DataFrame, tree: DataFrame, most_nodes: int = MODEL_NODES) -> DataFrame:
+    """Add ``classes`` (by frequency, from the leaf) to (key, window, offset, ...) rows; unknown keys get null.
+
+    Each different (key, window, offset) walks its tree once. A model of at most ``most_nodes``
+    nodes is sent to the tasks; a larger one is joined level by level.
+    """
+    at = rows.select("key", "window", "offset").where("key IS NOT NULL AND window IS NOT NULL AND offset IS NOT NULL").distinct()
+    done = _walked(at, tree) if tree.count() <= most_nodes else _joined(at, tree)
+    return rows.join(done, ["key", "window", "offset"], "left")
+
+
+def _walked(at: DataFrame, tree: DataFrame) -> DataFrame:
+    columns = tree.select("key", "node", "delta", "literals", "classes").toArrow().to_pydict()
+    model = at.sparkSession.sparkContext.broadcast({(k, n): rest for k, n, *rest in zip(*columns.values(), strict=True)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes = model.value
+        for batch in batches:
+            found = []
+            for key, window, offset in zip(*(batch.column(c).to_pylist() for c in ("key", "window", "offset")), strict=True):
+                node, own = "", nodes.get((key, ""))
+                while own is not None and own[0] is not None:
+                    start = offset + own[0]
+                    left = 0 <= start < len(window) and any(window.startswith(x, start) for x in own[1])
+                    node += "0" if left else "1"
+                    own = nodes[key, node]
+                found.append(None if own is None else own[2])
+            classes = pa.array(found, pa.list_(pa.struct([("cls", pa.string()), ("n", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "window", "offset")), classes], ["key", "window", "offset", "classes"])
+
+    return at.mapInArrow(run, f"key string, window string, offset {at.schema['offset'].dataType.simpleString()}, classes {LEAF}")
+
+
+def _joined(at: DataFrame, tree: DataFrame) -> DataFrame:
+    tree = cut(tree)
+    at, out = at.withColumn("node", F.lit("")), None
+    while True:
+        met = at.join(tree.select("key", "node", "delta", "literals", "classes"), ["key", "node"])
+        ended = met.where("delta IS NULL").select("key", "window", "offset", "classes")
+        out = ended if out is None else out.unionByName(ended)
         left = matches(F.col("window"), F.col("offset"), F.col("delta"), F.col("literals"))
-        at = at.join(inner, ["key", "node"]).select("key", "window", "offset", (2 * F.col("node") + F.when(left, 0).otherwise(1)).alias("node")).checkpoint()
+        at = cut(met.where("delta IS NOT NULL").select("key", "window", "offset", _child(F.col("node"), left).alias("node")))
         if at.isEmpty():
-            break
-    return rows.join(done, ["key", "window", "offset"], "left")
+            return out
 
 
 def alternate_classes(tree: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import scheme, text
-from ..operators import lexicon
+from ..functions import letters, scheme, text
+from ..functions import rules as R
+from ..operators import lexicon, lookup, predict, romanize, trees
 
 
 def transliterate_text(docs: DataFrame, lang: str) -> DataFrame:
@@ -14,22 +15,43 @@ def transliterate_text(docs: DataFrame, lang: str) -> DataFrame:
 
     The conversion is a column expression applied in place: no shuffle, one pass.
     """
-    runs = text.split_runs(F.coalesce("text", F.lit("")))
-    out = F.transform(runs, lambda r: F.when(text.is_word_run(r), scheme.scheme_to_script(F.lower(r), lang)).otherwise(r))
-    return docs.select("doc_id", F.array_join(out, "").alias("text"))
+    return docs.select("doc_id", scheme.words_to_script(F.coalesce("text", F.lit("")), lang).alias("text"))
 
 
-def render_markup(docs: DataFrame, lang: str = "english") -> DataFrame:
-    """(doc_id, text) with its markup applied: scheme spans in the script of their language, all else as it is."""
-    spans = text.segment_markup(F.coalesce("text", F.lit("")), lang)
+def transliterate_predicted(docs: DataFrame, lang: str, **models) -> DataFrame:
+    """(doc_id, text) with every Latin word as its first suggestion; all else untouched. ``models`` as in ``suggest``."""
+    runs = text.split_runs(F.coalesce("text", F.lit("")))
+    convert = lambda words: predict.top_suggestion(predict.suggest(words, lang, **models)).withColumnRenamed("option", "out")
+    return lookup.apply_per_distinct_word(docs, runs, text.is_word_run, convert)
 
-    def show(s):
-        out = s["text"]
-        for name in ("hindi", "marathi", "nepali", "bengali", "punjabi", "gujarati", "tamil", "telugu", "kannada", "malayalam"):
-            out = F.when((s["lang"] == name) & (s["mode"] == "itrans"), scheme.scheme_to_script(s["text"], name)).otherwise(out)
-        return out
 
-    return docs.select("doc_id", F.array_join(F.transform(spans, show), "").alias("text"))
+def render_markup(docs: DataFrame, lang: str = "english", models: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(doc_id, text) with its markup applied, a row for each row: scheme spans in the script of their language, predictive
+    spans with each Latin word's first prediction by that language's trees in ``models`` (as they are without), all else as it is."""
+    spans = text.segment_markup(F.coalesce("text", F.lit("")), lang)
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", spans.alias("spans"))
+    each = numbered.select("row", "doc_id", F.posexplode_outer("spans").alias("pos", "s")).select("row", "doc_id", "pos", "s.*")
+    shown = F.col("text")
+    for name in R.LANGUAGES:
+        shown = F.when((F.col("lang") == name) & (F.col("mode") == "itrans"), scheme.scheme_to_script(F.col("text"), name)).otherwise(shown)
+    predicted = (F.col("mode") == "predictive") & F.col("lang").isin(*(models or {}))
+    runs = F.when(predicted, text.split_runs(F.col("text"))).otherwise(F.array(shown))
+    runs = each.select("row", "doc_id", "pos", "lang", predicted.alias("predicted"), F.posexplode_outer(runs).alias("k", "run"))
+    word = F.when(F.col("predicted") & text.is_word_run(F.col("run")), F.lower("run"))
+    runs = runs.withColumn("word", word)
+    done = None
+    for name, tree in (models or {}).items():
+        own = predict.predict_words(runs.where((F.col("lang") == name) & F.col("word").isNotNull()).select("word"), tree, name)
+        own = own.select(F.lit(name).alias("lang"), "word", F.try_element_at("options", F.lit(1)).alias("out"))
+        done = own if done is None else done.unionByName(own)
+    runs = runs.join(done, ["lang", "word"], "left") if done is not None else runs.withColumn("out", F.lit(None).cast("string"))
+    packed = F.sort_array(F.collect_list(F.struct("pos", "k", F.coalesce("out", "run", F.lit("")).alias("out"))))
+    return runs.groupBy("row", "doc_id").agg(F.array_join(F.transform(packed, lambda x: x["out"]), "").alias("text")).drop("row")
+
+
+def train_language(words: DataFrame, lang: str) -> DataFrame:
+    """The trees of all letters of a language from its native (word) rows."""
+    return trees.grow(romanize.training_examples(words, lang), letters.feature_groups(lang))
 
 
 def next_syllable_table(docs: DataFrame, lang: str, k: int = 15) -> DataFrame:
@@ -47,3 +69,10 @@ def reverse_words(words: DataFrame, lang: str) -> DataFrame:
     """(word, ...) native words with ``spellings``: their scheme spellings, without ``/`` where that reads the same."""
     spelled = scheme.script_to_scheme(F.col("word"), lang)
     return words.withColumn("spellings", F.transform(spelled, lambda s: scheme.round_trip(s, F.col("word"), lang)))
+
+
+def reverse_words_predictive(words: DataFrame, lang: str) -> DataFrame:
+    """Distinct native (word) rows with ``spellings``: how they may be typed, in order; none for a word that has no spelling."""
+    spelled = romanize.romanizations(words, lang).where("NOT truncated").select("word", F.struct("rank", F.array_join("letters", "").alias("typed")).alias("s"))
+    listed = spelled.groupBy("word").agg(F.transform(F.sort_array(F.collect_list("s")), lambda x: x["typed"]).alias("spellings"))
+    return words.select("word").distinct().join(listed, "word", "left").select("word", F.coalesce("spellings", F.array().cast("array<string>")).alias("spellings"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scheme, text
-from ..operators import counters, lexicon, lookup, ranking, romanize, trees
+from ..functions import letters, scheme, text
+from ..functions import rules as R
+from ..operators import counters, lexicon, lookup, predict, ranking, romanize, trees
+from ..sources import scratch, tables
 from . import jobs
 from . import oracles as O
 
@@ -55,6 +58,7 @@ def p1(spark, d):
 
 
 _P3 = "lower(word)"
+# The Hindi rewrites, without looking ahead, which the oracle's expressions lack.
 for _a, _b in (("c([eiy])", r"s\1"), ("ch", "\x01h"), ("c", "k"), ("\x01h", "ch"), ("ia", "iya"), ("au", "ou"), ("^hum$", "ham"), ("^hoon$", "hoom"), ("cch", "chch"), ("aa", "A"), ("ee", "I"), ("oo", "U"), ("w", "v"), ("ph", "f"), ("x", "ksh"), ("gyan", "gnyan")):
     _P3 = f"regexp_replace({_P3}, '{_a}', '{_b}', 'g')"
 
@@ -73,7 +77,7 @@ def _p8(lang: str) -> Query:
     return lambda spark, d: _words(spark, d).select("word", scheme.scheme_to_script(F.col("word"), lang).alias("form"))
 
 
-for _lang in ("hindi", "bengali", "tamil", "kannada"):
+for _lang in R.LANGUAGES:
     query(f"p8_scheme_to_script_{_lang}", f"WITH latin AS ({O.LATIN}), {O.forms_cte(_lang)} SELECT word, form FROM forms")(_p8(_lang))
 
 
@@ -86,10 +90,11 @@ def p10(spark, d):
 @query("p12_aksharas", f"WITH {O.syllables_cte(HINDI)} SELECT word, string_agg(akshara, '|' ORDER BY i) AS aksharas FROM syl GROUP BY word")
 def p12(spark, d):
     parts = scheme.aksharas(F.col("word"), HINDI)
-    return _native(spark, d).select("word", parts.alias("a")).where(F.size("a") > 0).select("word", F.array_join("a", "|").alias("aksharas"))
+    found = _native(spark, d).select("word", F.when(F.col("n") > 0, F.array_join(parts, "|")).alias("aksharas"), "n")
+    return found.where(lexicon.counted_where(F.col("aksharas") != "")).drop("n")
 
 
-@query("p13_is_valid_word", f"WITH {O.native_cte(HINDI)} SELECT word, word <> '' AND regexp_extract(word, '^(?:{scheme.word_pattern(HINDI)})') = word AS valid FROM native")
+@query("p13_is_valid_word", f"WITH {O.native_cte(HINDI)} SELECT word, word <> '' AND regexp_extract(word, '^(?:{letters.word_pattern(HINDI, plain=True)})') = word AS valid FROM native")
 def p13(spark, d):
     return _native(spark, d).select("word", scheme.is_valid_word(F.col("word"), HINDI).alias("valid"))
 
@@ -111,13 +116,65 @@ def p20(spark, d):
 
 @query(
     "p21_expand_options",
-    f"""WITH latin AS ({O.LATIN}), two AS (SELECT word FROM latin WHERE length(word) >= 2)
-    SELECT word, word[1] || word[2] || '|' || upper(word[1]) || word[2] || '|' || word[1] || upper(word[2]) || '|' || upper(word[1]) || upper(word[2]) AS options FROM two""",
+    f"""WITH latin AS ({O.LATIN}), ab AS (SELECT word, length(word) AS m FROM latin),
+    made AS (SELECT word, unnest(range(CAST(2 ** m AS BIGINT))) AS k, m FROM ab WHERE m <= 6),
+    joined AS (SELECT word, k, string_agg(CASE WHEN (k >> (i - 1)) & 1 = 1 THEN upper(word[i]) ELSE word[i] END, '' ORDER BY i) AS o FROM (SELECT word, k, unnest(range(1, m + 1)) AS i FROM made) GROUP BY word, k)
+    SELECT word, string_agg(o, '|' ORDER BY k) AS options FROM joined GROUP BY word UNION ALL SELECT word, word AS options FROM ab WHERE m > 6""",
 )
 def p21(spark, d):
-    letter = lambda k: F.array(F.substring("word", k, 1), F.upper(F.substring("word", k, 1)))
-    two = _words(spark, d).where(F.char_length("word") >= 2)
-    return two.select("word", F.array_join(text.expand_options(F.array(letter(1), letter(2))), "|").alias("options"))
+    chain = F.transform(F.regexp_extract_all("word", F.lit("."), F.lit(0)), lambda c: F.array(c, F.upper(c)))
+    return _words(spark, d).select("word", F.array_join(text.expand_options(chain), "|").alias("options"))
+
+
+@query("p9_script_to_symbols", f"WITH {O.native_cte(HINDI)} SELECT word, array_to_string(regexp_extract_all(word, '(?:{R.any_of(R.native_codes(HINDI))})|(?s:.)'), '|') AS symbols FROM native")
+def p9(spark, d):
+    return _native(spark, d).select("word", F.array_join(scheme.script_to_symbols(F.col("word"), HINDI), "|").alias("symbols"))
+
+
+@query(
+    "p14_valid_words",
+    f"WITH {O.native_cte(HINDI)}, line AS (SELECT left(word, 1) AS id, string_agg(word, ' - ' ORDER BY word) AS t FROM native GROUP BY 1) SELECT id, unnest(regexp_extract_all(t, '{letters.word_pattern(HINDI, plain=True)}')) AS found FROM line",
+)
+def p14(spark, d):
+    lines = _native(spark, d).groupBy(F.substring("word", 1, 1).alias("id")).agg(F.array_join(F.sort_array(F.collect_list("word")), " - ").alias("t"))
+    return lines.select("id", F.explode(scheme.valid_words(F.col("t"), HINDI)).alias("found"))
+
+
+# Letters standing for phonemes, with stress on every second vowel.
+_SPELLED = {"a": "ah0", "e": "eh", "i": "ih2", "o": "ow1", "u": "uh", "h": "hh", "c": "k", "q": "k", "x": "k_s", "j": "jh", "z": "z-", "w": "#"}
+
+
+def _phones(word):
+    out = word
+    for c, p in _SPELLED.items():
+        out = F.when(word == c, p).otherwise(out) if c != "a" else F.when(word == c, p).otherwise(word)
+    return out
+
+
+_PHONES = "CASE " + " ".join(f"WHEN c = '{c}' THEN '{p}'" for c, p in reversed(_SPELLED.items())) + " ELSE c END"
+
+
+def _pron(spark, d) -> DataFrame:
+    """The corpus's words with a phone for each letter."""
+    return _words(spark, d).select("word", F.transform(F.regexp_extract_all("word", F.lit("."), F.lit(0)), _phones).alias("phones"))
+
+
+_PRON = f"latin AS ({O.LATIN}), spoken AS (SELECT word, string_agg({_PHONES}, ' ' ORDER BY i) AS p FROM (SELECT word, unnest(string_split(word, '')) AS c, unnest(range(length(word))) AS i FROM latin) GROUP BY word)"
+
+
+@query("p16_clean_pronunciation", f"WITH {_PRON} SELECT word, trim(regexp_replace(replace(replace(replace(p, '_', ' '), '#', ''), '-', ' - '), ' +', ' ', 'g')) AS clean FROM spoken")
+def p16(spark, d):
+    return _pron(spark, d).select("word", text.clean_pronunciation(F.array_join("phones", " ")).alias("clean"))
+
+
+@query("p18_strip_stress", f"WITH {_PRON} SELECT word, replace(replace(p, 'ah0', 'ah'), 'ih2', 'ih') AS plain FROM spoken")
+def p18(spark, d):
+    return _pron(spark, d).select("word", text.strip_stress(F.array_join("phones", " ")).alias("plain"))
+
+
+@query("p17_join_phones")
+def p17(spark, d):
+    return _pron(spark, d).select("word", romanize.join_phones(F.col("phones")).alias("joined"))
 
 
 # --- look-ups -----------------------------------------------------------------------------------
@@ -201,12 +258,19 @@ def j9(spark, d):
 
 @query(
     "w6_insert_sound_candidate",
-    f"""WITH latin AS ({O.LATIN}) SELECT word, CASE
-      WHEN n > 3 AND n <= 30 THEN 'S|a|b|c|d|e' WHEN n > 30 THEN 'a|S|b|c|d|e' ELSE 'a|b|c|S|d|e' END AS options FROM latin""",
+    f"""WITH latin AS ({O.LATIN}), c AS (SELECT word, n, n > 3 AS e, n > 30 AS k, length(word) % 7 AS spot FROM latin),
+    p AS (SELECT *, CASE WHEN spot < 6 THEN 'abcdef'[spot + 1] ELSE 'S' END AS s FROM c),
+    r AS (SELECT *, spot < 4 AS shown, CASE WHEN e AND NOT k THEN 0 WHEN e THEN 1 ELSE 3 END AS place FROM p),
+    z AS (SELECT word, s, shown, e, k, place, list_filter(['a', 'b', 'c', 'd', 'e', 'f'], x -> x <> s) AS rest FROM r)
+    SELECT word, CASE WHEN shown AND NOT (e AND NOT k) THEN 'a|b|c|d|e|f'
+      WHEN e AND NOT k THEN array_to_string([s] || rest, '|')
+      ELSE array_to_string((['a', 'b', 'c', 'd', 'e', 'f'])[1:place] || [s] || (['a', 'b', 'c', 'd', 'e', 'f'])[place + 1:6], '|') END AS options FROM z""",
 )
 def w6(spark, d):
-    options = F.array(*map(F.lit, "abcde"))
-    placed = ranking.insert_sound_candidate(options, F.lit("S"), F.col("n") > 3, F.col("n") > 30)
+    options = F.array(*map(F.lit, "abcdef"))
+    at = F.char_length("word") % 7
+    candidate = F.when(at < 6, F.element_at(options, F.least(at, F.lit(5)) + 1)).otherwise("S")
+    placed = ranking.insert_sound_candidate(options, candidate, F.col("n") > 3, F.col("n") > 30)
     return _words(spark, d).select("word", F.array_join(placed, "|").alias("options"))
 
 
@@ -233,26 +297,58 @@ def w2(spark, d):
     return lexicon.log_normalize(lexicon.top_next(lexicon.akshara_bigrams(_native(spark, d), HINDI))).select("key", "prev", "akshara", "n", "score")
 
 
-@query("w3_simple_grid")
+_CELLS = ", ".join(f"('{key}', {place}, '{akshara}', {extended})" for key, place, akshara, extended in lexicon.grid_cells(HINDI))
+_GRID = f"""{O.top_cte(HINDI)}, cell(key, place, akshara, extended) AS (VALUES {_CELLS}), final AS (SELECT key, max(prev) AS prev FROM scored GROUP BY key),
+    grid AS (SELECT c.key, c.place, c.akshara, coalesce(s.score, 0) AS score FROM cell c JOIN final f ON c.key = f.key LEFT JOIN scored s ON s.key = c.key AND s.prev = f.prev AND s.akshara = c.akshara AND s.simple WHERE NOT extended
+      UNION ALL SELECT key, place, akshara, 0.0 AS score FROM cell WHERE extended)"""
+
+
+@query("w3_simple_grid", f"WITH {_GRID} SELECT key, place, akshara, CAST(score AS DOUBLE) AS score FROM grid")
 def w3(spark, d):
     return lexicon.simple_grid(lexicon.log_normalize(lexicon.top_next(lexicon.akshara_bigrams(_native(spark, d), HINDI))), HINDI)
 
 
-@query("e6_next_akshara_table", f"WITH {O.top_cte(HINDI)} SELECT prev, key, string_agg(akshara || ':' || CAST(CAST(score AS INT) AS VARCHAR), '|' ORDER BY akshara) AS entries FROM scored GROUP BY prev, key")
+_ENTRY = "akshara || ':' || CAST(CAST(score AS INT) AS VARCHAR)"
+_TABLE = f"{_GRID}, tab AS (SELECT prev, key, string_agg({_ENTRY}, '|' ORDER BY akshara) AS entries FROM scored WHERE NOT simple GROUP BY prev, key UNION ALL SELECT '#' AS prev, key, string_agg({_ENTRY}, '|' ORDER BY place) AS entries FROM grid GROUP BY key)"
+
+
+def _shown(entries):
+    return F.array_join(F.transform(entries, lambda e: F.concat_ws(":", e["akshara"], e["score"].cast("int").cast("string"))), "|")
+
+
+@query("e6_next_akshara_table", f"WITH {_TABLE} SELECT prev, key, entries FROM tab")
 def e6(spark, d):
-    done = jobs.next_syllable_table(_table(spark, d, "documents").select("text"), HINDI)
-    shown = F.transform("entries", lambda e: F.concat_ws(":", e["akshara"], e["score"].cast("int").cast("string")))
-    return done.select("prev", "key", F.array_join(shown, "|").alias("entries"))
+    return jobs.next_syllable_table(_table(spark, d, "documents").select("text"), HINDI).select("prev", "key", _shown("entries").alias("entries"))
 
 
-@query("j7_next_akshara_options", f"WITH {O.top_cte(HINDI)}, last AS (SELECT word, akshara AS prev FROM syl QUALIFY row_number() OVER (PARTITION BY word ORDER BY i DESC) = 1), sizes AS (SELECT prev, key, count(*) AS n FROM scored GROUP BY prev, key) SELECT l.word AS id, l.prev, coalesce(a.n, 0) AS after, coalesce(b.n, 0) AS begin FROM last l LEFT JOIN sizes a ON a.prev = l.prev AND a.key = 'क' LEFT JOIN sizes b ON b.prev = '^' AND b.key = 'क'")
+@query(
+    "j7_next_akshara_options",
+    f"WITH {_TABLE}, last AS (SELECT word, akshara AS prev FROM syl QUALIFY row_number() OVER (PARTITION BY word ORDER BY i DESC) = 1) SELECT l.word AS id, l.prev, a.entries AS compound, b.entries AS simple, l.prev LIKE '%्' AS joiner FROM last l LEFT JOIN tab a ON a.prev = l.prev AND a.key = 'क' LEFT JOIN tab b ON b.prev = '#' AND b.key = 'क'",
+)
 def j7(spark, d):
     native = _native(spark, d)
-    table = lexicon.next_table(native, HINDI)
-    states = native.select(F.col("word").alias("id"), F.col("word").alias("typed"), F.lit("क").alias("key"))
-    done = lookup.next_options(states.where(F.size(scheme.aksharas(F.col("typed"), HINDI)) > 0), table, HINDI)
-    count = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long").alias(c)
-    return done.select("id", "prev", count("after"), count("begin"))
+    states = native.select(F.col("word").alias("id"), F.col("word").alias("typed"), F.lit("क").alias("key"), "n")
+    states = states.where(lexicon.counted_where(F.size(scheme.aksharas(F.col("typed"), HINDI)) > 0)).drop("n")
+    done = lookup.next_options(states, lexicon.next_table(native, HINDI), HINDI)
+    return done.select("id", "prev", _shown("compound").alias("compound"), _shown("simple").alias("simple"), "joiner")
+
+
+@query("j8_joiner_variants", f"WITH {O.native_cte(HINDI)} SELECT word, CASE WHEN regexp_matches(word, '^{R.code_class(HINDI, R.CONS)}') THEN 'राज' || word || '|राज\u200c' || word ELSE 'राज' || word END AS variants FROM native")
+def j8(spark, d):
+    return _native(spark, d).select("word", F.array_join(lookup.joiner_variants(F.lit("राज"), F.col("word"), HINDI), "|").alias("variants"))
+
+
+@query("s11_export_akshara_map")
+def s11(spark, d):
+    return tables.export_akshara_map(jobs.next_syllable_table(_table(spark, d, "documents").select("text"), HINDI))
+
+
+@query("a8_letters_by_property", f"WITH {O.native_cte(HINDI)}, prop(property, letter) AS (VALUES " + ", ".join(f"('{p}', '{c}')" for p, own in letters.properties(HINDI).items() for c in own) + "), each AS (SELECT unnest(string_split(word, '')) AS letter, n FROM native) SELECT property, count(DISTINCT letter) AS letters, CAST(sum(n) AS BIGINT) AS n FROM each JOIN prop USING (letter) GROUP BY property")
+def a8(spark, d):
+    table = [(p, c) for p, own in letters.properties(HINDI).items() for c in own]
+    props = F.broadcast(spark.createDataFrame(table, "property string, letter string"))  # a rule table
+    each = _native(spark, d).select(F.explode(F.when(F.col("n") > 0, F.regexp_extract_all("word", F.lit("."), F.lit(0)))).alias("letter"), "n").groupBy("letter").agg(F.sum("n").alias("n"))
+    return each.join(props, "letter").groupBy("property").agg(F.count("*").alias("letters"), F.sum("n").alias("n"))
 
 
 @query("e1_transliterate_documents", _QUERIES["j2_apply_per_distinct_word"][1])
@@ -268,12 +364,6 @@ def e7(spark, d):
     return jobs.rollup_transliterated(_table(spark, d, "documents").select("text"), HINDI).select("form", "freq", F.array_join("sources", "|").alias("sources"))
 
 
-@query("e2_render_markup")
-def e2(spark, d):
-    marked = F.concat(F.lit("\\hindi \\itrans{"), F.regexp_replace("text", "[{}\\\\]", ""), F.lit("}\\english bye"))
-    return jobs.render_markup(_table(spark, d, "documents").select("doc_id", marked.alias("text")))
-
-
 @query("u1_merge_lexicons", f"WITH latin AS ({O.LATIN}) SELECT word FROM latin UNION SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM conversations")
 def u1(spark, d):
     return lexicon.merge_lexicons(_words(spark, d), lexicon.word_counts(_table(spark, d, "conversations").select("text")))
@@ -282,19 +372,20 @@ def u1(spark, d):
 # --- trees --------------------------------------------------------------------------------------
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
-GROUPS = [("vowels", list("aeiou")), ("stops", list("kgtdpb")), *[(c, [c]) for c in LETTERS]]
-_EXAMPLES = f"""latin AS ({O.LATIN}), spot AS (SELECT word, n, unnest(range(length(word))) AS focus FROM latin WHERE n >= 3),
-    ex AS (SELECT 't' AS key, word[greatest(focus - 4, 0) + 1 : focus + 5] AS win, focus - greatest(focus - 4, 0) AS off,
-      CASE WHEN word[focus + 2] = 'h' THEN 'TH' ELSE 'T' END AS cls, n FROM spot WHERE word[focus + 1] = 't')"""
+GROUPS = [("vowels", list("aeiou")), ("stops", ["k", "g", "t", "d", "p", "b", "th"]), *[(c, [c]) for c in LETTERS]]
+_EXAMPLES = f"""latin AS ({O.LATIN}), spot AS (SELECT word, n, unnest(range(length(word))) AS focus FROM latin),
+    ex AS (SELECT word[focus + 1] AS key, ('#' || word || '_')[greatest(focus - 3, 0) + 1 : focus + 7] AS win, focus + 1 - greatest(focus - 3, 0) AS off,
+      upper(word[focus + 1]) || CASE WHEN word[focus + 2] = 'h' THEN 'H' ELSE '' END AS cls, n FROM spot)"""
 
 
 def _examples(spark, d) -> DataFrame:
-    """The letter t in the corpus's words: its class is whether an h follows."""
-    at = _words(spark, d).where("n >= 3").select("word", "n", F.explode(F.sequence(F.lit(0), F.char_length("word") - 1)).alias("focus"))
-    at = at.where(F.substr("word", F.col("focus") + 1, F.lit(1)) == "t")
-    cls = F.when(F.substr("word", F.col("focus") + 2, F.lit(1)) == "h", "TH").otherwise("T")
-    rows = at.select(F.lit("t").alias("key"), text.letter_window(F.col("word"), F.col("focus")).alias("w"), cls.alias("cls"), "n")
-    return rows.groupBy("key", "w.window", "w.offset", "cls").agg(F.sum("n").alias("n")).withColumn("node", F.lit(1).cast("long"))
+    """Every letter of every word of the corpus: its class is itself and whether an h follows."""
+    at = _words(spark, d).select("word", "n", F.explode(F.sequence(F.lit(0), F.char_length("word") - 1)).alias("focus"))
+    letter = lambda k: F.substr("word", F.col("focus") + k, F.lit(1))
+    start = F.greatest(F.col("focus") - 3, F.lit(0))
+    window = F.substr(F.concat(F.lit("#"), F.col("word"), F.lit("_")), start + 1, F.col("focus") + 7 - start)
+    rows = at.select(letter(1).alias("key"), window.alias("window"), (F.col("focus") + 1 - start).alias("offset"), F.concat(F.upper(letter(1)), F.when(letter(2) == "h", "H").otherwise("")).alias("cls"), "n")
+    return rows.groupBy("key", "window", "offset", "cls").agg(F.sum("n").alias("n")).withColumn("node", F.lit(""))
 
 
 @query("a4_leaf_distribution", f"WITH {_EXAMPLES}, c AS (SELECT key, cls, CAST(sum(n) AS BIGINT) AS n FROM ex GROUP BY key, cls) SELECT key, string_agg(cls || ':' || n, '|' ORDER BY n DESC, cls) AS classes FROM c GROUP BY key")
@@ -311,32 +402,74 @@ def a5(spark, d):
 _DELTAS = ", ".join(f"({x}, {k})" for k, x in enumerate(trees.DISTANCES))
 _FEATURES = ", ".join(f"('{f}', '{x}', {k})" for k, (f, lits) in enumerate(GROUPS) for x in lits)
 _SPLITS = f"""{_EXAMPLES}, d(delta, drank) AS (VALUES {_DELTAS}), f(feature, literal, frank) AS (VALUES {_FEATURES}),
-    cell AS (SELECT delta, drank, feature, frank, cls, sum(CASE WHEN hit THEN n ELSE 0 END) AS l, sum(n) AS t FROM (
-      SELECT delta, drank, feature, frank, cls, n, win, off, bool_or(off + 1 + delta >= 0 AND ('#' || win || '_')[off + 2 + delta] = literal) AS hit
-      FROM (SELECT win, off, cls, sum(n) AS n FROM ex GROUP BY ALL), d, f GROUP BY ALL) GROUP BY ALL),
-    split AS (SELECT delta, drank, feature, frank, CAST(sum(l * l) AS DOUBLE) / sum(l) AS a, CAST(sum((t - l) * (t - l)) AS DOUBLE) / (sum(t) - sum(l)) AS b, sum(t) AS n
-      FROM cell GROUP BY ALL HAVING sum(l) > 0 AND sum(l) < sum(t))"""
+    heads AS (SELECT key, delta, drank, cls, win[off + delta + 1 : off + delta + 2] AS head, sum(n) AS n FROM ex, d WHERE off + delta >= 0 AND off + delta < length(win) GROUP BY ALL),
+    hit AS (SELECT DISTINCT key, delta, drank, cls, head, n, feature, frank FROM heads JOIN f ON starts_with(head, literal)),
+    l AS (SELECT key, delta, drank, feature, frank, cls, CAST(sum(n) AS DOUBLE) AS l FROM hit GROUP BY ALL),
+    t AS (SELECT key, cls, CAST(sum(n) AS DOUBLE) AS t FROM ex GROUP BY ALL), whole AS (SELECT key, sum(t) AS total, sum(t * t) AS sq FROM t GROUP BY key),
+    split AS (SELECT l.key, delta, drank, feature, frank, sum(l * l) / sum(l) AS a, (any_value(sq) + sum((t - l) * (t - l) - t * t)) / (any_value(total) - sum(l)) AS b, any_value(total) AS n
+      FROM l JOIN t USING (key, cls) JOIN whole USING (key) GROUP BY ALL HAVING sum(l) < any_value(whole.total))"""
 
 
-@query("a6_split_scores", f"WITH {_SPLITS} SELECT delta, feature, round((a + b) / n, 9) AS score FROM split")
+@query("a6_split_scores", f"WITH {_SPLITS} SELECT key, delta, feature, round(round((a + b) / n, 12), 9) AS score FROM split")
 def a6(spark, d):
-    return trees.split_scores(_examples(spark, d), trees.features(spark, GROUPS)).select("delta", "feature", F.round("score", 9).alias("score"))
+    return trees.split_scores(_examples(spark, d), trees.features(spark, GROUPS)).select("key", "delta", "feature", F.round("score", 9).alias("score"))
 
 
-@query("w4_best_split", f"WITH {_SPLITS} SELECT delta, feature, round((a + b) / n, 9) AS score FROM split ORDER BY round((a + b) / n, 12) DESC, drank, frank LIMIT 1")
+@query(
+    "w4_best_split",
+    f"WITH {_SPLITS}, pure AS (SELECT key, sum(t * t) / (sum(t) * sum(t)) AS purity FROM t GROUP BY key) SELECT key, delta, feature, round(round((a + b) / n, 12), 9) AS score FROM split JOIN pure USING (key) WHERE round((a + b) / n, 12) > round(purity, 12) QUALIFY row_number() OVER (PARTITION BY key ORDER BY round((a + b) / n, 12) DESC, drank, frank) = 1",
+)
 def w4(spark, d):
-    ex = _examples(spark, d)
-    return trees.best_split(trees.split_scores(ex, trees.features(spark, GROUPS)), trees.node_purity(ex)).select("delta", "feature", F.round("score", 9).alias("score"))
+    ex = scratch.cut(_examples(spark, d))
+    return trees.best_split(trees.split_scores(ex, trees.features(spark, GROUPS)), trees.node_purity(ex)).select("key", "delta", "feature", F.round("score", 9).alias("score"))
 
 
 # --- romanisation and models --------------------------------------------------------------------
 
 
+_TREES: dict[tuple[str, str], str] = {}
+
+
+def _model(spark, d) -> DataFrame:
+    """The Hindi trees of the corpus's words, grown once in a session and kept as a table in the shared folder."""
+    at = spark.sparkContext.applicationId, d
+    if at not in _TREES:
+        path = f"{scratch.shared_dir(spark)}/trees-{uuid.uuid4().hex}"
+        tables.write_model(jobs.train_language(_native(spark, d), HINDI), path, HINDI)
+        _TREES[at] = path
+    return tables.read_model(spark, _TREES[at], HINDI)
+
+
+def _typed(spark, d) -> DataFrame:
+    """The conversations' words, as people type them."""
+    return lexicon.word_counts(_table(spark, d, "conversations").select("text")).select("word")
+
+
+def _helpers(spark, d) -> dict[str, DataFrame]:
+    """What ranks suggestions besides the trees, all from the corpus: its native words, common words as English, the
+    commonest as clashing, sounded words, overrides for words in th."""
+    words = _words(spark, d)
+    return {
+        "tree": _model(spark, d),
+        "lexicon": _native(spark, d),
+        "sounds": romanize.sound_candidates(_pron(spark, d), HINDI),
+        "english": words.where(lexicon.counted_where(F.col("n") > 3)),
+        "clash": words.where(lexicon.counted_where(F.col("n") > 30)),
+        "overrides": words.where("word LIKE 'th%'").select(F.col("word").alias("latin"), F.array(F.upper("word")).alias("options")),
+    }
+
+
 @query("p22_romanizations")
 def p22(spark, d):
     return romanize.romanizations(_native(spark, d), HINDI).select("word", "rank", F.array_join("letters", "").alias("latin"), F.array_join("classes", "|").alias("classes"), "truncated")
 
 
+@query("p23_align_pair")
+def p23(spark, d):
+    pairs = _words(spark, d).select(text.preprocess(F.col("word")).alias("literal"), scheme.scheme_to_script(F.col("word"), HINDI).alias("word"))
+    return romanize.align_pair(pairs, HINDI).select("literal", "word", F.array_join("letters", "|").alias("letters"), F.array_join(text.strip_epsilon(F.col("classes")), "|").alias("classes"), "exact")
+
+
 @query("p4_preprocess_with_focus")
 def p4(spark, d):
     return romanize.preprocess_with_focus(_words(spark, d).select("word", (F.char_length("word") - 1).alias("focus")))
@@ -349,9 +482,85 @@ def m1(spark, d):
 
 @query("p24_phoneme_options")
 def p24(spark, d):
-    phones = F.transform(F.regexp_extract_all("word", F.lit("."), F.lit(0)), lambda c: F.when(c == "a", "ah").when(c == "e", "eh").when(c == "i", "ih").when(c == "o", "ow").when(c == "u", "uh").when(c == "h", "hh").otherwise(c))
-    done = romanize.sound_candidates(_words(spark, d).select("word", phones.alias("phones")), HINDI)
-    return done.select("word", F.array_join("options", "|").alias("options"))
+    phones = _pron(spark, d).select(F.filter(F.split(text.strip_stress(text.clean_pronunciation(F.array_join("phones", " "))), " "), lambda p: p != "").alias("phones"))
+    done = romanize.phoneme_options(phones)
+    return done.select(F.array_join("phones", " ").alias("phones"), F.array_join(F.transform("chain", lambda o: F.array_join(o, "/")), "|").alias("options"))
+
+
+@query("m6_sound_candidates")
+def m6(spark, d):
+    return romanize.sound_candidates(_pron(spark, d), HINDI).select("word", F.array_join("options", "|").alias("options"))
+
+
+@query("e8_train_language")
+def e8(spark, d):
+    return _model(spark, d).select("key", "node", "delta", "feature", F.array_join(F.transform("classes", lambda c: F.concat_ws(":", c["cls"], c["n"].cast("string"))), "|").alias("classes"))
+
+
+@query("a7_alternate_classes")
+def a7(spark, d):
+    return trees.alternate_classes(_model(spark, d))
+
+
+@query("m3_predict_letter")
+def m3(spark, d):
+    typed = _typed(spark, d).select(text.preprocess(F.col("word")).alias("typed")).distinct()
+    return trees.predict(predict.typed_windows(typed, HINDI), _model(spark, d)).select("typed", "pos", "key", F.try_element_at("classes", F.lit(1))["cls"].alias("cls"))
+
+
+@query("m4_predict_word")
+def m4(spark, d):
+    return predict.predict_words(_typed(spark, d), _model(spark, d), HINDI).select("word", F.array_join("options", "|").alias("options"), "valid")
+
+
+@query("m5_alternatives_at")
+def m5(spark, d):
+    pairs = _words(spark, d).select(F.col("word").alias("latin"), text.preprocess(F.col("word")).alias("literal"), scheme.scheme_to_script(F.col("word"), HINDI).alias("word"))
+    found = romanize.align_pair(pairs, HINDI).where("exact").join(pairs, ["literal", "word"])
+    asked = found.select(text.strip_epsilon(F.col("classes")).alias("chars"), "latin", F.lit(0).alias("pos"))
+    return predict.alternatives_at(asked, _model(spark, d), HINDI).select("latin", "pos", F.array_join("chars", "").alias("word"), F.array_join("options", "|").alias("options"))
+
+
+@query("e3_suggest")
+def e3(spark, d):
+    return predict.suggest(_typed(spark, d), HINDI, **_helpers(spark, d)).select("word", F.array_join("options", "|").alias("options"), "itrans")
+
+
+@query("s10_to_response_json")
+def s10(spark, d):
+    done = predict.suggest(_typed(spark, d), HINDI, **_helpers(spark, d))
+    return done.select("word", tables.to_response_json(F.col("word"), F.col("options"), F.col("chars"), F.col("itrans")).alias("json"))
+
+
+@query("e4_top_suggestion")
+def e4(spark, d):
+    return predict.top_suggestion(predict.suggest(_typed(spark, d), HINDI, **_helpers(spark, d)))
+
+
+@query("e1_transliterate_predicted")
+def e1p(spark, d):
+    said = _table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), "text")
+    return jobs.transliterate_predicted(said, HINDI, tree=_model(spark, d), lexicon=_native(spark, d))
+
+
+@query("e2_render_markup")
+def e2(spark, d):
+    plain = F.regexp_replace("text", "[{}\\\\]", "")
+    marked = F.concat(F.lit("\\hindi "), plain, F.lit(" \\itrans{"), plain, F.lit("}\\english bye"))
+    return jobs.render_markup(_table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), marked.alias("text")), models={HINDI: _model(spark, d)})
+
+
+@query("e5_reverse_words")
+def e5(spark, d):
+    return jobs.reverse_words_predictive(_native(spark, d), HINDI).select("word", F.array_join("spellings", "|").alias("spellings"))
+
+
+@query("u2_dedupe_examples", f"WITH latin AS ({O.LATIN}), e AS (SELECT word, i AS pos, word[i + 1] AS key, word[greatest(i - 1, 0) + 1 : i + 2] AS win, i - greatest(i - 1, 0) AS off, upper(word[i + 2]) AS cls FROM (SELECT word, unnest(range(length(word))) AS i FROM latin)), one AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY word, key, win, off ORDER BY pos, cls) = 1) SELECT key, win, off, cls, count(*) AS n FROM one GROUP BY ALL")
+def u2(spark, d):
+    at = _words(spark, d).select("word", F.explode(F.sequence(F.lit(0), F.char_length("word") - 1)).alias("pos"))
+    rows = at.select(F.col("word").alias("word_id"), "pos", F.substr("word", F.col("pos") + 1, F.lit(1)).alias("key"), text.letter_window(F.col("word"), F.col("pos"), 1).alias("w"), F.upper(F.substr("word", F.col("pos") + 2, F.lit(1))).alias("cls"))
+    done = lexicon.dedupe_examples(rows.select("word_id", "pos", "key", "w.window", "w.offset", "cls"))
+    return done.select("key", F.col("window").alias("win"), F.col("offset").cast("long").alias("off"), "cls", "n")
 
 
 # --- counters -----------------------------------------------------------------------------------

@@ -23,16 +23,26 @@ def read_wordset(spark: SparkSession, path: str, lang: str, kind: str) -> DataFr
     return words.select(F.lit(lang).alias("lang"), F.lit(kind).alias("kind"), "word")
 
 
-def read_overrides(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
-    """``lang, latin, options`` of (lang, file) pairs; a file's first line is a header, and the last line of a spelling holds."""
-    out = None
-    for lang, path in files:
-        lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
-        part = F.split(F.trim("value"), r"\s+")
-        rows = lines.where("at > 0").where(F.trim("value") != "").select(F.lit(lang).alias("lang"), F.lower(part[0]).alias("latin"), F.slice(part, 2, F.size(part)).alias("options"), "at")
-        out = rows if out is None else out.unionByName(rows)
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """``at, value``: a small rule file's lines in their order, from one row with the whole text."""
+    whole = spark.read.option("wholetext", True).text(path)
+    return whole.select(F.posexplode(F.split("value", "\r?\n")).alias("at", "value"))
+
+
+def read_overrides(spark: SparkSession, manifest: str, folder: str = "") -> DataFrame:
+    """``lang, latin, options`` of the files that a manifest lists: a header line, then language and file a line.
+
+    A file has a header line, then spelling and options a line; of lines with one spelling the last
+    holds. Files are rule tables of a few lines, found below ``folder``. A manifest without files gives no rows.
+    """
+    part = F.split(F.trim("value"), r"\s+")
+    listed = _lines(spark, manifest).where("at > 0 AND trim(value) <> ''").select(part[0].alias("lang"), part[1].alias("file")).collect()
+    out = spark.createDataFrame([], "lang string, latin string, options array<string>, at int")
+    for r in listed:
+        lines = _lines(spark, f"{folder}/{r['file']}" if folder else r["file"]).where("at > 0 AND trim(value) <> ''")
+        out = out.unionByName(lines.select(F.lit(r["lang"]).alias("lang"), F.lower(part[0]).alias("latin"), F.slice(part, 2, F.size(part)).alias("options"), "at"))
     last = Window.partitionBy("lang", "latin").orderBy(F.desc("at"))
-    return out.withColumn("k", F.row_number().over(last)).where("k = 1").drop("k", "at")
+    return out.withColumn("place", F.row_number().over(last)).where("place = 1").select("lang", "latin", "options")
 
 
 def read_pron_dict(spark: SparkSession, path: str) -> DataFrame:
@@ -60,13 +70,15 @@ def write_tsv_rollups(rollup: DataFrame, path: str) -> None:
     rollup.select(F.concat_ws("\t", "form", F.array_join("sources", "\t"))).write.text(f"{path}/sources")
 
 
-def to_response_json(word: Column, options: Column, itrans: Column) -> Column:
-    """A suggestion as JSON text, properly escaped."""
-    entry = F.struct(word.alias("word"), F.lit(True).alias("options"), options.alias("optmap"))
+def to_response_json(word: Column, options: Column, chars: Column, itrans: Column) -> Column:
+    """A suggestion as JSON text, properly escaped: the input, its options with the letters of each, and the scheme reading."""
+    pairs = F.filter(F.arrays_zip(options.alias("o"), chars.alias("c")), lambda x: x["o"].isNotNull() & x["c"].isNotNull())
+    letters = F.map_from_entries(F.transform(F.array_distinct(F.transform(pairs, lambda x: x["o"])), lambda o: F.struct(o.alias("key"), F.try_element_at(F.filter(pairs, lambda x: x["o"] == o), F.lit(1))["c"].alias("value"))))
+    entry = F.struct(F.lit(True).alias("word"), options.alias("options"), letters.alias("optmap"))
     return F.to_json(F.struct(word.alias("inString"), F.array(entry).alias("twords"), itrans.alias("itrans")))
 
 
 def export_akshara_map(table: DataFrame) -> DataFrame:
-    """The next-syllable table as JSON, a row for each key letter: one object of ``prev+key`` to entries."""
+    """The next-syllable table as JSON objects of ``prev+key`` to entries, one for each key letter (rows of one object together are the whole map)."""
     entry = F.struct(F.concat_ws("+", "prev", "key").alias("k"), F.col("entries").alias("e"))
     return table.groupBy("key").agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(entry)))).alias("json"))
