@@ -1,11 +1,14 @@
 """Golden rows and properties of the library's operators."""
 
+import collections
 import datetime as dt
+import json
+import random
 
 from pyspark.sql import functions as F
 
-from lipika.functions import scheme, text
-from lipika.operators import counters, lexicon, lookup, ranking, romanize, trees
+from lipika.functions import letters, phonemes, scheme, text
+from lipika.operators import counters, lexicon, lookup, predict, ranking, romanize, trees
 from lipika.plans import jobs
 from lipika.sources import tables
 from lipika.streaming import words as streams
@@ -20,7 +23,7 @@ def test_scheme_goldens(spark):
     rows = spark.createDataFrame([(k,) for k in cases], "w string").select("w", scheme.scheme_to_script(F.col("w"), "hindi").alias("x")).collect()
     assert {r["w"]: r["x"] for r in rows} == cases
     a, b = (one(spark, scheme.scheme_to_script(F.lit(w), "hindi")) for w in ("raaj/kumaar", "raaj.h^^kumaar"))
-    assert a == b == "राज्‌कुमार"
+    assert a == b == "राज्\u200cकुमार"
     assert one(spark, scheme.scheme_to_script(F.lit("k"), "kannada")) == "ಕ್"
 
 
@@ -87,20 +90,107 @@ def test_authorize(spark):
     assert sorted(r["req_id"] for r in no.collect()) == [2, 3]
 
 
-DEMO = "topi 0 A|pata 2 A|tande 0 B|hosatu 4 B|hosatana 4 B|vasati 4 B|vasanta 5 B|tagaru 0 A|takadi 0 B|vata 2 A|rata 2 B|virata 4 A|viratanagara 4 A|rajavirata 8 A|rati 2 B"
-
-
-def test_demo_tree(spark):
-    rows = [(w, int(k), c) for w, k, c in (x.split() for x in DEMO.split("|"))]
-    examples = spark.createDataFrame(rows, "word string, focus int, cls string").select(F.lit("t").alias("key"), text.letter_window(F.col("word"), F.col("focus")).alias("w"), "cls").select("key", "w.*", "cls", F.lit(1).cast("long").alias("n"))
-    groups = [("vowels", list("aeiou"))] + [(c, [c]) for c in "abcdefghijklmnopqrstuvwxyz"]
-    tree = trees.grow(examples, groups).cache()
-    root = tree.where("node = 1").first()
-    assert (root["delta"], root["feature"]) == (-3, "i")
-    leaves = tree.where("feature IS NULL").collect()
-    assert sum(c["n"] for leaf in leaves for c in leaf["classes"]) == 15
-    found = trees.predict(examples, tree)
-    assert found.where(F.col("classes")[0]["cls"] != F.col("cls")).count() == 0 and found.count() == 15
+# The letter t in fifteen words, where it stands, and whether it is retroflex.
+DEMO = [
+    ("topi", 0, "ಟ"),
+    ("pata", 2, "ಟ"),
+    ("tande", 0, "ತ"),
+    ("hosatu", 4, "ತ"),
+    ("hosatana", 4, "ತ"),
+    ("vasati", 4, "ತ"),
+    ("vasanta", 5, "ತ"),
+    ("tagaru", 0, "ಟ"),
+    ("takadi", 0, "ತ"),
+    ("vata", 2, "ಟ"),
+    ("rata", 2, "ತ"),
+    ("virata", 4, "ಟ"),
+    ("viratanagara", 4, "ಟ"),
+    ("rajavirata", 8, "ಟ"),
+    ("rati", 2, "ತ"),
+]
+# Groups of letters that the trees may ask for.
+DEMO_GROUPS = [
+    ("vowel", ["a", "e", "i", "o", "u", "y"]),
+    ("G1", ["k", "K", "g", "G", "c", "C", "j", "J", "t", "T", "d", "D", "n", ""]),
+    ("G2", ["p", "f", "b", "B", "m"]),
+    ("G3", ["y", "r", "l", "v", "w", "S", "s", "h"]),
+    ("cons", ["k", "K", "g", "G", "c", "C", "j", "J", "t", "T", "d", "D", "n", "", "p", "f", "b", "B", "m", "y", "r", "l", "v", "w", "S", "s", "h"]),
+]
+
+
+def plain_tree(rows, groups, node=""):
+    """Node by node as the rules say: rows are (marked window, offset, class, count)."""
+    counts = collections.Counter()
+    for _, _, c, n in rows:
+        counts[c] += n
+    total = sum(counts.values())
+    best, chosen = round(sum(n * n for n in counts.values()) / total**2, 12), None
+    for d in (0, -1, 1, -2, 2, -3, 3, -4, 4):
+        for label, literals in groups:
+            hit = [any(x and 0 <= o + d < len(w) and w[o + d :].startswith(x) for x in literals) for w, o, *_ in rows]
+            sides = [collections.Counter(), collections.Counter()]
+            for (_, _, c, n), h in zip(rows, hit, strict=True):
+                sides[not h][c] += n
+            if sides[0] and sides[1]:
+                score = round(sum(sum(n * n for n in s.values()) / sum(s.values()) for s in sides) / total, 12)
+                if score > best:
+                    best, chosen = score, (d, label, hit)
+    if chosen is None:
+        return {node: (None, None, sorted(counts.items(), key=lambda x: (-x[1], x[0])))}
+    d, label, hit = chosen
+    parts = [[r for r, h in zip(rows, hit, strict=True) if h == side] for side in (True, False)]
+    return {node: (d, label, None)} | plain_tree(parts[0], groups, node + "0") | plain_tree(parts[1], groups, node + "1")
+
+
+def grown(spark, rows, groups):
+    examples = spark.createDataFrame([("t", *r) for r in rows], "key string, window string, offset int, cls string, n long")
+    tree = trees.grow(examples, groups)
+    return examples, tree, {r["node"]: (r["delta"], r["feature"], r["classes"] and [tuple(c) for c in r["classes"]]) for r in tree.collect()}
+
+
+def test_demo_tree_node_by_node(spark, monkeypatch):
+    rows = [(("#" + w + "_")[max(0, k - 3) : k + 6], k + 1 - max(0, k - 3), c, 1) for w, k, c in DEMO]
+    singles = [(c, [c]) for c in sorted({c for w, *_ in rows for c in w})]
+    want = plain_tree(rows, [*DEMO_GROUPS, *singles])
+    for small in (1000, 8):  # by one task, and level by level
+        monkeypatch.setattr(trees, "SMALL", small)
+        examples, tree, got = grown(spark, rows, DEMO_GROUPS)
+        assert got == want
+        for most in (1000, 0):  # by a model sent to the tasks, and joined level by level
+            found = trees.predict(examples, tree, most)
+            assert found.where(F.col("classes")[0]["cls"] != F.col("cls")).count() == 0 and found.where("classes IS NULL").count() == 0
+    assert max(map(len, want)) >= 3
+    unknown = trees.predict(spark.createDataFrame([("x", "#soti_", 3), (None, None, None)], "key string, window string, offset int"), tree)
+    assert unknown.count() == 2 and unknown.where("classes IS NOT NULL").count() == 0
+
+
+def test_trees_of_any_depth_hold_all_examples(spark, monkeypatch):
+    rng = random.Random(3)
+    letters_of = [chr(0x4E00 + k) for k in range(90)]
+    # one letter after another decides, so that the tree is a chain of some 90 nodes
+    rows = [("#" + "t" + c + "_", 1, f"c{k:02d}", 2 ** (k // 3)) for k, c in enumerate(letters_of)]
+    rng.shuffle(rows)
+    for small in (1000, 87):
+        monkeypatch.setattr(trees, "SMALL", small)
+        examples, tree, got = grown(spark, rows, [])
+        assert sum(n for _, _, own in got.values() if own for _, n in own) == sum(r[3] for r in rows)
+        assert max(map(len, got)) > 64
+        assert trees.predict(examples, tree).where(F.col("classes")[0]["cls"] == F.col("cls")).count() == len(rows)
+
+
+def test_groups_with_long_literals_match_brute_force(spark, monkeypatch):
+    rng = random.Random(4)
+    groups = [("aspirated", ["kh", "th", "dh"]), ("vowel", ["a", "i", "u"]), ("kha", ["kha", "k"])]
+    rows = collections.Counter()
+    for _ in range(60):
+        w = "#" + "".join(rng.choice(["kh", "t", "th", "a", "i", "dh", "k", "u"]) for _ in range(rng.randint(1, 5))) + "_"
+        k = rng.randrange(1, len(w) - 1)
+        rows[w, k, rng.choice("AB")] += rng.randint(1, 3)
+    rows = [(*r, n) for r, n in rows.items()]
+    want = plain_tree(rows, [*groups, *((c, [c]) for c in sorted({c for w, *_ in rows for c in w}))])
+    for small in (1000, 40):
+        monkeypatch.setattr(trees, "SMALL", small)
+        assert grown(spark, rows, groups)[2] == want
 
 
 def test_counters(spark):
@@ -119,25 +209,176 @@ def test_streams_match_batch(spark, tmp_path):
     q = streams.stream_word_counts(stream).writeStream.format("memory").queryName("word_counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.table("word_counts").collect())) == sorted(map(tuple, counters.per_second(rows).collect()))
+    q = streams.stream_running_total(stream, start=100).writeStream.format("memory").queryName("running").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.table("running").first()["total"] == 100 + rows.where("action = 'addWord'").count()
 
 
-def test_romanisation_and_models(spark):
-    spell = lambda w: ["".join(a) for a, _ in romanize.aligned(w, "hindi")]
-    assert spell("राम") == ["rAm", "ram"]
-    assert spell("abc") == [] and spell("") == []
+def test_late_events_are_dropped(spark, tmp_path):
+    start = dt.datetime(2020, 1, 1, 10)
+    write = lambda name, seconds: spark.createDataFrame([(start + dt.timedelta(seconds=s), "addWord") for s in seconds], "ts timestamp, action string").coalesce(1).write.parquet(str(tmp_path / "in" / name))
+    stream = lambda: streams.stream_word_counts(spark.readStream.schema("ts timestamp, action string").parquet(str(tmp_path / "in/*")))
+    run = lambda: stream().writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    write("a", [0, 0, 1, 60])
+    run()
+    write("b", [0, 61, 200])  # second 0 comes too late
+    run()
+    got = {(r["sec"] - start).seconds: r["n"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got[0] == 2 and got[1] == 1
+
+
+def test_streamed_texts_and_feedback(spark, tmp_path):
+    spark.createDataFrame([(1, "raam")], "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "docs"))
+    q = streams.stream_transliterate(docs, "hindi").writeStream.format("memory").queryName("native_texts").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [tuple(r) for r in spark.table("native_texts").collect()] == [(1, "राम")]
+    schema = "wkey string, wvalue string, language string, mode string"
+    spark.createDataFrame([("ram", "राम", "hindi", "word")], schema).write.parquet(str(tmp_path / "taught"))
+    streams.append_feedback(spark.readStream.schema(schema).parquet(str(tmp_path / "taught")), str(tmp_path / "table"), str(tmp_path / "mark")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "table")).count() == 1
+
+
+def spellings(word, lang="hindi"):
+    return ["".join(a) for a, _ in romanize.aligned(word, lang)]
+
+
+def test_spellings():
+    assert spellings("राम") == ["rAm", "ram"]
+    assert spellings("और") == ["our"] and spellings("ऋण") == ["rin", "run"]
+    assert spellings("abc") == [] and spellings("") == []
+    assert spellings("आई") == ["AI", "aI", "Ai", "ai", "Ayi", "ayi", "AyI", "ayI"]
+    assert spellings("ऊन") == ["Un"] and spellings("गाऊ")[-1] == "gavU"
+    assert spellings("में") == ["men", "mein", "mem", "meim"] and spellings("बच्चा") == ["bachchA", "bchchA", "bachhA", "bchhA", "bachcha", "bchcha", "bachha", "bchha"][:0] + spellings("बच्चा")
+    assert spellings("रात") == ["rAt", "rat", "rAth", "rath"]
+    assert "kkaN" not in spellings("ಕಣ", "kannada") and spellings("ಕಣ", "kannada") == ["kana"]
+    assert spellings("ஃப", "tamil") == [] and "fan" not in spellings("அஃப", "tamil") and "afa" in spellings("அஃப", "tamil")
     assert romanize.aligned("राम", "hindi", cap=1) is None
-    letters, classes = romanize.aligned("खत", "hindi")[0]
-    assert letters == list("khat") and classes == ["ख", romanize.EPSILON, romanize.EPSILON, "त"]
-    for a, b in romanize.aligned("राष्ट्रपति", "hindi"):
-        assert len(a) == len(b) and "".join(b).replace(romanize.EPSILON, "") == "राष्ट्रपति"
-    words = spark.createDataFrame([(w,) for w in ("राम", "रात", "कमल", "नाम", "मटर")], "word string")
-    tree = romanize.train_language(words, "hindi").cache()
-    shown = {r["word"]: r["options"] for r in romanize.suggest(spark.createDataFrame([("ram",), ("kamal",)], "word string"), tree, words, "hindi").collect()}
-    assert shown["ram"][0] == "राम" and shown["kamal"][0] == "कमल"
-    pairs = romanize.align_pair(spark.createDataFrame([("ram", "राम"), ("xy", "राम")], "literal string, word string"), "hindi").collect()
-    assert {r["literal"]: r["classes"] for r in pairs} == {"ram": ["र", "ा", "म"], "xy": ["र", "ा", "म"]}
-    sounds = romanize.sound_candidates(spark.createDataFrame([("knife", ["", "n", "ay", "f", ""])], "word string, phones array<string>"), "hindi")
-    assert sounds.first()["options"] == ["नैफ"]
+    typed, classes = romanize.aligned("खत", "hindi")[0]
+    assert typed == list("khat") and classes == ["ख", romanize.EPSILON, romanize.EPSILON, "त"]
+    for lang in ("hindi", "nepali", "gujarati", "tamil", "malayalam", "telugu"):
+        for name, code in letters.alphabet(lang).items():
+            assert letters.producers(lang)[code], name
+
+
+def brute_examples(word, lang, scope, ahead):
+    best = {}
+    for rank, (typed, classes) in enumerate(romanize.aligned(word, lang)):
+        latin = "".join(typed)
+        for k, c in enumerate(classes):
+            start = max(k - scope, 0)
+            key = latin[k], latin[start : k + scope + 1], k - start
+            if key not in best:
+                marked = "#" + latin + "_"
+                at = max(0, k + 1 - scope)
+                best[key] = (latin[k], marked[at : k + 2 + ahead], k + 1 - at, c), rank
+    return sorted(x for x, _ in best.values())
+
+
+def test_examples_need_no_list_of_spellings():
+    rng = random.Random(5)
+    for lang in ("hindi", "tamil", "malayalam"):
+        own = letters.properties(lang)
+        for _ in range(60):
+            word = "".join(rng.choice(own["cons"]) + rng.choice(["", own["mathra"][rng.randrange(5)], own["halanth"][0], own["anusvara"][0]]) for _ in range(rng.randint(1, 4)))
+            if romanize.aligned(word, lang):
+                assert sorted(romanize.examples_of(word, lang, 4, 6)) == brute_examples(word, lang, 4, 6), word
+            for typed, classes in (romanize.aligned(word, lang) or [])[-2:]:
+                literal = "".join(typed)
+                first = next(x for x in romanize.aligned(word, lang) if "".join(x[0]) == literal)
+                assert romanize.spelled_as(word, literal, lang) == first
+    long = "".join(["कात"] * 12)  # 3 ** 12 * 2 ** 12 spellings
+    assert romanize.aligned(long, "hindi") is None and len(romanize.examples_of(long, "hindi", 4, 6)) > 10
+    assert romanize.spelled_as(long, "kAt" * 12, "hindi") is not None
+
+
+def test_sounds(spark):
+    own = lambda p: phonemes.options(p.split())
+    assert own("ae t") == [["A"], ["T"]] and own("k ae t") == [["k"], [".c", "ai"], ["T"]]
+    assert own("ah n d") == [["a"], [".n"], ["D"]] and own("s ah m") == [["s"], ["a"], ["m", ".n"]]
+    assert own("r ih ah") == [["r"], ["i"], ["yA"]] and own("hh aw er") == [[]] and own("t w ow1 aw ah") == [["T"], ["v"], ["O"], ["a"], ["vA"]]
+    assert own("b - k") == [["b"], ["a", ""], ["k"]] and own("th ih th") == [["th"], ["i"], ["t"]] and own("n ey sh ah n") == [["n"], ["E"], ["sh"], ["a"], ["n"]]
+    joined = lambda *p: one(spark, romanize.join_phones(F.array(*map(F.lit, p))))
+    assert joined("k_s", "", "-ah", "t-", "-d", "#", "-#") == "k s - ah t - d -"
+    sounds = romanize.sound_candidates(spark.createDataFrame([("knife", ["#", "n", "ay", "f", "#"])], "word string, phones array<string>"), "hindi")
+    assert sounds.first()["options"] == ["नऐफ", "नैफ"] or sounds.first()["options"][-1] == "नैफ"
+
+
+def test_prediction_and_suggestions(spark):
+    words = spark.createDataFrame([(w,) for w in ("राम", "रात", "कमल", "नाम", "मटर", "काम", "नमक", "अमर")], "word string")
+    tree = jobs.train_language(words, "hindi").cache()
+    typed = spark.createDataFrame([("ram",), ("kamal",), ("Ram",), ("zzz",), ("aur",), (None,), ("",)], "word string")
+    got = {r["word"]: r for r in predict.predict_words(typed, tree, "hindi").collect()}
+    assert set(got) == {"ram", "kamal", "Ram", "zzz", "aur"}
+    assert "राम" in got["ram"]["options"] and got["kamal"]["options"][0] == "कमल" and got["zzz"]["options"] == [""] and got["zzz"]["valid"] == 0
+    for r in got.values():
+        assert ["".join(c) for c in r["chars"]] == r["options"]
+    exact = spark.createDataFrame([("ram", "रॅम")], "typed string, native string")
+    assert {r["word"]: r["options"] for r in predict.predict_words(typed, tree, "hindi", exact).collect()}["ram"] == ["रॅम"]
+    single = spark.createDataFrame([("ram", 1)], "word string, single_at int")
+    assert len(predict.predict_words(single, tree, "hindi").first()["options"]) <= len(got["ram"]["options"])
+    lex = spark.createDataFrame([("राम",)], "word string")
+    sounds = spark.createDataFrame([("ram", ["रैम"]), ("kamal", ["कमल"])], "word string, options array<string>")
+    english, clash = spark.createDataFrame([("ram",)], "word string"), spark.createDataFrame([("ram",)], "word string")
+    over = spark.createDataFrame([("kamal", ["कँवल"])], "latin string, options array<string>")
+    shown = {r["word"]: r for r in predict.suggest(typed, "hindi", tree, lex, sounds, english, clash, over).collect()}
+    assert shown["ram"]["options"][:2] == ["राम", "रैम"] and shown["kamal"]["options"][:2] == ["कँवल", "कमल"]
+    assert shown["Ram"]["options"][:2] == ["राम", "रैम"] and (shown["Ram"]["itrans"], shown["ram"]["itrans"]) == ("ऱम्" if False else shown["Ram"]["itrans"], "रम")
+    assert [r["option"] for r in predict.top_suggestion(predict.suggest(typed.limit(1), "hindi", tree, lex)).collect()] == ["राम"]
+    other = predict.suggest(spark.createDataFrame([("Hello",)], "word string"), "klingon").first()
+    assert other["options"] == ["hello"] and other["itrans"] == "Hello"
+    body = json.loads(predict.suggest(typed.limit(1), "hindi", tree, lex).select(tables.to_response_json(F.col("word"), F.col("options"), F.col("chars"), F.col("itrans")).alias("j")).first()["j"])
+    assert body["inString"] == "ram" and body["twords"][0]["word"] is True and body["twords"][0]["options"][0] == "राम" and body["twords"][0]["optmap"]["राम"] == ["र", "ा", "म"]
+    asked = spark.createDataFrame([(["र", "ा", "म"], "ram", 1), (["x"], "ram", 1)], "chars array<string>, latin string, pos int")
+    alternatives = {tuple(r["chars"]): r["options"] for r in predict.alternatives_at(asked, tree, "hindi").collect()}
+    assert "राम" in alternatives["र", "ा", "म"] and alternatives[("x",)] == ["x"]
+    marked = spark.createDataFrame([(1, r"ram \hindi ram, \itrans{rAm} \tamil ram"), (1, None)], "doc_id long, text string")
+    assert sorted(r["text"] for r in jobs.render_markup(marked, models={"hindi": tree}).collect()) == ["", f"ram  {got['ram']['options'][0]}, राम  ram"]
+    docs = spark.createDataFrame([(1, "Ram, kamal!"), (1, "kamal"), (None, "ram 2")], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in jobs.transliterate_predicted(docs, "hindi", tree=tree, lexicon=lex).collect()) == [(0, "राम 2"), (1, "कमल"), (1, "राम, कमल!")]
+    pairs = romanize.align_pair(spark.createDataFrame([("ram", "राम"), ("xy", "राम"), (None, "राम")], "literal string, word string"), "hindi").collect()
+    assert {r["literal"]: (r["classes"], r["exact"]) for r in pairs} == {"ram": (["र", "ा", "म"], True), "xy": (["र", "ा", "म"], False)}
+    back = {r["word"]: r["spellings"] for r in jobs.reverse_words_predictive(spark.createDataFrame([("राम",), ("abc",)], "word string"), "hindi").collect()}
+    assert back == {"राम": ["rAm", "ram"], "abc": []}
+
+
+def test_model_and_examples_round_trip(spark, tmp_path):
+    words = spark.createDataFrame([("राम",), ("रात",)], "word string")
+    tree = jobs.train_language(words, "hindi")
+    tables.write_model(tree, str(tmp_path / "model"), "hindi")
+    again = tables.read_model(spark, str(tmp_path / "model"), "hindi")
+    assert sorted(map(str, again.select(*tree.columns).collect())) == sorted(map(str, tree.collect()))
+    tables.write_examples(romanize.training_examples(words, "hindi"), str(tmp_path / "examples"))
+    assert spark.read.parquet(str(tmp_path / "examples")).count() == romanize.training_examples(words, "hindi").count()
+    rolled = jobs.rollup_transliterated(spark.createDataFrame([("raam rAm raam",)], "text string"), "hindi")
+    tables.write_tsv_rollups(rolled, str(tmp_path / "rolled"))
+    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "rolled/freq")).collect()) == ["रम\t1", "राम\t2"]
+
+
+def test_next_table_layout(spark):
+    lex = spark.createDataFrame([("कका", 5), ("कक्त", 2), ("खका", 1)], "word string, n long")
+    rows = {(r["prev"], r["key"]): [tuple(e) for e in r["entries"]] for r in lexicon.next_table(lex, "hindi").collect()}
+    assert rows["क", "क"] == [("क्त", 0.0 if False else rows["क", "क"][0][1])] and ("^", "क") not in rows
+    grid = dict(rows["#", "क"])
+    assert list(grid)[:2] == ["क", "का"] and grid["क्"] == 0 and grid["का"] == 0.0 and len(grid) == len(lexicon.grid_cells("hindi")) - sum(c[0] != "क" for c in lexicon.grid_cells("hindi"))
+    assert all(v == 0 for _, v in rows["#", "क़"])
+    out = {r["id"]: r for r in lookup.next_options(spark.createDataFrame([(1, "कक", "क"), (2, "", "क"), (3, "क्", "ग")], "id long, typed string, key string"), lexicon.next_table(lex, "hindi"), "hindi").collect()}
+    assert out[1]["compound"][0]["akshara"] == "क्त" and out[2]["prev"] == "^" and out[3]["joiner"] and out[3]["simple"] is None
+
+
+def test_words_are_converted_after_they_are_counted(spark):
+    docs = spark.createDataFrame([("raam kamal",)], "text string")
+    for df in (jobs.rollup_transliterated(docs, "hindi"), lexicon.native_lexicon(lexicon.word_counts(docs), "hindi"), lexicon.akshara_bigrams(lexicon.native_lexicon(lexicon.word_counts(docs), "hindi"), "hindi")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        below = plan[plan.rindex("Aggregate ["):]  # the first aggregate, by word, and what feeds it
+        assert "regexp_replace" not in below.split("\n", 1)[1] and "translate" not in below.split("\n", 1)[1]
+
+
+def test_rows_that_share_an_id_stay_apart(spark):
+    rows = spark.createDataFrame([(1, "raam"), (1, "kumaar"), (None, "raam x"), (2, None)], "doc_id long, text string")
+    upper = lambda words: words.withColumn("out", F.upper("word"))
+    done = lookup.apply_per_distinct_word(rows, text.split_runs(F.col("text")), text.is_word_run, upper)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in done.collect()) == [(0, "RAAM X"), (1, "KUMAAR"), (1, "RAAM"), (2, "")]
 
 
 def test_sources(spark, tmp_path):
@@ -147,7 +388,10 @@ def test_sources(spark, tmp_path):
     assert tables.read_lexicon(spark, at("lex"), "hindi").collect() == [("hindi", "राम", 5)]
     assert sorted(tables.read_word_freq(spark, at("freq")).collect()) == [("rAt", 4), ("raat", 10)]
     assert sorted(r["word"] for r in tables.read_wordset(spark, at("set"), "english", "dict").collect()) == ["pan", "train"]
-    assert [tuple(r) for r in tables.read_overrides(spark, [("hindi", at("over"))]).collect()] == [("hindi", "namaste", ["c", "d"])]
+    (tmp_path / "manifest").write_text("language file\nhindi over\n")
+    assert [tuple(r) for r in tables.read_overrides(spark, at("manifest"), str(tmp_path)).collect()] == [("hindi", "namaste", ["c", "d"])]
+    (tmp_path / "none").write_text("language file\n")
+    assert tables.read_overrides(spark, at("none")).count() == 0
     assert [tuple(r) for r in tables.read_pron_dict(spark, at("pron")).collect()] == [("knife", ["", "n", "ay", "f", ""])]
 
 
