@@ -147,13 +147,13 @@ def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, win
     over its share, and sources of share 0 come last. A null or empty text is its end token; a null
     source is a queue of its own; repeated rows are packed each; an empty table gives no rows;
     other columns are ignored. Queue order is the order in which Spark reads the table. The tokens
-    are written to the shared folder once and read from there; they are shuffled only if the table
-    of partitions and sources is too large to broadcast.
+    are written to the shared folder once, and shuffled once to meet their places.
     """
     tokens = materialize(tokenize(docs, path), "tokens")
     parts = materialize(tokens.groupBy("part", "source").agg(F.sum("n").alias("n")), "token-sums")
     base = materialize(_schedule(parts, targets, window, unit), "queue-places")
-    placed = tokens.join(base, (tokens["part"] == base["of_part"]) & tokens["source"].eqNullSafe(base["of_source"])).withColumn("place", F.col("base") + F.col("before"))
+    # alike at every size: the places of a large corpus are too many to broadcast
+    placed = tokens.join(base.hint("merge"), (tokens["part"] == base["of_part"]) & tokens["source"].eqNullSafe(base["of_source"])).withColumn("place", F.col("base") + F.col("before"))
     own = F.filter("spans", lambda x: (x["upto"] > F.col("place")) & (x["first"] < F.col("place") + F.col("n")))
     placed = placed.select("doc_id", "source", "ids", "place", own.alias("spans"))
 
