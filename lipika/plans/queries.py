@@ -261,7 +261,7 @@ def j9(spark, d):
     f"""WITH latin AS ({O.LATIN}), c AS (SELECT word, n, n > 3 AS e, n > 30 AS k, length(word) % 7 AS spot FROM latin),
     p AS (SELECT *, CASE WHEN spot < 6 THEN 'abcdef'[spot + 1] ELSE 'S' END AS s FROM c),
     r AS (SELECT *, spot < 4 AS shown, CASE WHEN e AND NOT k THEN 0 WHEN e THEN 1 ELSE 3 END AS place FROM p),
-    z AS (SELECT word, s, shown, e, k, place, list_filter(['a', 'b', 'c', 'd', 'e', 'f'], x -> x <> s) AS rest FROM r)
+    z AS (SELECT word, s, shown, e, k, place, list_filter(['a', 'b', 'c', 'd', 'e', 'f'], lambda x: x <> s) AS rest FROM r)
     SELECT word, CASE WHEN shown AND NOT (e AND NOT k) THEN 'a|b|c|d|e|f'
       WHEN e AND NOT k THEN array_to_string([s] || rest, '|')
       ELSE array_to_string((['a', 'b', 'c', 'd', 'e', 'f'])[1:place] || [s] || (['a', 'b', 'c', 'd', 'e', 'f'])[place + 1:6], '|') END AS options FROM z""",
