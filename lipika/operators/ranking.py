@@ -19,17 +19,16 @@ def _without_first(options: Column, value: Column) -> Column:
 
 
 def _insert(options: Column, value: Column, at: int) -> Column:
-    rest = _without_first(options, value)
-    return F.concat(F.slice(rest, 1, at), F.array(value), F.slice(rest, at + 1, F.size(rest) + 1))
+    return F.concat(F.slice(options, 1, at), F.array(value), F.slice(options, at + 1, F.size(options) + 1))
 
 
 def insert_sound_candidate(options: Column, candidate: Column, english: Column, clash: Column) -> Column:
-    """Where a sounded-out candidate goes: first for an English word; second if it clashes, fourth if it isn't
-    English, unless it is in the first four already."""
+    """Where a sounded-out candidate goes: for an English word it moves first; if that clashes it is put second, and if the
+    word isn't English fourth, unless it is in the first four already (one further down stays there as well)."""
     shown = F.array_contains(F.slice(options, 1, 4), candidate)
     return (
         F.when(candidate.isNull(), options)
-        .when(english & ~clash, _insert(options, candidate, 0))
+        .when(english & ~clash, _insert(_without_first(options, candidate), candidate, 0))
         .when(shown, options)
         .when(english, _insert(options, candidate, 1))
         .otherwise(_insert(options, candidate, 3))

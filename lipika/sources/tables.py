@@ -25,7 +25,7 @@ def read_wordset(spark: SparkSession, path: str, lang: str, kind: str) -> DataFr
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """``at, value``: a small rule file's lines in their order, from one row with the whole text."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.posexplode(F.split("value", "\r?\n")).alias("at", "value"))
 
 
