@@ -18,7 +18,6 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -315,29 +314,38 @@ def _packed(values: DataFrame) -> DataFrame:
     return values.mapInArrow(run, "block long, last boolean, rows binary")
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
-    """``block, key, rows``: for each block of rows its distinct n-grams, a row each, and a row with the block itself, packed."""
+def _blocks(docs: DataFrame, whole: bool) -> DataFrame:
+    """``block, key, rows``: a row for each block of rows, with the block itself, packed, if ``whole``; else also its distinct n-grams, a row each.
+
+    Where a block ends depends on the rows' order alone, so both tables have the same blocks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, size, keys = TaskContext.get().partitionId() << 32, [], 0, []
+        number, held, size, keys = None, [], 0, []
 
         def done():
-            own = np.unique(np.concatenate(keys)).astype(np.int64)
-            yield table([number] * len(own), own, [None] * len(own))
-            yield table([number], [None], [_pack(held)])
+            if not whole:
+                own = np.unique(np.concatenate(keys)).astype(np.int64)
+                yield table([number] * len(own), own, [None] * len(own))
+            yield table([number], [None], [_pack(held) if whole else None])
 
         def table(block, key, rows):
             return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(key, pa.int64()), pa.array(rows, pa.binary())], ["block", "key", "rows"])
 
-        for batch in batches:
-            at = 0
+        for part in batches:
+            if not part.num_rows:
+                continue
+            at, batch = 0, pa.RecordBatch.from_struct_array(part.column("page"))
+            if number is None:
+                number = part.column("part")[0].as_py() << 32
             texts = [(t or "").encode() for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             pending, waiting = [], 0
             for k, text in enumerate(texts):
-                pending.append(ngrams(text))
+                if not whole:
+                    pending.append(ngrams(text))
                 size, waiting = size + len(text), waiting + len(text)
                 full = size >= BLOCK
-                if waiting > 2_000_000 or full or k == len(texts) - 1:
+                if not whole and (waiting > 2_000_000 or full or k == len(texts) - 1):
                     keys.append(np.unique(np.concatenate(pending)))
                     pending, waiting = [], 0
                 if full or k == len(texts) - 1:
@@ -349,20 +357,31 @@ def _blocks(docs: DataFrame) -> DataFrame:
         if held:
             yield from done()
 
-    return docs.mapInArrow(run, "block long, key long, rows binary")
+    # the rows' own partition: a task's number is another where this is one part of a union
+    numbered = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("page"), F.spark_partition_id().alias("part"))
+    return numbered.mapInArrow(run, "block long, key long, rows binary")
+
+
+def _places(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
+    if len(keys) and not (len(known) and (known[at] == keys).all()):
+        raise RuntimeError("a text has n-grams that its block did not look up: the texts were read in another order")
+    return at
 
 
 def _with_evidence(docs: DataFrame, tables: DifferenceTables, name: str, kind: T.DataType, finish) -> DataFrame:
     """Add the column ``name``: what ``finish`` makes of a batch's evidence (a row for each text).
 
-    Blocks are written once, for they are read for their n-grams and for themselves. An n-gram
-    stands at most once in a block, so that common ones are no heavy keys, and a block is one row.
+    Only the blocks' n-grams are written; the texts are read again, from where they are, when their
+    n-grams' differences are known. An n-gram stands at most once in a block, so that common ones
+    are no heavy keys, and a block is one row. Should the second reading cut other blocks than the
+    first, its n-grams are missed and the job fails.
     """
-    blocks = materialize(_blocks(docs), "text-blocks")
+    blocks = materialize(_blocks(docs, False), "block-ngrams")
     numbers = [(r["block"], k) for k, r in enumerate(blocks.where(F.col("key").isNull()).select("block").orderBy("block").collect())]
     pairs = blocks.where(F.col("key").isNotNull()).select("block", "key")
     found = _packed(pairs.join(tables.of(pairs.select("key").distinct()).hint("merge"), "key").select("block", "key", "difference"))
-    whole = blocks.where(F.col("key").isNull()).select("block", F.lit(True).alias("last"), "rows")
+    whole = _blocks(docs, True).select("block", F.lit(True).alias("last"), "rows")
     # a number for each block
     dense = F.broadcast(docs.sparkSession.createDataFrame(numbers, "block long, number int"))
     both = found.unionByName(whole).join(dense, "block").select("number", "last", "rows")
@@ -382,7 +401,7 @@ def _with_evidence(docs: DataFrame, tables: DifferenceTables, name: str, kind: T
                 parts = []
                 for part in pa.ipc.open_stream(packed):
                     texts = part.column(part.schema.get_field_index("text")).to_pylist()
-                    x = [evidence(worth[np.searchsorted(known, ngrams((t or "").encode()).astype(np.int64))]) for t in texts]
+                    x = [evidence(worth[_places(known, ngrams((t or "").encode()).astype(np.int64))]) for t in texts]
                     made = pa.array(finish(np.array(x).reshape(len(texts), TOP + 2)), to_arrow_type(kind))
                     yield pa.RecordBatch.from_arrays([*part.columns, made], [*part.schema.names, name])
 
