@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("q01_training_order", "q02_decontaminate", "q03_chat", "q04_fingerprints", "q05_packing", "q06_shards", "q07_quality", "q08_toxicity", "q09_lines", "q10_neardup", "q12_variants", "q13_phrases")
+MODULES = ("q01_training_order", "q02_decontaminate", "q03_chat", "q04_fingerprints", "q05_packing", "q06_shards", "q07_quality", "q08_toxicity", "q09_lines", "q10_neardup", "q11_language", "q12_variants", "q13_phrases")
 
 
 def _modules() -> list:
