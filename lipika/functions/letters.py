@@ -25,7 +25,7 @@ OTHERS = ".N:01 .n:02 H:03 nukta:3c halanth:4d OM:50"
 LEFT_OUT = {
     "hindi": "Nn R zh LLi e^ e o^ o RRI RRI0 e0 o0 LLi0",
     "marathi": "Nn R zh e^ e o^ o RRI RRI0 e0 o0",
-    "nepali": "Nn R zh LLi e^ e o^ o RRI RRI0 e0 o0 LLi0",
+    "nepali": "Nn R zh L LLi e^ e o^ o RRI RRI0 e0 o0 LLi0",
     "bengali": "Nn R zh OM",
     "punjabi": "Nn R zh OM",
     "gujarati": "Nn R zh LLi e o LLi0 OM",
@@ -48,9 +48,25 @@ GROUPS = {
     "unaspirated": "k g ch j T D t p b",
     "aspirated": "kh gh Ch jh Th Dh th d dh ph bh",
     "nasal": "~N ~n N n Nn m",
-    "short": "a i u e^ e i0 u0 e^0 e0",
-    "long": "A I U ai O au A0 I0 U0 E0 ai0 O0 au0",
 }
+_NORTHERN_LENGTHS = {"short": "a i u E i0 u0 e^0", "long": "A I U ai O au A0 I0 U0 E0 ai0 o^0 O0 au0"}
+_SOUTHERN_LENGTHS = {"short": "a i u e o i0 u0 RRi0 e0 E0 o0", "long": "A I U E ai O au A0 I0 U0 RRI0 ai0 O0 au0"}
+# Groups that a language has of its own, in place of those above; empty ones it has not.
+OWN_GROUPS = {
+    "hindi": _NORTHERN_LENGTHS,
+    "marathi": _NORTHERN_LENGTHS,
+    "nepali": _NORTHERN_LENGTHS | {"cons1": "k kh g gh", "cons2": "ch Ch j jh", "unaspirated": ""},
+    "bengali": _NORTHERN_LENGTHS,
+    "punjabi": _NORTHERN_LENGTHS,
+    "gujarati": {"short": "a i u e^ E o^ i0 u0 RRi0 e^0 E0 o^0", "long": "A I U ai O au A0 I0 U0 RRI0 ai0 O0 au0"},
+    "tamil": {"short": "a i u e o i0 u0 e0 o0", "long": "A I U E ai O au A0 I0 U0 E0 ai0 O0 au0", "cons1": "k", "unaspirated": "p", "aspirated": ""},
+    "telugu": _SOUTHERN_LENGTHS,
+    "kannada": _SOUTHERN_LENGTHS,
+    "malayalam": _SOUTHERN_LENGTHS,
+}
+# Digits and their places in a block; Nepali types none.
+DIGITS = {"nepali": "", "tamil": "1:67 2:68 3:69 4:6a 5:6b 6:6c 7:6d 8:6e 9:6f 10:70 100:71 1000:72"}
+_DIGITS = "0:66 1:67 2:68 3:69 4:6a 5:6b 6:6c 7:6d 8:6e 9:6f"
 #: Languages whose ng is no consonant to the patterns.
 NG_APART = ("hindi", "nepali", "gujarati", "kannada")
 
@@ -223,9 +239,7 @@ def alphabet(lang: str) -> dict[str, str]:
         code = chr(base + int(place, 16))
         if name not in LEFT_OUT[lang].split() and unicodedata.category(code) != "Cn":
             out[name] = code
-    for n in range(10):
-        if lang != "nepali":
-            out[str(n)] = chr(base + 0x66 + n)
+    out |= {name: chr(base + int(place, 16)) for name, place in (x.split(":") for x in DIGITS.get(lang, _DIGITS).split())}
     return {name: code for name, code in out.items() if unicodedata.category(code) != "Cn"}
 
 
@@ -235,8 +249,9 @@ def properties(lang: str) -> dict[str, list[str]]:
     own = alphabet(lang)
     kind = {"vowel": VOWELS, "mathra": SIGNS, "cons": CONSONANTS}
     out = {k: [own[n] for n, _ in (x.rsplit(":", 1) for x in names.split()) if n in own and not (k == "cons" and n == "~N" and lang in NG_APART)] for k, names in kind.items()}
-    out |= {k: [own[n] for n in names.split() if n in own] for k, names in GROUPS.items()}
-    out |= {"anusvara": [own[".n"]], "visarga": [own["H"]], "chandra-bindu": [own[".N"]] if ".N" in own else [], "digit": [own[str(n)] for n in range(10) if str(n) in own]}
+    out |= {k: [own[n] for n in names.split() if n in own] for k, names in (GROUPS | OWN_GROUPS[lang]).items()}
+    digits = [x.split(":")[0] for x in DIGITS.get(lang, _DIGITS).split()]
+    out |= {"anusvara": [own[".n"]], "visarga": [own["H"]], "chandra-bindu": [own[".N"]] if ".N" in own else [], "digit": [own[n] for n in digits]}
     # marks that a bare consonant can't be dropped before; Tamil's are not counted as such
     out["dot"] = [] if lang == "tamil" else [own[n] for n in (".N", ".n", "H") if n in own]
     return {k: v for k, v in out.items() if v} | {name: [code] for name, code in own.items()}

@@ -1,8 +1,8 @@
 """Scheme tables: Latin spellings and the code points they stand for, in ten languages.
 
 The Indic blocks of Unicode are laid out alike, so one Devanagari table serves all: a language has
-the first code point of its block, and a symbol whose code point the block lacks is written with a
-substitute or is absent.
+the first code point of its block, rows of its own, and rows that it lacks. A symbol whose code
+point the block has not is written with a substitute or is absent.
 """
 
 from __future__ import annotations
@@ -91,13 +91,81 @@ SHORT_AND_LONG: list[tuple[list[str], str, str]] = [
     (["o"], "ॊ", "ऒ"),
     (["O"], "ो", "ओ"),
 ]
-#: Scripts without aspirated and voiced stops write them with the plain letter.
-TAMIL_STOPS = {"kh": "k", "g": "k", "gh": "k", "chh": "ch", "jh": "j", "Th": "T", "D": "T", "Dh": "T", "th": "t", "d": "t", "dh": "t", "ph": "p", "b": "p", "bh": "p", "sh": "Sh"}
+# Rows that take the place of the row with their first spelling, or are added; (spellings, class, Devanagari code), codes of other blocks as they are.
+OWN_SYMBOLS: dict[str, list[tuple[list[str], str, str]]] = {
+    "marathi": [
+        (["k", "q"], CONS, "क"),
+        (["RR"], CONS, "ऱ"),
+        ([".c"], DOT, "ॅ"),
+    ],
+    "nepali": [
+        ([".Da"], CONS, "ड़"),
+        ([".Dha"], CONS, "ढ़"),
+        (["Ya"], CONS, "य़"),
+    ],
+    "punjabi": [
+        (["khh", "Kh"], CONS, "ख़"),
+        (["ghh", "Gh"], CONS, "ग़"),
+        (["x"], CONS, "क्श"),
+        (["R"], CONS, "\u095c"),
+        (["Fa"], CONS, "फ़"),
+        ([".a"], SPECIAL, "\u0a71"),
+        (["OM"], SPECIAL, "\u0a74"),
+    ],
+    "tamil": [
+        (["k", "g"], CONS, "क"),
+        (["~N", "NG"], CONS, "ङ"),
+        (["c", "ch"], CONS, "च"),
+        (["j", "jh"], CONS, "ज"),
+        (["T", "D"], CONS, "ट"),
+        (["t", "th", "d"], CONS, "त"),
+        (["Nn"], CONS, "\u0929"),
+        (["f", "ph"], CONS, "ःप"),
+        (["b"], CONS, "प"),
+        (["zh"], CONS, "\u0934"),
+        (["J"], CONS, "ज"),
+        (["H", "q"], DOT, "ः"),
+        ([".x"], NUKTA, ""),
+        (["OM"], SPECIAL, "\u0950"),
+    ],
+    "telugu": [
+        (["k", "q"], CONS, "क"),
+        (["J"], CONS, "ज\u0cbc"),
+        (["OM"], SPECIAL, "\u0950"),
+    ],
+    "kannada": [
+        (["k", "q"], CONS, "क"),
+        (["OM"], SPECIAL, "\u0950"),
+    ],
+    "malayalam": [
+        (["k", "q"], CONS, "क"),
+        (["zh"], CONS, "\u0934"),
+        (["OM"], SPECIAL, "\u0950"),
+    ],
+}
+# The same for vowels; (spellings, sign, letter).
+OWN_VOWELS: dict[str, list[tuple[list[str], str, str]]] = {
+    "marathi": [(["LLi"], "ॢ", "ऌ"), (["LLI"], "ॣ", "ॡ")],
+    "nepali": [(["LLi"], "ॢ", "ऌ"), (["LLI"], "ॣ", "ॡ")],
+    "malayalam": [(["RRI"], "", "ॠ"), (["LLi"], "", "ऌ"), (["LLI"], "", "ॡ")],
+}
+# First spellings of common rows that a language does not have.
+WITHOUT = {
+    "marathi": ["q", "R"],
+    "bengali": ["OM"],
+    "punjabi": ["q", "Sh", "RRi", "RRI", ".c", ".C"],
+    "tamil": ["kh", "g", "gh", "ch", "chh", "jh", "Th", "D", "Dh", "th", "d", "dh", "ph", "bh", "q", ".N", ".a", "RRi", "RRI", ".c", ".C"],
+    "telugu": ["q", ".N", ".a", ".c", ".C"],
+    "kannada": ["q", ".N", ".a", ".c", ".C"],
+    "malayalam": ["J", "q", ".N", ".a", ".c", ".C"],
+}
+#: Codes that stay where they are when a row moves to a language's block.
+FIXED = {"\u0a71", "\u0a74", "\u0950", "\u0cbc"}
 
 
 @dataclass(frozen=True)
 class Language:
-    """One language's block and switches."""
+    """One language's block and switches. ``instead``: letters whose code point the block lacks, and the spelling that is written for them."""
 
     name: str
     base: int
@@ -117,9 +185,9 @@ LANGUAGES = {
         Language("marathi", 0x0900),
         Language("nepali", 0x0900, dot_needs_sign=False),
         Language("bengali", 0x0980, oum=False, instead={"v": "b", "L": "l"}),
-        Language("punjabi", 0x0A00, dot_needs_sign=False, instead={"Sh": "sh"}),
+        Language("punjabi", 0x0A00, dot_needs_sign=False),
         Language("gujarati", 0x0A80),
-        Language("tamil", 0x0B80, final_halanth=True, zwnj_significant=False, short_and_long=True, instead=TAMIL_STOPS),
+        Language("tamil", 0x0B80, final_halanth=True, zwnj_significant=False, short_and_long=True),
         Language("telugu", 0x0C00, final_halanth=True, dot_needs_sign=False, short_and_long=True),
         Language("kannada", 0x0C80, final_halanth=True, short_and_long=True),
         Language("malayalam", 0x0D00, final_halanth=True, short_and_long=True),
@@ -138,41 +206,44 @@ class Symbol:
     order: int = 0
 
 
-def _moved(text: str | None, base: int) -> str | None:
-    """Devanagari text in another block; None if that block lacks one of its code points."""
-    if text is None:
-        return None
+def _moved(text: str, of: Language, own: bool) -> str | None:
+    """Devanagari text in a language's block; None if that block lacks one of its code points. In a language's own rows OM and the like stay."""
     out = []
     for c in text:
-        x = chr(ord(c) - 0x0900 + base) if 0x0900 <= ord(c) < 0x0980 else c
+        x = chr(ord(c) - 0x0900 + of.base) if 0x0900 <= ord(c) < 0x0980 and not (own and c in FIXED) else c
         if unicodedata.category(x) == "Cn":
             return None
         out.append(x)
     return "".join(out)
 
 
+def _rows(common: list, own: list, without: list[str]) -> list[tuple[tuple, bool]]:
+    """Common rows, a language's own in their place, and the rest of its own; each with whether it is its own."""
+    mine = {row[0][0]: row for row in own}
+    out = [(mine.pop(row[0][0]), True) if row[0][0] in mine else (row, False) for row in common if row[0][0] in mine or row[0][0] not in without]
+    return out + [(row, True) for row in mine.values()]
+
+
 @cache
 def symbols(lang: str) -> list[Symbol]:
     """All symbols of a language, in table order."""
     of = LANGUAGES[lang]
     plain = {aliases[0]: code for aliases, _, code in SYMBOLS}
     out = []
-    for aliases, kind, code in SYMBOLS:
-        own = _moved(code, of.base)
-        if own is None and aliases[0] in of.instead:
-            own = _moved(plain[of.instead[aliases[0]]], of.base)
-        if own is None and kind == SPECIAL:
-            own = _moved("ओं", of.base)
-        if own is not None:
-            out.append(Symbol(tuple(aliases), kind, own, order=len(out)))
-    vowels = [v for v in VOWELS if not of.short_and_long or v[0][0] not in ("e", "o")] + (SHORT_AND_LONG if of.short_and_long else [])
-    for aliases, sign, letter in vowels:
-        mark, full = _moved(sign, of.base), _moved(letter, of.base)
-        if mark is not None and (full is not None or letter is None):
-            out.append(Symbol(tuple(aliases), VOWEL, mark, full or "", order=len(out)))
+    for (aliases, kind, code), own in _rows(SYMBOLS, OWN_SYMBOLS.get(lang, []), WITHOUT.get(lang, [])):
+        moved = _moved(code, of, own)
+        if moved is None and aliases[0] in of.instead:
+            moved = _moved(plain[of.instead[aliases[0]]], of, own)
+        if moved is not None:
+            out.append(Symbol(tuple(aliases), kind, moved, order=len(out)))
     for n in range(10):
         digit = chr(of.base + 0x66 + n)
         out.append(Symbol((str(n),), DIGIT, digit if unicodedata.category(digit) == "Nd" else str(n), order=len(out)))
+    vowels = [v for v in VOWELS if not of.short_and_long or v[0][0] not in ("e", "o")] + (SHORT_AND_LONG if of.short_and_long else [])
+    for (aliases, sign, letter), own in _rows(vowels, OWN_VOWELS.get(lang, []), WITHOUT.get(lang, [])):
+        mark, full = _moved(sign, of, own), None if letter is None else _moved(letter, of, own)
+        if mark is not None and (full is not None or letter is None):
+            out.append(Symbol(tuple(aliases), VOWEL, mark, full or "", order=len(out)))
     return out
 
 
@@ -191,7 +262,8 @@ def native_codes(lang: str) -> dict[str, tuple[str, Symbol]]:
             if s.letter:
                 out[s.letter] = (VOWEL, s)
         else:
-            out[s.code] = (s.kind, s)
+            if s.code:
+                out[s.code] = (s.kind, s)
     return out
 
 
@@ -202,8 +274,23 @@ def any_of(values) -> str:
     return "|".join(re.escape(v) for v in sorted(values, key=lambda v: (-len(v), v)))
 
 
+@cache
+def spellings(lang: str) -> dict[str, Symbol]:
+    """Symbol by spelling; of symbols with one spelling the first listed is meant."""
+    out: dict[str, Symbol] = {}
+    for s in symbols(lang):
+        for alias in s.aliases:
+            out.setdefault(alias, s)
+    return out
+
+
+@cache
+def single_codes(lang: str) -> dict[str, str]:
+    """Class by native character, of symbols that are one character: what syllables are made of."""
+    return {c: kind for c, (kind, _) in native_codes(lang).items() if len(c) == 1}
+
+
 def code_class(lang: str, kind: str) -> str:
-    """A regular expression for native codes of a class; nothing matches where there are none."""
-    found = [c for c, (k, _) in native_codes(lang).items() if k == kind]
-    long, single = [c for c in found if len(c) > 1], "".join(sorted(c for c in found if len(c) == 1 and c != "^"))
-    return "(?:" + "|".join([*([any_of(long)] if long else []), *([f"[{single}]"] if single else [])]) + ")" if found else "(?:[^\\s\\S])"
+    """A regular expression for native characters of a class; nothing matches where there are none."""
+    found = "".join(sorted(c for c, k in single_codes(lang).items() if k == kind))
+    return f"[{found}]" if found else "(?:[^\\s\\S])"

@@ -24,8 +24,7 @@ def _lookup(entries: dict[str, str], key: Column) -> Column:
 
 def tokenize(literal: Column, lang: str) -> Column:
     """Longest spellings first; a character of no spelling is a token of its own."""
-    aliases = [a for s in R.symbols(lang) for a in s.aliases]
-    return F.regexp_extract_all(literal, F.lit(f"(?:{R.any_of(aliases)})|(?s:.)"), F.lit(0))
+    return F.regexp_extract_all(literal, F.lit(f"(?:{R.any_of(R.spellings(lang))})|(?s:.)"), F.lit(0))
 
 
 #: First of the code points that stand for tokens while a spelling is converted; such characters in a spelling itself are dropped.
@@ -39,7 +38,8 @@ def _coded(lang: str, running: bool) -> tuple[list[tuple[str, R.Symbol, str]], s
     In running text, lower-cased, only spellings of small letters count: a symbol is then its own
     small letter or one of the capitals, which the text has none of.
     """
-    use = [(s, [a for a in s.aliases if not running or re.fullmatch("[a-z]+|OM", a)]) for s in sorted(R.symbols(lang), key=lambda s: (s.kind, s.order))]
+    meant = R.spellings(lang)
+    use = [(s, [a for a in s.aliases if meant[a] is s and (not running or re.fullmatch("[a-z]+|OM", a))]) for s in sorted(R.symbols(lang), key=lambda s: (s.kind, s.order))]
     free = iter("ABCDEFGHIJKLMNOPQRSTUVWXYZ" if running else [chr(_CODES + k) for k in range(256)])
     end, sign = next(free), next(free)
     out = []
@@ -129,7 +129,8 @@ def script_to_scheme(word: Column, lang: str) -> Column:
     """All spellings of a native word: the k-th takes each symbol's k-th alias, or its last.
 
     The inherent ``a`` goes between a consonant and a consonant, dot or vowel, and after a lone
-    consonant; ``/`` goes between a vowel and a vowel.
+    consonant; ``/`` goes between a vowel and a vowel. Where a consonant that ends a word is written
+    with a halanth, the spelling drops that halanth, and a consonant without one gets the ``a``.
     """
     return let(script_to_symbols(word, lang), lambda codes: _spellings(codes, lang))
 
@@ -138,20 +139,20 @@ def _spellings(codes: Column, lang: str) -> Column:
     native = R.native_codes(lang)
     kinds = {c: k for c, (k, _) in native.items()}
     names = {c: "\u0001".join(s.aliases) for c, (_, s) in native.items()}
+    final = R.LANGUAGES[lang].final_halanth
     most = F.array_max(F.transform(codes, lambda c: F.size(F.split(F.coalesce(_lookup(names, c), c), "\u0001"))))
 
     def spelled(k: Column) -> Column:
         def one(c: Column, i: Column) -> Column:
-            own = F.coalesce(_lookup(kinds, c), F.lit(R.OTHER))
-            prior = F.coalesce(F.when(i > 0, _lookup(kinds, F.try_element_at(codes, F.greatest(i, F.lit(1))))), F.lit(""))
-            following = F.coalesce(_lookup(kinds, F.try_element_at(codes, i + 2)), F.lit(""))
+            kind = lambda step: F.coalesce(F.when(i + step >= 0, _lookup(kinds, F.try_element_at(codes, F.greatest(i + step + 1, F.lit(1))))), F.lit(""))
+            own, prior, before, following = F.coalesce(kind(0), F.lit(R.OTHER)), kind(-1), kind(-2), kind(1)
             aliases = F.split(F.coalesce(_lookup(names, c), c), "\u0001")
             alias = F.element_at(aliases, F.least(k, F.size(aliases)))
-            ends_cluster = (own == R.HALANTH) & (following == R.CONS)
-            text = F.when(ends_cluster, "").otherwise(alias)
-            inherent = (own == R.CONS) & (following.isin(R.CONS, R.DOT, R.VOWEL) | (F.size(codes) == 1))
-            hiatus = (own == R.VOWEL) & prior.isin(R.VOWEL, R.SIGN, R.CONS)
-            return F.concat(F.when(hiatus, "/").otherwise(""), text, F.when(inherent, "a").otherwise(""))
+            silent = (own == R.HALANTH) & ((following == R.CONS) | ((following == "") if final else F.lit(False)))
+            alone = (following == "") if final else (prior == "") & (following == "")
+            inherent = (own == R.CONS) & (following.isin(R.CONS, R.DOT, R.VOWEL) | alone)
+            hiatus = (own == R.VOWEL) & (prior.isin(R.VOWEL, R.SIGN, R.CONS) | ((prior == R.NUKTA) & (before == R.CONS)))
+            return F.concat(F.when(hiatus, "/").otherwise(""), F.when(silent, "").otherwise(alias), F.when(inherent, "a").otherwise(""))
 
         return F.array_join(F.transform(codes, one), "")
 
@@ -180,7 +181,7 @@ def simple_pattern(lang: str) -> str:
 
 def aksharas(word: Column, lang: str) -> Column:
     """A native word's syllables in order; characters outside the script are dropped first."""
-    known = "".join(sorted({c for code in R.native_codes(lang) for c in code}))
+    known = "".join(sorted(R.single_codes(lang)))
     kept = F.regexp_replace(word, f"[^{re.escape(known)}]", "")
     return F.regexp_extract_all(kept, F.lit(f"(?:{syllable_pattern(lang)})"), F.lit(0))
 

@@ -225,13 +225,13 @@ def training_examples(words: DataFrame, lang: str, scope: int = trees.SCOPE) ->
 # --- sounds -------------------------------------------------------------------------------------
 
 
-def phoneme_options(words: DataFrame) -> DataFrame:
-    """Distinct (phones) rows with ``chain``: each phoneme's scheme spellings in its context; an unknown phoneme leaves none."""
+def phoneme_options(words: DataFrame, lang: str) -> DataFrame:
+    """Distinct (phones) rows with ``chain``: each phoneme's scheme spellings in its context in a language; an unknown phoneme leaves none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             phones = batch.column("phones").to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("phones"), pa.array([phonemes.options(p) for p in phones], pa.list_(pa.list_(pa.string())))], ["phones", "chain"])
+            yield pa.RecordBatch.from_arrays([batch.column("phones"), pa.array([phonemes.options(p, lang) for p in phones], pa.list_(pa.list_(pa.string())))], ["phones", "chain"])
 
     return words.select("phones").where("phones IS NOT NULL").distinct().mapInArrow(run, "phones array<string>, chain array<array<string>>")
 
@@ -259,7 +259,7 @@ def sound_candidates(words: DataFrame, lang: str) -> DataFrame:
     """(word, phones: array of a word's phones by letter) with ``options``: native words as the pronunciation sounds."""
     clean = text.strip_stress(text.clean_pronunciation(join_phones(F.col("phones"))))
     staged = words.select("word", F.filter(F.split(clean, " "), lambda p: p != "").alias("phones"))
-    chained = staged.join(phoneme_options(staged), "phones").select("word", text.expand_options(F.col("chain")).alias("s"))
+    chained = staged.join(phoneme_options(staged, lang), "phones").select("word", text.expand_options(F.col("chain")).alias("s"))
     return chained.select("word", F.array_distinct(F.transform("s", lambda s: scheme.scheme_to_script(s, lang))).alias("options"))
 
 

@@ -81,10 +81,15 @@ for _lang in R.LANGUAGES:
     query(f"p8_scheme_to_script_{_lang}", f"WITH latin AS ({O.LATIN}), {O.forms_cte(_lang)} SELECT word, form FROM forms")(_p8(_lang))
 
 
-@query("p10_script_to_scheme")
-def p10(spark, d):
-    native = _native(spark, d).select("word")
-    return jobs.reverse_words(native, HINDI).select("word", F.array_join("spellings", "|").alias("spellings"))
+def _p10(lang: str) -> Query:
+    def run(spark, d):
+        return jobs.reverse_words(_native(spark, d, lang).select("word"), lang).select("word", F.array_join("spellings", "|").alias("spellings"))
+
+    return run
+
+
+for _lang in R.LANGUAGES:
+    query("p10_script_to_scheme" + ("" if _lang == HINDI else "_" + _lang), f"WITH {O.spellings_cte(_lang)} SELECT word, string_agg(s, '|' ORDER BY turn) AS spellings FROM spellings GROUP BY word")(_p10(_lang))
 
 
 @query("p12_aksharas", f"WITH {O.syllables_cte(HINDI)} SELECT word, string_agg(akshara, '|' ORDER BY i) AS aksharas FROM syl GROUP BY word")
@@ -126,7 +131,7 @@ def p21(spark, d):
     return _words(spark, d).select("word", F.array_join(text.expand_options(chain), "|").alias("options"))
 
 
-@query("p9_script_to_symbols", f"WITH {O.native_cte(HINDI)} SELECT word, array_to_string(regexp_extract_all(word, '(?:{R.any_of(R.native_codes(HINDI))})|(?s:.)'), '|') AS symbols FROM native")
+@query("p9_script_to_symbols", f"WITH {O.native_cte(HINDI)} SELECT word, array_to_string(regexp_extract_all(word, '(?:{O.any_code(HINDI)})|(?s:.)'), '|') AS symbols FROM native")
 def p9(spark, d):
     return _native(spark, d).select("word", F.array_join(scheme.script_to_symbols(F.col("word"), HINDI), "|").alias("symbols"))
 
@@ -333,7 +338,7 @@ def j7(spark, d):
     return done.select("id", "prev", _shown("compound").alias("compound"), _shown("simple").alias("simple"), "joiner")
 
 
-@query("j8_joiner_variants", f"WITH {O.native_cte(HINDI)} SELECT word, CASE WHEN regexp_matches(word, '^{R.code_class(HINDI, R.CONS)}') THEN 'राज' || word || '|राज\u200c' || word ELSE 'राज' || word END AS variants FROM native")
+@query("j8_joiner_variants", f"WITH {O.native_cte(HINDI)} SELECT word, CASE WHEN regexp_matches(word, '^{O.class_of(HINDI, "cons")}') THEN 'राज' || word || '|राज\u200c' || word ELSE 'राज' || word END AS variants FROM native")
 def j8(spark, d):
     return _native(spark, d).select("word", F.array_join(lookup.joiner_variants(F.lit("राज"), F.col("word"), HINDI), "|").alias("variants"))
 
