@@ -1,11 +1,12 @@
 """Phrase collocations by sorted count streams: nothing is looked up in a hash table of phrases.
 
-Texts are cut into blocks, each a stream of numbers that stand for its words. Level by level the
-count streams of all blocks are merged in sorted order; a phrase that is frequent over all blocks
-gets a number, and the blocks' streams of phrases of k words become streams of phrases of k + 1
-words, each the pair (number of the first k words, number of the last k words). A phrase is
-counted only where both its parts are frequent, for it cannot be more frequent than they are, so
-the streams shrink from level to level.
+Texts are cut into blocks, each a stream of numbers that stand for its words. Level by level each
+block sends its phrases with their counts, in sorted order and packed, to the parts that phrases
+are dealt out to; a part merges the sorted counts of all blocks, numbers the phrases that are frequent over
+all of them, and tells each block which of its own these are. There the stream of phrases of k
+words becomes one of phrases of k + 1 words, each the pair (number of the first k words, number of
+the last k words). A phrase is counted only where both its parts are frequent, for it cannot be
+more frequent than they are, so the streams shrink from level to level.
 
 The frequent phrases' own streams then merge in prefix order (pairs sorted by their first number)
 and in suffix order (by their second) with the stream one level below: that gives the counts of a
@@ -14,11 +15,13 @@ phrase's left and right parts, and of its extensions by a word at either end.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,64 +32,79 @@ LONGEST = 5
 LEAST = 100
 TOP = 2000
 #: Words that a task gathers before it closes its blocks; a longer text is cut into several blocks.
-BLOCK_WORDS = 1_500_000
-#: A number is partition, block and place in the block: 20, 17 and 26 bits.
-_PLACE, _BLOCK = 26, 17
+BLOCK_WORDS = 6_000_000
+#: Parts that phrases are dealt out to, for each partition of the texts; so a part's size does not grow with the texts.
+PARTS = 4
+#: A block's number is its partition and its place there, in 20 bits.
+_BLOCK = 20
 #: Parts of a language's candidates that are cut to the first rows before these meet.
-_PARTS = 64
+_CUTS = 64
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\x0d\x09", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
-_NONE = np.int64(-1)
+_BLOCKS = "block long, lang string, own long, stream binary, part long, start long, words binary, a binary, b binary, n binary"
+_COUNTS = "block long, places binary, ids binary, id long, lang string, word string, a long, b long, total long"
 
 
 class _Vocabulary(dict):
-    """Words to numbers in order of first sight; 0 is the blank between two spaces, 1 the end of a piece."""
-
-    def __init__(self) -> None:
-        super().__init__({b"": 0, b"\n": 1})
+    """Words to numbers in order of first sight."""
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
         return n
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers byte place by byte place, compressed."""
+    return zstandard.compress(values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes(), 3)
+
+
+def _unpacked(packed: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def _numbered(text: str, words: _Vocabulary) -> np.ndarray:
-    """A text's words by number, with a 1 after each piece."""
+    """A text's words by number, with a 1 after each piece; 0 is the blank between two spaces."""
     parts = text.encode().translate(_LOWER).replace(b"\n", b" \n ").split(b" ")
     got = np.fromiter(map(words.__getitem__, parts), np.int32, len(parts))
     return np.append(got[got != 0], np.int32(1))
 
 
-_ROW = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("own", pa.int64()), ("stream", pa.binary()), ("code", pa.int64()), ("word", pa.string()), ("n", pa.int64())])
+def _dealt(part: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(part, first place, the entries) of entries that ``order`` sorts by part."""
+    sorted_parts = part[order]
+    edges = np.flatnonzero(np.diff(sorted_parts)) + 1
+    start = 0
+    for some in np.split(order, edges) if len(order) else []:
+        yield int(sorted_parts[start]), start, some
+        start += len(some)
 
 
-def _block_rows(block: int, lang: str, stream: np.ndarray, own: int, words: list[bytes]) -> pa.RecordBatch:
-    """A block as rows: its stream (places in its own list of words, -1 between pieces), and each word with its count.
+def _word_block(block: int, lang: str, stream: np.ndarray, own: int, words: list[bytes], parts: int) -> list[dict]:
+    """A block as rows: its stream (places in its own list of words, -1 between pieces), and its words with their counts, by part.
 
     The first ``own`` places belong to the block; what follows belongs to the next one and only
     completes phrases that begin here.
     """
     seen, local = np.unique(stream, return_inverse=True)
-    kept = seen > 1
-    place = np.where(kept, np.cumsum(kept) - 1, _NONE)
+    kept = np.flatnonzero(seen > 1)
+    own_words = [words[w] for w in seen[kept]]
+    part = np.fromiter((crc32(w) % parts for w in own_words), np.int64, len(kept))
+    order = np.argsort(part, kind="stable")
+    place = np.full(len(seen), -1, np.int32)
+    place[kept[order]] = np.arange(len(order), dtype=np.int32)
     counts = np.bincount(local[:own], minlength=len(seen))[kept]
-    m = int(kept.sum())
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.full(m + 1, block)),
-            pa.array([lang] * (m + 1), pa.string()),
-            pa.array([own] + [None] * m, pa.int64()),
-            pa.array([place[local].astype("<i4").tobytes()] + [None] * m, pa.binary()),
-            pa.array(np.concatenate([[_NONE], (block << _PLACE) + np.arange(m)])),
-            pa.array([None, *(words[w].decode() for w in seen[kept])], pa.string()),
-            pa.array(np.concatenate([[0], counts])),
-        ],
-        schema=_ROW,
-    )
-
-
-def word_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(text, lang) rows as blocks of one language each: a row with the stream, and a row for each word with its count there."""
+    rows = [{"block": block, "lang": lang, "own": own, "stream": _packed(place[local])}]
+    for at, start, some in _dealt(part, order):
+        rows.append({"block": block, "lang": lang, "part": at, "start": start, "words": zstandard.compress(b"\n".join(own_words[k] for k in some), 3), "n": _packed(counts[some])})
+    return rows
+
+
+_ROW = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("own", pa.int64()), ("stream", pa.binary()), ("part", pa.int64()), ("start", pa.int64()), ("words", pa.binary()), ("a", pa.binary()), ("b", pa.binary()), ("n", pa.binary())])
+
+
+def word_blocks(docs: DataFrame, parts: int, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(text, lang) rows as blocks of one language each: a row with the stream, and for each part a row with the words dealt to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, made, held = TaskContext.get().partitionId() << _BLOCK, 0, 0
@@ -95,13 +113,13 @@ def word_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
         def close() -> Iterator[pa.RecordBatch]:
             nonlocal made, held
-            for lang, parts in streams.items():
-                whole, words = np.concatenate(parts), list(known[lang])
+            for lang, some in streams.items():
+                whole, words = np.concatenate(some), list(known[lang])
                 for start in range(0, len(whole), block_words):
                     if made >= 1 << _BLOCK:
                         raise ValueError("a partition of more blocks than numbers: read it in smaller parts")
                     own = min(block_words, len(whole) - start)
-                    yield _block_rows(first + made, lang, whole[start : start + own + LONGEST - 1], own, words)
+                    yield pa.RecordBatch.from_pylist(_word_block(first + made, lang, whole[start : start + own + LONGEST - 1], own, words, parts), _ROW)
                     made += 1
             streams.clear()
             known.clear()
@@ -109,7 +127,7 @@ def word_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
         for batch in batches:
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                got = _numbered(text, known.setdefault(lang, _Vocabulary()))
+                got = _numbered(text, known.setdefault(lang, _Vocabulary({b"": 0, b"\n": 1})))
                 streams.setdefault(lang, []).append(got)
                 held += len(got)
                 if held >= block_words:
@@ -117,81 +135,135 @@ def word_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
         yield from close()
 
     rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang")).where("text <> ''")
-    return rows.mapInArrow(run, "block long, lang string, own long, stream binary, code long, word string, n long")
-
-
-def _frequent(rows: DataFrame, key: list[str], least: int) -> DataFrame:
-    """The blocks' count rows of frequent keys with ``total`` and ``id``, the least code of the key.
-
-    One sort brings the rows of a key together, one from each block at most, so a key of a third of all words is
-    still few rows; the window spills.
-    """
-    same = Window.partitionBy(*key)
-    return rows.withColumn("total", F.sum("n").over(same)).where(F.col("total") >= least).withColumn("id", F.min("code").over(same))
-
-
-_PAIRS = "block long, own long, stream binary, code long, a long, b long, n long"
-
-
-def _joined_up(blocks: pd.DataFrame, ids: pd.DataFrame) -> pd.DataFrame:
-    """A block's next level: streams of pairs of neighbours that are both frequent, and each pair with its count."""
-    if not len(blocks):
-        return pd.DataFrame({c.split()[0]: [] for c in _PAIRS.split(", ")})
-    block, own = int(blocks["block"].iloc[0]), int(blocks["own"].iloc[0])
-    stream = np.frombuffer(blocks["stream"].iloc[0], "<i4")
-    place = (ids["code"].to_numpy(np.int64) - (block << _PLACE)).astype(np.int64)
-    table = np.full(max(int(stream.max(initial=-1)), int(place.max(initial=-1))) + 2, _NONE)
-    table[place] = ids["id"].to_numpy(np.int64)
-    now = table[stream]  # -1 is the last entry, which stays -1
-    both = np.flatnonzero((now[:-1] >= 0) & (now[1:] >= 0))
-    a, b = now[both], now[both + 1]
-    order = np.lexsort((b, a))
-    new = np.ones(len(order), bool)
-    new[1:] = (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)
-    local = np.empty(len(order), np.int32)
-    local[order] = np.cumsum(new) - 1
-    counts = np.bincount(local[both < own], minlength=int(new.sum()))
-    # of places without a pair one in a row is enough to keep its neighbours apart
-    apart = np.ones(len(both), bool)
-    apart[1:] = np.diff(both) > 1
-    shift = np.cumsum(apart) - 1
-    out = np.full(len(both) + (int(shift[-1]) if len(both) else 0), -1, "<i4")
-    out[np.arange(len(both)) + shift] = local
-    mine = int((both < own).sum())
-    m = int(new.sum())
-    return pd.DataFrame(
-        {
-            "block": np.full(m + 1, block),
-            "own": [mine + int(shift[mine - 1]) if mine else 0] + [None] * m,
-            "stream": [out.tobytes()] + [None] * m,
-            "code": np.concatenate([[_NONE], (block << _PLACE) + np.arange(m)]),
-            "a": np.concatenate([[_NONE], a[order][new]]),
-            "b": np.concatenate([[_NONE], b[order][new]]),
-            "n": np.concatenate([[0], counts]),
-        }
-    )
+    return rows.mapInArrow(run, _BLOCKS)
+
+
+def _told(rows: pd.DataFrame, lengths: list[int], entry: np.ndarray, ids: np.ndarray) -> dict[str, list]:
+    """What each block learns from a part: which of its places have which number. ``entry``: each place's phrase; ``ids``: each phrase's number, -1 if not frequent."""
+    out: dict[str, list] = {"block": [], "places": [], "ids": []}
+    at = 0
+    for block, start, n in zip(rows["block"], rows["start"], lengths, strict=True):
+        own = ids[entry[at : at + n]]
+        kept = np.flatnonzero(own >= 0)
+        if len(kept):
+            out["block"].append(int(block))
+            out["places"].append(_packed((int(start) + kept).astype(np.int64)))
+            out["ids"].append(_packed(own[kept]))
+        at += n
+    return out
+
+
+def _numbers(part: int, totals: np.ndarray, least: int, made: int = 0) -> np.ndarray:
+    kept = totals >= least
+    return np.where(kept, (part << 32) + made + np.cumsum(kept) - 1, -1)
+
+
+def _frame(kinds: str, *groups: dict[str, list]) -> pd.DataFrame:
+    """Rows of several kinds, each a group of columns of one length; columns that a group lacks are null. Objects, so that large numbers stay exact."""
+    sizes = [len(next(iter(g.values()))) for g in groups]
+    names = [c.split()[0] for c in kinds.split(", ")]
+    return pd.DataFrame({c: pd.Series([x for g, m in zip(groups, sizes, strict=True) for x in (g[c] if c in g else [None] * m)], dtype=object) for c in names})
+
+
+def _frequent_words(least: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        part, made, out = int(rows["part"].iloc[0]), 0, []
+        for lang, own in rows.groupby("lang", sort=True):
+            known = _Vocabulary()
+            lists = [zstandard.decompress(w).split(b"\n") for w in own["words"]]
+            entry = np.fromiter((known[w] for words in lists for w in words), np.int64)
+            totals = np.zeros(len(known), np.int64)
+            np.add.at(totals, entry, np.concatenate([_unpacked(n, np.int64) for n in own["n"]]))
+            ids = _numbers(part, totals, least, made)
+            kept = np.flatnonzero(ids >= 0)
+            made += len(kept)
+            names = list(known)
+            out += [_told(own, list(map(len, lists)), entry, ids), {"id": ids[kept].tolist(), "lang": [lang] * len(kept), "word": [names[k].decode() for k in kept], "total": totals[kept].tolist()}]
+        return _frame(_COUNTS, *out)
+
+    return run
+
+
+def _frequent_pairs(least: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        lists = [_unpacked(x, np.int64) for x in rows["a"]]
+        a, b = np.concatenate(lists), np.concatenate([_unpacked(x, np.int64) for x in rows["b"]])
+        n = np.concatenate([_unpacked(x, np.int64) for x in rows["n"]])
+        order = np.lexsort((b, a))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)
+        entry = np.empty(len(order), np.int64)
+        entry[order] = np.cumsum(new) - 1
+        totals = np.add.reduceat(n[order], np.flatnonzero(new))
+        ids = _numbers(int(rows["part"].iloc[0]), totals, least)
+        kept = np.flatnonzero(ids >= 0)
+        phrases = {"id": ids[kept], "a": a[order][new][kept], "b": b[order][new][kept], "total": totals[kept]}
+        return _frame(_COUNTS, _told(rows, list(map(len, lists)), entry, ids), {c: x.tolist() for c, x in phrases.items()})
+
+    return run
+
+
+def _joined_up(parts: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """A block's next level: the stream of pairs of neighbours that are both frequent, and the pairs with their counts, by part."""
+
+    def run(blocks: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        if not len(blocks) or not len(told):
+            return _frame(_BLOCKS)
+        block, own = int(blocks["block"].iloc[0]), int(blocks["own"].iloc[0])
+        stream = _unpacked(blocks["stream"].iloc[0], np.int32)
+        place = np.concatenate([_unpacked(x, np.int64) for x in told["places"]])
+        table = np.full(max(int(stream.max(initial=-1)), int(place.max())) + 2, -1, np.int64)
+        table[place] = np.concatenate([_unpacked(x, np.int64) for x in told["ids"]])
+        now = table[stream]  # -1 takes the last entry, which is -1
+        both = np.flatnonzero((now[:-1] >= 0) & (now[1:] >= 0))
+        a, b = now[both], now[both + 1]
+        order = np.lexsort((b, a))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)
+        entry = np.empty(len(order), np.int64)
+        entry[order] = np.cumsum(new) - 1
+        firsts, seconds = a[order][new], b[order][new]
+        counts = np.bincount(entry[both < own], minlength=len(firsts)).astype(np.int64)
+        mixed = (firsts.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (seconds.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        part = ((mixed >> np.uint64(29)) % np.uint64(parts)).astype(np.int64)
+        by_part = np.argsort(part, kind="stable")
+        local = np.empty(len(firsts), np.int32)
+        local[by_part] = np.arange(len(firsts), dtype=np.int32)
+        # of places without a pair one in a row is enough to keep its neighbours apart
+        apart = np.ones(len(both), bool)
+        apart[1:] = np.diff(both) > 1
+        at = np.arange(len(both)) + np.cumsum(apart) - 1
+        out = np.full(int(at[-1]) + 1 if len(both) else 0, -1, np.int32)
+        out[at] = local[entry]
+        mine = int((both < own).sum())
+        rows = [{"block": block, "own": int(at[mine - 1]) + 1 if mine else 0, "stream": _packed(out)}]
+        for p, start, some in _dealt(part, by_part):
+            rows.append({"block": block, "part": p, "start": start, "a": _packed(firsts[some]), "b": _packed(seconds[some]), "n": _packed(counts[some])})
+        return _frame(_BLOCKS, *({c: [x] for c, x in row.items()} for row in rows))
+
+    return run
 
 
 def count_streams(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, list[DataFrame], list[str]]:
-    """``lang, n`` (all words), and the streams of frequent phrases: (id, lang, word, total), then (id, a, b, total) of 2 words, of 3 words and so on; last, the paths of their tables."""
-    paths = []
-
-    def written(df: DataFrame, name: str) -> DataFrame:
-        df, path = materialize_at(df, name)
-        paths.append(path)
-        return df
-
-    blocks = written(word_blocks(docs, block_words), "phrase-words")
-    sizes = blocks.where("word IS NOT NULL").groupBy(F.col("lang").alias("of")).agg(F.sum("n").alias("words"))
-    key, out = ["lang", "word"], []
+    """``of, words`` (all words of a language), and the streams of frequent phrases: (id, lang, word, total), then (id, a, b, total)
+    of 2 words, of 3 words and so on; last, the paths of their tables."""
+    spark = docs.sparkSession
+    parts = PARTS * max(docs.rdd.getNumPartitions(), 1)
+    blocks, path = materialize_at(word_blocks(docs, parts, block_words), "phrase-words")
+    unpacked = F.udf(lambda n: int(_unpacked(n, np.int64).sum()), "long")  # a value for each packed row
+    sizes, sizes_at = materialize_at(blocks.where("part IS NOT NULL").groupBy(F.col("lang").alias("of")).agg(F.sum(unpacked("n")).alias("words")), "phrase-sizes")
+    count, keys, out, paths = _frequent_words(least), ["lang", "word"], [], [sizes_at]
     for k in range(1, longest + 1):
-        found = written(_frequent(blocks.where("stream IS NULL").select("block", "code", *key, "n"), key, least), f"phrase-counts-{k}")
-        out.append(found.where("code = id").select("id", *key, "total"))
+        found, found_at = materialize_at(blocks.where("part IS NOT NULL").groupBy("part").applyInPandas(count, _COUNTS), f"phrase-counts-{k}")
+        paths.append(found_at)
+        out.append(found.where("id IS NOT NULL").select("id", *keys, "total"))
         if k < longest:
             streams = blocks.where("stream IS NOT NULL").select("block", "own", "stream").groupBy("block")
-            joined = streams.cogroup(found.select("block", "code", "id").groupBy("block")).applyInPandas(_joined_up, _PAIRS)
-            blocks = written(joined, f"phrase-pairs-{k + 1}")
-            key = ["a", "b"]
+            told = found.where("block IS NOT NULL").select("block", "places", "ids").groupBy("block")
+            blocks, later = materialize_at(streams.cogroup(told).applyInPandas(_joined_up(parts), _BLOCKS), f"phrase-pairs-{k + 1}")
+            drop_path(spark, path)
+            path, count, keys = later, _frequent_pairs(least), ["a", "b"]
+    drop_path(spark, path)
     return sizes, out, paths
 
 
@@ -248,7 +320,7 @@ def phrases(docs: DataFrame, least: int = LEAST, top: int = TOP, longest: int =
     sizes, streams, paths = count_streams(docs, least, longest, block_words)
     kept = score_phrases(sizes, streams).where(F.col("longest").isNull() | (F.col("longest") < F.col("a"))).drop("longest")
     best = lambda *key: Window.partitionBy(*key).orderBy(F.desc("score"), F.desc("a"), "phrase")
-    parts = kept.withColumn("part", F.pmod(F.hash("phrase"), F.lit(_PARTS)))
+    parts = kept.withColumn("part", F.pmod(F.hash("phrase"), F.lit(_CUTS)))
     few = parts.withColumn("rank", F.row_number().over(best("lang", "part"))).where(F.col("rank") <= top)
     ranked, _ = materialize_at(few.withColumn("rank", F.row_number().over(best("lang")).cast("long")).where(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score"), "phrases")
     for path in paths:
