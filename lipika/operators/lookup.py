@@ -45,6 +45,13 @@ def apply_overrides(suggestions: DataFrame, overrides: DataFrame) -> DataFrame:
     return joined.select("latin", F.when(F.col("over").isNull(), F.col("options")).otherwise(F.concat(F.array("over"), F.array_remove("options", F.col("over")))).alias("options"))
 
 
+def override_options(suggestions: DataFrame, overrides: DataFrame, k: int = 4) -> DataFrame:
+    """(latin, options): the first ``k`` options, which are an override's alone where the spelling has one."""
+    own = overrides.select(F.col("latin").alias("key"), F.col("options").alias("over"))
+    joined = suggestions.join(own, F.lower("latin") == F.col("key"), "left")
+    return joined.select("latin", F.slice(F.coalesce("over", "options"), 1, k).alias("options"))
+
+
 def exact_dict_first(words: DataFrame, pron: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Words with a dictionary pronunciation (with it), and those left for the model."""
     return words.join(pron, "word"), words.join(pron, "word", "left_anti")

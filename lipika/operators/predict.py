@@ -16,6 +16,12 @@ def _chars(word: Column) -> Column:
     return F.regexp_extract_all(word, F.lit("(?s:.)"), F.lit(0))
 
 
+def _optmap(options: Column, chars: Column) -> Column:
+    """Letters by option, of predicted options and their letters in the same order; of equal options the last one's."""
+    letters_of = lambda o: F.element_at(chars, (F.size(options) - F.array_position(F.reverse(options), o) + 1).cast("int"))
+    return F.map_from_entries(F.transform(F.array_distinct(options), lambda o: F.struct(o.alias("key"), letters_of(o).alias("value"))))
+
+
 def typed_windows(words: DataFrame, lang: str, scope: int = trees.SCOPE) -> DataFrame:
     """``typed, pos, key, window, offset`` of the letters of (typed) words."""
     ahead = trees.reach(scope, letters.feature_groups(lang))
@@ -59,14 +65,14 @@ def predict_words(words: DataFrame, tree: DataFrame, lang: str, exact: DataFrame
 def suggest(
     words: DataFrame, lang: str, tree: DataFrame | None = None, lexicon: DataFrame | None = None, sounds: DataFrame | None = None, english: DataFrame | None = None, clash: DataFrame | None = None, overrides: DataFrame | None = None, exact: DataFrame | None = None
 ) -> DataFrame:
-    """Distinct ``word`` with ``options, chars, itrans``: predicted words, those of the lexicon first; then the sounded-out
+    """Distinct ``word`` with ``options, optmap, itrans``: predicted words, those of the lexicon first; then the sounded-out
     candidate where it belongs (``sounds``: lower-case word and options; only for words without scheme marks and digits),
-    and an override's first option before all others. ``itrans`` is the scheme reading, in which case matters.
-    A language that isn't supported has the lower-case input as its only option."""
+    and an override's first option before all others. ``optmap`` has the letters of each predicted option. ``itrans`` is the
+    scheme reading, in which case matters. A language that isn't supported has the lower-case input as its only option."""
     asked = words.select("word").where("word IS NOT NULL AND word <> ''").distinct().withColumn("lower", F.lower("word"))
     if lang not in R.LANGUAGES or tree is None:
-        return asked.select("word", F.array("lower").alias("options"), F.array(_chars(F.col("lower"))).alias("chars"), F.col("word").alias("itrans"))
-    ranked = predict_words(asked.select(F.col("lower").alias("word")), tree, lang, exact).select(F.col("word").alias("lower"), "options", "chars")
+        return asked.select("word", F.array("lower").alias("options"), F.create_map("lower", F.array("lower")).alias("optmap"), F.col("word").alias("itrans"))
+    ranked = predict_words(asked.select(F.col("lower").alias("word")), tree, lang, exact).select(F.col("word").alias("lower"), "options", _optmap(F.col("options"), F.col("chars")).alias("optmap"))
     if lexicon is not None:
         known = lookup.flag_dictionary(ranked.select(F.col("lower").alias("id"), "options"), lexicon)
         ranked = ranked.join(known.select(F.col("id").alias("lower"), "known"), "lower").withColumn("options", ranking.dictionary_first(F.col("options"), F.col("known"))).drop("known")
@@ -75,11 +81,11 @@ def suggest(
         none = ranked.select(F.lit("").alias("word")).limit(0)
         flagged = lookup.clash_flags(ranked.join(first, "lower", "left").withColumnRenamed("lower", "word"), english if english is not None else none, clash if clash is not None else none).withColumnRenamed("word", "lower")
         use = F.when(text.is_plain_latin(F.col("lower")) & (F.col("candidate") != ""), F.col("candidate"))
-        ranked = flagged.withColumn("options", ranking.insert_sound_candidate(F.col("options"), use, F.col("english"), F.col("clash"))).select("lower", "options", "chars")
+        ranked = flagged.withColumn("options", ranking.insert_sound_candidate(F.col("options"), use, F.col("english"), F.col("clash"))).select("lower", "options", "optmap")
     if overrides is not None:
         done = lookup.apply_overrides(ranked.select(F.col("lower").alias("latin"), "options"), overrides)
         ranked = ranked.drop("options").join(done.withColumnRenamed("latin", "lower"), "lower")
-    return asked.join(ranked, "lower").select("word", "options", "chars", scheme.scheme_to_script(F.col("word"), lang).alias("itrans"))
+    return asked.join(ranked, "lower").select("word", "options", "optmap", scheme.scheme_to_script(F.col("word"), lang).alias("itrans"))
 
 
 def top_suggestion(suggestions: DataFrame) -> DataFrame:
@@ -103,3 +109,20 @@ def alternatives_at(words: DataFrame, tree: DataFrame, lang: str) -> DataFrame:
     native = F.array_join("chars", "")
     joined = asked.join(kept, ["chars", "latin", "pos"], "left")
     return joined.select("chars", "latin", "pos", F.when(F.array_contains("found", native), F.array_distinct("found")).otherwise(F.array(native)).alias("options"))
+
+
+def alternatives_in_words(words: DataFrame, tree: DataFrame, lang: str) -> DataFrame:
+    """Distinct (word, latin) rows, a native word and what was typed for it, to ``word, latin, pos, options`` for every typed letter.
+
+    The word's letters are those of its spelling that is the input, as it was typed or rewritten. A word without
+    such a spelling, or without any, has itself as its only option, at every letter. Nulls and empty inputs give no row.
+    """
+    asked = words.select("word", "latin").where("word IS NOT NULL AND word <> '' AND latin <> ''").distinct()
+    literals = asked.select("word", "latin", F.explode(F.array_distinct(F.array(F.struct(F.lit(0).alias("rank"), F.col("latin").alias("literal")), F.struct(F.lit(1).alias("rank"), text.preprocess(F.col("latin"), lang).alias("literal"))))).alias("l")).select("word", "latin", "l.*")
+    found = romanize.align_pair(literals.select("literal", "word"), lang).where("exact")
+    chosen = literals.join(found, ["literal", "word"]).groupBy("word", "latin").agg(F.min(F.struct("rank", text.strip_epsilon(F.col("classes")).alias("chars"))).alias("best"))
+    each = asked.select("word", "latin", F.explode(F.sequence(F.lit(0).cast("long"), F.char_length("latin").cast("long") - 1)).alias("pos"))
+    placed = each.join(chosen.select("word", "latin", F.col("best.chars").alias("chars")), ["word", "latin"], "left")
+    options = alternatives_at(placed.where("chars IS NOT NULL"), tree, lang).select("chars", "latin", "pos", "options")
+    done = placed.join(options, ["chars", "latin", "pos"], "left")
+    return done.select("word", "latin", "pos", F.coalesce("options", F.array("word")).alias("options"))

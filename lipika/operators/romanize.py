@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import cache
-from itertools import product
+from math import prod
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,7 +21,7 @@ from ..functions import letters, phonemes, scheme, text
 from . import trees
 
 EPSILON = letters.EPSILON
-#: Spellings of one word that ``romanizations`` lists at most; ``training_examples`` needs no such limit.
+#: Spellings of one word that one call of ``romanizations`` lists; ``training_examples`` needs no such limit.
 CAP = 10_000
 
 
@@ -49,56 +49,64 @@ def options_of(word: str, lang: str) -> list[tuple[str, ...]] | None:
     return None if chain and not all(o.strip() for o in chain[0]) else chain
 
 
-def aligned(word: str, lang: str, cap: int = CAP) -> list[tuple[list[str], list[str]]] | None:
-    """All spellings as (letters, classes) of equal length, the last letter varying slowest.
+def number_of_spellings(chain: list[tuple[str, ...]] | None) -> int:
+    """How many spellings a word with these options has; 0 without."""
+    return prod(map(len, chain)) if chain else 0
+
+
+def spelling_at(word: str, chain: list[tuple[str, ...]], rank: int) -> tuple[list[str], list[str]]:
+    """The word's spelling of that rank as (letters, classes) of equal length; the last letter varies slowest.
 
     A blank option adds its native letter to the class before; an option of several letters gives
-    its class to the first and ``EPSILON`` to the others. Unknown letters, letters that no rule
-    fits and a blank at the start give no spelling; more than ``cap`` give None.
+    its class to the first and ``EPSILON`` to the others.
     """
+    typed: list[str] = []
+    classes: list[str] = []
+    at = 0
+    for options, native in zip(chain, word, strict=True):
+        rank, k = divmod(rank, len(options))
+        if not options[k].strip():
+            classes[at] += native
+        else:
+            at = len(classes)
+            typed += options[k]
+            classes += [native] + [EPSILON] * (len(options[k]) - 1)
+    return typed, classes
+
+
+def aligned(word: str, lang: str, cap: int = CAP, start: int = 0) -> list[tuple[list[str], list[str]]]:
+    """At most ``cap`` spellings from rank ``start`` on. Unknown letters, letters that no rule fits and a blank at the start give none."""
     chain = options_of(word, lang)
-    if not chain:
-        return []
-    size = 1
-    for options in chain:
-        size *= len(options)
-    if size > cap:
-        return None
-    out = []
-    for picked in product(*reversed(chain)):
-        typed: list[str] = []
-        classes: list[str] = []
-        at = 0
-        for option, native in zip(reversed(picked), word, strict=True):
-            if not option.strip():
-                classes[at] += native
-            else:
-                at = len(classes)
-                typed += option
-                classes += [native] + [EPSILON] * (len(option) - 1)
-        out.append((typed, classes))
-    return out
-
-
-def romanizations(words: DataFrame, lang: str, cap: int = CAP, only: str | None = None) -> DataFrame:
-    """``word, rank, letters, classes, flags, truncated`` of distinct native words, a row for each spelling.
-
-    Words without a spelling give no row; a word with more than ``cap`` gives one row that says so.
-    ``flags`` tells which letters are among ``only`` (all, where it is not given).
+    return [spelling_at(word, chain, k) for k in range(start, min(start + cap, number_of_spellings(chain)))]
+
+
+def romanizations(words: DataFrame, lang: str, cap: int = CAP, only: str | None = None, start: int = 0) -> DataFrame:
+    """``word, rank, letters, classes, flags, truncated`` of distinct native words, a row for each spelling of rank ``start`` to ``start`` + ``cap`` - 1.
+
+    Words without a spelling give no row. The number of spellings grows with the power of a word's length, so a
+    call gives a range of ranks; ``truncated`` says that there are ranks beyond it, which another ``start`` gives. ``flags``
+    tells which letters are among ``only`` (all, where it is not given).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.bool_()]
+
+        def packed(rows: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*rows, strict=True) if rows else [()] * 6
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["word", "rank", "letters", "classes", "flags", "truncated"])
+
         for batch in batches:
-            rows = []
+            rows: list[tuple] = []
             for word in batch.column("word").to_pylist():
-                found = aligned(word, lang, cap)
-                rows += [(word, 0, None, None, None, True)] if found is None else [(word, k, a, b, [only is None or c in only for c in a], False) for k, (a, b) in enumerate(found)]
-            columns = zip(*rows, strict=True) if rows else [()] * 6
-            types = [pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["word", "rank", "letters", "classes", "flags", "truncated"])
+                more = number_of_spellings(options_of(word, lang)) > start + cap
+                rows += [(word, start + k, a, b, [only is None or c in only for c in a], more) for k, (a, b) in enumerate(aligned(word, lang, cap, start))]
+                if len(rows) >= CAP:  # words may have many spellings
+                    yield packed(rows)
+                    rows = []
+            yield packed(rows)
 
     distinct = words.select("word").where("word IS NOT NULL").distinct()
-    return distinct.mapInArrow(run, "word string, rank int, letters array<string>, classes array<string>, flags array<boolean>, truncated boolean")
+    return distinct.mapInArrow(run, "word string, rank long, letters array<string>, classes array<string>, flags array<boolean>, truncated boolean")
 
 
 def spelled_as(native: str, literal: str, lang: str) -> tuple[list[str], list[str]] | None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import letters, scheme, text
@@ -65,14 +65,28 @@ def rollup_transliterated(docs: DataFrame, lang: str) -> DataFrame:
     return lexicon.rollup_by_form(words, scheme.scheme_to_script(F.col("word"), lang))
 
 
+def _spelled(word: Column, lang: str) -> Column:
+    return F.transform(scheme.script_to_scheme(word, lang), lambda s: scheme.round_trip(s, word, lang))
+
+
 def reverse_words(words: DataFrame, lang: str) -> DataFrame:
     """(word, ...) native words with ``spellings``: their scheme spellings, without ``/`` where that reads the same."""
-    spelled = scheme.script_to_scheme(F.col("word"), lang)
-    return words.withColumn("spellings", F.transform(spelled, lambda s: scheme.round_trip(s, F.col("word"), lang)))
+    return words.withColumn("spellings", _spelled(F.col("word"), lang))
+
 
+def reverse_pairs(pairs: DataFrame, lang: str) -> DataFrame:
+    """(first, second, ...) rows of two native words with ``first_spellings, second_spellings``, as ``reverse_words``; an unsupported language has the words themselves."""
+    if lang not in R.LANGUAGES:
+        return pairs.withColumns({f"{c}_spellings": F.array(c) for c in ("first", "second")})
+    return pairs.withColumns({f"{c}_spellings": _spelled(F.col(c), lang) for c in ("first", "second")})
 
-def reverse_words_predictive(words: DataFrame, lang: str) -> DataFrame:
-    """Distinct native (word) rows with ``spellings``: how they may be typed, in order; none for a word that has no spelling."""
-    spelled = romanize.romanizations(words, lang).where("NOT truncated").select("word", F.struct("rank", F.array_join("letters", "").alias("typed")).alias("s"))
-    listed = spelled.groupBy("word").agg(F.transform(F.sort_array(F.collect_list("s")), lambda x: x["typed"]).alias("spellings"))
-    return words.select("word").distinct().join(listed, "word", "left").select("word", F.coalesce("spellings", F.array().cast("array<string>")).alias("spellings"))
+
+def reverse_words_predictive(words: DataFrame, lang: str, cap: int = romanize.CAP, start: int = 0) -> DataFrame:
+    """Distinct native (word) rows with ``spellings, truncated``: how they may be typed, in order; none for a word that has no spelling.
+
+    Of a word with very many the list has those of rank ``start`` to ``start`` + ``cap`` - 1, and ``truncated`` says that there are more.
+    """
+    spelled = romanize.romanizations(words, lang, cap, start=start).select("word", "truncated", F.struct("rank", F.array_join("letters", "").alias("typed")).alias("s"))
+    listed = spelled.groupBy("word").agg(F.transform(F.sort_array(F.collect_list("s")), lambda x: x["typed"]).alias("spellings"), F.max("truncated").alias("truncated"))
+    done = words.select("word").distinct().join(listed, "word", "left")
+    return done.select("word", F.coalesce("spellings", F.array().cast("array<string>")).alias("spellings"), F.coalesce("truncated", F.lit(False)).alias("truncated"))

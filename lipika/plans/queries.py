@@ -122,7 +122,8 @@ def p20(spark, d):
 @query(
     "p21_expand_options",
     f"""WITH latin AS ({O.LATIN}), ab AS (SELECT word, length(word) AS m FROM latin),
-    made AS (SELECT word, unnest(range(CAST(2 ** m AS BIGINT))) AS k, m FROM ab WHERE m <= 6),
+    short AS MATERIALIZED (SELECT word, m FROM ab WHERE m <= 6),
+    made AS (SELECT word, unnest(range(CAST(2 ** least(m, 6) AS BIGINT))) AS k, m FROM short),
     joined AS (SELECT word, k, string_agg(CASE WHEN (k >> (i - 1)) & 1 = 1 THEN upper(word[i]) ELSE word[i] END, '' ORDER BY i) AS o FROM (SELECT word, k, unnest(range(1, m + 1)) AS i FROM made) GROUP BY word, k)
     SELECT word, string_agg(o, '|' ORDER BY k) AS options FROM joined GROUP BY word UNION ALL SELECT word, word AS options FROM ab WHERE m > 6""",
 )
@@ -228,6 +229,17 @@ def j3(spark, d):
     return done.select("latin", F.array_join("options", "|").alias("options"))
 
 
+@query(
+    "j3_override_options",
+    f"""WITH latin AS ({O.LATIN}) SELECT word AS latin, CASE WHEN word LIKE 'th%' THEN upper(word) || '|' || reverse(word) || '|1|2' ELSE word || '|x' END AS options FROM latin""",
+)
+def j3k(spark, d):
+    words = _words(spark, d)
+    overrides = words.where("word LIKE 'th%'").select(F.col("word").alias("latin"), F.array(F.upper("word"), F.reverse("word"), F.lit("1"), F.lit("2"), F.lit("3")).alias("options"))
+    done = lookup.override_options(words.select(F.col("word").alias("latin"), F.array(F.col("word"), F.lit("x")).alias("options")), overrides)
+    return done.select("latin", F.array_join("options", "|").alias("options"))
+
+
 @query("j4_exact_dict_first", f"WITH latin AS ({O.LATIN}) SELECT word, n > 5 AS exact FROM latin")
 def j4(spark, d):
     words = _words(spark, d)
@@ -328,12 +340,16 @@ def e6(spark, d):
 
 @query(
     "j7_next_akshara_options",
-    f"WITH {_TABLE}, last AS (SELECT word, akshara AS prev FROM syl QUALIFY row_number() OVER (PARTITION BY word ORDER BY i DESC) = 1) SELECT l.word AS id, l.prev, a.entries AS compound, b.entries AS simple, l.prev LIKE '%्' AS joiner FROM last l LEFT JOIN tab a ON a.prev = l.prev AND a.key = 'क' LEFT JOIN tab b ON b.prev = '#' AND b.key = 'क'",
+    f"""WITH {_TABLE}, step AS (SELECT word, i, coalesce(lag(akshara) OVER (PARTITION BY word ORDER BY i), '^') AS prev, akshara[1] AS key FROM syl)
+    SELECT s.word || '|' || s.i AS id, s.prev, a.entries AS compound, b.entries AS simple, s.prev LIKE '%्' AS joiner
+    FROM step s LEFT JOIN tab a ON a.prev = s.prev AND a.key = s.key LEFT JOIN tab b ON b.prev = '#' AND b.key = s.key""",
 )
 def j7(spark, d):
+    """Every word of the corpus, syllable by syllable: what stands before it, and its first letter as the key."""
     native = _native(spark, d)
-    states = native.select(F.col("word").alias("id"), F.col("word").alias("typed"), F.lit("क").alias("key"), "n")
-    states = states.where(lexicon.counted_where(F.size(scheme.aksharas(F.col("typed"), HINDI)) > 0)).drop("n")
+    parts = F.when(F.col("n") > 0, scheme.aksharas(F.col("word"), HINDI))
+    each = native.select("word", parts.alias("parts")).select("word", "parts", F.posexplode("parts").alias("i", "akshara"))
+    states = each.select(F.concat_ws("|", "word", (F.col("i") + 1).cast("string")).alias("id"), F.array_join(F.slice("parts", 1, F.col("i")), "").alias("typed"), F.substring("akshara", 1, 1).alias("key"))
     done = lookup.next_options(states, lexicon.next_table(native, HINDI), HINDI)
     return done.select("id", "prev", _shown("compound").alias("compound"), _shown("simple").alias("simple"), "joiner")
 
@@ -343,17 +359,44 @@ def j8(spark, d):
     return _native(spark, d).select("word", F.array_join(lookup.joiner_variants(F.lit("राज"), F.col("word"), HINDI), "|").alias("variants"))
 
 
-@query("s11_export_akshara_map")
+_JSON = "'{\"akshara\":\"' || akshara || '\",\"score\":' || CAST(CAST(score AS INT) AS VARCHAR) || '.0}'"
+_MAP = f"""{_GRID}, each AS (SELECT prev, key, string_agg({_JSON}, ',' ORDER BY akshara) AS es FROM scored WHERE NOT simple GROUP BY prev, key
+    UNION ALL SELECT '#' AS prev, key, string_agg({_JSON}, ',' ORDER BY place) AS es FROM grid GROUP BY key)"""
+
+
+@query("s11_export_akshara_map", f"""WITH {_MAP} SELECT key, '{{' || string_agg('"' || prev || '+' || key || '":[' || es || ']', ',' ORDER BY prev || '+' || key) || '}}' AS json FROM each GROUP BY key""")
 def s11(spark, d):
     return tables.export_akshara_map(jobs.next_syllable_table(_table(spark, d, "documents").select("text"), HINDI))
 
 
-@query("a8_letters_by_property", f"WITH {O.native_cte(HINDI)}, prop(property, letter) AS (VALUES " + ", ".join(f"('{p}', '{c}')" for p, own in letters.properties(HINDI).items() for c in own) + "), each AS (SELECT unnest(string_split(word, '')) AS letter, n FROM native) SELECT property, count(DISTINCT letter) AS letters, CAST(sum(n) AS BIGINT) AS n FROM each JOIN prop USING (letter) GROUP BY property")
-def a8(spark, d):
-    table = [(p, c) for p, own in letters.properties(HINDI).items() for c in own]
-    props = F.broadcast(spark.createDataFrame(table, "property string, letter string"))  # a rule table
-    each = _native(spark, d).select(F.explode(F.when(F.col("n") > 0, F.regexp_extract_all("word", F.lit("."), F.lit(0)))).alias("letter"), "n").groupBy("letter").agg(F.sum("n").alias("n"))
-    return each.join(props, "letter").groupBy("property").agg(F.count("*").alias("letters"), F.sum("n").alias("n"))
+# Letters by property, as the definitions list them; for the SQL alone.
+_PROPERTIES = {
+    "hindi": "chandra-bindu=ँ dot=ँंः anusvara=ं visarga=ः vowel=अआइईउऊऋएऐओऔ short=अइउएिुॅ long=आईऊऐओऔाीूेैॉोौ cons=कखगघचछजझञटठडढणतथदधनपफबभमयरलळवशषसह cons1=कखगघङ unaspirated=कगचजटडतपब aspirated=खघछझठढथदधफभ nasal=ङञणनम cons2=चछजझञ cons3=टठडढण cons4=तथदधन cons5=पफबभम semi-vowel=यरलळव cons6=शषसह mathra=ािीुूृॅेैॉोौ digit=०१२३४५६७८९",
+    "nepali": "chandra-bindu=ँ dot=ँंः anusvara=ं visarga=ः vowel=अआइईउऊऋएऐओऔ short=अइउएिुॅ long=आईऊऐओऔाीूेैॉोौ cons=कखगघचछजझञटठडढणतथदधनपफबभमयरलवशषसह cons1=कखगघ aspirated=खघछझठढथदधफभ nasal=ङञणनम cons2=चछजझ cons3=टठडढण cons4=तथदधन cons5=पफबभम semi-vowel=यरलव cons6=शषसह mathra=ािीुूृॅेैॉोौ",
+    "tamil": "anusvara=ஂ visarga=ஃ vowel=அஆஇஈஉஊஎஏஐஒஓஔ short=அஇஉஎஒிுெொ long=ஆஈஊஏஐஓஔாீூேைோௌ cons=கஙசஜஞடணதநனபமயரறலளழவஷஸஹ cons1=க nasal=ஙஞணநனம cons2=சஜஞ cons3=டண cons4=தந cons5=பம unaspirated=ப semi-vowel=யரறலளழவ cons6=ஷஸஹ mathra=ாிீுூெேைொோௌ digit=௧௨௩௪௫௬௭௮௯௰௱௲",
+    "kannada": "anusvara=ಂ dot=ಂಃ visarga=ಃ vowel=ಅಆಇಈಉಊಋೠಎಏಐಒಓಔ short=ಅಇಉಎಒಿುೃೆೇೊ long=ಆಈಊಏಐಓಔಾೀೂೄೈೋೌ cons=ಕಖಗಘಚಛಜಝಞಟಠಡಢಣತಥದಧನಪಫಬಭಮಯರಲಳವಶಷಸಹ cons1=ಕಖಗಘಙ unaspirated=ಕಗಚಜಟಡತಪಬ aspirated=ಖಘಛಝಠಢಥದಧಫಭ nasal=ಙಞಣನಮ cons2=ಚಛಜಝಞ cons3=ಟಠಡಢಣ cons4=ತಥದಧನ cons5=ಪಫಬಭಮ semi-vowel=ಯರಲಳವ cons6=ಶಷಸಹ mathra=ಾಿೀುೂೃೄೆೇೈೊೋೌ digit=೦೧೨೩೪೫೬೭೮೯",
+}
+
+
+def _a8(lang: str) -> Query:
+    def run(spark, d):
+        table = [(p, c) for p, own in letters.properties(lang).items() if p not in letters.alphabet(lang) for c in own]
+        props = F.broadcast(spark.createDataFrame(table, "property string, letter string"))  # a rule table
+        each = _native(spark, d, lang).select(F.explode(F.when(F.col("n") > 0, F.regexp_extract_all("word", F.lit("."), F.lit(0)))).alias("letter"), "n").groupBy("letter").agg(F.sum("n").alias("n"))
+        listed = props.groupBy("property").agg(F.array_join(F.sort_array(F.collect_list("letter")), "").alias("listed"))
+        return props.join(each, "letter", "left").groupBy("property").agg(F.count("n").alias("letters"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).join(listed, "property")
+
+    return run
+
+
+for _lang, _listed in _PROPERTIES.items():
+    _rows = ", ".join("('{}', '{}')".format(*x.split("=")) for x in _listed.split())
+    query(
+        "a8_letters_by_property" + ("" if _lang == HINDI else "_" + _lang),
+        f"""WITH {O.native_cte(_lang)}, prop AS (SELECT property, unnest(string_split(own, '')) AS letter FROM (VALUES {_rows}) v(property, own)),
+        each AS (SELECT letter, sum(n) AS n FROM (SELECT unnest(string_split(word, '')) AS letter, n FROM native) GROUP BY letter)
+        SELECT property, count(n) AS letters, CAST(coalesce(sum(n), 0) AS BIGINT) AS n, string_agg(letter, '' ORDER BY letter) AS listed FROM prop LEFT JOIN each USING (letter) GROUP BY property""",
+    )(_a8(_lang))
 
 
 @query("e1_transliterate_documents", _QUERIES["j2_apply_per_distinct_word"][1])
@@ -477,7 +520,8 @@ def p23(spark, d):
 
 @query("p4_preprocess_with_focus")
 def p4(spark, d):
-    return romanize.preprocess_with_focus(_words(spark, d).select("word", (F.char_length("word") - 1).alias("focus")))
+    """Every letter of every word."""
+    return romanize.preprocess_with_focus(_words(spark, d).select("word", F.explode(F.sequence(F.lit(0), F.char_length("word") - 1)).alias("focus")))
 
 
 @query("m1_training_examples")
@@ -485,16 +529,23 @@ def m1(spark, d):
     return romanize.training_examples(_native(spark, d), HINDI)
 
 
-@query("p24_phoneme_options")
-def p24(spark, d):
-    phones = _pron(spark, d).select(F.filter(F.split(text.strip_stress(text.clean_pronunciation(F.array_join("phones", " "))), " "), lambda p: p != "").alias("phones"))
-    done = romanize.phoneme_options(phones)
-    return done.select(F.array_join("phones", " ").alias("phones"), F.array_join(F.transform("chain", lambda o: F.array_join(o, "/")), "|").alias("options"))
+def _p24(lang: str) -> Query:
+    def run(spark, d):
+        phones = _pron(spark, d).select(F.filter(F.split(text.strip_stress(text.clean_pronunciation(F.array_join("phones", " "))), " "), lambda p: p != "").alias("phones"))
+        done = romanize.phoneme_options(phones, lang)
+        return done.select(F.array_join("phones", " ").alias("phones"), F.array_join(F.transform("chain", lambda o: F.array_join(o, "/")), "|").alias("options"))
+
+    return run
+
+
+def _m6(lang: str) -> Query:
+    return lambda spark, d: romanize.sound_candidates(_pron(spark, d), lang).select("word", F.array_join("options", "|").alias("options"))
 
 
-@query("m6_sound_candidates")
-def m6(spark, d):
-    return romanize.sound_candidates(_pron(spark, d), HINDI).select("word", F.array_join("options", "|").alias("options"))
+for _lang in (HINDI, "punjabi", "tamil", "telugu", "kannada", "malayalam"):  # the other four have Hindi's phonemes
+    _suffix = "" if _lang == HINDI else "_" + _lang
+    query("p24_phoneme_options" + _suffix)(_p24(_lang))
+    query("m6_sound_candidates" + _suffix)(_m6(_lang))
 
 
 @query("e8_train_language")
@@ -520,10 +571,9 @@ def m4(spark, d):
 
 @query("m5_alternatives_at")
 def m5(spark, d):
-    pairs = _words(spark, d).select(F.col("word").alias("latin"), text.preprocess(F.col("word")).alias("literal"), scheme.scheme_to_script(F.col("word"), HINDI).alias("word"))
-    found = romanize.align_pair(pairs, HINDI).where("exact").join(pairs, ["literal", "word"])
-    asked = found.select(text.strip_epsilon(F.col("classes")).alias("chars"), "latin", F.lit(0).alias("pos"))
-    return predict.alternatives_at(asked, _model(spark, d), HINDI).select("latin", "pos", F.array_join("chars", "").alias("word"), F.array_join("options", "|").alias("options"))
+    """Every letter of what people type, with its first prediction as the present word."""
+    said = predict.predict_words(_typed(spark, d), _model(spark, d), HINDI).where("valid > 0").select(F.col("word").alias("latin"), F.try_element_at("options", F.lit(1)).alias("word"))
+    return predict.alternatives_in_words(said, _model(spark, d), HINDI).select("word", "latin", "pos", F.array_join("options", "|").alias("options"))
 
 
 @query("e3_suggest")
@@ -534,7 +584,7 @@ def e3(spark, d):
 @query("s10_to_response_json")
 def s10(spark, d):
     done = predict.suggest(_typed(spark, d), HINDI, **_helpers(spark, d))
-    return done.select("word", tables.to_response_json(F.col("word"), F.col("options"), F.col("chars"), F.col("itrans")).alias("json"))
+    return done.select("word", tables.to_response_json(F.col("word"), F.col("options"), F.col("optmap"), F.col("itrans")).alias("json"))
 
 
 @query("e4_top_suggestion")
@@ -557,7 +607,20 @@ def e2(spark, d):
 
 @query("e5_reverse_words")
 def e5(spark, d):
-    return jobs.reverse_words_predictive(_native(spark, d), HINDI).select("word", F.array_join("spellings", "|").alias("spellings"))
+    return jobs.reverse_words_predictive(_native(spark, d), HINDI).select("word", F.array_join("spellings", "|").alias("spellings"), "truncated")
+
+
+@query(
+    "e5_reverse_pairs",
+    f"""WITH {O.spellings_cte(HINDI)}, listed AS (SELECT word, string_agg(s, '|' ORDER BY turn) AS s FROM spellings GROUP BY word),
+    pair AS (SELECT word AS first, reverse(word) AS second FROM native)
+    SELECT first, second, a.s AS first_spellings, b.s AS second_spellings FROM pair JOIN listed a ON a.word = first JOIN listed b ON b.word = second""",
+)
+def e5_pairs(spark, d):
+    """Words that are other words read backwards, in both directions."""
+    native = _native(spark, d).select("word")
+    pairs = native.select(F.col("word").alias("first"), F.reverse("word").alias("second")).join(native.withColumnRenamed("word", "second"), "second")
+    return jobs.reverse_pairs(pairs, HINDI).select("first", "second", *[F.array_join(f"{c}_spellings", "|").alias(f"{c}_spellings") for c in ("first", "second")])
 
 
 @query("u2_dedupe_examples", f"WITH latin AS ({O.LATIN}), e AS (SELECT word, i AS pos, word[i + 1] AS key, word[greatest(i - 1, 0) + 1 : i + 2] AS win, i - greatest(i - 1, 0) AS off, upper(word[i + 2]) AS cls FROM (SELECT word, unnest(range(length(word))) AS i FROM latin)), one AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY word, key, win, off ORDER BY pos, cls) = 1) SELECT key, win, off, cls, count(*) AS n FROM one GROUP BY ALL")

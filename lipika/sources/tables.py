@@ -70,11 +70,9 @@ def write_tsv_rollups(rollup: DataFrame, path: str) -> None:
     rollup.select(F.concat_ws("\t", "form", F.array_join("sources", "\t"))).write.text(f"{path}/sources")
 
 
-def to_response_json(word: Column, options: Column, chars: Column, itrans: Column) -> Column:
-    """A suggestion as JSON text, properly escaped: the input, its options with the letters of each, and the scheme reading."""
-    pairs = F.filter(F.arrays_zip(options.alias("o"), chars.alias("c")), lambda x: x["o"].isNotNull() & x["c"].isNotNull())
-    letters = F.map_from_entries(F.transform(F.array_distinct(F.transform(pairs, lambda x: x["o"])), lambda o: F.struct(o.alias("key"), F.try_element_at(F.filter(pairs, lambda x: x["o"] == o), F.lit(1))["c"].alias("value"))))
-    entry = F.struct(F.lit(True).alias("word"), options.alias("options"), letters.alias("optmap"))
+def to_response_json(word: Column, options: Column, optmap: Column, itrans: Column) -> Column:
+    """A suggestion as JSON text, properly escaped: the input, its options, the letters of each predicted one, and the scheme reading."""
+    entry = F.struct(F.lit(True).alias("word"), options.alias("options"), optmap.alias("optmap"))
     return F.to_json(F.struct(word.alias("inString"), F.array(entry).alias("twords"), itrans.alias("itrans")))
 
 
