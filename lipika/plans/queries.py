@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import letters, scheme, text
 from ..functions import rules as R
-from ..operators import counters, lexicon, lookup, predict, ranking, romanize, trees
+from ..operators import counters, lexicon, lookup, predict, ranking, romanize, sounds, trees
 from ..sources import scratch, tables
+from ..streaming import words as streams
 from . import jobs
 from . import oracles as O
 
@@ -613,13 +614,13 @@ def e5(spark, d):
 @query(
     "e5_reverse_pairs",
     f"""WITH {O.spellings_cte(HINDI)}, listed AS (SELECT word, string_agg(s, '|' ORDER BY turn) AS s FROM spellings GROUP BY word),
-    pair AS (SELECT word AS first, reverse(word) AS second FROM native)
+    pair AS (SELECT word AS first, left(word, length(word) - 1) AS second FROM native)
     SELECT first, second, a.s AS first_spellings, b.s AS second_spellings FROM pair JOIN listed a ON a.word = first JOIN listed b ON b.word = second""",
 )
 def e5_pairs(spark, d):
-    """Words that are other words read backwards, in both directions."""
+    """Words, and what is left of them without their last letter, where that is a word too."""
     native = _native(spark, d).select("word")
-    pairs = native.select(F.col("word").alias("first"), F.reverse("word").alias("second")).join(native.withColumnRenamed("word", "second"), "second")
+    pairs = native.select(F.col("word").alias("first"), F.expr("left(word, char_length(word) - 1)").alias("second")).join(native.withColumnRenamed("word", "second"), "second")
     return jobs.reverse_pairs(pairs, HINDI).select("first", "second", *[F.array_join(f"{c}_spellings", "|").alias(f"{c}_spellings") for c in ("first", "second")])
 
 
@@ -631,6 +632,173 @@ def u2(spark, d):
     return done.select("key", F.col("window").alias("win"), F.col("offset").cast("long").alias("off"), "cls", "n")
 
 
+# --- the sound model ----------------------------------------------------------------------------
+
+
+def _dictionary(spark, d) -> DataFrame:
+    """Pronunciations of the corpus's commoner words, without telling which letter has which phones."""
+    plain = F.filter(F.split(text.strip_stress(text.clean_pronunciation(F.array_join("phones", " "))), " "), lambda p: ~p.isin("", "-"))
+    return _pron(spark, d).join(_words(spark, d).where("n > 1").select("word"), "word").select("word", plain.alias("phones"))
+
+
+def _sound_model(spark, d) -> DataFrame:
+    """The sound trees of that dictionary, grown once in a session and kept beside the predictive ones."""
+    at = spark.sparkContext.applicationId, d, tables.SOUND
+    if at not in _TREES:
+        path = f"{scratch.shared_dir(spark)}/trees-{uuid.uuid4().hex}"
+        tables.write_model(sounds.train_sounds(_dictionary(spark, d)), path, "english", tables.SOUND)
+        _TREES[at] = path
+    return tables.read_model(spark, _TREES[at], "english", tables.SOUND)
+
+
+# The phones of letters once more, for the SQL.
+_SAID = "CASE c WHEN 'a' THEN 'ah' WHEN 'e' THEN 'eh' WHEN 'i' THEN 'ih' WHEN 'o' THEN 'ow1' WHEN 'u' THEN 'uh' WHEN 'h' THEN 'hh' WHEN 'c' THEN 'k' WHEN 'q' THEN 'k' WHEN 'x' THEN 'k_s' WHEN 'j' THEN 'jh' WHEN 'w' THEN '' ELSE c END"
+
+
+@query(
+    "m6_predicted_phones",
+    f"WITH latin AS ({O.LATIN}) SELECT word, string_agg({_SAID}, '|' ORDER BY i) AS phones FROM (SELECT word, unnest(string_split(word, '')) AS c, unnest(range(length(word))) AS i FROM latin WHERE n = 1) GROUP BY word",
+)
+def m6_phones(spark, d):
+    """Phones of the words that the dictionary has not."""
+    rare = _words(spark, d).where(lexicon.counted_where(F.col("n") == 1)).select("word")
+    return sounds.predict_phones(rare, _sound_model(spark, d)).select("word", F.array_join("phones", "|").alias("phones"))
+
+
+@query("m6_sound_words")
+def m6_words(spark, d):
+    """All words: the dictionary's phones where it has them, else the model's."""
+    done = sounds.sound_words(_words(spark, d), HINDI, _dictionary(spark, d), _sound_model(spark, d))
+    return done.select("word", "exact", F.array_join("options", "|").alias("options"))
+
+
+# --- files --------------------------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{scratch.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _lines(rows: DataFrame, path: str, head: str | None = None) -> str:
+    """One file of lines (a whole file is a rule table of bounded size) where there is a head line, else as many as there are tasks."""
+    if head is not None:
+        rows = rows.select(F.lit(1).alias("at"), F.col("value")).unionByName(rows.sparkSession.createDataFrame([(0, head)], "at int, value string")).coalesce(1).sortWithinPartitions("at", "value").select("value")
+    rows.write.text(path)
+    return path
+
+
+@query("s1_read_lexicon", f"WITH {O.native_cte(HINDI)} SELECT 'hindi' AS lang, word, n FROM native WHERE trim(word) <> ''")
+def s1(spark, d):
+    path = _lines(_native(spark, d).where(lexicon.counted_where(F.trim("word") != "")).select(F.concat_ws("\t", "word", F.col("n").cast("string")).alias("value")), _folder(spark, "lexicon"))
+    return tables.read_lexicon(spark, path, HINDI)
+
+
+@query("s2_read_word_freq", f"WITH latin AS ({O.LATIN}) SELECT word, n AS freq FROM latin")
+def s2(spark, d):
+    path = _lines(_words(spark, d).select(F.concat(F.lit(" "), "word", F.lit(" \t "), F.col("n").cast("string")).alias("value")), _folder(spark, "freq"))
+    return tables.read_word_freq(spark, path)
+
+
+@query("s3_read_wordset", f"WITH latin AS ({O.LATIN}) SELECT DISTINCT 'english' AS lang, 'dict' AS kind, word FROM (SELECT unnest([word, reverse(word)]) AS word FROM latin)")
+def s3(spark, d):
+    path = _lines(_words(spark, d).select(F.concat_ws(" ", "word", F.reverse("word")).alias("value")), _folder(spark, "set"))
+    return tables.read_wordset(spark, path, "english", "dict")
+
+
+@query("s4_read_overrides", f"WITH latin AS ({O.LATIN}) SELECT 'hindi' AS lang, word AS latin, upper(word) || '|' || reverse(word) AS options FROM latin WHERE word LIKE 'th%' AND n > 30")
+def s4(spark, d):
+    words = _words(spark, d).where(lexicon.counted_where((F.col("n") > 30) & F.col("word").startswith("th")))
+    folder = _folder(spark, "overrides")
+    _lines(words.select(F.concat_ws(" ", F.upper("word"), F.upper("word"), F.reverse("word")).alias("value")), f"{folder}/hindi", "latin options")
+    _lines(spark.createDataFrame([("hindi hindi",)], "value string"), f"{folder}/manifest", "language file")
+    return tables.read_overrides(spark, f"{folder}/manifest", folder).select("lang", "latin", F.array_join("options", "|").alias("options"))
+
+
+@query("s5_read_pron_dict", f"WITH {_PRON} SELECT word, replace(replace('|' || replace(p, ' ', '|') || '|', '|#', '|'), '|#', '|') AS phones FROM spoken")
+def s5(spark, d):
+    path = _lines(_pron(spark, d).select(F.concat_ws(" ", "word", F.array_join("phones", " ")).alias("value")), _folder(spark, "pron"))
+    return tables.read_pron_dict(spark, path).select("word", F.concat(F.lit("|"), F.array_join("phones", "|"), F.lit("|")).alias("phones"))
+
+
+@query("s7_read_model")
+def s7(spark, d):
+    """The predictive and the sound trees from one folder."""
+    path = _folder(spark, "models")
+    tables.write_model(_model(spark, d), path, HINDI)
+    tables.write_model(_sound_model(spark, d), path, "english", tables.SOUND)
+    both = [tables.read_model(spark, path, lang, kind).withColumn("kind", F.lit(kind)) for lang, kind in ((HINDI, tables.PREDICTIVE), ("english", tables.SOUND))]
+    return both[0].unionByName(both[1]).groupBy("kind", "key").agg(F.count("*").alias("nodes"), F.count("feature").alias("splits"))
+
+
+@query("s8_write_examples", f"WITH {_EXAMPLES} SELECT key, win AS \"window\", off AS \"offset\", cls, CAST(sum(n) AS BIGINT) AS n FROM ex GROUP BY ALL")
+def s8(spark, d):
+    path = _folder(spark, "examples")
+    tables.write_examples(_examples(spark, d).drop("node"), path)
+    return spark.read.schema("window string, offset long, cls string, n long, key string").parquet(path)
+
+
+@query("s9_write_tsv_rollups", f"WITH latin AS ({O.LATIN}), {O.forms_cte(HINDI)} SELECT form || chr(9) || CAST(sum(n) AS BIGINT) AS freq, form || chr(9) || string_agg(word, chr(9) ORDER BY word) AS sources FROM latin JOIN forms USING (word) WHERE form <> '' GROUP BY form")
+def s9(spark, d):
+    path = _folder(spark, "rollup")
+    tables.write_tsv_rollups(jobs.rollup_transliterated(_table(spark, d, "documents").select("text"), HINDI), path)
+    form = F.split("value", "\t", 2)[0].alias("form")
+    freq, sources = (spark.read.text(f"{path}/{name}").select(form, F.col("value").alias(name)) for name in ("freq", "sources"))
+    return freq.join(sources, "form").select("freq", "sources")
+
+
+# --- streams ------------------------------------------------------------------------------------
+
+
+def _streamed(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table as a stream of its files; a pattern, for the table may be one file."""
+    return spark.readStream.schema(_table(spark, d, name).schema).parquet(f"{d}/{name}.parque[t]")
+
+
+def _actions(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "click", "addWord").otherwise(F.col("event_type")).alias("action"))
+
+
+@query("t1_stream_word_counts", "SELECT date_trunc('second', ts) AS sec, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1")
+def t1(spark, d):
+    """The stream runs over all events, and again, which adds nothing; no event of a table is late."""
+    path = _folder(spark, "counts")
+    for _ in range(2):
+        streams.count_words(_actions(_streamed(spark, d, "events")), path, f"{path}-mark", late="36500 days").awaitTermination()
+    return streams.read_counts(spark, path).select(F.col("sec").cast("timestamp_ntz").alias("sec"), "n")
+
+
+@query("t2_stream_running_total", "SELECT 1000 + count(*) AS total FROM events WHERE event_type = 'click'")
+def t2(spark, d):
+    path = _folder(spark, "total")
+    for _ in range(2):
+        streams.add_to_total(_actions(_streamed(spark, d, "events")), path, f"{path}-mark").awaitTermination()
+    return streams.read_total(spark, path, 1000)
+
+
+@query("t3_stream_transliterate", _QUERIES["j2_apply_per_distinct_word"][1])
+def t3(spark, d):
+    path = _folder(spark, "native-texts")
+    streams.by_batch(streams.stream_transliterate(_streamed(spark, d, "documents").select("doc_id", "text"), HINDI), path, f"{path}-mark").awaitTermination()
+    return spark.read.schema("doc_id long, text string, batch long").parquet(path).drop("batch")
+
+
+@query("t3_stream_suggest")
+def t3s(spark, d):
+    """The words that people type, suggested as they come."""
+    path = _folder(spark, "suggested")
+    typed = _streamed(spark, d, "conversations").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+    streams.suggest_words(typed, HINDI, path, f"{path}-mark", **_helpers(spark, d)).awaitTermination()
+    return spark.read.parquet(path).select("word", F.array_join("options", "|").alias("options"), "itrans").distinct()
+
+
+@query("t4_append_feedback", "SELECT doc_id, text FROM documents")
+def t4(spark, d):
+    path = _folder(spark, "taught")
+    taught = _streamed(spark, d, "documents").select(F.col("doc_id").cast("string").alias("wkey"), F.col("text").alias("wvalue"), F.lit(HINDI).alias("language"), F.lit("word").alias("mode"))
+    streams.append_feedback(taught, path, f"{path}-mark").awaitTermination()
+    return spark.read.schema("wkey string, wvalue string, language string, mode string").parquet(path).select(F.col("wkey").cast("long").alias("doc_id"), F.col("wvalue").alias("text"))
+
+
 # --- counters -----------------------------------------------------------------------------------
 
 _SECONDS = "sec AS (SELECT date_trunc('second', ts) AS sec, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1), run AS (SELECT sec, n, CAST(sum(n) OVER (ORDER BY sec) AS BIGINT) AS total FROM sec)"

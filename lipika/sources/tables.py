@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,12 +53,64 @@ def read_pron_dict(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.trim("value") != "").select(part[0].alias("word"), phones.alias("phones"))
 
 
-def write_model(tree: DataFrame, path: str, lang: str) -> None:
-    tree.withColumn("lang", F.lit(lang)).write.mode("overwrite").partitionBy("lang", "key").parquet(path)
-
-
-def read_model(spark: SparkSession, path: str, lang: str) -> DataFrame:
-    return spark.read.parquet(path).where(F.col("lang") == lang).drop("lang")
+PREDICTIVE, SOUND = "predictive", "sound"
+
+
+def write_model(tree: DataFrame, path: str, lang: str, kind: str = PREDICTIVE) -> None:
+    """Store a language's trees of one kind; those of other languages and kinds in the folder stay."""
+    named = tree.withColumns({"lang": F.lit(lang), "kind": F.lit(kind)})
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("lang", "kind").parquet(path)
+
+
+def read_model(spark: SparkSession, path: str, lang: str, kind: str = PREDICTIVE) -> DataFrame:
+    return spark.read.parquet(path).where((F.col("lang") == lang) & (F.col("kind") == kind)).drop("lang", "kind")
+
+
+_NODE = "struct<_id:bigint,`split-rule`:struct<`rel-index`:int,`context-id`:string,feature:string>,`context-len`:int,terminal:string,classes:string>"
+
+
+def read_model_xml(spark: SparkSession, path: str, kind: str = PREDICTIVE) -> DataFrame:
+    """Trees stored as XML (``tree`` elements with ``key`` and ``type``, their nodes numbered in order from left to right), as ``key,
+    node, delta, feature, literals, classes``; a feature is its literals and, last, its label."""
+    found = spark.read.format("xml").option("rowTag", "tree").schema(f"_key string, _type string, node array<{_NODE}>").load(path)
+    rows = found.where(F.col("_type") == kind).select(F.col("_key").alias("key"), F.explode("node").alias("n"))
+    literal = r"u?'([^']*)'|u?\"([^\"]*)\""
+    named = F.transform(F.regexp_extract_all("n.`split-rule`.feature", F.lit(literal), F.lit(0)), lambda x: F.regexp_replace(x, r"^u?['\"]|['\"]$", ""))
+    pairs = F.regexp_extract_all("n.classes", F.lit(r'\("[^"]*", \d+\)'), F.lit(0))
+    classes = F.transform(pairs, lambda x: F.struct(F.regexp_extract(x, r'^\("(.*)", \d+\)$', 1).alias("cls"), F.regexp_extract(x, r"(\d+)\)$", 1).cast("long").alias("n")))
+    leaf = F.lower("n.terminal") == "true"
+    flat = rows.select("key", F.col("n._id").alias("id"), leaf.alias("leaf"), F.col("n.`split-rule`.`rel-index`").alias("delta"), named.alias("named"), F.when(leaf, classes).alias("classes"))
+    # leaves and inner nodes take turns in the order of numbers, and a node's subtree is a run of numbers around it
+    return flat.groupBy("key").applyInPandas(_named_nodes, "key string, node string, delta int, feature string, literals array<string>, classes array<struct<cls:string,n:bigint>>")
+
+
+def _named_nodes(rows: pd.DataFrame) -> pd.DataFrame:
+    """Nodes of one tree, in the order they were written (a node before those below it), named by the way to them."""
+    below: dict[int, list[int | None]] = {}
+    way: dict[int, str] = {}
+    root = None
+    for node in rows["id"]:
+        if root is None:
+            root, way[node] = node, ""
+        at = root
+        while at != node:
+            side = int(node > at)
+            if below[at][side] is None:
+                below[at][side], way[node] = node, way[at] + str(side)
+            at = below[at][side]
+        below[node] = [None, None]
+    leaf = rows["leaf"].to_numpy(bool)
+    inner = lambda values: [None if x else v for x, v in zip(leaf, values, strict=True)]
+    return pd.DataFrame(
+        {
+            "key": rows["key"],
+            "node": [way[n] for n in rows["id"]],
+            "delta": pd.Series(inner(rows["delta"]), dtype="Int32", index=rows.index),
+            "feature": inner(n[-1] if len(n) else None for n in rows["named"]),
+            "literals": inner(list(n[:-1]) for n in rows["named"]),
+            "classes": rows["classes"],
+        }
+    )
 
 
 def write_examples(examples: DataFrame, path: str) -> None:
