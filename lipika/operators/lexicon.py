@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import scheme
+from ..sources.scratch import cut, spread
 
 START = "^"
 # Consonants that have a grid of their own beside their first letter's.
@@ -16,7 +17,7 @@ EXTENDED = ("q", "J", "x", "GY", "R")
 def word_counts(texts: DataFrame, column: str = "text") -> DataFrame:
     """``word, n``: lower-case runs of Latin letters; counted in each task before the shuffle."""
     words = F.regexp_extract_all(F.lower(F.col(column)), F.lit("[a-z]+"), F.lit(0))
-    return texts.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return spread(texts.select(column)).select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def counted_where(condition: Column, n: str = "n") -> Column:
@@ -85,7 +86,8 @@ def simple_grid(scored: DataFrame, lang: str) -> DataFrame:
 
 def next_table(lexicon: DataFrame, lang: str, k: int = 15) -> DataFrame:
     """``prev, key, entries``: compound syllables by (previous syllable, key letter), in their order, and at prev ``#`` each key's grid of simple ones, in the grid's order."""
-    scored = log_normalize(top_next(akshara_bigrams(lexicon, lang), k))
+    # at most k rows for each pair of syllables, read by three branches below
+    scored = cut(log_normalize(top_next(akshara_bigrams(lexicon, lang), k)))
     entry = F.struct("akshara", "score")
     compound = scored.where("NOT simple").groupBy("prev", "key").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
     placed = F.sort_array(F.collect_list(F.struct("place", "akshara", "score")))

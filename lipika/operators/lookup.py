@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import scheme
+from ..sources.scratch import cut, spread
 
 
 def flag_dictionary(options: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -20,22 +23,59 @@ def flag_dictionary(options: DataFrame, lexicon: DataFrame) -> DataFrame:
     return back.select("id", F.col("o.word").alias("options"), F.col("o.known").alias("known"))
 
 
-def apply_per_distinct_word(docs: DataFrame, runs: Column, is_word: Callable[[Column], Column], convert: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Convert each distinct word of (doc_id, text) rows once, and put the results back in place: ``doc_id, text``, a row for each row.
+#: Characters of words and conversions that are sent to all tasks; more are joined.
+SENT_CHARS = 64_000_000
+#: A word of at least this share of all occurrences is common; there are no more of them than its inverse.
+COMMON = 1 / 2000
 
-    ``convert`` takes a table with ``word`` and adds ``out``. For conversions that are dear; a
-    plain column expression is cheaper applied in place, for it needs no shuffle. Rows that repeat
-    a doc_id, or have none, stay apart; a null text becomes empty.
+
+def apply_per_distinct_word(docs: DataFrame, convert: Callable[[DataFrame], DataFrame], sent_chars: int = SENT_CHARS) -> DataFrame:
+    """Convert each distinct Latin word of (doc_id, text) rows once, lower-cased, and put the results back in place: ``doc_id, text``, a row for each row.
+
+    ``convert`` takes a table with ``word`` and adds ``out``; a word without stays. For conversions that are dear; a
+    plain column expression is cheaper applied in place. The converted words are written once and their size is
+    known then: up to ``sent_chars`` they go to all tasks, which put them in place as they read the texts; beyond it each row's
+    different words are joined to them, the common ones by broadcast. Rows that repeat a doc_id, or have
+    none, stay apart; a null text becomes empty.
     """
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", runs.alias("runs"))
-    each = numbered.select("row", "doc_id", F.posexplode_outer("runs").alias("pos", "run"))
-    words = docs.select(F.explode(runs).alias("run")).where(is_word(F.col("run"))).select(F.lower("run").alias("word")).distinct()
-    done = convert(words).select("word", "out")
-    key = F.when(is_word(F.col("run")), F.lower("run"))
-    # common words are many rows: Spark broadcasts the table of words if its size allows, else splits their partitions
-    put = each.withColumn("word", key).join(done, "word", "left").select("row", "doc_id", "pos", F.coalesce("out", "run", F.lit("")).alias("out"))
-    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "out"))), lambda x: x["out"]), "")
-    return put.groupBy("row", "doc_id").agg(whole.alias("text")).drop("row")
+    docs = spread(docs.select("doc_id", "text"))
+    found = F.regexp_extract_all("text", F.lit("[a-zA-Z]+"), F.lit(0))
+    counts = cut(docs.select(F.explode(found).alias("run")).select(F.lower("run").alias("word")).groupBy("word").agg(F.count("*").alias("n")))
+    done = cut(convert(counts.select("word")).select("word", "out").where("out IS NOT NULL"))
+    size = done.agg(F.sum(F.char_length("word") + F.char_length("out"))).first()[0] or 0
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {id_type}, text string"
+    if size <= sent_chars:
+        sent = docs.sparkSession.sparkContext.broadcast({r["word"]: r["out"] for r in done.collect()})
+        return docs.mapInArrow(lambda batches: _put_back(batches, lambda _: sent.value), schema)
+    total = counts.agg(F.sum("n")).first()[0]
+    common = F.broadcast(done.join(counts.where(F.col("n") >= COMMON * total).select("word"), "word", "left_semi").select(F.col("word").alias("often"), F.col("out").alias("often_out")))
+    # a row's first entry carries the row itself, the others its different words; one pass, and no word of many rows is shuffled
+    entry = f"array<struct<word:string,whole:struct<doc_id:{id_type},text:string>>>"
+    own = F.array(F.struct(F.lit(None).cast("string").alias("word"), F.struct("doc_id", "text").alias("whole"))).cast(entry)
+    words = F.transform(F.array_distinct(F.transform(found, F.lower)), lambda w: F.struct(w.alias("word"), F.lit(None).alias("whole"))).cast(entry)
+    numbered = docs.withColumn("row", F.monotonically_increasing_id())  # before the rows are multiplied
+    each = numbered.select("row", F.explode(F.concat(own, F.coalesce(words, F.array().cast(entry)))).alias("e")).select("row", "e.word", "e.whole")
+    near = each.join(common, each["word"] == F.col("often"), "left")
+    asked = F.when(F.col("word").isNull() | F.col("often").isNotNull(), F.concat(F.lit(" "), F.pmod("row", F.lit(4096)).cast("string"))).otherwise(F.col("word"))
+    met = near.withColumn("asked", asked).join(done.withColumnRenamed("word", "found"), F.col("asked") == F.col("found"), "left")
+    packed = met.groupBy("row").agg(F.max("whole").alias("whole"), F.collect_list(F.when(F.col("word").isNotNull(), F.struct("word", F.coalesce("often_out", "out").alias("out")))).alias("pairs"))
+    table = packed.select("whole.doc_id", "whole.text", F.filter("pairs", lambda p: p["out"].isNotNull()).alias("pairs"))
+    return table.mapInArrow(lambda batches: _put_back(batches, lambda pairs: {p["word"]: p["out"] for p in pairs}), schema)
+
+
+_WORD = re.compile("[a-zA-Z]+")
+
+
+def _put_back(batches: Iterator[pa.RecordBatch], known: Callable[[list | None], dict[str, str]]) -> Iterator[pa.RecordBatch]:
+    """Texts with each word's conversion in its place."""
+    for batch in batches:
+        pairs = batch.column("pairs").to_pylist() if "pairs" in batch.schema.names else [None] * batch.num_rows
+        texts = []
+        for text, found in zip(batch.column("text").to_pylist(), pairs, strict=True):
+            table = known(found)
+            texts.append(_WORD.sub(lambda m, table=table: table.get(m[0].lower(), m[0]), text or ""))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
 
 def apply_overrides(suggestions: DataFrame, overrides: DataFrame) -> DataFrame:

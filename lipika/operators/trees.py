@@ -66,18 +66,22 @@ def split_scores(examples: DataFrame, of: DataFrame) -> DataFrame:
     """``key, node, delta, delta_rank, feature, rank, score``: the purity after each split that parts a node.
 
     Per split only the left side is counted; the right side is what the node has besides. A place's
-    text is joined to features by each of its beginnings, as many as the longest literal has letters.
+    text meets features by each of its beginnings, as many as the longest literal has letters.
     """
-    longest = of.agg(F.max(F.char_length("literal"))).first()[0] or 1
+    asked: dict[str, list] = {}
+    for r in of.orderBy("rank").collect():  # a rule table
+        asked.setdefault(r["literal"], []).append(F.struct(F.lit(r["feature"]).alias("feature"), F.lit(r["rank"]).alias("rank")))
+    longest = max(map(len, asked), default=1)
+    known = F.create_map(*[x for literal, own in asked.items() for x in (F.lit(literal), F.array(*own))]) if asked else F.lit(None).cast("map<string,array<struct<feature:string,rank:int>>>")
     deltas = F.explode(F.array(*[F.struct(F.lit(d).alias("delta"), F.lit(k).alias("delta_rank")) for k, d in enumerate(DISTANCES)]))
     start = F.col("offset") + F.col("d.delta")  # from 0
     at = examples.select("key", "node", "window", "offset", "cls", "n", deltas.alias("d")).withColumn("start", start).where((F.col("start") >= 0) & (F.col("start") < F.char_length("window")))
     heads = at.select("key", "node", "cls", "n", "d.delta", "d.delta_rank", F.substr("window", F.col("start") + 1, F.lit(longest)).alias("head"))
     grouped = heads.groupBy("key", "node", "cls", "delta", "delta_rank", "head").agg(F.sum("n").alias("n"))
     begins = F.transform(F.sequence(F.lit(1), F.char_length("head")), lambda k: F.substr("head", F.lit(1), k))
-    literals = F.broadcast(of)  # a rule table
     # several literals of a feature may match: an example counts once
-    hit = grouped.withColumn("literal", F.explode(begins)).join(literals, "literal").select("key", "node", "cls", "delta", "delta_rank", "head", "n", "feature", "rank").distinct()
+    met = F.array_distinct(F.flatten(F.filter(F.transform(begins, lambda x: F.try_element_at(known, x)), lambda fs: fs.isNotNull())))
+    hit = grouped.select("key", "node", "cls", "delta", "delta_rank", "n", F.explode(met).alias("f")).select("key", "node", "cls", "delta", "delta_rank", "n", "f.feature", "f.rank")
     left = hit.groupBy("key", "node", "delta", "delta_rank", "feature", "rank", "cls").agg(F.sum("n").cast("double").alias("l"))
     whole = examples.groupBy("key", "node", "cls").agg(F.sum("n").cast("double").alias("t"))
     sums = whole.groupBy("key", "node").agg(F.sum("t").alias("total"), F.sum(F.col("t") * F.col("t")).alias("squares"))

@@ -8,21 +8,21 @@ from pyspark.sql import functions as F
 from ..functions import letters, scheme, text
 from ..functions import rules as R
 from ..operators import lexicon, lookup, predict, romanize, trees
+from ..sources.scratch import spread
 
 
 def transliterate_text(docs: DataFrame, lang: str) -> DataFrame:
     """(doc_id, text) with every Latin word, lower-cased, in native script; all else untouched.
 
-    The conversion is a column expression applied in place: no shuffle, one pass.
+    The conversion is a column expression applied in place: one pass, and no shuffle but for a small table.
     """
-    return docs.select("doc_id", scheme.words_to_script(F.coalesce("text", F.lit("")), lang).alias("text"))
+    return spread(docs.select("doc_id", "text")).select("doc_id", scheme.words_to_script(F.coalesce("text", F.lit("")), lang).alias("text"))
 
 
 def transliterate_predicted(docs: DataFrame, lang: str, **models) -> DataFrame:
     """(doc_id, text) with every Latin word as its first suggestion; all else untouched. ``models`` as in ``suggest``."""
-    runs = text.split_runs(F.coalesce("text", F.lit("")))
     convert = lambda words: predict.top_suggestion(predict.suggest(words, lang, **models)).withColumnRenamed("option", "out")
-    return lookup.apply_per_distinct_word(docs, runs, text.is_word_run, convert)
+    return lookup.apply_per_distinct_word(docs, convert)
 
 
 def render_markup(docs: DataFrame, lang: str = "english", models: dict[str, DataFrame] | None = None) -> DataFrame:

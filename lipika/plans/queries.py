@@ -216,7 +216,7 @@ def w5(spark, d):
 def j2(spark, d):
     docs = _table(spark, d, "documents").select("doc_id", "text")
     convert = lambda words: words.withColumn("out", scheme.scheme_to_script(F.col("word"), HINDI))
-    return lookup.apply_per_distinct_word(docs, text.split_runs(F.col("text")), text.is_word_run, convert)
+    return lookup.apply_per_distinct_word(docs, convert)
 
 
 @query(
@@ -461,7 +461,7 @@ _SPLITS = f"""{_EXAMPLES}, d(delta, drank) AS (VALUES {_DELTAS}), f(feature, lit
 
 @query("a6_split_scores", f"WITH {_SPLITS} SELECT key, delta, feature, round(round((a + b) / n, 12), 9) AS score FROM split")
 def a6(spark, d):
-    return trees.split_scores(_examples(spark, d), trees.features(spark, GROUPS)).select("key", "delta", "feature", F.round("score", 9).alias("score"))
+    return trees.split_scores(scratch.cut(_examples(spark, d)), trees.features(spark, GROUPS)).select("key", "delta", "feature", F.round("score", 9).alias("score"))
 
 
 @query(

@@ -60,7 +60,7 @@ def test_transliterate_text(spark):
     rows = spark.createDataFrame([(1, "raam, 2 kumaar!"), (2, ""), (3, "123"), (4, None)], "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in jobs.transliterate_text(rows, "hindi").collect()} == {1: "राम, 2 कुमार!", 2: "", 3: "123", 4: ""}
     convert = lambda words: words.withColumn("out", scheme.scheme_to_script(F.col("word"), "hindi"))
-    slow = lookup.apply_per_distinct_word(rows.where("text is not null"), text.split_runs(F.col("text")), text.is_word_run, convert)
+    slow = lookup.apply_per_distinct_word(rows.where("text is not null"), convert)
     assert {r["doc_id"]: r["text"] for r in slow.collect()} == {1: "राम, 2 कुमार!", 2: "", 3: "123"}
 
 
@@ -391,8 +391,24 @@ def test_words_are_converted_after_they_are_counted(spark):
 def test_rows_that_share_an_id_stay_apart(spark):
     rows = spark.createDataFrame([(1, "raam"), (1, "kumaar"), (None, "raam x"), (2, None)], "doc_id long, text string")
     upper = lambda words: words.withColumn("out", F.upper("word"))
-    done = lookup.apply_per_distinct_word(rows, text.split_runs(F.col("text")), text.is_word_run, upper)
-    assert sorted((r["doc_id"] or 0, r["text"]) for r in done.collect()) == [(0, "RAAM X"), (1, "KUMAAR"), (1, "RAAM"), (2, "")]
+    for sent in (lookup.SENT_CHARS, 0):  # words sent to all tasks, and words joined
+        done = lookup.apply_per_distinct_word(rows, upper, sent)
+        assert sorted((r["doc_id"] or 0, r["text"]) for r in done.collect()) == [(0, "RAAM X"), (1, "KUMAAR"), (1, "RAAM"), (2, "")]
+
+
+def test_common_words_are_not_shuffled_to_one_task(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"{'ab' * (k % 3)}{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300)]
+    zipf = [1 / (k + 1) for k in range(len(words))]
+    rows = [(k, ", ".join(rng.choices(words, zipf, k=rng.randint(0, 40))) + "!") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    odd = lambda w: w.where("word <> 'aa'").withColumn("out", F.upper("word"))  # noqa: E731  # one word has no conversion
+    monkeypatch.setattr(lookup, "COMMON", 0.02)
+    want = {k: " ".join(x if x.strip(",!") == "aa" else x.upper() for x in t.split(" ")) for k, t in rows}
+    for sent in (lookup.SENT_CHARS, 0):
+        done = lookup.apply_per_distinct_word(docs, odd, sent)
+        assert {r["doc_id"]: r["text"] for r in done.collect()} == want
+    assert lookup.apply_per_distinct_word(docs.limit(0), odd, 0).count() == 0
 
 
 def test_sources(spark, tmp_path):
