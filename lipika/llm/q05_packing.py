@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.scratch import spread
 from .common import table
 from .packing import pack
 
@@ -11,4 +12,4 @@ NAME = "op5_packing"
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return pack(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))

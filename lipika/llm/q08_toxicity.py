@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import spread
 from .common import table
 from .quality import learning_fold
 from .toxicity import fit_toxicity, score_toxicity
@@ -13,7 +14,7 @@ NAME = "op8_toxicity"
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
     scored = score_toxicity(docs, model)
     return scored.select("doc_id", (~learning_fold(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.scratch import spread
 from .common import table
 from .neardup import near_duplicates
 
@@ -11,4 +12,4 @@ NAME = "op10_minhash_near_dedup"
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
