@@ -43,12 +43,6 @@ def with_letters(examples: DataFrame, groups: Groups) -> Groups:
     return [*groups, *((r["c"], [r["c"]]) for r in sorted(seen))]
 
 
-def features(spark: SparkSession, groups: Groups) -> DataFrame:
-    """``feature, literal, rank`` of (label, literals) groups, in order; groups are a small rule table."""
-    rows = [(label, literal, k) for k, (label, literals) in enumerate(groups) for literal in literals if literal]
-    return spark.createDataFrame(rows, "feature string, literal string, rank int")
-
-
 def leaf_distribution(examples: DataFrame) -> DataFrame:
     """``node, classes``: class counts of each (key, node), the largest first, ties by class."""
     counts = examples.groupBy("key", "node", "cls").agg(F.sum("n").alias("n"))
@@ -62,15 +56,16 @@ def node_purity(examples: DataFrame) -> DataFrame:
     return counts.groupBy("key", "node").agg((F.sum(F.col("n").cast("double") * F.col("n")) / (F.sum("n").cast("double") * F.sum("n"))).alias("purity"), F.sum("n").alias("total"))
 
 
-def split_scores(examples: DataFrame, of: DataFrame) -> DataFrame:
+def split_scores(examples: DataFrame, groups: Groups) -> DataFrame:
     """``key, node, delta, delta_rank, feature, rank, score``: the purity after each split that parts a node.
 
     Per split only the left side is counted; the right side is what the node has besides. A place's
     text meets features by each of its beginnings, as many as the longest literal has letters.
     """
     asked: dict[str, list] = {}
-    for r in of.orderBy("rank").collect():  # a rule table
-        asked.setdefault(r["literal"], []).append(F.struct(F.lit(r["feature"]).alias("feature"), F.lit(r["rank"]).alias("rank")))
+    for rank, (label, literals) in enumerate(groups):  # a rule table
+        for literal in dict.fromkeys(x for x in literals if x):
+            asked.setdefault(literal, []).append(F.struct(F.lit(label).alias("feature"), F.lit(rank).alias("rank")))
     longest = max(map(len, asked), default=1)
     known = F.create_map(*[x for literal, own in asked.items() for x in (F.lit(literal), F.array(*own))]) if asked else F.lit(None).cast("map<string,array<struct<feature:string,rank:int>>>")
     deltas = F.explode(F.array(*[F.struct(F.lit(d).alias("delta"), F.lit(k).alias("delta_rank")) for k, d in enumerate(DISTANCES)]))
@@ -203,7 +198,6 @@ def grow(examples: DataFrame, groups: Groups) -> DataFrame:
     """
     spark = examples.sparkSession
     groups = with_letters(examples, groups)
-    of = features(spark, groups)
     literals = spark.createDataFrame([(label, [x for x in own if x]) for label, own in groups], "feature string, literals array<string>")
     rows = cut(examples.groupBy("key", "window", "offset", "cls").agg(F.sum("n").alias("n")).withColumn("node", F.lit("")))
     out = []
@@ -213,7 +207,7 @@ def grow(examples: DataFrame, groups: Groups) -> DataFrame:
         if large.isEmpty():
             break
         rows = cut(rows.join(large, ["key", "node"]))
-        chosen = cut(best_split(split_scores(rows, of), node_purity(rows)).join(F.broadcast(literals), "feature"))
+        chosen = cut(best_split(split_scores(rows, groups), node_purity(rows)).join(F.broadcast(literals), "feature"))
         level = leaf_distribution(rows).join(chosen.select("key", "node", "delta", "feature", "literals"), ["key", "node"], "left")
         out.append(cut(level.select("key", "node", "delta", "feature", "literals", F.when(F.col("feature").isNull(), F.col("classes")).alias("classes"))))
         left = matches(F.col("window"), F.col("offset"), F.col("delta"), F.col("literals"))

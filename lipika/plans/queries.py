@@ -461,7 +461,7 @@ _SPLITS = f"""{_EXAMPLES}, d(delta, drank) AS (VALUES {_DELTAS}), f(feature, lit
 
 @query("a6_split_scores", f"WITH {_SPLITS} SELECT key, delta, feature, round(round((a + b) / n, 12), 9) AS score FROM split")
 def a6(spark, d):
-    return trees.split_scores(scratch.cut(_examples(spark, d)), trees.features(spark, GROUPS)).select("key", "delta", "feature", F.round("score", 9).alias("score"))
+    return trees.split_scores(scratch.cut(_examples(spark, d)), GROUPS).select("key", "delta", "feature", F.round("score", 9).alias("score"))
 
 
 @query(
@@ -470,7 +470,7 @@ def a6(spark, d):
 )
 def w4(spark, d):
     ex = scratch.cut(_examples(spark, d))
-    return trees.best_split(trees.split_scores(ex, trees.features(spark, GROUPS)), trees.node_purity(ex)).select("key", "delta", "feature", F.round("score", 9).alias("score"))
+    return trees.best_split(trees.split_scores(ex, GROUPS), trees.node_purity(ex)).select("key", "delta", "feature", F.round("score", 9).alias("score"))
 
 
 # --- romanisation and models --------------------------------------------------------------------
