@@ -271,31 +271,37 @@ def _filled(pattern: str, lang: str, own: str) -> str:
 
 
 @cache
-def producers(lang: str) -> dict[str, list[tuple[str, tuple[str, ...]]]]:
-    """(pattern, typed forms) by native letter, in order."""
+def rules(lang: str) -> dict[str, list[tuple[str, tuple[str, ...]]]]:
+    """(pattern with names in braces, typed forms) by native letter, in order."""
     own, special, style = alphabet(lang), OWN[lang], STYLE.get(lang, NORTHERN)
     consonants, out = {x.rsplit(":", 1)[0] for x in CONSONANTS.split()}, {}
     for name, code in own.items():
         bare = TYPED.get(name, [name.lower()])
         forms = {BARE: bare, WITH_A: [b + "a" for b in bare], EITHER: [b + "a" for b in bare] + bare, "with e": [bare[0] + "a", bare[0] + "e"]}
         if name in special:
-            rules = special[name]
+            found = special[name]
         elif name in consonants:
-            rules = [r for r in style if not (r[1] == "with e" and name in NO_E.split())]
+            found = [r for r in style if not (r[1] == "with e" and name in NO_E.split())]
         else:
-            rules = [("{own}", PLAIN.get(name, name))]
+            found = [("{own}", PLAIN.get(name, name))]
         made = []
-        for pattern, options in rules:
+        for pattern, options in found:
             values = forms[options] if options in forms else [o.replace("-", "") for o in options.split()]
-            made.append((_filled(pattern, lang, code), tuple(values)))
+            made.append((pattern, tuple(values)))
         out[code] = made
     return out
 
 
+@cache
+def producers(lang: str) -> dict[str, list[tuple[str, tuple[str, ...]]]]:
+    """(pattern, typed forms) by native letter, in order; names are filled in."""
+    return {code: [(_filled(pattern, lang, code), options) for pattern, options in found] for code, found in rules(lang).items()}
+
+
 @cache
 def feature_groups(lang: str) -> list[tuple[str, list[str]]]:
     """Property by property, the different typed forms of its letters: the groups that trees ask for."""
-    typed = {code: list(dict.fromkeys(o for _, options in rules for o in options)) for code, rules in producers(lang).items()}
+    typed = {code: list(dict.fromkeys(o for _, options in found for o in options)) for code, found in producers(lang).items()}
     return [(f"is {p}", list(dict.fromkeys(o for code in letters for o in typed[code]))) for p, letters in properties(lang).items()]
 
 

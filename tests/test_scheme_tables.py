@@ -6,8 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lipika.functions import phonemes, scheme
+from lipika.functions import letters, phonemes, scheme
 from lipika.plans import scheme_values as V
+from lipika.sources import rule_tables
 
 # What single spellings and small words become, as the definitions say.
 GOLDEN = {
@@ -141,3 +142,25 @@ def test_every_phoneme_between_every_two_others(lang):
         if before == p:  # a match uses up what it reads, so of equals in a row not each sees the one before it
             continue
         assert got == want, (word, got, want)
+
+
+def test_rule_tables_are_what_the_engines_read(spark):
+    langs = sorted(V.LANGUAGES)
+    tables = {name: df.cache() for name, df in rule_tables.load_rules(spark, *langs).items()}
+    for lang in langs:
+        own = {name: df.where(F.col("lang") == lang).orderBy("ord").collect() for name, df in tables.items()}
+        spelled = {}
+        for r in own["scheme"]:
+            for x in r["spellings"]:
+                spelled.setdefault(x, (r["kind"], r["code"], r["letter"]))
+        assert spelled == {x: (kind, code, letter or "") for x, (_, kind, code, letter) in V.spelled(lang).items()}
+        made = {}
+        for r in own["producers"]:
+            made.setdefault(r["letter"], []).append((r["pattern"], tuple(r["options"])))
+        assert made == letters.producers(lang) and "{" not in "".join(p for rules in made.values() for p, _ in rules).replace("{0,", "")
+        assert [(r["pattern"], r["value"]) for r in own["rewrites"]] == letters.REWRITES[lang]
+        assert {r["letter"] for r in own["phonemes"]} == set(phonemes.PHONEMES.split())
+    # a row that a job adds to the properties is met by the patterns
+    more = spark.createDataFrame([("hindi", "dot", 9, "ॱ")], rule_tables.PROPERTIES)
+    known = rule_tables.expand(rule_tables.producer_rules(spark, "hindi").where("letter = 'ग'"), rule_tables.letter_properties(spark, "hindi").unionByName(more))
+    assert [r["pattern"] for r in known.orderBy("ord").collect()][1] == "(?<!^)(ग)[़]?(?![ँंःॱ]|[कखगघचछजझञटठडढणतथदधनपफबभमयरलळवशषसह]$)"
