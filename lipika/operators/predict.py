@@ -46,22 +46,66 @@ def predict_words(words: DataFrame, tree: DataFrame, lang: str, exact: DataFrame
         known = exact.groupBy("typed").agg(F.min("native").alias("native"))
         left = asked.join(known, "typed", "left_anti")
     found = trees.predict(typed_windows(left.select("typed").distinct(), lang), tree)
-    classes = F.transform("classes", lambda c: F.when(c["cls"] == letters.EPSILON, "").otherwise(c["cls"]))
-    own = found.withColumn("o", F.coalesce(classes, F.array(F.lit(""))))
-    chains = own.groupBy("typed").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "o"))), lambda x: x["o"]).alias("all"))
-    chosen = F.transform("all", lambda o, i: F.transform(F.when(i == F.col("single_at"), F.slice(o, 1, 1)).otherwise(o), lambda x: F.concat(x, F.lit(_END))))
-    joined = left.join(chains, "typed").select("word", "single_at", "typed", text.expand_options(chosen).alias("made"))
-    plain = lambda x: F.replace(x, F.lit(_END), F.lit(""))
-    joined = joined.withColumn("good", F.filter("made", lambda x: scheme.is_valid_word(plain(x), lang)))
-    kept = joined.select("word", "single_at", "typed", F.when(F.size("good") > 0, F.col("good")).otherwise(F.slice("made", 1, 1)).alias("made"), F.size("good").alias("valid"))
-    split = lambda x: F.slice(F.split(x, _END), 1, F.size(F.split(x, _END)) - 1)
-    out = kept.select("word", "single_at", "typed", F.transform("made", plain).alias("options"), F.transform("made", split).alias("chars"), "valid")
+    joined = left.join(_chains(found, "typed"), "typed")
+    made = joined.select("word", "single_at", "typed", text.expand_options(_chosen(F.col("all"), F.col("single_at"))).alias("made"))
+    out = _valid_first(made, ["word", "single_at", "typed"], lang)
     if exact is None:
         return out
     direct = asked.join(known, "typed").select("word", "single_at", "typed", F.array("native").alias("options"), F.array(_chars(F.col("native"))).alias("chars"), F.lit(1).alias("valid"))
     return out.unionByName(direct)
 
 
+def _chains(found: DataFrame, *by: str) -> DataFrame:
+    """``all``: each letter's classes in order, by frequency; a letter without a tree adds nothing."""
+    classes = F.transform("classes", lambda c: F.when(c["cls"] == letters.EPSILON, "").otherwise(c["cls"]))
+    own = found.withColumn("o", F.coalesce(classes, F.array(F.lit(""))))
+    return own.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "o"))), lambda x: x["o"]).alias("all"))
+
+
+def _chosen(chain: Column, single_at: Column | None = None) -> Column:
+    """The classes to join, each with its end marked; only the first at ``single_at``."""
+    own = lambda o, i: o if single_at is None else F.when(i == single_at, F.slice(o, 1, 1)).otherwise(o)
+    return F.transform(chain, lambda o, i: F.transform(own(o, i), lambda x: F.concat(x, F.lit(_END))))
+
+
+def _valid_first(made: DataFrame, by: list[str], lang: str | None) -> DataFrame:
+    """``options, chars, valid`` of joined classes (``made``): valid words, or the first join with ``valid`` 0; without a language all are valid."""
+    plain = lambda x: F.replace(x, F.lit(_END), F.lit(""))
+    split = lambda x: F.slice(F.split(x, _END), 1, F.size(F.split(x, _END)) - 1)
+    good = F.col("made") if lang is None else F.filter("made", lambda x: scheme.is_valid_word(plain(x), lang))
+    kept = made.withColumn("good", good).select(*by, F.when(F.size("good") > 0, F.col("good")).otherwise(F.slice("made", 1, 1)).alias("made"), F.size("good").alias("valid"))
+    return kept.select(*by, F.transform("made", plain).alias("options"), F.transform("made", split).alias("chars"), "valid")
+
+
+def predict_symbols(words: DataFrame, tree: DataFrame, codes: dict[str, str], lang: str | None = None, exact: DataFrame | None = None) -> DataFrame:
+    """Distinct (symbols) rows with ``typed, options, chars, valid``, for input whose symbols have codes of one or more letters.
+
+    ``typed`` is the codes joined. Each symbol is predicted by the tree of its code's first letter, where its code begins in
+    ``typed``; the trees have learned from texts coded alike. A word with a symbol that has no code is its own only option, with
+    ``valid`` -1. A word of ``exact`` (typed, chars) is that. Without a language every join counts as valid. Nulls and empty rows give none.
+    """
+    coded = lookup.encode_symbols(F.col("symbols"), codes)
+    asked = words.select("symbols").where("size(symbols) > 0 AND NOT exists(symbols, x -> x IS NULL)").distinct().withColumn("c", coded)
+    unknown = asked.where("c.n < 0").select("symbols", F.array_join("symbols", "").alias("typed"), F.array(F.array_join("symbols", "")).alias("options"), F.array("symbols").alias("chars"), F.lit(-1).alias("valid"))
+    left = asked.where("c.n >= 0").select("symbols", F.col("c.word").alias("typed"))
+    known = None
+    if exact is not None:
+        known = exact.groupBy("typed").agg(F.min("chars").alias("own"))
+        direct = left.join(known, "typed").select("symbols", "typed", F.array(F.array_join("own", "")).alias("options"), F.array("own").alias("chars"), F.lit(1).alias("valid"))
+        left = left.join(known, "typed", "left_anti")
+    ahead = trees.SCOPE + (tree.agg(F.max(F.array_max(F.transform("literals", F.char_length)))).first()[0] or 1) - 1
+    table = F.create_map(*[F.lit(x) for pair in codes.items() for x in pair])
+    parts = left.withColumn("parts", F.transform("symbols", lambda x: F.try_element_at(table, x)))
+    at = parts.select("symbols", "typed", "parts", F.posexplode("parts").alias("pos", "code"))
+    at = at.withColumn("focus", F.char_length(F.array_join(F.slice("parts", 1, F.col("pos")), "")))
+    start = F.greatest(F.col("focus") + 1 - trees.SCOPE, F.lit(0))
+    marked = F.concat(F.lit("#"), F.col("typed"), F.lit("_"))
+    windows = at.select("symbols", "typed", "pos", F.substr("code", F.lit(1), F.lit(1)).alias("key"), F.substr(marked, start + 1, F.col("focus") + 2 + ahead - start).alias("window"), (F.col("focus") + 1 - start).alias("offset"))
+    chains = _chains(trees.predict(windows, tree), "symbols", "typed")
+    out = _valid_first(chains.select("symbols", "typed", text.expand_options(_chosen(F.col("all"))).alias("made")), ["symbols", "typed"], lang).unionByName(unknown)
+    return out if known is None else out.unionByName(direct)
+
+
 def suggest(
     words: DataFrame, lang: str, tree: DataFrame | None = None, lexicon: DataFrame | None = None, sounds: DataFrame | None = None, english: DataFrame | None = None, clash: DataFrame | None = None, overrides: DataFrame | None = None, exact: DataFrame | None = None
 ) -> DataFrame:

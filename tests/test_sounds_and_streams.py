@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lipika.operators import lexicon, predict, romanize, sounds
+from lipika.operators import lexicon, predict, romanize, sounds, trees
 from lipika.plans import jobs
 from lipika.sources import tables
 from lipika.streaming import words as streams
@@ -160,3 +160,47 @@ def test_focus_and_ranges_of_spellings(spark):
         parts += [r["latin"] for r in romanize.romanizations(spark.createDataFrame([("आईना",)], "word string"), "hindi", cap=3, start=start).select("rank", F.array_join("letters", "").alias("latin")).orderBy("rank").collect()]
     assert parts == whole and len(whole) > 6
     assert lexicon.word_counts(spark.createDataFrame([(None,)], "text string")).count() == 0
+
+
+def walked(tree, key, text, at):
+    """The classes of one place of a marked text, node by node."""
+    own = {r["node"]: r for r in tree if r["key"] == key}
+    node = ""
+    while own and own[node]["feature"] is not None:
+        r = own[node]
+        start = at + r["delta"]
+        node += "0" if 0 <= start < len(text) and any(text.startswith(x, start) for x in r["literals"]) else "1"
+    return [c["cls"] for c in own[node]["classes"]] if own else [""]
+
+
+def test_symbols_of_several_letters_are_predicted_where_their_codes_begin(spark):
+    rng = random.Random(9)
+    codes = {"sh": "aB", "a": "aC", "t": "bB", "i:": "cBc", "m": "d"}
+    say = {"sh": "श", "a": "ा", "t": "त", "i:": "ी", "m": "म"}
+    some = [[rng.choice(["sh", "t", "m"]) if k % 2 == 0 else rng.choice(["a", "i:"]) for k in range(rng.randint(1, 6))] for _ in range(80)]
+    examples = []
+    for word in some[:60]:
+        literal, at = "".join(codes[x] for x in word), 0
+        for k, x in enumerate(word):
+            text, start = "#" + literal + "_", max(0, at + 1 - 4)
+            cls = "ट" if x == "t" and word[k + 1 : k + 2] == ["i:"] else say[x]
+            examples.append((codes[x][0], text[start : at + 2 + 8], at + 1 - start, cls, 1))
+            at += len(codes[x])
+    tree = trees.grow(spark.createDataFrame(examples, "key string, window string, offset int, cls string, n long"), [("first", ["aB", "bB", "cBc"]), ("vowel", ["aC", "cBc"])]).cache()
+    rows = spark.createDataFrame([(w,) for w in [*some, ["t", "zz"], [], None, ["t", None]]], "symbols array<string>")
+    got = {tuple(r["symbols"]): r for r in predict.predict_symbols(rows, tree, codes).collect()}
+    nodes = tree.collect()
+    assert set(got) == {tuple(w) for w in some} | {("t", "zz")}
+    for word in some:
+        literal, at, chain = "".join(codes[x] for x in word), 0, []
+        for x in word:
+            chain.append(walked(nodes, codes[x][0], "#" + literal + "_", at + 1))
+            at += len(codes[x])
+        want = ["".join(reversed(x)) for x in itertools.product(*reversed(chain))]
+        r = got[tuple(word)]
+        assert r["typed"] == literal and r["options"] == want and r["valid"] == len(want) and ["".join(c) for c in r["chars"]] == want
+    bad = got["t", "zz"]
+    assert bad["options"] == ["tzz"] and bad["chars"] == [["t", "zz"]] and bad["valid"] == -1
+    exact = spark.createDataFrame([("bBaC", ["थ", "ा"])], "typed string, chars array<string>")
+    one = predict.predict_symbols(spark.createDataFrame([(["t", "a"],), (["m", "a"],)], "symbols array<string>"), tree, codes, "hindi", exact).collect()
+    assert {tuple(r["symbols"]): (r["options"], r["valid"]) for r in one} == {("t", "a"): (["था"], 1), ("m", "a"): (["मा"], 1)}
