@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import letters, scheme, text
 from ..functions import rules as R
-from ..operators import lexicon, lookup, predict, romanize, trees
+from ..operators import lexicon, lookup, predict, romanize, sounds, trees
 from ..sources.scratch import spread
 
 
@@ -65,6 +65,12 @@ def rollup_transliterated(docs: DataFrame, lang: str) -> DataFrame:
     return lexicon.rollup_by_form(words, scheme.scheme_to_script(F.col("word"), lang))
 
 
+def rollup_sounded(words: DataFrame, lang: str, pron: DataFrame | None = None, tree: DataFrame | None = None) -> DataFrame:
+    """``form, freq, sources`` of (word, n) rows by how the words sound, the first of the ways; a word without is left out."""
+    first = sounds.sound_words(words, lang, pron, tree).select(F.col("word").alias("said"), F.try_element_at("options", F.lit(1)).alias("form"))
+    return lexicon.rollup_by_form(words.join(first, F.lower("word") == F.col("said")), F.col("form"))
+
+
 def _spelled(word: Column, lang: str) -> Column:
     return F.transform(scheme.script_to_scheme(word, lang), lambda s: scheme.round_trip(s, word, lang))
 

@@ -672,6 +672,12 @@ def m6_words(spark, d):
     return done.select("word", "exact", F.array_join("options", "|").alias("options"))
 
 
+@query("e7_rollup_sounded")
+def e7_sounded(spark, d):
+    done = jobs.rollup_sounded(_words(spark, d), HINDI, _dictionary(spark, d), _sound_model(spark, d))
+    return done.select("form", "freq", F.array_join("sources", "|").alias("sources"))
+
+
 # --- files --------------------------------------------------------------------------------------
 
 

@@ -59,6 +59,8 @@ def test_sound_model_says_words_it_has_not_seen(spark):
     got = {r["word"]: r for r in sounds.sound_words(words, "hindi", own, tree).collect()}
     assert got["kata"]["exact"] and got["kata"]["options"] == ["ग्डा"]
     assert not got["xim"]["exact"] and got["xim"]["options"] == ["क्सिम", "क्सिं"] and set(got) == {"kata", "xim"}
+    rolled = jobs.rollup_sounded(spark.createDataFrame([("kata", 2), ("xim", 3), ("qq", 1)], "word string, n long"), "hindi", own, tree)
+    assert sorted(map(tuple, rolled.collect())) == [("क्सिम", 3, ["xim"]), ("ग्डा", 2, ["kata"])]
     empty = spark.createDataFrame([], "word string, phones array<string>")
     assert sounds.align_phones(empty).count() == 0 and sounds.sound_words(words, "hindi").count() == 0
 
