@@ -33,8 +33,10 @@ SMALL_BYTES = 4_000_000
 def spread(df: DataFrame) -> DataFrame:
     """A small table's rows over all cores: its files may have fewer row groups than there are cores, and a row group is one task's work.
 
-    Larger tables stay as they are read; the size is the planner's estimate, which costs no job.
+    Larger tables, and streams, stay as they are read; the size is the planner's estimate, which costs no job.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * SMALL_BYTES else df
