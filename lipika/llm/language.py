@@ -91,48 +91,61 @@ class Pieces:
         self.keys = np.array(sorted(steps), np.int64)
         self.then = np.array([steps[k] for k in self.keys.tolist()], np.int64)
         self.ends = np.array(ends, np.int64)
-        first = self.keys[self.keys < 1 << _BITS]
-        self.single = first[self.ends[self.then[: len(first)]] >= 0]
-
-    def symbols(self, words: list[str]) -> list[np.ndarray]:
-        """Each word, with the mark of a word's start, as symbols."""
+        self.inner = np.zeros(len(ends), bool)  # nodes that a longer piece goes on from
+        self.inner[self.keys >> _BITS] = True
+        # the first step of every walk, by symbol; the others are searched for
+        self.first = np.full(_BYTES + 256, -1, np.int64)
+        roots = self.keys < 1 << _BITS
+        self.first[self.keys[roots]] = self.then[roots]
+        self.single = np.zeros(len(self.first), bool)
+        self.single[self.keys[roots]] = self.ends[self.then[roots]] >= 0
+
+    def symbols(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words, each with the mark of a word's start, as one array of symbols, and where each begins and how long it is."""
         lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        starts = np.cumsum(lengths) - lengths
         flat = np.frombuffer((_START + _START.join(words)).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-        at = np.searchsorted(self.single, flat)
-        known = self.single[np.minimum(at, len(self.single) - 1)] == flat
-        out = np.split(flat, np.cumsum(lengths)[:-1])
-        if not known.all():
-            for k in {int(x) for x in np.searchsorted(np.cumsum(lengths), np.flatnonzero(~known), side="right")}:
-                known_of = np.isin(out[k], self.single)
-                out[k] = np.array([s for c, ok in zip(out[k].tolist(), known_of, strict=True) for s in ([c] if ok else [_BYTES + b for b in chr(c).encode("utf-8", "surrogatepass")])], np.int64)
-        return out
+        unknown = np.flatnonzero(~self.single[flat])
+        parts, end = [flat], len(flat)
+        for k in np.unique(np.searchsorted(starts, unknown, side="right") - 1).tolist():  # written anew, behind the others
+            own = flat[starts[k] : starts[k] + lengths[k]].tolist()
+            coded = [s for c in own for s in ([c] if self.single[c] else [_BYTES + b for b in chr(c).encode("utf-8", "surrogatepass")])]
+            parts.append(np.array(coded, np.int64))
+            starts[k], lengths[k] = end, len(coded)
+            end += len(coded)
+        return np.concatenate(parts), starts, lengths
 
     def groups(self, words: list[str]) -> Iterator[tuple[np.ndarray, int, list]]:
         """Words of one length together: their places in the list, the length, and for each piece length its
         (bounds by start, word, start, piece), ordered by start."""
-        coded = self.symbols(words) if words else []
-        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
+        if not words:
+            return
+        flat, starts, lengths = self.symbols(words)
         order = np.argsort(lengths, kind="stable")
         edge = np.flatnonzero(np.diff(lengths[order])) + 1
-        for same in np.split(order, edge) if len(order) else []:
+        for same in np.split(order, edge):
             m = int(lengths[same[0]])
             for at in range(0, len(same), max(1, _CELLS // m)):
                 some = same[at : at + max(1, _CELLS // m)]
-                yield some, m, self._edges(np.stack([coded[k] for k in some], axis=1), m, len(some))
+                yield some, m, self._edges(flat[starts[some] + np.arange(m)[:, None]], m, len(some))
 
     def _edges(self, chars: np.ndarray, m: int, width: int) -> list:
         start, word = np.divmod(np.arange(m * width), width)
-        state, out = np.zeros(m * width, np.int64), []
+        state, out = self.first[chars.ravel()], []
         for length in range(1, min(m, self.longest) + 1):
-            inside = start + length <= m
-            start, word, state = start[inside], word[inside], state[inside]
-            key = state << _BITS | chars[start + length - 1, word]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[at] == key
-            start, word, state = start[hit], word[hit], self.then[at[hit]]
+            if length > 1:
+                inside = start + length <= m
+                start, word, state = start[inside], word[inside], state[inside]
+                key = state << _BITS | chars[start + length - 1, word]
+                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                state = np.where(self.keys[at] == key, self.then[at], -1)
+            hit = state >= 0
+            start, word, state = start[hit], word[hit], state[hit]
             piece = self.ends[state]
             ends = piece >= 0
             out.append((np.searchsorted(start[ends], np.arange(m + 1)), word[ends], start[ends], piece[ends]))
+            go_on = self.inner[state]
+            start, word, state = start[go_on], word[go_on], state[go_on]
         return out
 
     def sums(self, edges: list, m: int, p: list[np.ndarray], width: tuple, back: bool = False) -> tuple[np.ndarray, np.ndarray]:
