@@ -185,27 +185,39 @@ def _placed(groups: DataFrame, place) -> DataFrame:
     return found.select("key", home.alias("shard"))
 
 
+def _with_shard(rows: DataFrame, placed: DataFrame) -> DataFrame:
+    """``rows`` with the shard of their key, a null key's too; a former ``shard`` column is replaced, others pass through."""
+    placed = placed.select(placed["key"].alias("of"), placed["shard"].alias("home"))
+    # the rows of a hot key are split by adaptive execution
+    joined = rows.join(placed.hint("merge"), rows["key"].eqNullSafe(placed["of"]))
+    return joined.select(*[rows[c] for c in rows.columns if c != "shard"], placed["home"].alias("shard"))
+
+
 def assign_shards(rows: DataFrame, shards: int) -> DataFrame:
     """Add ``shard`` to rows of (key, size, ...): rows of one key share a shard, shards' sizes are near equal.
 
     Sizes are summed by key before anything moves. A key that is larger than an even share of what
-    is left has a shard of its own (it is indivisible); the other shards share the rest evenly.
+    is left has a shard of its own (it is indivisible); the other shards share the rest evenly. A null
+    size counts as 0, and rows of a null key are one group.
     """
-    groups = rows.groupBy("key").agg(F.sum("size").alias("bytes"))
+    groups = rows.groupBy("key").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
     placed = _placed(groups, lambda classes: pack_into(classes, shards))
-    # the rows of a hot key are split by adaptive execution
-    return rows.join(placed.hint("merge"), "key")
+    return _with_shard(rows, placed)
 
 
 def number_slots(rows: DataFrame, order: list[str], n_rows: int, by: str) -> DataFrame:
     """Add ``slot``, gapless from 0 within each value of ``by``, numbered strip by strip so that no task holds all of one."""
+    rows = rows.drop("slot")
     strips = max(1, -(-n_rows // ROWS_A_STRIP))
-    rows = rows.withColumn("__strip", F.pmod(F.xxhash64(*order), F.lit(strips)).cast("int"))
-    counts = rows.groupBy(by, "__strip").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy(by).orderBy("__strip").rowsBetween(Window.unboundedPreceding, -1))
-    base = counts.select(by, "__strip", F.coalesce(before, F.lit(0)).alias("__base"))
-    place = F.row_number().over(Window.partitionBy(by, "__strip").orderBy(*order))
-    return rows.withColumn("__k", place).join(base, [by, "__strip"]).withColumn("slot", (F.col("__base") + F.col("__k") - 1).cast("long")).drop("__strip", "__k", "__base")
+    strip = F.pmod(F.xxhash64(*order), F.lit(strips)).cast("int")
+    # the rows as they are stand in one column, so that none of their names can clash; rows without ``by`` are a value of their own
+    held = rows.select(F.struct(*[rows[c] for c in rows.columns]).alias("row"), F.struct(rows[by]).alias("by"), strip.alias("strip"))
+    counts = held.groupBy("by", "strip").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("by").orderBy("strip").rowsBetween(Window.unboundedPreceding, -1))
+    base = counts.select("by", "strip", F.coalesce(before, F.lit(0)).alias("base"))
+    place = F.row_number().over(Window.partitionBy("by", "strip").orderBy(*[F.col("row").getField(c) for c in order]))
+    done = held.withColumn("place", place).join(base, ["by", "strip"])
+    return done.select("row.*", (F.col("base") + F.col("place") - 1).cast("long").alias("slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
@@ -231,6 +243,6 @@ def fixed_capacity_shards(rows: DataFrame, capacity: int) -> DataFrame:
 
     A group larger than the capacity has a shard of its own. Sizes count to 16 significant bits, rounded up.
     """
-    groups = rows.groupBy("key").agg(F.sum("size").alias("bytes"))
+    groups = rows.groupBy("key").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
     placed = _placed(groups, lambda classes: best_fit_decreasing(classes, capacity)[0])
-    return rows.join(placed.hint("merge"), "key")
+    return _with_shard(rows, placed)

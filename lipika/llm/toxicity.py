@@ -14,7 +14,6 @@ block's distinct n-grams are joined to the tables and return to the block with t
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -85,16 +84,6 @@ def _shorter(grams: DataFrame, order: int) -> DataFrame:
     return grams.groupBy(_suffix(order).alias("key")).agg(F.sum((F.col("toxic") > 0).cast("long")).alias("toxic"), F.sum((F.col("ordinary") > 0).cast("long")).alias("ordinary"))
 
 
-def summarise(counts: DataFrame) -> DataFrame:
-    """By order: each n-gram's exact counts (continuation counts below the highest order)."""
-    grams, out = counts, []
-    for order in range(ORDER, 0, -1):
-        out.append(grams.select(F.lit(order).alias("order"), "key", "toxic", "ordinary"))
-        if order > 1:
-            grams = _shorter(grams, order - 1)
-    return reduce(DataFrame.unionByName, out)
-
-
 def _discount(once: int, twice: int) -> float:
     return min(0.95, max(0.1, once / max(1, once + 2 * twice)))
 
@@ -109,50 +98,6 @@ def _shared_chances(keys: np.ndarray, n: np.ndarray, once: dict[int, float]) ->
     return step(n[2], keys[2] >> 8, once[2], step(n[1], np.zeros(len(keys[1]), np.int64), once[1], 1 / 256)[np.searchsorted(keys[1], keys[2] & 255)])
 
 
-class KneserNeyPair:
-    """The two models in memory, for few n-grams; ``DifferenceTables`` has the same in Spark tables."""
-
-    def __init__(self, rows):
-        """``rows``: a pandas frame of ``summarise``."""
-        grams = {}
-        for order in range(1, ORDER + 1):
-            own = rows[rows["order"] == order].sort_values("key")
-            grams[order] = own["key"].to_numpy(np.int64), own[["toxic", "ordinary"]].to_numpy(np.float64)
-        both = {order: grams[order][1].sum(1) for order in (1, 2)}
-        shared = {order: _discount((n == 1).sum(), (n == 2).sum()) for order, n in both.items()}
-        low = dict(zip(grams[2][0].tolist(), _shared_chances({o: grams[o][0] for o in (1, 2)}, both, shared).tolist(), strict=True))
-        lower = {key: (p, p) for key, p in low.items()}
-        self.seen: dict[int, dict[int, float]] = {}
-        self.back: dict[int, dict[int, float]] = {}
-        for order in range(SHARED + 1, ORDER + 1):
-            keys, n = grams[order]
-            discount = [_discount((n[:, k] == 1).sum(), (n[:, k] == 2).sum()) for k in (0, 1)]
-            totals: dict[int, np.ndarray] = {}
-            for key, own in zip(keys.tolist(), n, strict=True):
-                totals.setdefault(key >> 8, np.zeros((2, 2)))
-                totals[key >> 8] += [own, own > 0]
-            keeps = {c: [discount[k] * t[1, k] / t[0, k] if t[0, k] > 0 else 1.0 for k in (0, 1)] for c, t in totals.items()}
-            chance = {}
-            for key, own in zip(keys.tolist(), n, strict=True):
-                total, keep, below = totals[key >> 8][0], keeps[key >> 8], lower[key & ((1 << (8 * (order - 1))) - 1)]
-                chance[key] = tuple(max(own[k] - discount[k], 0) / max(total[k], 1) + keep[k] * below[k] for k in (0, 1))
-            self.seen[order] = {key: float(np.log(p + 1e-12) - np.log(q + 1e-12)) for key, (p, q) in chance.items()}
-            self.back[order] = {c: float(np.log(p + 1e-6) - np.log(q + 1e-6)) for c, (p, q) in keeps.items()}
-            lower = chance
-
-    def differences(self, text: bytes) -> np.ndarray:
-        """Of each byte: its toxic less its ordinary log-likelihood."""
-
-        def look(key: int, order: int) -> float:
-            if order == SHARED:
-                return 0.0
-            if key in self.seen[order]:
-                return self.seen[order][key]
-            return self.back[order].get(key >> 8, 0.0) + look(key & ((1 << (8 * (order - 1))) - 1), order - 1)
-
-        return np.array([look(key, ORDER) for key in ngrams(text).tolist()], np.float64)
-
-
 class DifferenceTables:
     """The two models as tables of log-likelihood differences: of seen n-grams, and of backing off from seen contexts.
 
@@ -260,7 +205,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     most, most_path = materialize_at(count_ngrams(texts.join(of, "doc_id", "left_anti")), "ngram-counts")
     tables = DifferenceTables(most)
     kept = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
-    weights = _calibrate(kept, tables)
+    # one text for each drawn id, the same whatever the rows' order
+    weights = _calibrate(kept.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")), tables)
     counts = most.unionByName(count_ngrams(kept)).groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
     whole, whole_path = materialize_at(counts, "ngram-counts")
     final = DifferenceTables(whole)
@@ -271,8 +217,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
 
 def _calibrate(rows: DataFrame, tables: DifferenceTables) -> np.ndarray:
     rows = rows.select("text", F.col("label").cast("long").alias("label"), F.col("doc_id").cast("long").alias("doc_id"))
-    found = _with_evidence(rows, tables, "x", T.ArrayType(T.DoubleType()), lambda x: x.tolist()).select("x", "label", "doc_id").limit(2 * CALIBRATION_ROWS).collect()
-    found.sort(key=lambda r: (r["doc_id"], r["x"]))
+    found = _with_evidence(rows, tables, "x", T.ArrayType(T.DoubleType()), lambda x: x.tolist()).select("x", "label", "doc_id").collect()
+    found.sort(key=lambda r: r["doc_id"])
     x, y = np.array([r["x"] for r in found]), np.array([r["label"] for r in found])
     if not len(y) or y.min() == y.max():
         return np.array([0.0] * (TOP + 2) + [-30.0])
@@ -374,18 +320,16 @@ def _with_evidence(docs: DataFrame, tables: DifferenceTables, name: str, kind: T
 
     Only the blocks' n-grams are written; the texts are read again, from where they are, when their
     n-grams' differences are known. An n-gram stands at most once in a block, so that common ones
-    are no heavy keys, and a block is one row. Should the second reading cut other blocks than the
-    first, its n-grams are missed and the job fails.
+    are no heavy keys, and a block is one row. Files are read alike each time; rows that come from
+    a shuffle, whose parts may be other ones at the next reading, are written first. Blocks meet
+    their n-grams by hash, several in a task, one after another.
     """
-    blocks = materialize(_blocks(docs, False), "block-ngrams")
-    numbers = [(r["block"], k) for k, r in enumerate(blocks.where(F.col("key").isNull()).select("block").orderBy("block").collect())]
-    pairs = blocks.where(F.col("key").isNotNull()).select("block", "key")
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        docs = materialize(docs, "scored-texts")
+    pairs = materialize(_blocks(docs, False), "block-ngrams").where(F.col("key").isNotNull()).select("block", "key")
     found = _packed(pairs.join(tables.of(pairs.select("key").distinct()).hint("merge"), "key").select("block", "key", "difference"))
     whole = _blocks(docs, True).select("block", F.lit(True).alias("last"), "rows")
-    # a number for each block
-    dense = F.broadcast(docs.sparkSession.createDataFrame(numbers, "block long, number int"))
-    both = found.unionByName(whole).join(dense, "block").select("number", "last", "rows")
-    both = both.repartitionById(max(1, len(numbers)), "number").sortWithinPartitions("number", "last")
+    both = found.unionByName(whole).repartition("block").sortWithinPartitions("block", "last")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[bytes] = []

@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 from lipika.llm import chat, decontaminate, fingerprints, lines, neardup, packing, quality, shards, toxicity, training_order
 from lipika.llm.tokens import byte_bpe, tokenizer_path
 
+from .kneser_ney import KneserNeyPair, summarise
+
 DOCS = "doc_id long, text string, source string, extra string"
 ODD = [(1, None, "a", "x"), (2, "", None, "x"), (3, "one", "a", None), (3, "one", "a", None), (None, "null id", "b", "x"), (5, "é ñ " * 3000, "b", "x"), (6, " \n\t ", "b", "x")]
 
@@ -351,6 +353,22 @@ def test_fixed_capacity(spark):
     assert len(loads) == shards.best_fit_decreasing(sizes.items(), 100)[1] <= 1.25 * -(-sum(got["size"]) // 100)
 
 
+def test_shards_pass_other_columns_through(spark):
+    rows = [("a", 5, 1, "x", 7), ("a", 3, 2, None, 8), (None, 4, 3, "y", 9), (None, None, 4, "z", 9), ("b", None, 5, "", 1)]
+    named = spark.createDataFrame(rows, "key string, size long, shard int, __strip string, of int").withColumnsRenamed({"of": "k"})
+    for placed in (shards.assign_shards(named, 3), shards.fixed_capacity_shards(named, 6)):
+        assert placed.columns == ["key", "size", "__strip", "k", "shard"]
+        got = placed.collect()
+        key = lambda r: tuple((x is not None, x if x is not None else "") for x in r)
+        assert sorted(((r[0], r[1], r[2], r[3]) for r in got), key=key) == sorted(((a, b, d, e) for a, b, _, d, e in rows), key=key)
+        homes = {}
+        for r in got:
+            assert homes.setdefault(r["key"], r["shard"]) == r["shard"]  # rows of a null key are one group
+    numbered = shards.number_slots(named.withColumn("__k", F.lit(1)).withColumn("slot", F.lit(-1)), ["size"], 5, "key")
+    assert numbered.columns == ["key", "size", "shard", "__strip", "k", "__k", "slot"]
+    assert sorted(((r["key"] or "", r["slot"]) for r in numbered.collect())) == [("", 0), ("", 1), ("a", 0), ("a", 1), ("b", 0)]
+
+
 @pytest.mark.parametrize("share", [0.33, 0.2])
 def test_shards_beside_a_large_group_are_even(spark, share):
     rng = random.Random(12)
@@ -462,8 +480,8 @@ def test_kneser_ney_sums_to_one(spark):
         for key in toxicity.ngrams(t.encode()).tolist():
             plain[key][1 - m] += 1
     assert counts == {k: tuple(v) for k, v in plain.items()}
-    summary = toxicity.summarise(toxicity.count_ngrams(rows)).toPandas()
-    pair = toxicity.KneserNeyPair(summary)
+    summary = summarise(toxicity.count_ngrams(rows)).toPandas()
+    pair = KneserNeyPair(summary)
     assert pair.differences(b"abracadabra").mean() > 0 > pair.differences(b"brand new").mean()
     for of in (0, 1):
         chance = plain_kneser_ney(summary, ("toxic", "ordinary")[of])
@@ -501,11 +519,11 @@ def test_ngrams_are_exact_at_any_number(spark, monkeypatch):
     word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9)))
     texts = [(k, " ".join(word() for _ in range(200)), k % 2) for k in range(40)]
     counts = toxicity.count_ngrams(spark.createDataFrame(texts, "doc_id long, text string, label int"))
-    summary = toxicity.summarise(counts).toPandas()
+    summary = summarise(counts).toPandas()
     for order in range(1, toxicity.ORDER + 1):
         different = {int(k) & ((1 << (8 * order)) - 1) for _, t, _ in texts for k in toxicity.ngrams(t.encode())}
         assert (summary["order"] == order).sum() == len(different)  # no two share a place
-    pair = toxicity.KneserNeyPair(summary)
+    pair = KneserNeyPair(summary)
     more = [*texts[:3], *[(100 + k, " ".join(word() for _ in range(50)), 0) for k in range(5)], (200, "", 0), (201, None, 0), (202, "Žluťoučký", 1)]
     docs = spark.createDataFrame(more, "doc_id long, text string, label int").repartition(2)
     for block in (toxicity.BLOCK, 500):
@@ -516,6 +534,21 @@ def test_ngrams_are_exact_at_any_number(spark, monkeypatch):
             assert np.allclose(r["x"], toxicity.evidence(pair.differences((r["text"] or "").encode())))
 
 
+def test_scores_do_not_hang_on_partitions(spark):
+    rows = [(k, f"row {k % 97} says {'zzbad stuff' if k % 3 == 0 else 'fine things'} {k % 11}", int(k % 3 == 0)) for k in range(400)]
+    rows += [(k, f"another text of {k}", int(k % 3 == 0)) for k in range(0, 400, 5)]  # ids that stand twice
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = docs.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    found = []
+    for given in (docs.coalesce(1), docs.repartition(7), docs.repartition(40, "text"), docs.orderBy(F.desc("text"))):
+        given = given.select("doc_id", "text")
+        scored = toxicity.score_toxicity(given, toxicity.fit_toxicity(given, labels)).collect()
+        found.append(sorted((r["doc_id"], r["text"], round(r["score"], 6)) for r in scored))
+    assert len(found[0]) == len(rows) and all(f == found[0] for f in found)
+    plan = toxicity.score_toxicity(docs.select("doc_id", "text"), toxicity.fit_toxicity(docs, labels))._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan and "REPARTITION_BY_NUM" not in plan  # tasks do not grow with the number of blocks
+
+
 @pytest.mark.parametrize("most", [10, toxicity.CALIBRATION_ROWS])
 def test_all_learning_rows_are_counted(spark, monkeypatch, most):
     monkeypatch.setattr(toxicity, "CALIBRATION_ROWS", most)
