@@ -179,7 +179,15 @@ def p18(spark, d):
     return _pron(spark, d).select("word", text.strip_stress(F.array_join("phones", " ")).alias("plain"))
 
 
-@query("p17_join_phones")
+# a dash that follows a dash falls away; "#" is silent
+_JOINED = f"""WITH {_PRON}, phone AS (SELECT word, pos, replace(ph, '_', ' ') AS ph FROM (SELECT word, unnest(string_split(p, ' ')) AS ph, unnest(range(length(p) - length(replace(p, ' ', '')) + 1)) AS pos FROM spoken)),
+    part AS (SELECT word, pos, turn, t FROM (SELECT word, pos, unnest([1, 2]) AS turn,
+        unnest(CASE WHEN ph LIKE '-%' THEN ['-', substr(ph, 2)] WHEN ph LIKE '%-' THEN [left(ph, length(ph) - 1), '-'] ELSE [ph, '#'] END) AS t FROM phone WHERE trim(ph) <> '') WHERE t <> '#'),
+    heard AS (SELECT *, lag(t) OVER (PARTITION BY word ORDER BY pos, turn) AS former FROM part)
+    SELECT l.word, coalesce(string_agg(t, ' ' ORDER BY pos, turn), '') AS joined FROM latin l LEFT JOIN heard h ON h.word = l.word AND NOT (t = '-' AND coalesce(former, '') = '-') GROUP BY l.word"""
+
+
+@query("p17_join_phones", _JOINED)
 def p17(spark, d):
     return _pron(spark, d).select("word", romanize.join_phones(F.col("phones")).alias("joined"))
 
@@ -519,7 +527,41 @@ def p23(spark, d):
     return romanize.align_pair(pairs, HINDI).select("literal", "word", F.array_join("letters", "|").alias("letters"), F.array_join(text.strip_epsilon(F.col("classes")), "|").alias("classes"), "exact")
 
 
-@query("p4_preprocess_with_focus")
+# The Hindi rewrites as (what is marked, with its marks, what stands in its place); a c before h is hidden from the second.
+_MARKS = (
+    ("c([eiy])", r"<c>\1", "s"),
+    ("c", "<c>", "k"),
+    ("(ia)", r"<\1>", "iya"),
+    ("(au)", r"<\1>", "ou"),
+    ("^(hum)$", r"<\1>", "ham"),
+    ("^(hoon)$", r"<\1>", "hoom"),
+    ("(cch)", r"<\1>", "chch"),
+    ("(aa)", r"<\1>", "A"),
+    ("(ee)", r"<\1>", "I"),
+    ("(oo)", r"<\1>", "U"),
+    ("(w)", r"<\1>", "v"),
+    ("(ph)", r"<\1>", "f"),
+    ("(x)", r"<\1>", "ksh"),
+    ("(gyan)", r"<\1>", "gnyan"),
+)
+
+
+def _focus_sql() -> str:
+    """Rewrite by rewrite: marks around what it takes, then the marked text before the letter tells where the letter goes."""
+    steps = [f"WITH s0 AS (SELECT word, unnest(range(length(word))) AS focus, lower(word) AS typed, unnest(range(length(word))) AS spot FROM ({O.LATIN}))"]
+    for k, (pattern, marked, new) in enumerate(_MARKS):
+        marks = f"regexp_replace(typed, '{pattern}', '{marked}', 'g')"
+        if pattern == "c":
+            marks = "replace(replace(replace(typed, 'ch', '1h'), 'c', '<c>'), '1h', 'ch')"
+        steps.append(f"m{k} AS (SELECT word, focus, spot, {marks} AS m FROM s{k})")
+        steps.append(f"b{k} AS (SELECT word, focus, m, left(m, CAST(list_filter(range(1, length(m) + 1), lambda i: substr(m, i, 1) NOT IN ('<', '>'))[spot + 1] AS INT) - 1) AS b FROM m{k})")
+        inside = f"CASE WHEN regexp_matches(b, '<[^>]*$') THEN least(length(regexp_extract(b, '<([^>]*)$', 1)), {len(new) - 1}) ELSE 0 END"
+        spot = f"length(regexp_replace(b, '<[^>]*(>|$)', '', 'g')) + {len(new)} * (length(b) - length(replace(b, '>', ''))) + {inside}"
+        steps.append(f"s{k + 1} AS (SELECT word, focus, regexp_replace(m, '<[^>]*>', '{new}', 'g') AS typed, {spot} AS spot FROM b{k})")
+    return ", ".join(steps) + f" SELECT DISTINCT word, CAST(focus AS BIGINT) AS focus, typed, CAST(spot AS BIGINT) AS \"at\" FROM s{len(_MARKS)}"
+
+
+@query("p4_preprocess_with_focus", _focus_sql())
 def p4(spark, d):
     """Every letter of every word."""
     return romanize.preprocess_with_focus(_words(spark, d).select("word", F.explode(F.sequence(F.lit(0), F.char_length("word") - 1)).alias("focus")))
