@@ -22,8 +22,12 @@ from ..sources.scratch import cut
 SCOPE = 4
 #: The order in which distances are tried; the first of equal splits wins.
 DISTANCES = [0, *[d for k in range(1, SCOPE + 1) for d in (-k, k)]]
-#: Different examples of a node that one task finishes; larger nodes are split by all tasks together.
-SMALL = 400_000
+#: Memory of a node that one task finishes; larger nodes are split by all tasks together.
+NODE_BYTES = 256_000_000
+#: What an example takes in such a task beside its characters: its strings' heads, and numbers for each place of its surroundings.
+EXAMPLE_BYTES = 900
+#: Counts of beginnings by class that such a task holds at once.
+CELLS = 2_000_000
 #: Nodes of a model that is sent to all tasks; a larger one is joined level by level.
 MODEL_NODES = 500_000
 
@@ -56,11 +60,13 @@ def node_purity(examples: DataFrame) -> DataFrame:
     return counts.groupBy("key", "node").agg((F.sum(F.col("n").cast("double") * F.col("n")) / (F.sum("n").cast("double") * F.sum("n"))).alias("purity"), F.sum("n").alias("total"))
 
 
-def split_scores(examples: DataFrame, groups: Groups) -> DataFrame:
-    """``key, node, delta, delta_rank, feature, rank, score``: the purity after each split that parts a node.
+_SPLIT = ["key", "node", "delta", "delta_rank", "feature", "rank"]
+
+
+def split_counts(examples: DataFrame, groups: Groups) -> DataFrame:
+    """``key, node, delta, delta_rank, feature, rank, cls, l``: the examples of a class that go left at a split.
 
-    Per split only the left side is counted; the right side is what the node has besides. A place's
-    text meets features by each of its beginnings, as many as the longest literal has letters.
+    A place's text meets features by each of its beginnings, as many as the longest literal has letters.
     """
     asked: dict[str, list] = {}
     for rank, (label, literals) in enumerate(groups):  # a rule table
@@ -77,16 +83,36 @@ def split_scores(examples: DataFrame, groups: Groups) -> DataFrame:
     # several literals of a feature may match: an example counts once
     met = F.array_distinct(F.flatten(F.filter(F.transform(begins, lambda x: F.try_element_at(known, x)), lambda fs: fs.isNotNull())))
     hit = grouped.select("key", "node", "cls", "delta", "delta_rank", "n", F.explode(met).alias("f")).select("key", "node", "cls", "delta", "delta_rank", "n", "f.feature", "f.rank")
-    left = hit.groupBy("key", "node", "delta", "delta_rank", "feature", "rank", "cls").agg(F.sum("n").cast("double").alias("l"))
+    return hit.groupBy(*_SPLIT, "cls").agg(F.sum("n").alias("l"))
+
+
+def sibling_counts(parents: DataFrame, counted: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The split counts of the larger child of each parent: the parent's less the smaller child's.
+
+    ``pairs``: ``key, parent, smaller, larger``, the children of each parent by name.
+    """
+    own = [*_SPLIT[2:], "cls"]
+    of_parents = parents.withColumnRenamed("node", "parent").join(pairs, ["key", "parent"]).select("key", F.col("larger").alias("node"), *own, "l")
+    of_smaller = counted.withColumnRenamed("node", "smaller").join(pairs, ["key", "smaller"]).select("key", F.col("larger").alias("node"), *own, (-F.col("l")).alias("l"))
+    return of_parents.unionByName(of_smaller).groupBy(*_SPLIT, "cls").agg(F.sum("l").alias("l")).where("l > 0")
+
+
+def scores_of(counts: DataFrame, examples: DataFrame) -> DataFrame:
+    """``key, node, delta, delta_rank, feature, rank, score``: the purity after each split that parts a node; what does not go left goes right."""
     whole = examples.groupBy("key", "node", "cls").agg(F.sum("n").cast("double").alias("t"))
     sums = whole.groupBy("key", "node").agg(F.sum("t").alias("total"), F.sum(F.col("t") * F.col("t")).alias("squares"))
-    scored = left.join(whole, ["key", "node", "cls"]).groupBy("key", "node", "delta", "delta_rank", "feature", "rank").agg(
+    scored = counts.withColumn("l", F.col("l").cast("double")).join(whole, ["key", "node", "cls"]).groupBy(*_SPLIT).agg(
         F.sum("l").alias("nl"), F.sum(F.col("l") * F.col("l")).alias("sl"), F.sum((F.col("t") - F.col("l")) * (F.col("t") - F.col("l")) - F.col("t") * F.col("t")).alias("dr")
     )
     joined = scored.join(sums, ["key", "node"]).where("nl < total")
     right = F.col("total") - F.col("nl")
     score = (F.try_divide("sl", "nl") + F.try_divide(F.col("squares") + F.col("dr"), right)) / F.col("total")
-    return joined.select("key", "node", "delta", "delta_rank", "feature", "rank", F.round(score, 12).alias("score"))
+    return joined.select(*_SPLIT, F.round(score, 12).alias("score"))
+
+
+def split_scores(examples: DataFrame, groups: Groups) -> DataFrame:
+    """The scores of all splits of nodes whose examples are counted here."""
+    return scores_of(split_counts(examples, groups), examples)
 
 
 def best_split(scores: DataFrame, purity: DataFrame) -> DataFrame:
@@ -139,10 +165,21 @@ class _Subtree:
         inside = np.flatnonzero(codes >= 0)
         seen, inverse = np.unique(codes[inside], return_inverse=True)
         of = inside // len(DISTANCES)
-        counts = np.bincount(inverse * kinds + classes[of], n[of], len(seen) * kinds).reshape(-1, kinds)
-        heads = len(self.holds)
+        heads, step = len(self.holds), max(1, CELLS // kinds)
         cuts = np.searchsorted(seen, heads * np.arange(len(DISTANCES) + 1))
-        return np.concatenate([self.holds[seen[x:y] - heads * j].T @ counts[x:y] for j, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False))])
+        if len(seen) > step:  # the counts are made block by block of beginnings
+            order = inverse.argsort(kind="stable")
+            inverse, of = inverse[order], of[order]
+        out = np.zeros((len(DISTANCES), len(self.groups), kinds))
+        for a in range(0, len(seen), step):
+            b = min(a + step, len(seen))
+            own = slice(*np.searchsorted(inverse, [a, b])) if len(seen) > step else slice(None)
+            counts = np.bincount((inverse[own] - a) * kinds + classes[of[own]], n[of[own]], (b - a) * kinds).reshape(-1, kinds)
+            for j in range(len(DISTANCES)):
+                x, y = np.clip(cuts[j : j + 2], a, b)
+                if x < y:
+                    out[j] += self.holds[seen[x:y] - heads * j].T @ counts[x - a : y - a]
+        return out.reshape(-1, kinds)
 
     def grow(self, classes: np.ndarray, n: np.ndarray, names: list[str], root: str) -> Iterator[tuple]:
         """(node, delta, feature, literals, classes) of the tree below ``root``, by the same rules as the levels."""
@@ -173,7 +210,7 @@ class _Subtree:
 
 
 def _finished(rows: DataFrame, groups: Groups) -> DataFrame:
-    """The subtrees of (key, node) groups of at most ``SMALL`` different examples, each made by one task."""
+    """The subtrees of (key, node) groups of at most ``NODE_BYTES``, each made by one task."""
     groups = [(label, [x for x in literals if x]) for label, literals in groups]
 
     def finish(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -193,21 +230,32 @@ def grow(examples: DataFrame, groups: Groups) -> DataFrame:
     """Grow the trees of all keys: ``key, node, delta, feature, literals, classes``; leaves have no feature, other nodes no classes.
 
     Each level is one pass over the examples of nodes that are still large, cut from the plan by a
-    checkpoint in the session's checkpoint folder; nodes of at most ``SMALL`` different examples
-    are finished whole, by a task each, whatever their depth. Every example reaches a leaf.
+    checkpoint in the session's checkpoint folder: of two children only the smaller one's splits are
+    counted, the other has what the parent has besides. Nodes of at most ``NODE_BYTES`` are finished
+    whole, by a task each, whatever their depth. Every example reaches a leaf.
     """
     spark = examples.sparkSession
     groups = with_letters(examples, groups)
     literals = spark.createDataFrame([(label, [x for x in own if x]) for label, own in groups], "feature string, literals array<string>")
     rows = cut(examples.groupBy("key", "window", "offset", "cls").agg(F.sum("n").alias("n")).withColumn("node", F.lit("")))
-    out = []
+    out, counts = [], None
+    held = 4 * (F.char_length("window") + F.char_length("cls")) + EXAMPLE_BYTES
     while True:
-        large = cut(rows.groupBy("key", "node").agg(F.count("*").alias("different")).where(F.col("different") > SMALL).select("key", "node"))
+        sized = cut(rows.groupBy("key", "node").agg(F.sum(held).alias("bytes")))
+        large = sized.where(F.col("bytes") > NODE_BYTES).select("key", "node")
         out.append(cut(_finished(rows.join(large, ["key", "node"], "left_anti"), groups)))
         if large.isEmpty():
             break
+        if counts is None:
+            counts = cut(split_counts(rows.join(large, ["key", "node"]), groups))
+        else:
+            child = F.struct("bytes", "node")
+            both = sized.groupBy("key", F.expr("left(node, char_length(node) - 1)").alias("parent")).agg(F.min(child).alias("s"), F.max(child).alias("l"))
+            pairs = cut(both.where(F.col("l.bytes") > NODE_BYTES).select("key", "parent", F.col("s.node").alias("smaller"), F.col("l.node").alias("larger")))
+            counted = cut(split_counts(rows.join(pairs.select("key", F.col("smaller").alias("node")), ["key", "node"]), groups))
+            counts = cut(sibling_counts(counts, counted, pairs).unionByName(counted.join(large, ["key", "node"])))
         rows = cut(rows.join(large, ["key", "node"]))
-        chosen = cut(best_split(split_scores(rows, groups), node_purity(rows)).join(F.broadcast(literals), "feature"))
+        chosen = cut(best_split(scores_of(counts, rows), node_purity(rows)).join(F.broadcast(literals), "feature"))
         level = leaf_distribution(rows).join(chosen.select("key", "node", "delta", "feature", "literals"), ["key", "node"], "left")
         out.append(cut(level.select("key", "node", "delta", "feature", "literals", F.when(F.col("feature").isNull(), F.col("classes")).alias("classes"))))
         left = matches(F.col("window"), F.col("offset"), F.col("delta"), F.col("literals"))

@@ -4,7 +4,9 @@ import collections
 import datetime as dt
 import json
 import random
+import tracemalloc
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lipika.functions import letters, phonemes, scheme, text
@@ -152,7 +154,7 @@ def test_demo_tree_node_by_node(spark, monkeypatch):
     singles = [(c, [c]) for c in sorted({c for w, *_ in rows for c in w})]
     want = plain_tree(rows, [*DEMO_GROUPS, *singles])
     for small in (1000, 8):  # by one task, and level by level
-        monkeypatch.setattr(trees, "SMALL", small)
+        monkeypatch.setattr(trees, "NODE_BYTES", small * 950)  # some 930 bytes an example
         examples, tree, got = grown(spark, rows, DEMO_GROUPS)
         assert got == want
         for most in (1000, 0):  # by a model sent to the tasks, and joined level by level
@@ -170,7 +172,7 @@ def test_trees_of_any_depth_hold_all_examples(spark, monkeypatch):
     rows = [("#" + "t" + c + "_", 1, f"c{k:02d}", 2 ** (k // 3)) for k, c in enumerate(letters_of)]
     rng.shuffle(rows)
     for small in (1000, 87):
-        monkeypatch.setattr(trees, "SMALL", small)
+        monkeypatch.setattr(trees, "NODE_BYTES", small * 950)  # some 930 bytes an example
         examples, tree, got = grown(spark, rows, [])
         assert sum(n for _, _, own in got.values() if own for _, n in own) == sum(r[3] for r in rows)
         assert max(map(len, got)) > 64
@@ -188,10 +190,48 @@ def test_groups_with_long_literals_match_brute_force(spark, monkeypatch):
     rows = [(*r, n) for r, n in rows.items()]
     want = plain_tree(rows, [*groups, *((c, [c]) for c in sorted({c for w, *_ in rows for c in w}))])
     for small in (1000, 40):
-        monkeypatch.setattr(trees, "SMALL", small)
+        monkeypatch.setattr(trees, "NODE_BYTES", small * 950)  # some 930 bytes an example
         assert grown(spark, rows, groups)[2] == want
 
 
+def test_counts_by_the_smaller_child(spark, monkeypatch):
+    rng = random.Random(6)
+    windows = {}
+    for _ in range(80):
+        w, k = "#" + "".join(rng.choices("abcde", k=5)) + "_", rng.randrange(1, 6)
+        windows[w, k, "XXYYZ"["abcde".index(w[k])]] = rng.randint(1, 9)
+    examples = spark.createDataFrame([("t", w, k, c, n, "1" if "a" in w else "0") for (w, k, c), n in windows.items()], "key string, window string, offset int, cls string, n long, node string")
+    counts = trees.split_counts(examples, [("a", ["a"]), ("bc", ["b", "c"])])
+    parents = trees.split_counts(examples.withColumn("node", F.lit("")), [("a", ["a"]), ("bc", ["b", "c"])])
+    for smaller, larger in ("01", "10"):
+        pairs = spark.createDataFrame([("t", "", smaller, larger)], "key string, parent string, smaller string, larger string")
+        got = trees.sibling_counts(parents, counts.where(F.col("node") == smaller), pairs)
+        want = counts.where(F.col("node") == larger)
+        assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    # the larger child stays large for some levels
+    rows = [(w, k, c, n) for (w, k, c), n in windows.items()]
+    want = plain_tree(rows, [(c, [c]) for c in sorted({c for w, *_ in rows for c in w})])
+    monkeypatch.setattr(trees, "NODE_BYTES", 40 * 950)
+    assert grown(spark, rows, [])[2] == want
+
+
+def test_a_thousand_classes_in_bounded_memory(monkeypatch):
+    rng = random.Random(7)
+    windows = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(7)) for _ in range(6000)]
+    classes, n = np.array([rng.randrange(1000) for _ in windows]), np.array([float(rng.randint(1, 5)) for _ in windows])
+    tree = trees._Subtree(windows, [3] * len(windows), [("low", [chr(0x4E00 + k) for k in range(1500)]), ("one", ["\u4e01"])])
+    of, own = np.unique(classes, return_inverse=True)
+    found, peaks = [], []
+    for cells in (10**9, 200_000):
+        monkeypatch.setattr(trees, "CELLS", cells)
+        tracemalloc.start()
+        found.append(tree._left(np.arange(len(windows)), own, n, len(of)))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert (found[0] == found[1]).all() and found[0].sum() > 0
+    assert peaks[1] < 20_000_000 < 100_000_000 < peaks[0]
+
+
 def test_counters(spark):
     start = dt.datetime(2020, 1, 1, 10)
     rows = [(start + dt.timedelta(seconds=s), "addWord") for s in range(0, 24, 2) for _ in range(2)] + [(start, "other")]
