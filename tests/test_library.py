@@ -428,6 +428,34 @@ def test_words_are_converted_after_they_are_counted(spark):
         assert "regexp_replace" not in below.split("\n", 1)[1] and "translate" not in below.split("\n", 1)[1]
 
 
+def test_what_is_asked_of_converted_words_stays_above_the_count(spark):
+    """Of joins, null tests and distinct words too, the planner moves none below the count, nor does it drop the count."""
+    words = lexicon.word_counts(spark.createDataFrame([("raam kamal",)], "text string"))
+    native = lexicon.native_lexicon(words, "hindi").select("word")
+    form = scheme.scheme_to_script(F.col("word"), "hindi")
+    phones = words.select(F.filter(F.split(text.strip_stress("word"), " "), lambda p: p != "").alias("phones"))
+    shorter = native.select(F.col("word").alias("first"), F.expr("left(word, char_length(word) - 1)").alias("second")).join(native.withColumnRenamed("word", "second"), "second")
+    for df in (
+        romanize.align_pair(words.select(text.preprocess(F.col("word")).alias("literal"), form.alias("word")), "hindi"),
+        romanize.romanizations(native, "hindi"),
+        romanize.training_examples(native, "hindi"),
+        romanize.phoneme_options(phones, "hindi"),
+        shorter,
+    ):
+        parts = df._jdf.queryExecution().optimizedPlan().toString().split("Generate explode")[:-1]  # what stands right above each reading of the texts
+        for part in parts:
+            above = part[part.rindex("Aggregate ["):].split("\n")
+            assert "count(1)" in above[0] and not any(x in "".join(above[1:]) for x in ("regexp_replace", "translate")), df
+        assert parts
+
+
+def test_each_row_has_its_own_sounds(spark):
+    rows = spark.createDataFrame([("a", ["k", "ah"]), ("b", ["k", "ah"]), ("b", ["k", "ah"]), ("c", None), ("d", ["xx"]), ("e", [])], "word string, phones array<string>")
+    done = romanize.sound_candidates(rows, "hindi")
+    assert sorted((r["word"], tuple(r["options"])) for r in done.collect()) == [("a", ("का",)), ("b", ("का",)), ("b", ("का",)), ("d", ()), ("e", ("",))]
+    assert not any(x in done._jdf.queryExecution().optimizedPlan().toString() for x in ("Join", "Aggregate"))
+
+
 def test_rows_that_share_an_id_stay_apart(spark):
     rows = spark.createDataFrame([(1, "raam"), (1, "kumaar"), (None, "raam x"), (2, None)], "doc_id long, text string")
     upper = lambda words: words.withColumn("out", F.upper("word"))
