@@ -456,6 +456,20 @@ def test_each_row_has_its_own_sounds(spark):
     assert not any(x in done._jdf.queryExecution().optimizedPlan().toString() for x in ("Join", "Aggregate"))
 
 
+def test_texts_ask_for_their_words_by_blocks(spark):
+    """Words are put back alike for blocks of every size; the driver holds few words, and no row is made for each text's each word."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["The", "raam", "x1", "Kumaar", "né", "zz"]) + rng.choice(["", "!", "q"]) for _ in range(rng.randrange(9))) for _ in range(300)]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    some = lambda words: words.withColumn("out", F.when(F.col("word") != "zz", F.concat(F.upper("word"), F.lit("+"))))
+    want = {(r["doc_id"], r["text"]) for r in lookup.apply_per_distinct_word(rows, some).collect()}
+    assert len(want) == 300 and any("THE+" in t for _, t in want)
+    for block in (1, 50, 10**6):
+        assert {(r["doc_id"], r["text"]) for r in lookup.apply_per_distinct_word(rows, some, 0, block).collect()} == want
+    assert lookup.SENT_CHARS <= 4_000_000
+    assert "collect_list" not in lookup.apply_per_distinct_word(rows, some, 0)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_rows_that_share_an_id_stay_apart(spark):
     rows = spark.createDataFrame([(1, "raam"), (1, "kumaar"), (None, "raam x"), (2, None)], "doc_id long, text string")
     upper = lambda words: words.withColumn("out", F.upper("word"))
