@@ -163,10 +163,13 @@ class _Subtree:
         """Counts by (distance, feature) and class of the examples that match."""
         codes = self.codes[rows].ravel()
         inside = np.flatnonzero(codes >= 0)
-        seen, inverse = np.unique(codes[inside], return_inverse=True)
         of = inside // len(DISTANCES)
         heads, step = len(self.holds), max(1, CELLS // kinds)
-        cuts = np.searchsorted(seen, heads * np.arange(len(DISTANCES) + 1))
+        if heads * len(DISTANCES) <= min(step, len(inside)):  # a cell for each beginning at each distance: no sorting
+            counts = np.bincount(codes[inside] * kinds + classes[of], n[of], heads * len(DISTANCES) * kinds)
+            return (self.holds.T @ counts.reshape(len(DISTANCES), heads, kinds)).reshape(-1, kinds)
+        seen, inverse = np.unique(codes[inside], return_inverse=True)
+        cuts = np.searchsorted(seen, heads * np.arange(len(DISTANCES) + 1)).tolist()
         if len(seen) > step:  # the counts are made block by block of beginnings
             order = inverse.argsort(kind="stable")
             inverse, of = inverse[order], of[order]
@@ -176,17 +179,23 @@ class _Subtree:
             own = slice(*np.searchsorted(inverse, [a, b])) if len(seen) > step else slice(None)
             counts = np.bincount((inverse[own] - a) * kinds + classes[of[own]], n[of[own]], (b - a) * kinds).reshape(-1, kinds)
             for j in range(len(DISTANCES)):
-                x, y = np.clip(cuts[j : j + 2], a, b)
+                x, y = max(cuts[j], a), min(cuts[j + 1], b)
                 if x < y:
                     out[j] += self.holds[seen[x:y] - heads * j].T @ counts[x - a : y - a]
         return out.reshape(-1, kinds)
 
     def grow(self, classes: np.ndarray, n: np.ndarray, names: list[str], root: str) -> Iterator[tuple]:
         """(node, delta, feature, literals, classes) of the tree below ``root``, by the same rules as the levels."""
-        waiting = [(root, np.arange(len(n)))]
+        waiting, place = [(root, np.arange(len(n)))], np.zeros(len(names), np.int64)
         while waiting:
             node, rows = waiting.pop()
-            of, own = np.unique(classes[rows], return_inverse=True)
+            own = classes[rows]
+            if len(names) <= 1000:
+                of = np.flatnonzero(np.bincount(own))
+                place[of] = np.arange(len(of))
+                own = place[own]
+            else:
+                of, own = np.unique(own, return_inverse=True)
             whole = np.bincount(own, n[rows])
             total = whole.sum()
             if len(of) > 1:

@@ -470,6 +470,18 @@ def test_texts_ask_for_their_words_by_blocks(spark):
     assert "collect_list" not in lookup.apply_per_distinct_word(rows, some, 0)._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_a_large_node_is_counted_alike_with_and_without_sorting(monkeypatch):
+    rng = random.Random(5)
+    windows = ["#" + "".join(rng.choice("abct") for _ in range(8)) + "_" for _ in range(400)]
+    offsets, classes = [rng.randrange(1, 9) for _ in windows], np.array([rng.randrange(3) for _ in windows])
+    n = np.array([float(rng.randrange(1, 9)) for _ in windows])
+    grown = []
+    for cells in (trees.CELLS, 7):  # a cell for each beginning, and blocks of beginnings that occur
+        monkeypatch.setattr(trees, "CELLS", cells)
+        grown.append(list(trees._Subtree(windows, offsets, [("ab", ["a", "b"]), ("c", ["c"]), ("t", ["ta", "t"])]).grow(classes, n, ["x", "y", "z"], "")))
+    assert grown[0] == grown[1] and len(grown[0]) > 50
+
+
 def test_rows_that_share_an_id_stay_apart(spark):
     rows = spark.createDataFrame([(1, "raam"), (1, "kumaar"), (None, "raam x"), (2, None)], "doc_id long, text string")
     upper = lambda words: words.withColumn("out", F.upper("word"))
