@@ -482,6 +482,16 @@ def test_a_large_node_is_counted_alike_with_and_without_sorting(monkeypatch):
     assert grown[0] == grown[1] and len(grown[0]) > 50
 
 
+def test_examples_are_counted_by_one_column(spark):
+    words = spark.createDataFrame([("पत",), ("तप",)], "word string")
+    found = romanize.training_examples(words, "hindi")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [told" in plan
+    ahead = trees.reach(trees.SCOPE, letters.feature_groups("hindi"))
+    want = collections.Counter(x for w in ("पत", "तप") for x in romanize.examples_of(w, "hindi", trees.SCOPE, ahead))
+    assert {tuple(r)[:4]: r["n"] for r in found.collect()} == want
+
+
 def test_rows_that_share_an_id_stay_apart(spark):
     rows = spark.createDataFrame([(1, "raam"), (1, "kumaar"), (None, "raam x"), (2, None)], "doc_id long, text string")
     upper = lambda words: words.withColumn("out", F.upper("word"))
