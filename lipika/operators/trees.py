@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import cut
@@ -23,16 +23,19 @@ SCOPE = 4
 #: The order in which distances are tried; the first of equal splits wins.
 DISTANCES = [0, *[d for k in range(1, SCOPE + 1) for d in (-k, k)]]
 #: Memory of a node that one task finishes; larger nodes are split by all tasks together.
-NODE_BYTES = 256_000_000
-#: What an example takes in such a task beside its characters: its strings' heads, and numbers for each place of its surroundings.
+NODE_BYTES = 1_500_000_000
+#: More than an example takes in such a task beside its characters: its row, and numbers for each place of its surroundings.
 EXAMPLE_BYTES = 900
 #: Counts of beginnings by class that such a task holds at once.
 CELLS = 2_000_000
+#: Examples that a task counts at once while all tasks split a node together.
+CHUNK = 250_000
 #: Nodes of a model that is sent to all tasks; a larger one is joined level by level.
 MODEL_NODES = 500_000
 
 Groups = list[tuple[str, list[str]]]
 LEAF = "array<struct<cls:string,n:bigint>>"
+_NODE_TYPES = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.list_(pa.struct([("cls", pa.string()), ("n", pa.int64())]))]
 TREE = f"key string, node string, delta int, feature string, literals array<string>, classes {LEAF}"
 
 
@@ -41,12 +44,6 @@ def reach(scope: int, groups: Groups) -> int:
     return scope + max((len(x) for _, literals in groups for x in literals), default=1) - 1
 
 
-def with_letters(examples: DataFrame, groups: Groups) -> Groups:
-    """The groups, and then every character that stands in the windows (an alphabet's length of rows) by itself, by code point."""
-    seen = examples.select(F.explode(F.array_distinct(F.regexp_extract_all("window", F.lit("(?s:.)"), F.lit(0)))).alias("c")).distinct().collect()
-    return [*groups, *((r["c"], [r["c"]]) for r in sorted(seen))]
-
-
 def leaf_distribution(examples: DataFrame) -> DataFrame:
     """``node, classes``: class counts of each (key, node), the largest first, ties by class."""
     counts = examples.groupBy("key", "node", "cls").agg(F.sum("n").alias("n"))
@@ -141,11 +138,7 @@ class _Subtree:
 
     def __init__(self, windows: list[str], offsets: list[int], groups: Groups):
         self.groups = groups
-        of: dict[str, list[int]] = {}
-        for k, (_, literals) in enumerate(groups):
-            for x in literals:
-                of.setdefault(x, []).append(k)
-        longest = max(map(len, of), default=1)
+        longest = _longest(groups)
         known: dict[str, int] = {}
         self.codes = np.full((len(windows), len(DISTANCES)), -1, np.int64)
         for i, (window, offset) in enumerate(zip(windows, offsets, strict=True)):
@@ -153,21 +146,58 @@ class _Subtree:
                 at = offset + d
                 if 0 <= at < len(window):
                     self.codes[i, j] = known.setdefault(window[at : at + longest], len(known))
-        self.holds = np.zeros((len(known), len(groups)))
-        for head, code in known.items():
-            for n in range(1, len(head) + 1):
-                self.holds[code, of.get(head[:n], [])] = 1
+        self.holds = _holds(list(known), groups)
         self.codes = np.where(self.codes < 0, -1, self.codes + len(known) * np.arange(len(DISTANCES)))
 
+    @classmethod
+    def placed(cls, table: pa.Table, groups: Groups) -> _Subtree:
+        """The same from rows as ``_placed`` makes them; beginnings that meet the same features are one, and one that meets none stands outside."""
+        self, longest = cls.__new__(cls), _longest(groups)
+        self.groups, width = groups, 2 * SCOPE + longest
+        text = "".join(map(_text, table.column("placed").chunks))
+        letters = np.frombuffer(text.encode("utf-32-le"), np.uint32).reshape(-1, width)
+        chars = np.unique(letters)
+        lo, hi = (table.column(c).to_numpy()[:, None] for c in ("lo", "hi"))
+        at = np.arange(width)
+        numbered = np.zeros(int(chars[-1]) + 1 if len(chars) else 1, np.int32)
+        numbered[chars] = np.arange(1, len(chars) + 1)
+        letters = np.where((at >= lo) & (at < hi), numbered[letters], np.int32(0))
+        heads = np.zeros((len(letters), len(DISTANCES)), np.int32)
+        names = [""]  # of codes: a beginning ends where the window ends
+        for k in range(longest):
+            pairs = heads * (len(chars) + 1) + letters[:, [SCOPE + d + k for d in DISTANCES]]
+            code = np.zeros(len(names) * (len(chars) + 1), np.int32)  # as many as the beginnings there can be, each a letter longer than one that occurs
+            code[pairs] = 1
+            seen = np.flatnonzero(code)
+            code[seen] = np.arange(len(seen))
+            heads = code[pairs]
+            pairs_seen = [divmod(x, len(chars) + 1) for x in seen.tolist()]
+            names = [names[x] + chr(chars[c - 1]) if c and (names[x] or k == 0) else names[x] for x, c in pairs_seen]
+        self.holds, merged = np.unique(_holds(names, groups), axis=0, return_inverse=True)
+        self.codes = merged.reshape(-1).astype(np.int32)[heads] + len(self.holds) * np.arange(len(DISTANCES), dtype=np.int32)
+        return self
+
+    def without_copies(self) -> _Subtree:
+        """Of features that hold alike here the first is kept, for it wins; those that never hold go."""
+        _, first = np.unique(self.holds, axis=1, return_index=True)
+        kept = [int(k) for k in np.sort(first) if self.holds[:, k].any()]
+        self.groups, self.holds = [self.groups[k] for k in kept], np.ascontiguousarray(self.holds[:, kept])
+        return self
+
     def _left(self, rows: np.ndarray, classes: np.ndarray, n: np.ndarray, kinds: int) -> np.ndarray:
         """Counts by (distance, feature) and class of the examples that match."""
+        heads, step = len(self.holds), max(1, CELLS // kinds)
+        cells = heads * len(DISTANCES)
+        if cells <= step and (cells <= len(DISTANCES) * len(rows) or cells * kinds <= 10_000):  # a cell for each beginning at each distance: no sorting
+            counts = np.zeros(cells * kinds + 1)
+            for a in range(0, len(rows), 50_000):
+                codes, own = self.codes[rows[a : a + 50_000]], classes[a : a + 50_000, None]
+                at = np.where(codes < 0, cells * kinds, codes.astype(np.int64) * kinds + own)
+                counts += np.bincount(at.ravel(), np.repeat(n[a : a + 50_000], len(DISTANCES)), cells * kinds + 1)
+            return (self.holds.T @ counts[:-1].reshape(len(DISTANCES), heads, kinds)).reshape(-1, kinds)
         codes = self.codes[rows].ravel()
         inside = np.flatnonzero(codes >= 0)
         of = inside // len(DISTANCES)
-        heads, step = len(self.holds), max(1, CELLS // kinds)
-        if heads * len(DISTANCES) <= min(step, len(inside)):  # a cell for each beginning at each distance: no sorting
-            counts = np.bincount(codes[inside] * kinds + classes[of], n[of], heads * len(DISTANCES) * kinds)
-            return (self.holds.T @ counts.reshape(len(DISTANCES), heads, kinds)).reshape(-1, kinds)
         seen, inverse = np.unique(codes[inside], return_inverse=True)
         cuts = np.searchsorted(seen, heads * np.arange(len(DISTANCES) + 1)).tolist()
         if len(seen) > step:  # the counts are made block by block of beginnings
@@ -184,6 +214,11 @@ class _Subtree:
                     out[j] += self.holds[seen[x:y] - heads * j].T @ counts[x - a : y - a]
         return out.reshape(-1, kinds)
 
+    def side(self, rows: np.ndarray, j: int, k: int) -> np.ndarray:
+        """Which examples go left where feature ``k`` is asked at the distance of that place."""
+        codes = self.codes[rows, j]
+        return (codes >= 0) & (self.holds[np.maximum(codes - len(self.holds) * j, 0), k] == 1)
+
     def grow(self, classes: np.ndarray, n: np.ndarray, names: list[str], root: str) -> Iterator[tuple]:
         """(node, delta, feature, literals, classes) of the tree below ``root``, by the same rules as the levels."""
         waiting, place = [(root, np.arange(len(n)))], np.zeros(len(names), np.int64)
@@ -197,83 +232,224 @@ class _Subtree:
             else:
                 of, own = np.unique(own, return_inverse=True)
             whole = np.bincount(own, n[rows])
-            total = whole.sum()
-            if len(of) > 1:
-                left = self._left(rows, own, n[rows], len(of))
-                nl = left.sum(1)
-                parts = np.flatnonzero((nl > 0) & (nl < total))
-                if len(parts):
-                    left, nl = left[parts], nl[parts]
-                    right = whole - left
-                    score = np.round(((left * left).sum(1) / nl + (right * right).sum(1) / (total - nl)) / total, 12)
-                    if score.max() > round(float((whole * whole).sum() / (total * total)), 12):
-                        # the splits stand in the order of distances and features, so the first of the best wins
-                        j, k = divmod(int(parts[score.argmax()]), len(self.groups))
-                        yield node, DISTANCES[j], self.groups[k][0], self.groups[k][1], None
-                        codes = self.codes[rows, j]
-                        side = (codes >= 0) & (self.holds[np.maximum(codes - len(self.holds) * j, 0), k] == 1)
-                        waiting += [(node + "1", rows[~side]), (node + "0", rows[side])]
-                        continue
-            order = sorted(range(len(of)), key=lambda i: (-whole[i], names[of[i]]))
-            yield node, None, None, None, [{"cls": names[of[i]], "n": int(whole[i])} for i in order]
-
-
-def _finished(rows: DataFrame, groups: Groups) -> DataFrame:
-    """The subtrees of (key, node) groups of at most ``NODE_BYTES``, each made by one task."""
-    groups = [(label, [x for x in literals if x]) for label, literals in groups]
-
-    def finish(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["window", "offset", "cls"], kind="stable")
-        names = sorted(pdf["cls"].unique())
-        classes = np.searchsorted(np.array(names, object), pdf["cls"].to_numpy(object))
-        made = list(_Subtree(pdf["window"].tolist(), pdf["offset"].tolist(), groups).grow(classes, pdf["n"].to_numpy(np.float64), names, key[1]))
-        out = pd.DataFrame(made, columns=["node", "delta", "feature", "literals", "classes"])
-        out["delta"] = out["delta"].astype("Int32")
-        out.insert(0, "key", key[0])
-        return out
-
-    return rows.groupBy("key", "node").applyInPandas(finish, TREE)
+            best = _best(self._left(rows, own, n[rows], len(of)), whole) if len(of) > 1 else None
+            if best is not None:
+                # the splits stand in the order of distances and features, so the first of the best wins
+                j, k = divmod(best, len(self.groups))
+                yield node, DISTANCES[j], self.groups[k][0], self.groups[k][1], None
+                side = self.side(rows, j, k)
+                waiting += [(node + "1", rows[~side]), (node + "0", rows[side])]
+                continue
+            yield node, None, None, None, _ordered([names[i] for i in of], whole)
+
+
+def _longest(groups: Groups) -> int:
+    return max((len(x) for _, literals in groups for x in literals), default=1)
+
+
+def _holds(heads: list[str], groups: Groups) -> np.ndarray:
+    """1 where a beginning meets a feature."""
+    of: dict[str, list[int]] = {}
+    for k, (_, literals) in enumerate(groups):
+        for x in literals:
+            of.setdefault(x, []).append(k)
+    holds = np.zeros((len(heads), len(groups)))
+    for code, head in enumerate(heads):
+        for n in range(1, len(head) + 1):
+            holds[code, of.get(head[:n], [])] = 1
+    return holds
+
+
+def _best(left: np.ndarray, whole: np.ndarray) -> int | None:
+    """The first of the best splits that better the purity of a node, of counts by split and class; None if there is none."""
+    total, nl = whole.sum(), left.sum(1)
+    parts = np.flatnonzero((nl > 0) & (nl < total))
+    if not len(parts):
+        return None
+    left, nl = left[parts], nl[parts]
+    right = whole - left
+    score = np.round(((left * left).sum(1) / nl + (right * right).sum(1) / (total - nl)) / total, 12)
+    return int(parts[score.argmax()]) if score.max() > round(float((whole * whole).sum() / (total * total)), 12) else None
+
+
+def _ordered(names: list[str], whole: np.ndarray) -> list[dict]:
+    return [{"cls": names[i], "n": int(whole[i])} for i in sorted(range(len(names)), key=lambda i: (-whole[i], names[i]))]
+
+
+def _text(strings: pa.Array) -> str:
+    """All strings of an array in one, read from its buffer."""
+    if not len(strings):
+        return ""
+    ends = np.frombuffer(strings.buffers()[1], np.int32)
+    return strings.buffers()[2][int(ends[strings.offset]) : int(ends[strings.offset + len(strings)])].to_pybytes().decode()
+
+
+def _placed(examples: DataFrame, groups: Groups) -> DataFrame:
+    """``key, placed, lo, hi, cls, n``: what features can read around a letter, the letter always in the same place; the window is from ``lo`` to before ``hi``."""
+    width = 2 * SCOPE + _longest(groups)
+    ahead = F.greatest(SCOPE - F.col("offset"), F.lit(0))
+    cutout = F.substr("window", F.greatest(F.col("offset") - SCOPE, F.lit(0)) + 1, F.lit(width))
+    hi = F.least(SCOPE - F.col("offset") + F.char_length("window"), F.lit(width))
+    placed = F.rpad(F.concat(F.repeat(F.lit("\0"), ahead), cutout), width, "\0")
+    return examples.where("key IS NOT NULL AND window IS NOT NULL AND offset IS NOT NULL AND cls IS NOT NULL").select("key", placed.alias("placed"), ahead.cast("int").alias("lo"), hi.cast("int").alias("hi"), "cls", F.col("n").cast("long").alias("n"))
+
+
+def _letters_of(rows: DataFrame) -> list[str]:
+    """Every character of placed rows, an alphabet's length of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        for batch in batches:
+            seen |= set(_text(batch.column(0)))
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.string())], ["c"])
+
+    return sorted(r["c"] for r in rows.select("placed").mapInArrow(run, "c string").distinct().collect() if r["c"] != "\0")
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together, so that a node has enough rows at once."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= CHUNK:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _walk(table: pa.Table, tree: _Subtree, top: dict[str, dict[str, tuple[int, int] | None]]) -> Iterator[tuple[str, str, np.ndarray]]:
+    """(key, node, rows): where the rows of a table stand below the splits of ``top``, which has (place of the distance, feature) by key and node."""
+    keys = table.column("key").combine_chunks().dictionary_encode()
+    code = keys.indices.to_numpy()
+    order = np.argsort(code, kind="stable")
+    cuts = np.searchsorted(code[order], np.arange(len(keys.dictionary) + 1))
+    for i, key in enumerate(keys.dictionary.to_pylist()):
+        waiting = [("", order[cuts[i] : cuts[i + 1]])]
+        while waiting:
+            node, rows = waiting.pop()
+            split = top.get(key, {}).get(node)
+            if split is None:
+                yield key, node, rows
+            elif len(rows):
+                side = tree.side(rows, *split)
+                waiting += [(node + "1", rows[~side]), (node + "0", rows[side])]
+
+
+def _level(rows: DataFrame, groups: Groups, top: dict, open_nodes: set[tuple[str, str]]) -> DataFrame:
+    """The nodes ``open_nodes``, split by all tasks together: columns of ``TREE``, and ``size``, ``size_left``, how many examples a node has and sends left."""
+    spark = rows.sparkSession
+    asked = {key for key, _ in open_nodes}
+    model = spark.sparkContext.broadcast((groups, top, open_nodes))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_groups, own_top, own_open = model.value
+        sums: dict[tuple[str, str, str | None], np.ndarray] = {}
+        for table in _chunks(batches):
+            tree = _Subtree.placed(table, own_groups)
+            names = table.column("cls").combine_chunks().dictionary_encode()
+            classes, n = names.indices.to_numpy().astype(np.int64), table.column("n").to_numpy().astype(np.float64)
+            for key, node, at in _walk(table, tree, own_top):
+                if (key, node) in own_open and len(at):
+                    of, own = np.unique(classes[at], return_inverse=True)
+                    left = tree._left(at, own, n[at], len(of))
+                    found = [(names.dictionary[int(c)].as_py(), left[:, i], np.bincount(own, n[at])[i]) for i, c in enumerate(of)]
+                    every = tree._left(at, np.zeros_like(own), np.ones(len(at)), 1)[:, 0]
+                    for cls, counts, whole in [*found, (None, every, len(at))]:
+                        counts = np.append(counts, whole)
+                        sums[key, node, cls] = sums[key, node, cls] + counts if (key, node, cls) in sums else counts
+        columns = [[k for k, _, _ in sums], [x for _, x, _ in sums], [c for _, _, c in sums], [x.tobytes() for x in sums.values()]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.binary()), strict=True)], ["key", "node", "cls", "counts"])
+
+    def choose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        sums: dict[str | None, np.ndarray] = {}
+        for cls, counts in zip(pdf["cls"], pdf["counts"], strict=True):
+            cls, counts = None if pd.isna(cls) else cls, np.frombuffer(counts)
+            sums[cls] = sums[cls] + counts if cls in sums else counts
+        sizes = sums.pop(None)
+        names = sorted(sums)
+        counts = np.stack([sums[x] for x in names], 1)
+        best = _best(counts[:-1], counts[-1])
+        own_groups = model.value[0]
+        if best is None:
+            row = (*key, None, None, None, _ordered(names, counts[-1]), int(sizes[-1]), None)
+        else:
+            j, k = divmod(best, len(own_groups))
+            row = (*key, DISTANCES[j], *own_groups[k], None, int(sizes[-1]), int(sizes[best]))
+        out = pd.DataFrame([row], columns=["key", "node", "delta", "feature", "literals", "classes", "size", "size_left"])
+        return out.astype({"delta": "Int32", "size": "Int64", "size_left": "Int64"})
+
+    counted = rows.where(F.col("key").isin(*asked)).mapInArrow(count, "key string, node string, cls string, counts binary")
+    return counted.groupBy("key", "node").applyInPandas(choose, TREE + ", size long, size_left long")
+
+
+def _at_nodes(rows: DataFrame, groups: Groups, top: dict) -> DataFrame:
+    """Placed rows with the ``node`` below the splits of ``top`` where they stand."""
+    model = rows.sparkSession.sparkContext.broadcast((groups, top))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_groups, own_top = model.value
+        for table in _chunks(batches):
+            nodes, codes = [], np.zeros(table.num_rows, np.int32)
+            for _, node, at in _walk(table, _Subtree.placed(table, own_groups), own_top):
+                codes[at] = len(nodes)
+                nodes.append(node)
+            named = pa.DictionaryArray.from_arrays(pa.array(codes), pa.array(nodes, pa.string())).cast(pa.string())
+            yield from table.append_column("node", named).to_batches(max_chunksize=10_000)
+
+    return rows.mapInArrow(run, "key string, placed string, lo int, hi int, cls string, n long, node string")
+
+
+def _finished(rows: DataFrame, groups: Groups, nodes: int) -> DataFrame:
+    """The subtrees of (key, node) groups of at most ``NODE_BYTES``, some ``nodes`` of them, each made by one task."""
+    # more parts than nodes, so that few nodes share a task
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(3 * nodes, 2000))
+
+    def finish(key: tuple, table: pa.Table) -> pa.Table:
+        names = table.column("cls").combine_chunks().dictionary_encode()
+        tree = _Subtree.placed(table, groups).without_copies()
+        classes, n = names.indices.to_numpy().astype(np.int64), table.column("n").to_numpy().astype(np.float64)
+        made = list(tree.grow(classes, n, names.dictionary.to_pylist(), key[1].as_py()))
+        columns = [[key[0].as_py()] * len(made), *map(list, zip(*made, strict=True))]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, _NODE_TYPES, strict=True)], ["key", "node", "delta", "feature", "literals", "classes"])
+
+    return rows.repartition(parts, "key", "node").groupBy("key", "node").applyInArrow(finish, TREE)
 
 
 def grow(examples: DataFrame, groups: Groups) -> DataFrame:
     """Grow the trees of all keys: ``key, node, delta, feature, literals, classes``; leaves have no feature, other nodes no classes.
 
-    Each level is one pass over the examples of nodes that are still large, cut from the plan by a
-    checkpoint in the session's checkpoint folder: of two children only the smaller one's splits are
-    counted, the other has what the parent has besides. Nodes of at most ``NODE_BYTES`` are finished
-    whole, by a task each, whatever their depth. Every example reaches a leaf.
+    Nodes of more than ``NODE_BYTES`` are split level by level by all tasks together: each task counts its own examples
+    below the splits so far, which are few, and only counts by (distance, feature, class) are shuffled. Then each
+    example goes to its node, and nodes are finished whole, by a task each, whatever their depth. Every example reaches a leaf.
     """
-    spark = examples.sparkSession
-    groups = with_letters(examples, groups)
-    literals = spark.createDataFrame([(label, [x for x in own if x]) for label, own in groups], "feature string, literals array<string>")
-    rows = cut(examples.groupBy("key", "window", "offset", "cls").agg(F.sum("n").alias("n")).withColumn("node", F.lit("")))
-    out, counts = [], None
-    held = 4 * (F.char_length("window") + F.char_length("cls")) + EXAMPLE_BYTES
-    while True:
-        sized = cut(rows.groupBy("key", "node").agg(F.sum(held).alias("bytes")))
-        large = sized.where(F.col("bytes") > NODE_BYTES).select("key", "node")
-        out.append(cut(_finished(rows.join(large, ["key", "node"], "left_anti"), groups)))
-        if large.isEmpty():
-            break
-        if counts is None:
-            counts = cut(split_counts(rows.join(large, ["key", "node"]), groups))
-        else:
-            child = F.struct("bytes", "node")
-            both = sized.groupBy("key", F.expr("left(node, char_length(node) - 1)").alias("parent")).agg(F.min(child).alias("s"), F.max(child).alias("l"))
-            pairs = cut(both.where(F.col("l.bytes") > NODE_BYTES).select("key", "parent", F.col("s.node").alias("smaller"), F.col("l.node").alias("larger")))
-            counted = cut(split_counts(rows.join(pairs.select("key", F.col("smaller").alias("node")), ["key", "node"]), groups))
-            counts = cut(sibling_counts(counts, counted, pairs).unionByName(counted.join(large, ["key", "node"])))
-        rows = cut(rows.join(large, ["key", "node"]))
-        chosen = cut(best_split(scores_of(counts, rows), node_purity(rows)).join(F.broadcast(literals), "feature"))
-        level = leaf_distribution(rows).join(chosen.select("key", "node", "delta", "feature", "literals"), ["key", "node"], "left")
-        out.append(cut(level.select("key", "node", "delta", "feature", "literals", F.when(F.col("feature").isNull(), F.col("classes")).alias("classes"))))
-        left = matches(F.col("window"), F.col("offset"), F.col("delta"), F.col("literals"))
-        # at most a row for each node of the level
-        rows = cut(rows.join(chosen.select("key", "node", "delta", "literals"), ["key", "node"]).select("key", "window", "offset", "cls", "n", _child(F.col("node"), left).alias("node")))
-    tree = out[0]
-    for level in out[1:]:
-        tree = tree.unionByName(level)
-    return tree
+    groups = [(label, [x for x in own if x]) for label, own in groups]
+    rows = cut(_placed(examples, groups))
+    groups = [*groups, *((c, [c]) for c in _letters_of(rows))]
+    held = EXAMPLE_BYTES + 4 * (2 * SCOPE + _longest(groups))
+    place = {label: k for k, (label, _) in reversed(list(enumerate(groups)))}
+    sizes = rows.groupBy("key").count().collect()  # as many as there are letters
+    open_nodes, top, out = {(r["key"], "") for r in sizes if r["count"] * held > NODE_BYTES}, {}, []
+    while open_nodes:
+        level = cut(_level(rows, groups, top, open_nodes))
+        open_nodes = set()
+        for r in level.select("key", "node", "delta", "feature", "size", "size_left").collect():  # at most one for each node that no task may hold
+            if r["feature"] is not None:
+                top.setdefault(r["key"], {})[r["node"]] = DISTANCES.index(r["delta"]), place[r["feature"]]
+                open_nodes |= {(r["key"], r["node"] + turn) for turn, size in (("0", r["size_left"]), ("1", r["size"] - r["size_left"])) if size * held > NODE_BYTES}
+        out.append(level.drop("size", "size_left"))
+    done = [(r["key"], r["node"]) for r in _concat(out).where("feature IS NULL").select("key", "node").collect()] if out else []
+    at = _at_nodes(rows, groups, top) if top else rows.withColumn("node", F.lit(""))
+    for key, node in done:  # large leaves
+        at = at.where(~((F.col("key") == key) & (F.col("node") == node)))
+    return _concat([*out, cut(_finished(at, groups, len(sizes) + sum(map(len, top.values()))))])
+
+
+def _concat(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
 
 
 def predict(rows: DataFrame, tree: DataFrame, most_nodes: int = MODEL_NODES) -> DataFrame:
@@ -289,7 +465,10 @@ def predict(rows: DataFrame, tree: DataFrame, most_nodes: int = MODEL_NODES) ->
 
 def _walked(at: DataFrame, tree: DataFrame) -> DataFrame:
     columns = tree.select("key", "node", "delta", "literals", "classes").toArrow().to_pydict()
-    model = at.sparkSession.sparkContext.broadcast({(k, n): rest for k, n, *rest in zip(*columns.values(), strict=True)})
+    alike: dict[tuple[str, ...], tuple[str, ...]] = {}  # nodes that ask for one feature share its literals
+    own = (None if x is None else alike.setdefault(tuple(x), tuple(x)) for x in columns["literals"])
+    rows = zip(columns["key"], columns["node"], columns["delta"], own, columns["classes"], strict=True)
+    model = at.sparkSession.sparkContext.broadcast({(k, n): rest for k, n, *rest in rows})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes = model.value

@@ -482,6 +482,22 @@ def test_a_large_node_is_counted_alike_with_and_without_sorting(monkeypatch):
     assert grown[0] == grown[1] and len(grown[0]) > 50
 
 
+def test_levels_shuffle_counts_and_no_examples(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = collections.Counter()
+    for _ in range(150):
+        w = "#" + "".join(rng.choices(["kh", "a", "k", "h", "i", "é", "क"], k=6)) + "_"
+        k = rng.randrange(1, len(w) - 1)
+        start = max(0, k - 4)
+        rows[w[start : k + 7], k - start, "XYZ"[hash(w[k] == "k") + (w[k - 1] == "a")]] += 1
+    rows, groups = [(*r, n) for r, n in rows.items()], [("none", ["", "zz"]), ("kh", ["kh", "kha"]), ("k", ["k"])]
+    want = plain_tree(rows, [*groups, *((c, [c]) for c in sorted({c for w, *_ in rows for c in w}))])
+    # a row for each example, distance and beginning was shuffled at every level
+    monkeypatch.setattr(trees, "split_counts", None)
+    monkeypatch.setattr(trees, "NODE_BYTES", 30 * 950)
+    assert grown(spark, rows, groups)[2] == want and len(want) > 5
+
+
 def test_examples_are_counted_by_one_column(spark):
     words = spark.createDataFrame([("पत",), ("तप",)], "word string")
     found = romanize.training_examples(words, "hindi")
