@@ -7,9 +7,9 @@ alignments of all words, how often a letter has them. The likeliest alignment of
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,63 +23,119 @@ ROUNDS = 6
 JOINED = "_"
 # Groups of letters that the trees may ask for.
 GROUPS: trees.Groups = [("vowel", list("aeiouy")), ("front vowel", list("eiy")), ("stop", list("pbtdkgcq")), ("liquid", list("lr")), ("nasal", list("mn")), ("cons", list("bcdfghjklmnpqrstvwxz"))]
+#: Letters by phones of the words that are aligned at once.
+CELLS = 500_000
 Chances = dict[str, dict[str, float]]
 
 
-def _moves(word: str, phones: list[str], k: int, at: int) -> list[tuple[int, str]]:
-    """What letter ``k`` can stand for when ``at`` phones are used up, such that the rest still fits: (phones taken, their name)."""
-    left, most = len(phones) - at, 2 * (len(word) - k - 1)
-    return [(n, JOINED.join(phones[at : at + n])) for n in (0, 1, 2) if n <= left and left - n <= most]
+class _Alignments:
+    """All alignments of a batch's words with their phones at once: words of one length with one number of phones are rows of arrays.
 
+    What a letter may stand for (it, the first phone, the second; none is 0) is a number, and ``values`` are those that occur.
+    """
 
-def _chance(chances: Chances | None, letter: str, name: str) -> float:
-    return 1.0 if chances is None else chances.get(letter, {}).get(name, 0.0)
+    def __init__(self, words: pa.Array, phones: pa.Array, chances: Chances | None):
+        spelled = words.to_pylist()
+        letters, sizes = np.frombuffer("".join(spelled).encode("utf-32-le"), np.uint32), np.array(list(map(len, spelled)), np.int64)
+        alphabet, of = np.unique(letters, return_inverse=True)
+        said = phones.flatten().dictionary_encode()
+        own, counts = said.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1, phones.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.base = len(said.dictionary) + 1
+        self.groups = []
+        first, after = np.cumsum(sizes) - sizes, np.cumsum(counts) - counts
+        order = np.lexsort((counts, sizes))
+        ends = np.flatnonzero(np.diff(sizes[order]) | np.diff(counts[order])) + 1
+        for rows in np.split(order, ends) if len(order) else []:
+            n, m = int(sizes[rows[0]]), int(counts[rows[0]])
+            if n and m <= 2 * n:
+                step = max(1, CELLS // (n * (m + 1)))
+                for part in (rows[k : k + step] for k in range(0, len(rows), step)):
+                    self.groups.append((part, *self._codes(of[first[part, None] + np.arange(n)], own[after[part, None] + np.arange(m)])))
+        self.values = np.unique(np.concatenate([np.unique(x) for _, *codes in self.groups for x in codes])) if self.groups else np.zeros(0, np.int64)
+        self.letters = [chr(alphabet[x // self.base**2]) for x in self.values]
+        names = said.dictionary.to_pylist()
+        self.names = [JOINED.join(names[x - 1] for x in divmod(int(v) % self.base**2, self.base) if x) for v in self.values]
+        self.chance = np.array([1.0 if chances is None else chances.get(a, {}).get(b, 0.0) for a, b in zip(self.letters, self.names, strict=True)])
+
+    def _codes(self, letters: np.ndarray, phones: np.ndarray) -> list[np.ndarray]:
+        """Numbers by word, letter and phones used up, of letters that take none, one and two."""
+        at = letters.astype(np.int64)[:, :, None] * self.base**2
+        one, two = phones[:, None, :] * self.base, phones[:, None, :-1] * self.base + phones[:, None, 1:]
+        return [at, at + one, at + two]
+
+    def each(self) -> Iterator[tuple[np.ndarray, list[np.ndarray], list[np.ndarray], int, int]]:
+        """(rows, places in ``values``, chances, letters, phones) of each group."""
+        for rows, *codes in self.groups:
+            places = [np.searchsorted(self.values, x) for x in codes]
+            yield rows, places, [self.chance[x] for x in places], codes[1].shape[1], codes[1].shape[2]
+
+    def expected(self) -> np.ndarray:
+        """How often each of ``values`` is in the alignments, each by its probability; a word without any adds nothing."""
+        sums = np.zeros(len(self.values))
+        with np.errstate(all="ignore"):
+            for rows, places, chance, n, m in self.each():
+                ahead, behind = np.zeros((n + 1, len(rows), m + 1)), np.zeros((n + 1, len(rows), m + 1))
+                ahead[0, :, 0] = behind[n, :, m] = 1.0
+                for k in range(n):
+                    for took in range(min(2, m) + 1):
+                        ahead[k + 1, :, took:] += ahead[k, :, : m + 1 - took] * chance[took][:, k]
+                for k in range(n - 1, -1, -1):
+                    for took in range(min(2, m) + 1):
+                        behind[k, :, : m + 1 - took] += chance[took][:, k] * behind[k + 1, :, took:]
+                total = ahead[n, :, m, None]
+                for k in range(n):
+                    for took in range(min(2, m) + 1):
+                        share = ahead[k, :, : m + 1 - took] * chance[took][:, k] * behind[k + 1, :, took:] / total
+                        at = np.broadcast_to(places[took][:, k], share.shape)
+                        good = share > 0
+                        sums += np.bincount(at[good], share[good], len(sums))
+        return sums
+
+    def likeliest(self, size: int) -> list[list[str] | None]:
+        """Each letter's phones in the likeliest alignment of each of ``size`` words, of equals the one whose first differing letter has fewer; None if there is none."""
+        found: list[list[str] | None] = [None] * size
+        names = np.array([*self.names, ""], object)
+        with np.errstate(divide="ignore"):
+            for rows, places, chance, n, m in self.each():
+                best, turn = np.full((len(rows), m + 1), -np.inf), np.zeros((n, len(rows), m + 1), np.int8)
+                best[:, m] = 0.0
+                for k in range(n - 1, -1, -1):
+                    now = np.full_like(best, -np.inf)
+                    for took in range(min(2, m) + 1):
+                        score = np.log(chance[took][:, k]) + best[:, took:]
+                        better = score > now[:, : m + 1 - took] + 1e-12
+                        now[:, : m + 1 - took][better] = score[better]
+                        turn[k, :, : m + 1 - took][better] = took
+                    best = now
+                fits = np.flatnonzero(best[:, 0] > -np.inf)
+                at, own = np.zeros(len(fits), np.int64), np.empty((len(fits), n), np.int64)
+                for k in range(n):
+                    took = turn[k, fits, at]
+                    for t in range(min(2, m) + 1):
+                        of = np.flatnonzero(took == t)
+                        own[of, k] = places[t][fits[of], k, at[of] if t else 0]
+                    at += took
+                for row, value in zip(rows[fits].tolist(), names[own].tolist(), strict=True):
+                    found[row] = value
+        return found
+
+
+def _alone(word: str, phones: list[str], chances: Chances | None) -> _Alignments:
+    return _Alignments(pa.array([word], pa.string()), pa.array([phones], pa.list_(pa.string())), chances)
 
 
 def expected(word: str, phones: list[str], chances: Chances | None) -> dict[tuple[str, str], float]:
-    """How often each letter has which phones, over all alignments of the word, each by its probability; nothing for a word with none."""
-    n, m = len(word), len(phones)
-    ahead = [{0: 1.0}] + [{} for _ in range(n)]
-    for k in range(n):
-        for at, p in ahead[k].items():
-            for took, name in _moves(word, phones, k, at):
-                ahead[k + 1][at + took] = ahead[k + 1].get(at + took, 0.0) + p * _chance(chances, word[k], name)
-    behind = [{} for _ in range(n)] + [{m: 1.0}]
-    for k in range(n - 1, -1, -1):
-        for at in ahead[k]:
-            behind[k][at] = sum(_chance(chances, word[k], name) * behind[k + 1].get(at + took, 0.0) for took, name in _moves(word, phones, k, at))
-    total = ahead[n].get(m, 0.0)
-    out: dict[tuple[str, str], float] = {}
-    if total > 0:
-        for k in range(n):
-            for at, p in ahead[k].items():
-                for took, name in _moves(word, phones, k, at):
-                    share = p * _chance(chances, word[k], name) * behind[k + 1].get(at + took, 0.0) / total
-                    if share > 0:
-                        out[word[k], name] = out.get((word[k], name), 0.0) + share
+    """How often each letter of one word has which phones, over all its alignments, each by its probability; nothing for a word with none."""
+    found, out = _alone(word, phones, chances), {}
+    for letter, name, n in zip(found.letters, found.names, found.expected().tolist(), strict=True):
+        if n > 0:
+            out[letter, name] = out.get((letter, name), 0.0) + n
     return out
 
 
 def likeliest(word: str, phones: list[str], chances: Chances) -> list[str] | None:
-    """Each letter's phones in the likeliest alignment, of equals the one whose first differing letter has fewer; None if there is none."""
-    n, m = len(word), len(phones)
-    best: list[dict[int, tuple[float, int, str]]] = [{} for _ in range(n)] + [{m: (0.0, 0, "")}]
-    for k in range(n - 1, -1, -1):
-        for at in range(m + 1):
-            for took, name in _moves(word, phones, k, at):
-                p = _chance(chances, word[k], name)
-                if p > 0 and at + took in best[k + 1]:
-                    score = math.log(p) + best[k + 1][at + took][0]
-                    if at not in best[k] or score > best[k][at][0] + 1e-12:
-                        best[k][at] = score, took, name
-    if 0 not in best[0]:
-        return None
-    out, at = [], 0
-    for k in range(n):
-        _, took, name = best[k][at]
-        out.append(name)
-        at += took
-    return out
+    """Each letter's phones in one word's likeliest alignment; None if there is none."""
+    return _alone(word, phones, chances).likeliest(1)[0]
 
 
 def align_phones(pron: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -89,18 +145,17 @@ def align_phones(pron: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     without letters, gives no row. The table of chances is a letter's by its phones, so it does not grow with the dictionary.
     """
     clean = F.filter("phones", lambda p: p.isNotNull() & ~p.isin("", "#"))
-    rows = cut(pron.where("word IS NOT NULL AND word <> ''").select(F.lower("word").alias("word"), clean.alias("phones")).distinct())
+    rows = cut(pron.where("word IS NOT NULL AND word <> '' AND phones IS NOT NULL").select(F.lower("word").alias("word"), clean.alias("phones")).distinct())
     chances: Chances | None = None
     for _ in range(rounds):
         known = rows.sparkSession.sparkContext.broadcast(chances)
 
         def count(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
-            total: dict[tuple[str, str], float] = {}
             for batch in batches:
-                for word, phones in zip(batch.column("word").to_pylist(), batch.column("phones").to_pylist(), strict=True):
-                    for key, n in expected(word, phones, known.value).items():
-                        total[key] = total.get(key, 0.0) + n
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.string()), pa.array(list(total.values()), pa.float64())], ["letter", "name", "n"])
+                found = _Alignments(batch.column("word"), batch.column("phones"), known.value)
+                n = found.expected()
+                seen = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([found.letters[k] for k in seen], pa.string()), pa.array([found.names[k] for k in seen], pa.string()), pa.array(n[seen], pa.float64())], ["letter", "name", "n"])
 
         sums = rows.mapInArrow(count, "letter string, name string, n double").groupBy("letter", "name").agg(F.sum("n").alias("n")).orderBy("letter", "name").collect()
         counts: Chances = {}
@@ -112,7 +167,7 @@ def align_phones(pron: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [likeliest(w, p, final.value) for w, p in zip(batch.column("word").to_pylist(), batch.column("phones").to_pylist(), strict=True)]
+            found = _Alignments(batch.column("word"), batch.column("phones"), final.value).likeliest(batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("phones"), pa.array(found, pa.list_(pa.string()))], ["word", "phones", "own"])
 
     return rows.mapInArrow(align, "word string, phones array<string>, own array<string>").where("own IS NOT NULL")

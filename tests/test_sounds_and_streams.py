@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lipika.operators import lexicon, predict, romanize, sounds, trees
@@ -38,6 +39,26 @@ def test_expected_alignments_match_brute_force():
                 assert (found is None) == (not ways) and (not ways or weight[ways.index(found)] > max(weight) * (1 - 1e-9))
 
 
+def test_words_are_aligned_together_as_alone(monkeypatch):
+    """A batch's words at once, also block by block: words of any length, with more phones than they can have, and without any."""
+    rng = random.Random(3)
+    rows = [("".join(rng.choice("abé") for _ in range(rng.randint(1, 8))), [rng.choice(["x", "y", "x_y"]) for _ in range(rng.randint(0, 18))]) for _ in range(300)]
+    columns = pa.array([w for w, _ in rows], pa.string()), pa.array([p for _, p in rows], pa.list_(pa.string()))
+    chances = {c: {n: rng.random() for n in ["", "x", "y", "x_y", "y_x", "x_x_y"]} for c in "abé"}
+    for cells in (sounds.CELLS, 40):
+        monkeypatch.setattr(sounds, "CELLS", cells)
+        for own in (None, chances):
+            together = sounds._Alignments(*columns, own)
+            got, want = {}, {}
+            for letter, name, n in zip(together.letters, together.names, together.expected(), strict=True):
+                got[letter, name] = got.get((letter, name), 0.0) + n
+            for word, phones in rows:
+                for key, n in sounds.expected(word, phones, own).items():
+                    want[key] = want.get(key, 0.0) + n
+            assert {k for k, n in got.items() if n > 0} == set(want) and all(abs(got[k] - n) < 1e-9 * n for k, n in want.items())
+        assert together.likeliest(len(rows)) == [sounds.likeliest(word, phones, chances) for word, phones in rows]
+
+
 # What each letter sounds like in the tests' language; a silent h after k.
 PHONE = {"a": ["ah"], "i": ["ih"], "k": ["k"], "t": ["t"], "m": ["m"], "x": ["k", "s"], "n": ["n"], "h": []}
 
