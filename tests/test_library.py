@@ -58,6 +58,19 @@ def test_markup(spark):
     assert out == {1: "hello  raam राष्ट्रपति  bye", 2: r"\hindi raam"}
 
 
+def test_markup_is_compiled(spark):
+    """No stage's code is too large, whatever languages the marks may name."""
+    text = F.concat(F.lit(r"\hindi raam \itrans{raama}\tamil \itrans{maram} x"), F.col("id").cast("string"))
+    tree = jobs.train_language(spark.createDataFrame([("राम",)], "word string"), "hindi").cache()
+    tree.count()
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        out = {r["doc_id"]: r["text"] for r in jobs.render_markup(spark.range(2).select(F.col("id").alias("doc_id"), text.alias("text")), models={"hindi": tree}).collect()}
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+    assert out == {k: f" राम राम மரம் x{k}" for k in range(2)}
+
+
 def test_transliterate_text(spark):
     rows = spark.createDataFrame([(1, "raam, 2 kumaar!"), (2, ""), (3, "123"), (4, None)], "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in jobs.transliterate_text(rows, "hindi").collect()} == {1: "राम, 2 कुमार!", 2: "", 3: "123", 4: ""}
