@@ -59,6 +59,17 @@ def test_words_are_aligned_together_as_alone(monkeypatch):
         assert together.likeliest(len(rows)) == [sounds.likeliest(word, phones, chances) for word, phones in rows]
 
 
+def test_spellings_from_parts_are_those_by_rank():
+    rng = random.Random(4)
+    for lang in ("hindi", "tamil"):
+        known = sorted(romanize.letters.producers(lang))
+        found = [(word, romanize.options_of(word, lang)) for word in ("".join(rng.choices(known, k=rng.randint(0, 8))) for _ in range(400))]
+        mixed = [("कम", [("k", "q"), ("m", "")])]  # a letter that is blank in some spellings only
+        for word, chain in [*((w, c) for w, c in found if c), *mixed]:
+            many = romanize.number_of_spellings(chain)
+            assert list(romanize._spellings(word, chain, many, 0)) == [("".join(a), b) for a, b in (romanize.spelling_at(word, chain, k) for k in range(many))]
+
+
 # What each letter sounds like in the tests' language; a silent h after k.
 PHONE = {"a": ["ah"], "i": ["ih"], "k": ["k"], "t": ["t"], "m": ["m"], "x": ["k", "s"], "n": ["n"], "h": []}
 
