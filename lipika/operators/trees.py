@@ -463,26 +463,68 @@ def predict(rows: DataFrame, tree: DataFrame, most_nodes: int = MODEL_NODES) ->
     return rows.join(done, ["key", "window", "offset"], "left")
 
 
+class _Model:
+    """A tree table as arrays, as tasks hold it: nodes by number, features by number, and the classes of leaves as Arrow keeps them."""
+
+    def __init__(self, tree: DataFrame):
+        # literals in one string, each behind a mark: few different ones, which Arrow numbers
+        told = F.array_join(F.transform("literals", lambda x: F.concat(F.lit("\0"), x)), "")
+        table = tree.select("key", "node", "delta", F.when(F.col("delta").isNotNull(), told).alias("told"), "classes").toArrow().combine_chunks()
+        named = {name: n for n, name in enumerate(zip(table["key"].to_pylist(), table["node"].to_pylist(), strict=True))}
+        self.roots = {key: n for (key, node), n in named.items() if node == ""}
+        self.inner = table["delta"].is_valid().to_numpy()
+        below = [(named[key, node + "0"], named[key, node + "1"]) if inner else (-1, -1) for (key, node), inner in zip(named, self.inner.tolist(), strict=True)]
+        self.left, self.right = np.array(below, np.int32).reshape(-1, 2).T.copy()
+        self.deltas, self.place = np.unique(table["delta"].fill_null(0).to_numpy(), return_inverse=True)
+        told = table["told"].combine_chunks().dictionary_encode()
+        self.feature = told.indices.fill_null(0).to_numpy()
+        self.groups = [("", x.split("\0")[1:]) for x in told.dictionary.to_pylist()]
+        self.classes = table["classes"].combine_chunks()
+
+    def leaves(self, keys: pa.Array, windows: pa.Array, offsets: pa.Array) -> np.ndarray:
+        """The leaf of each row by number, -1 without a tree; all rows go down together, a level at a time."""
+        keys = keys.dictionary_encode()
+        node = np.array([self.roots.get(k, -1) for k in keys.dictionary.to_pylist()], np.int64)[keys.indices.to_numpy()]
+        codes, holds = self._met(windows, offsets.to_numpy())
+        rows = np.flatnonzero(node >= 0)
+        rows = rows[self.inner[node[rows]]]
+        while len(rows):
+            at = node[rows]
+            goes_left = holds[codes[self.place[at], rows], self.feature[at]] == 1
+            node[rows] = np.where(goes_left, self.left[at], self.right[at])
+            rows = rows[self.inner[node[rows]]]
+        return node
+
+    def _met(self, windows: pa.Array, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the beginnings at each distance of each row, which features they meet)."""
+        texts = windows.to_pylist()
+        text = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        chars, letters = np.unique(text, return_inverse=True)
+        letters = np.append(letters + 1, 0)
+        length = np.array([len(x) for x in texts], np.int64)
+        begin = np.cumsum(length) - length
+        start = offsets[None, :].astype(np.int64) + self.deltas[:, None]
+        inside = (start >= 0) & (start < length)
+        codes, names = np.zeros(start.shape, np.int64), [""]
+        for k in range(_longest(self.groups)):
+            own = letters[np.where(inside & (start + k < length), begin + start + k, len(text))]
+            seen, codes = np.unique(codes * (len(chars) + 1) + own, return_inverse=True)
+            codes = codes.reshape(start.shape)
+            pairs = [divmod(x, len(chars) + 1) for x in seen.tolist()]
+            names = [names[x] + chr(chars[c - 1]) if c else names[x] for x, c in pairs]
+        holds = _holds(names, self.groups)
+        holds[np.ix_([x != "" for x in names], ["" in own for _, own in self.groups])] = 1
+        return codes, holds
+
+
 def _walked(at: DataFrame, tree: DataFrame) -> DataFrame:
-    columns = tree.select("key", "node", "delta", "literals", "classes").toArrow().to_pydict()
-    alike: dict[tuple[str, ...], tuple[str, ...]] = {}  # nodes that ask for one feature share its literals
-    own = (None if x is None else alike.setdefault(tuple(x), tuple(x)) for x in columns["literals"])
-    rows = zip(columns["key"], columns["node"], columns["delta"], own, columns["classes"], strict=True)
-    model = at.sparkSession.sparkContext.broadcast({(k, n): rest for k, n, *rest in rows})
+    model = at.sparkSession.sparkContext.broadcast(_Model(tree))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes = model.value
+        own = model.value
         for batch in batches:
-            found = []
-            for key, window, offset in zip(*(batch.column(c).to_pylist() for c in ("key", "window", "offset")), strict=True):
-                node, own = "", nodes.get((key, ""))
-                while own is not None and own[0] is not None:
-                    start = offset + own[0]
-                    left = 0 <= start < len(window) and any(window.startswith(x, start) for x in own[1])
-                    node += "0" if left else "1"
-                    own = nodes[key, node]
-                found.append(None if own is None else own[2])
-            classes = pa.array(found, pa.list_(pa.struct([("cls", pa.string()), ("n", pa.int64())])))
+            leaves = own.leaves(*(batch.column(c) for c in ("key", "window", "offset")))
+            classes = own.classes.take(pa.array(leaves, mask=leaves < 0))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "window", "offset")), classes], ["key", "window", "offset", "classes"])
 
     return at.mapInArrow(run, f"key string, window string, offset {at.schema['offset'].dataType.simpleString()}, classes {LEAF}")

@@ -178,6 +178,38 @@ def test_demo_tree_node_by_node(spark, monkeypatch):
     assert unknown.count() == 2 and unknown.where("classes IS NOT NULL").count() == 0
 
 
+def test_rows_go_down_trees_together_as_they_do_one_by_one(spark):
+    rng = random.Random(6)
+    named = {"a": ["a"], "long": ["kha", "b", "\U0001F600"], "any": [""], "none": [], "end": ["_"]}
+    nodes: dict[tuple[str, str], tuple] = {}
+
+    def below(key: str, node: str) -> None:
+        if len(node) == 5 or (node and rng.random() < 0.2):
+            nodes[key, node] = (None, None, None, [(f"{key}{node}", 1)])
+            return
+        label = rng.choice(sorted(named))
+        nodes[key, node] = (rng.randint(-3, 3), label, named[label], None)
+        below(key, node + "0")
+        below(key, node + "1")
+
+    for key in ("k", "a"):
+        below(key, "")
+    nodes["l", ""] = (None, None, None, [("leaf", 2)])
+    tree = spark.createDataFrame([(*k, *v) for k, v in nodes.items()], trees.TREE)
+    rows = [(rng.choice("kalx"), "#" + "".join(rng.choice(["k", "h", "a", "b", "\U0001F600", "z"]) for _ in range(rng.randint(0, 7))) + "_", rng.randint(0, 8)) for _ in range(500)]
+    found = {(r["key"], r["window"], r["offset"]): r["classes"] and r["classes"][0]["cls"] for r in trees.predict(spark.createDataFrame(rows, "key string, window string, offset int"), tree).collect()}
+    for key, window, offset in rows:
+        node, own = "", nodes.get((key, ""))
+        while own is not None and own[0] is not None:
+            start = offset + own[0]
+            node += "0" if 0 <= start < len(window) and any(window.startswith(x, start) for x in own[2]) else "1"
+            own = nodes[key, node]
+        assert found[key, window, offset] == (own and own[3][0][0])
+    table = trees._Model(tree)  # no object for each node reaches the tasks
+    assert not [k for k, v in vars(table).items() if isinstance(v, dict | list) and len(v) > len(named)]
+    assert trees.predict(spark.createDataFrame(rows, "key string, window string, offset int"), tree.limit(0)).where("classes IS NOT NULL").count() == 0
+
+
 def test_trees_of_any_depth_hold_all_examples(spark, monkeypatch):
     rng = random.Random(3)
     letters_of = [chr(0x4E00 + k) for k in range(90)]
@@ -327,6 +359,16 @@ def brute_examples(word, lang, scope, ahead):
     return sorted(x for x, _ in best.values())
 
 
+def test_examples_are_alike_listed_or_built(monkeypatch):
+    words = ["कात" * 2, "कककक", "रात", "एएएए", "थ्थ", "लविएल्लेऐ", "तोथ्तिओनेदिन्ग", "आआआ", "क", "", "abc"]
+    monkeypatch.setattr(romanize, "FEW", 10**6)
+    listed = [sorted(romanize.examples_of(w, "hindi", 4, 6)) for w in words]
+    monkeypatch.setattr(romanize, "FEW", 0)
+    assert listed == [sorted(romanize.examples_of(w, "hindi", 4, 6)) for w in words]
+    for word, found in zip(words, listed, strict=True):
+        assert found == brute_examples(word, "hindi", 4, 6)
+
+
 def test_examples_need_no_list_of_spellings():
     rng = random.Random(5)
     for lang in ("hindi", "tamil", "malayalam"):
