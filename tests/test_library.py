@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lipika.functions import letters, phonemes, scheme, text
 from lipika.operators import counters, lexicon, lookup, predict, ranking, romanize, trees
-from lipika.plans import jobs
+from lipika.plans import jobs, queries
 from lipika.sources import tables
 from lipika.streaming import words as streams
 
@@ -604,3 +604,11 @@ def test_focus_follows_rewrites(spark):
     rows = spark.createDataFrame([("Boot", 3), ("boot", 1), ("cycle", 3), ("xx", 1)], "word string, focus long")
     got = {(r["word"], r["focus"]): (r["typed"], r["at"]) for r in romanize.preprocess_with_focus(rows).collect()}
     assert got == {("Boot", 3): ("bUt", 2), ("boot", 1): ("bUt", 1), ("cycle", 3): ("sykle", 3), ("xx", 1): ("kshksh", 3)}
+
+
+def test_only_words_that_are_asked_for_are_sounded(spark):
+    d = "/root/testdata/sf0.001"
+    asked = {r["word"] for r in queries._typed(spark, d).collect()}
+    sounded = queries._helpers(spark, d)["sounds"]
+    found = {r["word"] for r in sounded.select("word").collect()}
+    assert found and found == asked & {r["word"] for r in queries._words(spark, d).collect()}
