@@ -34,11 +34,13 @@ def letter_window(word: Column, focus: Column, scope: int = 4) -> Column:
     return F.struct(F.substr(word, start + 1, focus + scope + 1 - start).alias("window"), (focus - start).alias("offset"))
 
 
-def expand_options(chain: Column, cap: int = 100) -> Column:
-    """All joins of one option of each letter, the last letter varying slowest; over ``cap`` only that of the first options."""
-    size = F.aggregate(chain, F.lit(1).cast("double"), lambda n, options: n * F.size(options))
+def expand_options(chain: Column, cap: int | None = 100) -> Column:
+    """All joins of one option of each letter, the last letter varying slowest; over ``cap``, if there is one, only that of the first options."""
     start = F.array(F.lit(""))
     grown = F.aggregate(chain, start, lambda done, options: F.flatten(F.transform(options, lambda o: F.transform(done, lambda d: F.concat(d, o)))))
+    if cap is None:
+        return grown
+    size = F.aggregate(chain, F.lit(1).cast("double"), lambda n, options: n * F.size(options))
     return F.when(size > cap, F.array(F.array_join(F.transform(chain, lambda o: F.try_element_at(o, F.lit(1))), ""))).otherwise(grown)
 
 

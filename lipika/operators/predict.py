@@ -121,6 +121,7 @@ def suggest(
         known = lookup.flag_dictionary(ranked.select(F.col("lower").alias("id"), "options"), lexicon)
         ranked = ranked.join(known.select(F.col("id").alias("lower"), "known"), "lower").withColumn("options", ranking.dictionary_first(F.col("options"), F.col("known"))).drop("known")
     if sounds is not None:
+        sounds = sounds.where("rank = 0") if "rank" in sounds.columns else sounds  # a word's first row
         first = sounds.groupBy(F.col("word").alias("lower")).agg(F.min(F.try_element_at("options", F.lit(1))).alias("candidate"))
         none = ranked.select(F.lit("").alias("word")).limit(0)
         flagged = lookup.clash_flags(ranked.join(first, "lower", "left").withColumnRenamed("lower", "word"), english if english is not None else none, clash if clash is not None else none).withColumnRenamed("word", "lower")

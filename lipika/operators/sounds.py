@@ -199,8 +199,10 @@ def predict_phones(words: DataFrame, tree: DataFrame) -> DataFrame:
     return own.groupBy("word").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "p"))), lambda x: x["p"]).alias("phones"))
 
 
-def sound_words(words: DataFrame, lang: str, pron: DataFrame | None = None, tree: DataFrame | None = None) -> DataFrame:
-    """Distinct lower-case (word) rows with ``phones, exact, options``: native words as the words sound.
+def sound_words(words: DataFrame, lang: str, pron: DataFrame | None = None, tree: DataFrame | None = None, first: bool = False) -> DataFrame:
+    """Distinct lower-case (word) rows with ``phones, exact, options, rank``: native words as the words sound, all of them or only the ``first``.
+
+    A word of very many has several rows, as in ``distinct_sounds``.
 
     A word of the dictionary ``pron`` (word, phones) has its phones from there, the first of several; all others have them
     from the sound trees, or none without.
@@ -214,5 +216,5 @@ def sound_words(words: DataFrame, lang: str, pron: DataFrame | None = None, tree
         said = direct.select("word", "phones", F.lit(True).alias("exact"))
     if tree is not None:
         said = said.unionByName(predict_phones(left, tree).withColumn("exact", F.lit(False)))
-    options = romanize.sound_candidates(said, lang)
-    return said.join(options, "word").select("word", "phones", "exact", "options")
+    options = romanize.first_sounds(said, lang).withColumn("rank", F.lit(0).cast("long")) if first else romanize.distinct_sounds(said, lang)
+    return said.join(options, "word").select("word", "phones", "exact", "options", "rank")

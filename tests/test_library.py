@@ -2,6 +2,7 @@
 
 import collections
 import datetime as dt
+import itertools
 import json
 import random
 import tracemalloc
@@ -511,6 +512,33 @@ def test_each_row_has_its_own_sounds(spark):
     assert not any(x in done._jdf.queryExecution().optimizedPlan().toString() for x in ("Join", "Aggregate"))
 
 
+def test_a_pronunciation_of_many_spellings_has_all_its_sounds(spark):
+    """Beyond 100 spellings too, each sound once, in rows of every size; who wants the first makes no others."""
+    said = {"z": ["z"] * 7, "bay": ["b", "-", "ay"] * 4, "mixed": ["b", "z-", "ae0", "m", "z-", "z", "aw", "z_-"], "few": ["n", "ay", "f"], "none": ["z"] * 8 + ["xx"], "": []}
+    rows = spark.createDataFrame([*said.items(), ("null", None)], "word string, phones array<string>")
+    for lang in ("hindi", "tamil"):
+        want = {}
+        for w, p in said.items():
+            p = [x for x in " ".join(p).replace("_", " ").replace("-", " - ").replace("0", "").split(" ") if x]
+            spelled = ["".join(reversed(o)) for o in itertools.product(*reversed(phonemes.options(p, lang)))]
+            forms = spark.createDataFrame(list(enumerate(spelled)), "k long, s string").select("k", scheme.scheme_to_script(F.col("s"), lang)).collect()
+            want[w] = list(dict.fromkeys(f for _, f in sorted(forms)))
+        if lang == "hindi":
+            assert len(want["z"]) == 128 and len(want["bay"]) == 3**4 and len(want["mixed"]) > 100 and want["none"] == []
+        whole = romanize.sound_candidates(rows, lang).collect()
+        assert {r["word"]: r["options"] for r in whole} == want and len(whole) == len(want) and all(r["rank"] == 0 for r in whole)
+        for block in (10, 100, 1 << 20):
+            got = {}
+            for r in sorted(romanize.distinct_sounds(rows, lang, block).collect(), key=lambda r: (r["word"], r["rank"])):
+                assert len(r["options"]) <= max(block // max(len(said[r["word"]]), 1), 1) and (r["options"] or r["word"] == "none")
+                got.setdefault(r["word"], []).extend(r["options"])
+            assert got == want
+        assert {r["word"]: r["options"] for r in romanize.first_sounds(rows, lang).collect()} == {w: x[:1] for w, x in want.items()}
+    longest = spark.createDataFrame([("zz", ["z"] * 200)], "word string, phones array<string>")
+    assert [r["options"] for r in romanize.first_sounds(longest, "hindi").collect()] == [[one(spark, scheme.scheme_to_script(F.lit("J" * 200), "hindi"))]]
+    assert [tuple(r)[1:] for r in jobs.rollup_sounded(spark.createDataFrame([("zz", 3)], "word string, n long"), "hindi", longest).collect()] == [(3, ["zz"])]
+
+
 def test_texts_ask_for_their_words_by_blocks(spark):
     """Words are put back alike for blocks of every size; the driver holds few words, and no row is made for each text's each word."""
     rng = random.Random(3)
